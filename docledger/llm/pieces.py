@@ -28,7 +28,9 @@ _OTHERS = "\\d_²³¹¼½¾"
 _SEGMENT = re.compile(rf"{SPACE}*[^\W{_OTHERS}]+|{SPACE}*(?:(?!{SPACE})[\W{_OTHERS}])+|{SPACE}+")
 #: Segments remembered by a worker; the memory is emptied when full.
 REMEMBERED = 400_000
-PAIRS = 2_000_000
+#: Compatible pairs, and prefixes, likewise.
+PAIRS = 1_000_000
+PREFIXES = 1_500_000
 
 
 class _Known(dict):
@@ -73,7 +75,9 @@ class PieceModel:
         self.text = {i: bytes([b]) for i, b in self.byte_of.items()} | {i: p.replace(SPACE, " ").encode() for i, p in self.piece.items()} | {self.end: b""}
         self.shown = {i: f"{i} " for i in self.text}
         self.characters = frozenset(p for p in self.ids if len(p) == 1)
+        self.longest = max(self.length.values())
         self.compatible: dict = {}
+        self.prefixes: dict = {}
         self.known = _Known(self)
 
     def merged(self, text: str) -> list[str]:
@@ -128,27 +132,41 @@ class PieceModel:
         return True
 
     def by_prefixes(self, segment: str) -> list[int]:
-        """The ids of a segment whose characters are all pieces."""
-        last = [0] * (len(segment) + 1)
-        compatible = self.compatible
-        for end, (piece, size) in self.automaton.iter(segment):
-            end += 1
-            if last[end]:
-                continue
-            if end != size:
-                pair = last[end - size] << 20 | piece
-                good = compatible.get(pair)
-                if good is None:
-                    if len(compatible) > PAIRS:
-                        compatible.clear()
-                    good = compatible[pair] = self.fits(last[end - size], piece)
-                if not good:
+        """The ids of a segment whose characters are all pieces.
+
+        The table holds the last token of every prefix met so far, in any segment; only the others are worked out.
+        """
+        table, compatible = self.prefixes, self.compatible
+        if len(table) > PREFIXES:
+            table.clear()
+        n = len(segment)
+        known, most = 0, n
+        while known < most:
+            at = (known + most + 1) >> 1
+            if segment[:at] in table:
+                known = at
+            else:
+                most = at - 1
+        if known < n:
+            for end, (piece, size) in self.automaton.iter(segment, max(0, known - self.longest)):
+                if end < known:
                     continue
-            last[end] = piece
-        out, i = [], len(segment)
-        while i:
-            out.append(last[i])
-            i -= self.length[last[i]]
+                end += 1
+                if end != size:
+                    pair = table[segment[: end - size]] << 20 | piece
+                    good = compatible.get(pair)
+                    if good is None:
+                        if len(compatible) > PAIRS:
+                            compatible.clear()
+                        good = compatible[pair] = self.fits(pair >> 20, piece)
+                    if not good:
+                        continue
+                table[segment[:end]] = piece
+                known = end
+        out = []
+        while n:
+            out.append(piece := table[segment[:n]])
+            n -= self.length[piece]
         out.reverse()
         return out
 
