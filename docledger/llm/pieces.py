@@ -23,26 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_OTHERS = "\\d_²³¹¼½¾"
-#: Letters, or others, with the spaces before them.
-_SEGMENT = re.compile(rf"{SPACE}*[^\W{_OTHERS}]+|{SPACE}*(?:(?!{SPACE})[\W{_OTHERS}])+|{SPACE}+")
+#: Letters, digits, or others, with the spaces before them; spaces stand for U+2581 throughout.
+_SEGMENT = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[_²³¹¼½¾])+| *\d+| +")
 #: Segments remembered by a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Compatible pairs, and prefixes, likewise.
-PAIRS = 1_000_000
-PREFIXES = 1_500_000
+PAIRS = 400_000
+PREFIXES = 500_000
 
 
 class _Known(dict):
-    """Segments met so far: their ids as text with a space behind each, and in `decoded` the bytes these stand for."""
+    """Segments met so far: their ids as text with a space behind each, and the bytes these stand for."""
 
     def __init__(self, owner: "PieceModel"):
-        self.owner, self.decoded = owner, {}
+        self.owner = owner
 
-    def __missing__(self, segment: str) -> str:
+    def __missing__(self, segment: str) -> tuple[str, bytes]:
         ids = self.owner.segment_ids(segment)
-        self.decoded[segment] = self.owner.decode(ids)
-        found = self[segment] = "".join(map(self.owner.shown.__getitem__, ids))
+        found = self[segment] = "".join(map(self.owner.shown.__getitem__, ids)), self.owner.decode(ids)
         return found
 
 
@@ -54,7 +52,7 @@ class PieceModel:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.ids = {sp.id_to_piece(i): i for i in plain}
+        self.ids = {sp.id_to_piece(i).replace(SPACE, " "): i for i in plain}
         self.piece = {i: p for p, i in self.ids.items()}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.byte_id = {int(sp.id_to_piece(i)[1:-1], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
@@ -72,7 +70,7 @@ class PieceModel:
         self.left_edge = {p: self._edge(p, 0) for p in self.split}
         self.automaton.make_automaton()
         self.length = {i: len(p) for i, p in self.piece.items()}
-        self.text = {i: bytes([b]) for i, b in self.byte_of.items()} | {i: p.replace(SPACE, " ").encode() for i, p in self.piece.items()} | {self.end: b""}
+        self.text = {i: bytes([b]) for i, b in self.byte_of.items()} | {i: p.encode() for i, p in self.piece.items()} | {self.end: b""}
         self.shown = {i: f"{i} " for i in self.text}
         self.characters = frozenset(p for p in self.ids if len(p) == 1)
         self.longest = max(self.length.values())
@@ -171,7 +169,7 @@ class PieceModel:
         return out
 
     def segment_ids(self, segment: str) -> list[int]:
-        if SPACE * 2 in segment:
+        if "  " in segment:
             return [x for p in self.merged(segment) for x in ([self.ids[p]] if p in self.ids else [self.byte_id[b] for b in p.encode()])]
         if self.characters.issuperset(segment):
             return self.by_prefixes(segment)
@@ -194,10 +192,10 @@ class PieceModel:
             return str(self.end), 1, b""
         if len(self.known) > REMEMBERED:
             self.known = _Known(self)
-        segments = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
-        shown = "".join(map(self.known.__getitem__, segments))
+        shown, decoded = zip(*map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " "))), strict=True)
+        shown = "".join(shown)
         # Decoding drops the space that encoding put in front.
-        return shown + str(self.end), shown.count(" ") + 1, b"".join(map(self.known.decoded.__getitem__, segments))[1:]
+        return shown + str(self.end), shown.count(" ") + 1, b"".join(decoded)[1:]
 
 
 _models: dict[str, PieceModel] = {}
