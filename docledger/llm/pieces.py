@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Letters, digits, or others, with the spaces before them; spaces stand for U+2581 throughout.
 _SEGMENT = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[_²³¹¼½¾])+| *\d+| +")
-#: Segments remembered by a worker; the memory is emptied when full.
+#: Segments remembered by a worker; when so many are new, the older ones are forgotten.
 REMEMBERED = 250_000
 #: Compatible pairs, and prefixes, likewise.
 PAIRS = 400_000
@@ -33,14 +33,14 @@ PREFIXES = 500_000
 
 
 class _Known(dict):
-    """Segments met so far: their ids as text with a space behind each, and the bytes these stand for."""
+    """Segments met lately: their ids as text with a space behind each."""
 
-    def __init__(self, owner: "PieceModel"):
-        self.owner = owner
+    def __init__(self, owner: "PieceModel", older: dict):
+        self.owner, self.older = owner, older
 
-    def __missing__(self, segment: str) -> tuple[str, bytes]:
-        ids = self.owner.segment_ids(segment)
-        found = self[segment] = "".join(map(self.owner.shown.__getitem__, ids)), self.owner.decode(ids)
+    def __missing__(self, segment: str) -> str:
+        found = self.older.get(segment) or "".join(map(self.owner.shown.__getitem__, self.owner.segment_ids(segment)))
+        self[segment] = found
         return found
 
 
@@ -76,7 +76,8 @@ class PieceModel:
         self.longest = max(self.length.values())
         self.compatible: dict = {}
         self.prefixes: dict = {}
-        self.known = _Known(self)
+        self.known = _Known(self, {})
+        self.by_shown = {str(i): b for i, b in self.text.items()}
 
     def merged(self, text: str) -> list[str]:
         """BPE as defined: the best-scored neighbours merge first, the leftmost of equals."""
@@ -191,11 +192,12 @@ class PieceModel:
         if not text:
             return str(self.end), 1, b""
         if len(self.known) > REMEMBERED:
-            self.known = _Known(self)
-        shown, decoded = zip(*map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " "))), strict=True)
-        shown = "".join(shown)
+            self.known.older = {}
+            self.known = _Known(self, dict(self.known))
+        shown = "".join(map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " ")))) + str(self.end)
+        ids = shown.split(" ")
         # Decoding drops the space that encoding put in front.
-        return shown + str(self.end), shown.count(" ") + 1, b"".join(decoded)[1:]
+        return shown, len(ids), b"".join(map(self.by_shown.__getitem__, ids))[1:]
 
 
 _models: dict[str, PieceModel] = {}
