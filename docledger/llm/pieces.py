@@ -33,13 +33,16 @@ PREFIXES = 500_000
 
 
 class _Known(dict):
-    """Segments met lately: their ids as text with a space behind each."""
+    """Segments met lately: their ids as text with a space behind each, and the bytes these stand for."""
 
     def __init__(self, owner: "PieceModel", older: dict):
         self.owner, self.older = owner, older
 
-    def __missing__(self, segment: str) -> str:
-        found = self.older.get(segment) or "".join(map(self.owner.shown.__getitem__, self.owner.segment_ids(segment)))
+    def __missing__(self, segment: str) -> tuple[str, bytes]:
+        found = self.older.get(segment)
+        if found is None:
+            ids = self.owner.segment_ids(segment)
+            found = "".join(map(self.owner.shown.__getitem__, ids)), b"".join(map(self.owner.text.__getitem__, ids))
         self[segment] = found
         return found
 
@@ -77,7 +80,6 @@ class PieceModel:
         self.compatible: dict = {}
         self.prefixes: dict = {}
         self.known = _Known(self, {})
-        self.by_shown = {str(i): b for i, b in self.text.items()}
 
     def merged(self, text: str) -> list[str]:
         """BPE as defined: the best-scored neighbours merge first, the leftmost of equals."""
@@ -194,10 +196,10 @@ class PieceModel:
         if len(self.known) > REMEMBERED:
             self.known.older = {}
             self.known = _Known(self, dict(self.known))
-        shown = "".join(map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " ")))) + str(self.end)
-        ids = shown.split(" ")
+        shown, decoded = zip(*map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " "))), strict=True)
+        shown = "".join(shown)
         # Decoding drops the space that encoding put in front.
-        return shown, len(ids), b"".join(map(self.by_shown.__getitem__, ids))[1:]
+        return shown + str(self.end), shown.count(" ") + 1, b"".join(decoded)[1:]
 
 
 _models: dict[str, PieceModel] = {}
