@@ -42,6 +42,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool):
         self.data = _LOWER[data] if lower else data
+        self.offsets = offsets
         n = len(data)
         inside = ~separators[self.data]
         before = np.zeros(n, bool)
