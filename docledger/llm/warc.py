@@ -159,6 +159,8 @@ def read_archives(spark, folder: str, archives: DataFrame, payloads: bool = Fals
     With payloads also payload (binary, null for revisits). Segments that miss a part or whose length or digest
     is wrong give a row with verified false.
     """
+    if archives.isEmpty():
+        return spark.createDataFrame([], _OUT_SQL + (", payload binary" if payloads else ""))
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
     files = files.join(C.sized(archives.select("archive"), 60), "archive", "left_semi")
     out = pa.schema([*_OUT, ("payload", pa.binary())]) if payloads else _OUT
