@@ -26,7 +26,9 @@ from .columnar import SPACES, U, chunks, runs
 
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the input's size.
 SKETCH_BITS = 18
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
+#: Documents of a block in the last round.
+BLOCK = 512
 
 
 def shingle_sets(texts, n: int):
@@ -159,6 +161,50 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> Data
     return C.materialize(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
+def _remaining(rows: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle and pass all filters.
+
+    A document's shared shingles stay together. Documents of runs with the same pivot meet in
+    blocks of BLOCK, each block with each, so no pair is a row before it has passed: from the number of
+    shingles that two prefixes share and what is left behind them follows the most their sets can share.
+    """
+    met = rows.join(open_runs, "h")
+    members = met.select("pivot", "rep").distinct()
+    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    whole = rows.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep", "n", "c").agg(F.collect_list("h").alias("hs"))
+    placed = members.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def pairs(key, table):
+        n, c, own, rep = (table[x].to_numpy() for x in ("n", "c", "own", "rep"))
+        hs = table["hs"].combine_chunks() if isinstance(table["hs"], pa.ChunkedArray) else table["hs"]
+        size = np.diff(hs.offsets.to_numpy())
+        _, token = np.unique(hs.flatten().to_numpy(), return_inverse=True)
+        doc = np.repeat(np.arange(len(n)), size)
+        x, y = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+        shared = np.zeros((len(n), len(n)), np.float32)
+        # Only shingles that two documents of the group have count; so many columns at a time.
+        twice = np.flatnonzero(np.bincount(token) > 1)
+        column = np.full(token.max(initial=0) + 1, -1)
+        column[twice] = np.arange(len(twice))
+        at = column[token]
+        for lo in range(0, len(twice), 4096):
+            here = (at >= lo) & (at < lo + 4096)
+            m = np.zeros((len(n), 4096), np.float32)
+            m[doc[here], at[here] - lo] = 1
+            shared[np.ix_(x, y)] += m[x] @ m[y].T
+        prefix = n - -(-threshold * n // 100) + 1
+        i, j = (v[shared[np.ix_(x, y)].nonzero()[k]] for k, v in enumerate((x, y)))
+        i, j = i[c[i] != c[j]], j[c[i] != c[j]]
+        most = shared[i, j].astype(np.int64) + np.maximum(n[i] - prefix[i], n[j] - prefix[j])
+        good = (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])) & ((100 + threshold) * most >= threshold * (n[i] + n[j]))
+        return pa.table({"a": np.minimum(rep[i], rep[j])[good], "b": np.maximum(rep[i], rep[j])[good]})
+
+    grouped = placed.join(whole, "rep").select("pivot", "i", "j", "own", "rep", F.col("n").cast("long").alias("n"), "c", "hs")
+    return grouped.groupBy("pivot", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+
+
 def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(copies, sizes, components).
 
@@ -177,20 +223,20 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[Dat
         if components is None:
             rows = shared.withColumn("c", F.col("rep"))
         else:
-            rows = shared.join(C.sized(components.withColumnRenamed("node", "rep"), 24), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        rows = C.materialize(rows)
+            rows = C.materialize(shared.join(C.sized(components.withColumnRenamed("node", "rep"), 24), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"))
         # Runs whose members are all linked already have no more to say.
         open_runs = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "pos"), F.struct("c", "n", "rep")).alias("p")).where("low < high")
         if step < PIVOT_ROUNDS:
             pivots = open_runs.select("h", "low", "p.rep", "p.n", "p.pos")
-            found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.low"))
+            found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.low")).where(_filters("x", "y", threshold))
+            # Each member tries the pivot that it shares most with.
+            found = found.groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).count().groupBy("x").agg(F.max_by("y", F.struct("count", -F.col("y"))).alias("y"))
+            pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
-            rows = C.materialize(rows.join(open_runs.select("h"), "h"))
-            found = rows.alias("x").join(rows.alias("y"), "h").where("x.c < y.c")
-        pairs = found.where(_filters("x", "y", threshold)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            pairs = _remaining(rows, C.materialize(open_runs.select("h", F.col("p.rep").alias("pivot"))), threshold)
         pairs = C.materialize(pairs.join(tried, ["a", "b"], "left_anti") if step else pairs)
         if pairs.isEmpty():
-            break
+            continue
         tried = tried.unionByName(pairs)
         links = links.unionByName(_verified(pairs, reps, n, threshold))
         components = C.materialize(C.connected_components(links))
