@@ -1,4 +1,289 @@
-"""Queries over the driver's tables, each with the DuckDB SQL that must give the same rows."""
+"""Queries over the driver's tables, each with the DuckDB SQL that must give the same rows.
+
+The tables hold no requirement documents, so each query puts an operator to work on what comes closest.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docledger.functions import html as H
+from docledger.functions import text as T
+from docledger.functions.numeric import multiset_difference, numeric_tokens
+from docledger.operators import references as R
+from docledger.operators import structure as S
+from docledger.operators import versions as V
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LINES = """lines AS (
+  SELECT doc_id, i - 1 AS block_index, parts[i] AS content
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(range(1, len(parts) + 1)) AS t(i)
+  WHERE trim(parts[i]) <> '')"""
+_WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]')))"
+_NORM = r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g'))"
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, block_index, CASE WHEN regexp_matches(content, '^#{{1,6}} ') THEN 'heading' WHEN regexp_matches(content, '^([-*+]|\\d+\\.) ') THEN 'list' WHEN contains(content, ' | ') THEN 'table' ELSE 'paragraph' END AS type, content FROM lines")
+def block_stream(spark, sf_dir):
+    return S.block_stream(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, block_index, doc_id || '-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_index) + 99 AS VARCHAR), 6, '0') AS id FROM lines")
+def allocate_ids(spark, sf_dir):
+    blocks = S.block_stream(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return S.allocate_ids(blocks, "doc_id", ["block_index"], F.lit(100)).select("doc_id", "block_index", "id")
+
+
+@_query(f"SELECT doc_id, substr(sha256({_NORM}), 1, 8) AS text_hash FROM documents")
+def text_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.text_hash(F.col("text")).alias("text_hash"))
+
+
+@_query(f"SELECT doc_id, CAST({_WORDS.format('text')} AS BIGINT) AS words FROM documents")
+def word_count(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("words"))
+
+
+@_query(f"WITH {_LINES} SELECT doc_id, count(*) AS blocks, CAST(sum({_WORDS.format('content')}) AS BIGINT) AS words, arg_min(content, block_index) AS title, CAST(sum(CASE WHEN contains(content, ' | ') THEN 1 ELSE 0 END) AS BIGINT) AS table_lines FROM lines GROUP BY doc_id")
+def section_rollup(spark, sf_dir):
+    blocks = S.block_stream(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return blocks.groupBy("doc_id").agg(
+        F.count("*").alias("blocks"),
+        F.sum(T.words(F.col("content"))).alias("words"),
+        F.min_by("content", "block_index").alias("title"),
+        F.sum(F.when(F.col("content").contains(" | "), 1).otherwise(0)).alias("table_lines"),
+    )
+
+
+@_query(f"SELECT text_hash, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, substr(sha256({_NORM}), 1, 8) AS text_hash FROM documents) GROUP BY text_hash HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return text_hash(spark, sf_dir).groupBy("text_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@_query("SELECT c_custkey, r_name || ' > ' || n_name || ' > ' || c_name AS breadcrumb, CAST(3 AS BIGINT) AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def breadcrumb_tree(spark, sf_dir):
+    nation, region = (F.broadcast(_table(spark, sf_dir, t)) for t in ("nation", "region"))  # 25 and 5 rows at any scale
+    rows = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select("c_custkey", T.breadcrumb(F.col("r_name"), F.col("n_name"), F.col("c_name")).alias("breadcrumb"), F.lit(3).cast("long").alias("depth"))
+
+
+@_query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1 AS ordinal FROM conversations")
+def ordinal_by_type(spark, sf_dir):
+    return S.ordinals(_table(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn", "text"]).select("conv_id", "turn", "role", "ordinal")
+
+
+@_query("""WITH items AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS ilvl FROM conversations),
+tops AS (SELECT *, count(CASE WHEN ilvl = 0 THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS n0 FROM items),
+subs AS (SELECT *, count(CASE WHEN ilvl = 1 THEN 1 END) OVER (PARTITION BY conv_id, n0 ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS n1 FROM tops)
+SELECT conv_id, turn, CASE WHEN ilvl = 0 THEN CAST(greatest(n0, 1) AS VARCHAR) ELSE greatest(n0, 1) || '.' || greatest(n1, 1) END AS number FROM subs""")
+def list_numbering(spark, sf_dir):
+    items = _table(spark, sf_dir, "conversations").withColumn("ilvl", F.when(F.col("role") == "assistant", 1).otherwise(0))
+    rows = S.list_numbers(items, ["conv_id"], ["turn", "text"], 2)
+    return rows.select("conv_id", "turn", F.array_join(F.col("counters").cast("array<string>"), ".").alias("number"))
+
+
+@_query("""SELECT o_orderpriority AS kind, count(*) AS found, count(c_custkey) AS resolved, count(*) - count(c_custkey) AS unresolved
+FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY o_orderpriority""")
+def bookmark_resolution(spark, sf_dir):
+    links = _table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").alias("name"))
+    targets = _table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("name"))
+    rows = R.resolve(links, targets, "name")
+    return rows.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("found"), F.count_if("resolved").alias("resolved"), F.count_if(~F.col("resolved")).alias("unresolved"))
+
+
+_HREFS = """hrefs AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)"""
+
+
+def _hrefs(spark, sf_dir) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
+
+
+@_query(f"WITH {_HREFS}, targets AS (SELECT href FROM hrefs GROUP BY href HAVING count(*) > 1) SELECT page_id, href FROM hrefs WHERE href NOT IN (SELECT href FROM targets)")
+def dangling_links(spark, sf_dir):
+    links = _hrefs(spark, sf_dir)
+    targets = links.groupBy("href").count().where("count > 1").select("href")
+    return R.dangling(links, targets, "href").select("page_id", "href")
+
+
+@_query(f"WITH {_HREFS} SELECT href AS target, count(DISTINCT page_id) AS n_refs, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS refs FROM hrefs GROUP BY href")
+def backlinks(spark, sf_dir):
+    found = R.inverse(_hrefs(spark, sf_dir), "page_id", "href")
+    return found.select(F.col("href").alias("target"), "n_refs", "refs")
+
+
+@_query(f"WITH {_HREFS} SELECT page_id, count(*) AS n_out, array_to_string(list_sort(list(href)), ' ') AS refs_out FROM hrefs GROUP BY page_id")
+def refs_out(spark, sf_dir):
+    return _hrefs(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("n_out"), F.array_join(F.array_sort(F.collect_set("href")), " ").alias("refs_out"))
+
+
+_SNAPSHOTS = """base AS (SELECT o_orderkey AS id, o_orderstatus || o_orderpriority AS content FROM orders),
+work AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE '' END || o_orderstatus || o_orderpriority AS content FROM orders WHERE o_orderkey % 7 <> 0
+  UNION ALL SELECT o_orderkey + 100000000, o_orderstatus FROM orders WHERE o_orderkey % 13 = 0)"""
+_CHANGES = f"""WITH {_SNAPSHOTS}, changes AS (SELECT coalesce(b.id, w.id) AS id, CASE WHEN b.id IS NULL THEN 'new' WHEN w.id IS NULL THEN 'deleted' WHEN b.content = w.content THEN 'unchanged' ELSE 'modified' END AS change FROM base b FULL OUTER JOIN work w ON b.id = w.id)"""
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    orders = _table(spark, sf_dir, "orders")
+    base = orders.select(F.col("o_orderkey").alias("id"), F.concat("o_orderstatus", "o_orderpriority").alias("content"))
+    edited = F.concat(F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(""), "o_orderstatus", "o_orderpriority")
+    work = orders.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"), edited.alias("content"))
+    added = orders.where("o_orderkey % 13 = 0").select((F.col("o_orderkey") + 100000000).alias("id"), F.col("o_orderstatus").alias("content"))
+    return base, work.unionByName(added)
+
+
+@_query(f"{_CHANGES} SELECT id, change FROM changes")
+def snapshot_diff(spark, sf_dir):
+    base, work = _snapshots(spark, sf_dir)
+    return V.compare(base, work, "id", F.col("b.content") == F.col("w.content"))
+
+
+@_query(f"{_CHANGES} SELECT CAST(sum(CASE WHEN change = 'new' THEN 1 ELSE 0 END) AS BIGINT) AS n_new, CAST(sum(CASE WHEN change = 'deleted' THEN 1 ELSE 0 END) AS BIGINT) AS n_deleted, CAST(sum(CASE WHEN change = 'modified' THEN 1 ELSE 0 END) AS BIGINT) AS n_modified, CAST(sum(CASE WHEN change = 'unchanged' THEN 1 ELSE 0 END) AS BIGINT) AS n_unchanged FROM changes")
+def change_summary(spark, sf_dir):
+    rows = snapshot_diff(spark, sf_dir)
+    return rows.agg(*[F.count_if(F.col("change") == k).alias(f"n_{k}") for k in ("new", "deleted", "modified", "unchanged")])
+
+
+def _lineage(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Order keys as block ids; every fifth block takes in the one before it, which goes, as every seventh does."""
+    ids = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    none = F.array().cast("array<long>")
+    base = ids.select("id", none.alias("supersedes"), F.lit(None).cast("long").alias("split_from"))
+    merged = F.when(F.col("id") % 5 == 0, F.array(F.col("id") - 1)).otherwise(none)
+    work = ids.where("id % 7 <> 0 and id % 5 <> 4").select("id", merged.alias("supersedes"), F.lit(None).cast("long").alias("split_from"))
+    return base, work
+
+
+_LINEAGE = """base AS (SELECT o_orderkey AS id FROM orders), work AS (SELECT id FROM base WHERE id % 7 <> 0 AND id % 5 <> 4),
+claims AS (SELECT id, id - 1 AS claimed FROM work WHERE id % 5 = 0)"""
+
+
+@_query(f"WITH {_LINEAGE} SELECT id FROM base WHERE id NOT IN (SELECT id FROM work) AND id NOT IN (SELECT claimed FROM claims)")
+def vanished_ids(spark, sf_dir):
+    return V.vanished(*_lineage(spark, sf_dir))
+
+
+@_query(f"WITH {_LINEAGE} SELECT id, claimed, 'supersedes' AS kind FROM claims WHERE claimed NOT IN (SELECT id FROM base)")
+def unknown_claims(spark, sf_dir):
+    return V.unknown_claims(*_lineage(spark, sf_dir))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) AS was,
+md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey + 1, l_returnflag, l_linestatus)) AS now FROM lineitem WHERE l_returnflag = 'R' AND l_partkey % 10 = 0""")
+def locked_bytes(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    digest = lambda supplier: F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", supplier, "l_returnflag", "l_linestatus"))
+    edited = F.when(F.col("l_partkey") % 10 == 0, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey"))
+    return rows.select("l_orderkey", "l_linenumber", digest(F.col("l_suppkey")).alias("was"), digest(edited).alias("now")).where("was <> now")
+
+
+_TOKENS = r"'\b(\d+(?:\.\d+)?)\b'"
+
+
+@_query(rf"""WITH base AS (SELECT doc_id, unnest(regexp_extract_all(text, {_TOKENS}, 1)) AS value FROM documents),
+work AS (SELECT doc_id, unnest(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN text || ' 80 ms 80' ELSE regexp_replace(text, '7', '8', 'g') END, {_TOKENS}, 1)) AS value FROM documents),
+removed AS (SELECT * FROM base EXCEPT ALL SELECT * FROM work), added AS (SELECT * FROM work EXCEPT ALL SELECT * FROM base)
+SELECT doc_id, value, 'removed' AS side, count(*) AS n FROM removed GROUP BY ALL UNION ALL SELECT doc_id, value, 'added', count(*) FROM added GROUP BY ALL""")
+def numeric_diff(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    numbers = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1))).alias("value")
+    edited = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" 80 ms 80"))).otherwise(F.regexp_replace("text", "7", "8"))
+    return multiset_difference(docs.select("doc_id", numbers("text")), docs.select("doc_id", numbers(edited)))
+
+
+@_query()
+def numeric_unit_tokens(spark, sf_dir):
+    """Numbers with units by the full grammar, which SQL can't express."""
+    rows = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d")).select("doc_id", F.explode(numeric_tokens(F.col("text"))).alias("t"))
+    return rows.groupBy("doc_id", "t.value", "t.unit").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_LINES}, cells AS (SELECT doc_id, len(string_split(content, ' | ')) AS n FROM lines WHERE contains(content, ' | ')) SELECT doc_id, count(*) AS rows, CAST(min(n) AS BIGINT) AS narrowest, CAST(max(n) AS BIGINT) AS widest FROM cells GROUP BY doc_id HAVING count(DISTINCT n) > 1")
+def ragged_table(spark, sf_dir):
+    rows = S.block_stream(_table(spark, sf_dir, "documents"), "doc_id", "text").where(F.col("content").contains(" | "))
+    width = F.size(F.split("content", r" \| ")).cast("long")
+    found = rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(width).alias("narrowest"), F.max(width).alias("widest"))
+    return found.where("narrowest <> widest")
+
+
+@_query(f"SELECT doc_id, CAST({_WORDS.format('text')} AS BIGINT) AS words FROM documents WHERE {_WORDS.format('text')} > 1500")
+def large_section(spark, sf_dir):
+    return word_count(spark, sf_dir).where("words > 1500")
+
+
+@_query("SELECT item_id, count(doc_id) AS n_docs, count(doc_id) > 0 AS covered FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
+def fidelity_containment(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark")
+    found = R.contained(items, "item_id", _table(spark, sf_dir, "documents"), "doc_id")
+    counts = found.groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.col("n_docs").isNotNull().alias("covered"))
+
+
+@_query("""SELECT event_id, user_id, rationale FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rationale FROM events) WHERE event_type = 'purchase'""")
+def asof_rationale(spark, sf_dir):
+    rows = R.as_of_last(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", "event_id", "rationale")
+    return rows.where("event_type = 'purchase'").select("event_id", "user_id", "rationale")
+
+
+@_query(f"""WITH {_HREFS}, owners AS (SELECT href, min(page_id) AS owner FROM hrefs GROUP BY href)
+SELECT owner, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM hrefs JOIN owners USING (href) WHERE owner % 10 = 0 AND page_id % 10 <> 0 GROUP BY owner""")
+def inbound_impact(spark, sf_dir):
+    links = _hrefs(spark, sf_dir)
+    owners = links.groupBy("href").agg(F.min("page_id").alias("owner"))
+    rows = links.join(owners, "href").where("owner % 10 = 0 and page_id % 10 <> 0")
+    return rows.groupBy("owner").agg(F.count("*").alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
+
+
+@_query()
+def reingest_match(spark, sf_dir):
+    """Blocks of documents matched with those of an edited copy; similarity needs a UDF."""
+    blocks = S.ordinals(S.block_stream(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("path", F.col("doc_id").cast("string")), ["path"], "type", ["block_index"])
+    rows = blocks.withColumns({"norm": T.normalize("content"), "row": F.concat_ws("-", "path", "block_index")})
+    rows = rows.withColumn("hash", F.substring(F.sha2("norm", 256), 1, 8))
+    edited = rows.withColumn("norm", F.when(F.pmod(F.xxhash64("row"), F.lit(4)) == 0, F.concat("norm", F.lit(" x"))).otherwise(F.col("norm"))).withColumn("hash", F.substring(F.sha2("norm", 256), 1, 8))
+    old = rows.withColumnRenamed("row", "id").select("id", "type", "path", "ordinal", "hash", "norm")
+    return V.rematch(old, edited.select("row", "type", "path", "ordinal", "hash", "norm"))
+
+
+@_query()
+def text_similarity(spark, sf_dir):
+    """The indel ratio of neighbours among documents that begin alike."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", T.normalize("text").alias("norm")).withColumn("bucket", F.md5(F.substring("norm", 1, 60)))
+    near = Window.partitionBy("bucket").orderBy("doc_id")
+    rows = docs.select(F.lag("doc_id").over(near).alias("a"), F.col("doc_id").alias("b"), F.lag("norm").over(near).alias("was"), "norm").where("a is not null")
+    return rows.select("a", "b", T.similarity("was", "norm").alias("similarity"))
+
+
+@_query()
+def html_flatten(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", H.flatten("html").alias("flat")).select("page_id", F.length("flat").alias("n_chars"), F.md5("flat").alias("digest"))
+
+
+@_query()
+def html_wellformed(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", H.well_formed("html").alias("well_formed"))
+
+
+@_query("SELECT r_name, n_name, count(*) AS blocks, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS findings FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
+def findings_summary(spark, sf_dir):
+    nation, region = (F.broadcast(_table(spark, sf_dir, t)) for t in ("nation", "region"))
+    rows = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("r_name", "n_name").agg(F.count("*").alias("blocks"), F.count_if(F.col("c_acctbal") < 0).alias("findings"))
+
+
