@@ -261,7 +261,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 75) -> Data
         per_text = per_text.unionByName(rows.distinct())
     low = F.least(F.coalesce("component", "rep"), "rep")
     rows = copies.join(per_text, "key").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, low).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), low).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

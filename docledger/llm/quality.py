@@ -147,8 +147,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
 
     # At most 2 * SAMPLE rows meet in the task that fits.
     sample = texts.join(C.sized(picked, 24), "doc_id").select("doc_id", "text", "y").mapInArrow(extract, "doc_id long, y int, f binary")
-    w, bias = sample.withColumn("one", F.lit("one")).groupBy("one").applyInPandas(fit, "w binary, bias double").first()
-    return scale, np.frombuffer(w), float(bias)
+    fitted = sample.withColumn("one", F.lit("one")).groupBy("one").applyInPandas(fit, "w binary, bias double").first()
+    if fitted is None:  # no labelled document is there
+        return scale, np.zeros(len(scale)), 0.0
+    return scale, np.frombuffer(fitted.w), float(fitted.bias)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
