@@ -173,7 +173,7 @@ def find_copies(images: DataFrame, is_query) -> DataFrame:
 
 
 def render(vectors: DataFrame) -> DataFrame:
-    """(id, pixels) from embeddings (vec_id, embedding of 64 numbers): an image of 8 x 8 fields each, as the tables have none.
+    """(id, pixels) from embeddings (vec_id, embedding of 64 numbers): a texture of 8 x 8 waves each, as the tables have no images.
 
     Of every twentieth vector there is also an edited copy, id -1 - vec_id: turned by a quarter, cropped at two
     sides and brightened.
@@ -181,6 +181,7 @@ def render(vectors: DataFrame) -> DataFrame:
 
     def draw(batches):
         cell = SIDE // 8
+        waves = np.cos(np.pi * np.outer(np.arange(3, 19, 2), 2 * np.arange(SIDE) + 1) / (2 * SIDE))
         for batch in batches:
             ids, out = [], []
             for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"], strict=True):
@@ -189,8 +190,8 @@ def render(vectors: DataFrame) -> DataFrame:
                     ids.append(i)
                     out.append(None)
                     continue
-                grey = 20 + 200 * (v - v.min()) / max(float(np.ptp(v)), 1e-9)
-                image = np.kron(grey.reshape(8, 8), np.ones((cell, cell)))
+                image = waves.T @ v.reshape(8, 8) @ waves
+                image = 20 + 200 * (image - image.min()) / max(float(np.ptp(image)), 1e-9)
                 ids.append(i)
                 out.append(image.astype(np.uint8).tobytes())
                 if i is not None and i % 20 == 0:
