@@ -119,6 +119,17 @@ def _banded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("band", F.explode(F.array(*keys)))
 
 
+def _first_shared():
+    """Whether the band that two descriptors meet in is the first that they share, so that each pair is one row."""
+    number, half = F.shiftright("band", 16), BANDS // 2
+    good = F.lit(True)
+    for b in range(BANDS - 1):
+        d = "d0" if b < half else "d1"
+        unlike = F.shiftrightunsigned(F.col(d).bitwiseXOR(F.col(f"q_{d}")), 16 * (b % half)).bitwiseAND(F.lit(0xFFFF)) != 0
+        good = good & ((number <= b) | unlike)
+    return good
+
+
 def consensus(q: np.ndarray, m: np.ndarray) -> int:
     """The largest number of matches that agree on one similarity; rows are x, y, angle, scale."""
     turn = m[:, 2] - q[:, 2]
@@ -142,7 +153,7 @@ def copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     names = {c: f"q_{c}" for c in asked.columns}
     asked = C.materialize(_banded(asked).withColumnsRenamed(names))
     differ = F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q_d1")))
-    met = _banded(every).join(C.sized(asked, 80), "band").where((F.col("id") != F.col("q_id")) & (differ <= RADIUS))
+    met = _banded(every).join(C.sized(asked, 80), "band").where((F.col("id") != F.col("q_id")) & (differ <= RADIUS) & _first_shared())
     pairs = met.select("q_id", "id", *[F.col(f"{p}{c}") for p in ("q_", "") for c in ("x", "y", "angle", "scale")]).distinct()
     q, m = (F.array(*[F.col(f"{p}{c}") for c in ("x", "y", "angle", "scale")]) for p in ("q_", ""))
     grouped = pairs.groupBy("q_id", "id").agg(F.collect_list(F.concat(q, m)).alias("m")).where(F.size("m") >= LEAST_INLIERS)
