@@ -11,7 +11,8 @@ doc_id with different texts are compared by word position, so equal places don't
 How: positions p with p mod PERIOD in COVER are anchors. For any two positions some common shift
 below PERIOD puts both on the cover, so two equal windows share an aligned anchor of
 window - PERIOD + 1 words. Hashes of anchors met again say where equal windows can be; only there
-the match is extended to whole windows, whose first occurrence stays. Exact copies of a text need
+the match is extended to whole windows, whose first occurrence stays. Tasks settle what their own rows
+tell of a hash before the shuffle, so a passage that most documents share doesn't fill one partition. Exact copies of a text need
 no windows: all but the first lose every word if there are `window` of them.
 """
 
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columnar import SPACES, chunks, runs
+from .columnar import SPACES, U, chunks, mix, runs
 
 #: A perfect difference set: every difference modulo 13 is one of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
+#: Hashes that a task remembers to have sent on; forgetting one costs a row, never a result.
+SENT = 1 << 16
 
 
 def _documents(batch, separators=SPACES):
@@ -35,12 +38,60 @@ def _documents(batch, separators=SPACES):
         yield lo, hi, w
 
 
+class _Places:
+    """Record batches (h, doc_id, pos) of one task, in which hot hashes are settled before the shuffle.
+
+    A place whose result the task knows by its own rows gets ~pos and a hash of its own in place of h, so it is
+    dealt evenly: the third and later places of a hash, or (but_first) all places later than the
+    earliest that the task has sent. Of each hash a task sends on a few rows, however many it has.
+    """
+
+    def __init__(self, but_first: bool):
+        self.but_first = but_first
+        self.h, self.doc, self.pos = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def batch(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((pos, doc, h)) if self.but_first else np.argsort(h, kind="stable")
+        x, d, p = h[order], doc[order], pos[order]
+        start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        size = np.diff(np.append(start, len(x)))
+        run = np.repeat(np.arange(len(start)), size)
+        head, low_d, low_p = x[start], d[start], p[start]
+        at = np.searchsorted(self.h, head)
+        met = np.zeros(len(head), bool)
+        met[at < len(self.h)] = self.h[at[at < len(self.h)]] == head[at < len(self.h)]
+        if self.but_first:
+            sent_d, sent_p = self.doc[at[met]], self.pos[at[met]]
+            before = (sent_d < low_d[met]) | ((sent_d == low_d[met]) & (sent_p < low_p[met]))
+            low_d[met], low_p[met] = np.where(before, sent_d, low_d[met]), np.where(before, sent_p, low_p[met])
+            known = (d != low_d[run]) | (p != low_p[run])
+        else:
+            known = met[run] | (np.arange(len(x)) - start[run] >= 2)
+        self._remember(head, low_d, low_p, met | (size > 1))
+        mark = np.zeros(len(h), bool)
+        mark[order] = known
+        spread = mix(doc.view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U))
+        return pa.record_batch({"h": np.where(mark, spread, h).view(np.int64), "doc_id": doc, "pos": np.where(mark, ~pos, pos)})
+
+    def _remember(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, again: np.ndarray) -> None:
+        h, doc, pos = h[again][:SENT], doc[again][:SENT], pos[again][:SENT]
+        old = ~np.isin(self.h, h)
+        if old.sum() + len(h) <= SENT:
+            h, doc, pos = np.append(self.h[old], h), np.append(self.doc[old], doc), np.append(self.pos[old], pos)
+        order = np.argsort(h, kind="stable")
+        self.h, self.doc, self.pos = h[order], doc[order], pos[order]
+
+
 def _met_again(rows: DataFrame, but_first: bool) -> DataFrame:
-    """(doc_id, pos) of rows (h, doc_id, pos) whose h another place has too; or of all such but the first place."""
+    """(doc_id, pos) of rows (h, doc_id, pos) of _Places whose h another place has too; or of all such but the first place."""
 
     def scan(batches):
         held = last = None
         for batch in batches:
+            known = batch["pos"].to_numpy() < 0
+            if known.any():
+                yield pa.record_batch({"doc_id": batch["doc_id"].to_numpy()[known], "pos": ~batch["pos"].to_numpy()[known]})
+                batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
             if held is not None:
@@ -111,6 +162,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches):
+        places = _Places(False)
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for lo, hi, w in _documents(batch):
@@ -121,13 +173,14 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                 # Only documents that have a window, and anchors that end in their own document.
                 keep = cover[pos % PERIOD] & (pos + length <= n[doc]) & (n[doc] >= window)
                 if keep.any():
-                    yield pa.record_batch({"h": h[keep].view(np.int64), "doc_id": ids[lo:hi][doc[keep]].astype(np.int64), "pos": pos[keep].astype(np.int32)})
+                    yield places.batch(h[keep], ids[lo:hi][doc[keep]].astype(np.int64), pos[keep].astype(np.int32))
 
     def windows(batches):
+        places = _Places(True)
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for lo, hi, w in _documents(batch):
-                whole = runs(w.hash, window)
+                whole, h, doc, at_word = runs(w.hash, window), [], [], []
                 for row in range(lo, hi):
                     a, b = w.first[row - lo], w.first[row - lo + 1]
                     if b - a < window:
@@ -138,8 +191,11 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                     np.add.at(edge, np.maximum(known - PERIOD + 1, 0), 1)
                     np.add.at(edge, known + 1, -1)
                     pos = np.flatnonzero(np.cumsum(edge[: b - a - window + 1]) > 0)
-                    if len(pos):
-                        yield pa.record_batch({"h": whole[a + pos].view(np.int64), "doc_id": np.full(len(pos), ids[row], np.int64), "pos": pos.astype(np.int32)})
+                    h.append(whole[a + pos])
+                    doc.append(np.full(len(pos), ids[row], np.int64))
+                    at_word.append(pos.astype(np.int32))
+                if sum(map(len, h)):
+                    yield places.batch(np.concatenate(h), np.concatenate(doc), np.concatenate(at_word))
 
     spans = _packed_anchors(_met_again(docs.mapInArrow(anchors, "h long, doc_id long, pos int"), False))
     near = docs.join(C.sized_by(spans, "spans", 40), "doc_id").select("doc_id", "text", "spans")

@@ -1,5 +1,7 @@
 """Operators on documents against brute force, on odd rows and on empty tables."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,29 @@ def test_substrings(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, brute_substring(rows)))
 
 
+@pytest.mark.parametrize("sent", [1, 5, 1000])
+@pytest.mark.parametrize("but_first", [False, True])
+def test_places_settled_before_the_shuffle(spark, monkeypatch, sent, but_first):
+    monkeypatch.setattr(S, "SENT", sent)
+    random = np.random.default_rng(sent)
+    rows, batches = [], []
+    for _ in range(3):
+        task = S._Places(but_first)
+        for _ in range(6):
+            h = np.where(random.random(40) < 0.6, random.integers(0, 4, 40), random.integers(4, 300, 40)).astype(np.uint64)
+            doc, pos = random.integers(0, 9, 40), random.integers(0, 30, 40).astype(np.int32)
+            rows += zip(h.tolist(), doc.tolist(), pos.tolist(), strict=True)
+            batches.append(task.batch(h, doc, pos))
+    if sent > 300:
+        assert sum((b["pos"].to_numpy() < 0).sum() for b in batches) > 0.4 * len(rows)
+    by = {}
+    for h, d, p in rows:
+        by.setdefault(h, []).append((d, p))
+    want = [x for v in by.values() for x in v if (x != min(v) if but_first else len(v) > 1)]
+    table = spark.createDataFrame(pa.Table.from_batches(batches)).repartition(5)
+    assert sorted(map(tuple, S._met_again(table, but_first).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("window", [14, 20, 33])
 def test_windows_of_other_sizes(spark, window):
     rows = near_copies(12)
