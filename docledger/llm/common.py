@@ -46,9 +46,10 @@ def text_key(column: str = "text"):
 
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, key, rep) for every row: rep is the smallest doc_id with the same text."""
-    keyed = docs.select("doc_id", text_key().alias("key"))
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    return materialize(keyed.join(reps, "key").select("doc_id", "key", "rep"))
+    keyed = materialize(docs.select("doc_id", text_key().alias("key")))
+    # A table of its own, so that the join can be broadcast or a large group of copies split.
+    reps = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"))
+    return materialize(keyed.join(sized(reps, 64), "key", "left").select("doc_id", "key", F.coalesce("rep", "doc_id").alias("rep")))
 
 
 def representatives(docs: DataFrame, copies: DataFrame) -> DataFrame:

@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 75) -> Data
         rows = docs.select(C.text_key().alias("key"), "text").join(alone, "key", "left_semi").mapInArrow(count, "key binary, n_shingles long")
         per_text = per_text.unionByName(rows.distinct())
     low = F.least(F.coalesce("component", "rep"), "rep")
-    rows = copies.join(per_text, "key").join(components.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = copies.join(C.sized(C.materialize(per_text), 48), "key").join(C.sized(components.select(F.col("node").alias("rep"), "component"), 24), "rep", "left")
     return rows.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), low).otherwise(F.col("doc_id")).alias("component_id"))
 
 
