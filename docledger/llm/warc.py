@@ -30,6 +30,7 @@ REVISIT = 100
 SEGMENT = 32 << 10
 FRAME = 8 << 10
 ARCHIVE = 8 << 20
+PIECE = 16 << 10
 
 _PAGE = "urn:x-page:"
 
@@ -121,10 +122,15 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def parse_records(content: bytes):
     """(headers, block) of every record of an archive of gzip members."""
-    while content:
-        reader = zlib.decompressobj(31)
-        record = reader.decompress(content)
-        content = reader.unused_data
+    content, at = memoryview(content), 0
+    while at < len(content):
+        reader, parts = zlib.decompressobj(31), []
+        # In pieces: zlib copies whatever lies behind a member.
+        while not reader.eof and at < len(content):
+            piece = content[at : at + PIECE]
+            parts.append(reader.decompress(piece))
+            at += len(piece) - len(reader.unused_data)
+        record = b"".join(parts)
         end = record.index(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in record[:end].decode().split("\r\n")[1:])
         yield headers, record[end + 4 : end + 4 + int(headers["Content-Length"])]
