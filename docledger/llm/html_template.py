@@ -13,7 +13,8 @@ up over pages, so it never has to be gathered. Classes with enough support are o
 places and nested: the class of tokens that every page has once is the template's root, the others lie in the
 slots between its tokens. A page that has the root's tokens in the template's order is cut into slots; slots
 whose place is a menu, a header, an advert and the like are dropped with the words the template owns there,
-and the rest is extracted. A page that doesn't fit, or whose host has too few pages, is judged by its own elements.
+and the rest is extracted. A page that doesn't fit, that has an article of its own, or whose host has too few
+pages, is judged by its own elements. Ids and classes differ from page to page, so tokens go by names alone.
 """
 
 import html as _html
@@ -68,7 +69,6 @@ _ROOT = Node("", "", False, False)
 
 
 def _opened(parent: Node, name: str, attributes: str) -> Node:
-    marks = ""
     dropped = parent.dropped or name in DROPPED or (name == "header" and not parent.article)
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
@@ -77,9 +77,8 @@ def _opened(parent: Node, name: str, attributes: str) -> Node:
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 dropped = True
             elif key != "aria-hidden":
-                marks += f".{value}"
                 dropped = dropped or (name not in ("body", "html", "article", "main") and MARKS.search(value) is not None)
-    return Node(name, f"{parent.path}/{name}{marks}", dropped, parent.article or name in ("article", "main"))
+    return Node(name, f"{parent.path}/{name}", dropped, parent.article or name in ("article", "main"))
 
 
 def parse(html: str):
@@ -198,8 +197,8 @@ def extract(html: str, template: str | None) -> str:
     events = list(parse(html))
     has_article = any(node.article for _, node, _ in events)
     main = None
-    if root:
-        main = _main_slots(events, root, has_article)
+    if root and not has_article:
+        main = _main_slots(events, root)
     blocks: list[str] = []
     text: list[str] = []
     owned = True
@@ -227,20 +226,13 @@ def extract(html: str, template: str | None) -> str:
     return "\n\n".join(blocks)
 
 
-def _main_slots(events: list, root: list[str], has_article: bool) -> list[bool] | None:
-    """For each event, whether its slot can hold main text; None if the page doesn't fit the template."""
-    main, at, good = [], 0, not has_article
+def _main_slots(events: list, root: list[str]) -> list[bool] | None:
+    """For each event of a page without an article, whether its slot can hold main text; None if the page doesn't fit the template."""
+    main, at, good = [], 0, True
     for kind, node, _ in events:
         if kind != "text" and at < len(root) and f"{kind} {node.path}" == root[at]:
             at += 1
-            if kind == "open":
-                good = not node.dropped and (node.article or not has_article)
-            elif node.name in ("article", "main"):
-                good = not has_article
-            elif node.dropped:
-                good = not has_article or node.article
-            elif node.article:
-                good = True
+            good = kind == "close" or not node.dropped or node.name in VOID
         main.append(good)
     return main if at == len(root) else None
 

@@ -40,6 +40,25 @@ def test_equal_pages_keep_their_article(spark):
     assert {r.text for r in H.extract_text(pages).collect()} == {"Same\n\ntext everywhere"}
 
 
+def extracted(spark, rows: list[tuple]) -> list[str]:
+    got = H.extract_text(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_articles_that_the_template_lacks(spark):
+    text = [f"own{k} text of number{k}" for k in range(4)]
+    one = [f"<html><body><nav>menu</nav><article><p>{t}</p></article><div class=ad>buy</div></body></html>" for t in text]
+    index = "<html><body><nav>menu</nav><div><p>welcome to all</p></div></body></html>"
+    two = "<html><body><nav>menu</nav><article><p>first</p></article><article><p>second</p></article></body></html>"
+    assert extracted(spark, [("http://i/", h) for h in [*one, index]]) == [*text, "welcome to all"]
+    assert extracted(spark, [("http://i/", h) for h in [*one, two]]) == [*text, "first\n\nsecond"]
+    assert extracted(spark, [("http://i/", h) for h in [*one, one[0][:24]]]) == [*text, ""]
+    ids = [f"<html><body class='postid-{k}'><main><article id=post-{k}><p>{t}</p></article><p>after {t}</p></main></body></html>" for k, t in enumerate(text)]
+    assert extracted(spark, [("http://i/", h) for h in ids]) == [f"{t}\n\nafter {t}" for t in text]
+    unlike = [*one[:2], f"<html><body><main><h1>{text[2]}</h1></main></body></html>", "<html><body><table><tr><td>other site</table></body></html>"]
+    assert extracted(spark, [(None, h) for h in unlike]) == [*text[:3], "other site"]
+
+
 def test_archives(spark):
     big = "é" * 90_000
     rows = [(3, "http://a/3", big), (1, "http://a/b c\r\nX: y", big), (2, None, big), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (1, "http://a/b", big), (None, "n", "y" * 200), (8, "u", "y" * 200)]
