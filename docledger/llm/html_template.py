@@ -6,15 +6,15 @@ joined by two newlines, white space inside a block made one space, character ref
 Defined results: null and empty html give an empty text; every row gives a row, also repeated ones; pages
 without a host in their url share the host ''; broken, nested and unclosed markup is read as far as it goes.
 
-How: a page is a sequence of tokens: tags with the elements they stand in, and, outside the article, words.
-Over the pages of a host, tokens with the same occurrence vector (the same number of times on each
-page) are one equivalence class; a vector is kept as its support, its sum and a hash that adds
-up over pages, so it never has to be gathered. Classes with enough support are ordered by their tokens' mean
-places and nested: the class of tokens that every page has once is the template's root, the others lie in the
-slots between its tokens. A page that has the root's tokens in the template's order is cut into slots; slots
-whose place is a menu, a header, an advert and the like are dropped with the words the template owns there,
-and the rest is extracted. A page that doesn't fit, that has an article of its own, or whose host has too few
-pages, is judged by its own elements. Ids and classes differ from page to page, so tokens go by names alone.
+How: a page with an article or main element shows its text by that element, and the page's other elements. For
+the pages of a host without one, a page is a sequence of tags with the elements they stand in; ids and classes
+differ from page to page, so tokens go by names alone. Tokens that every page has exactly once are one equivalence
+class, the template's root, ordered by mean place; what lies between two of them is a slot. The second pass
+counts the blocks of each slot by unlike texts of pages, so that copies of a page count once. A slot
+with a block that few of them have is a place of content and loses nothing; slots of LEAST_WORDS words or more that
+hold only supported blocks are the template's, and a page that has the root's tokens in order drops them. A page
+that doesn't fit, that would lose MOST of its words, or whose host has too few unlike pages, is judged by its
+own elements.
 """
 
 import html as _html
@@ -23,7 +23,6 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +32,12 @@ from . import common as C
 
 #: Fewer pages of a host make no template.
 LEAST_PAGES = 3
-#: A class is kept if this share of the host's pages has it.
+#: A block can be the template's if this share of the host's unlike pages has it.
 SUPPORT = 0.5
+#: Slots of fewer words are no class.
+LEAST_WORDS = 3
+#: If slots of the template hold more of a page's words, they aren't the template's.
+MOST = 2 / 3
 
 #: Elements that are never main text.
 DROPPED = frozenset("nav footer aside form script style noscript template head title button select textarea option iframe svg object dialog menu label input figcaption".split())
@@ -114,15 +117,8 @@ def parse(html: str):
                 yield "close", stack.pop(), ""
 
 
-def tokens(html: str) -> list[str]:
-    """The differentiated tokens of a page in order."""
-    out = []
-    for kind, node, text in parse(html):
-        if kind != "text":
-            out.append(f"{kind} {node.path}")
-        elif not node.article:
-            out += [f"word {node.path} {w}" for w in text.split()]
-    return out
+def has_article(events: list) -> bool:
+    return any(node.article for _, node, _ in events)
 
 
 def host_of(column: str = "url"):
@@ -130,20 +126,22 @@ def host_of(column: str = "url"):
 
 
 def _occurrences(batches):
-    """Per batch and token of a host: pages, sum, the hash of the vector, and the sum of first places."""
+    """Per batch and token of a host: pages, sum, and the sum of first places. Pages with an article need no template."""
     for batch in batches:
         seen: dict = {}
-        for host, page, html in zip(batch["host"].to_pylist(), batch["key"].to_pylist(), batch["html"], strict=True):
-            found = tokens(html.as_py())
+        for host, html in zip(batch["host"].to_pylist(), batch["html"], strict=True):
+            events = list(parse(html.as_py()))
+            if has_article(events):
+                continue
+            found = [f"{kind} {node.path}" for kind, node, _ in events if kind != "text" and node.name in BLOCKS]
             first: dict = {}
             for i, t in enumerate(found):
                 first.setdefault(t, i)
             for t, n in [*Counter(found).items(), ("page", 1)]:
-                at = seen.setdefault((host, t), [0, 0, 0, 0.0])
+                at = seen.setdefault((host, t), [0, 0, 0.0])
                 at[0] += 1
                 at[1] += n
-                at[2] += xxhash.xxh32_intdigest(page + b"%d" % n)
-                at[3] += first.get(t, -1)
+                at[2] += first.get(t, -1)
         keys, values = list(seen), list(seen.values())
         yield pa.record_batch(
             {
@@ -151,90 +149,108 @@ def _occurrences(batches):
                 "token": pa.array([k[1] for k in keys], pa.string()),
                 "pages": pa.array([v[0] for v in values], pa.int64()),
                 "total": pa.array([v[1] for v in values], pa.int64()),
-                "vector": pa.array([v[2] for v in values], pa.int64()),
-                "place": pa.array([v[3] for v in values], pa.float64()),
+                "place": pa.array([v[2] for v in values], pa.float64()),
             }
         )
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, template) from rows (host, key, html); template is JSON, nested classes in slots of the root."""
-    found = pages.mapInArrow(_occurrences, "host string, token string, pages long, total long, vector long, place double")
-    tokens = C.materialize(found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place")))
-    hosts = tokens.where("token = 'page'").select("host", F.col("pages").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    # What is kept of a host is bounded by the tokens of two of its pages.
-    kept = tokens.where("token <> 'page'").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("n"))
-    classes = kept.groupBy("host", "n", "pages", "total", "vector").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("members"))
-    listed = classes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((F.col("pages") == F.col("n")).alias("all"), (F.col("total") == F.col("pages")).alias("once"), "members"))).alias("classes"))
-    return listed.select("host", F.to_json("classes").alias("classes")).mapInArrow(_nested, "host string, template string")
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _nested(batches):
+def _placed(batches):
+    """(host, slot, block, payload) of pages without an article that fit their host's root; slot -1 stands for the page."""
     for batch in batches:
-        out = []
-        for raw in batch["classes"].to_pylist():
-            classes = [(c["all"], c["once"], [(m["place"], m["token"]) for m in c["members"]]) for c in json.loads(raw)]
-            root = sorted({m for every, once, members in classes if every and once for m in members if m[1].split(" ", 1)[0] != "word"})
-            places = [p for p, _ in root]
-            words = set()
-            for every, once, members in classes:
-                # Valid classes are the root or nested: all of their tokens lie in one slot of it.
-                if (every and once) or len({int(np.searchsorted(places, p, "right")) for p, _ in members}) == 1:
-                    words |= {t for _, t in members if t.startswith("word ")}
-            out.append(json.dumps({"root": [t for _, t in root], "words": sorted(words)}))
-        yield pa.record_batch({"host": batch["host"], "template": pa.array(out, pa.string())})
+        rows = []
+        for host, html, root in zip(batch["host"].to_pylist(), batch["html"], batch["root"].to_pylist(), strict=True):
+            events = list(parse(html.as_py()))
+            slots = None if has_article(events) else slots_of(events, root.split("\n"))
+            if slots is None:
+                continue
+            blocks = blocks_of(events, slots)
+            payload = _hash("\n".join(t for t, _ in blocks))
+            rows += [(host, -1, 0, payload)] + list({(host, s, _hash(t), payload) for t, s in blocks})
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["host", "slot", "block", "payload"])
+
+
+def deduce_templates(pages: DataFrame) -> DataFrame:
+    """(host, template) from rows (host, html); template is JSON: the root's tokens and the slots that are the template's."""
+    found = pages.mapInArrow(_occurrences, "host string, token string, pages long, total long, place double")
+    tokens = C.materialize(found.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), (F.sum("place") / F.sum("pages")).alias("place")))
+    hosts = tokens.where("token = 'page'").select("host", F.col("pages").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    # A root is bounded by the tokens of one page.
+    kept = tokens.where("token <> 'page'").join(hosts, "host").where("pages = n and total = n")
+    roots = kept.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("root"))
+    roots = C.materialize(roots.select("host", F.array_join("root.token", "\n").alias("root")))
+    placed = pages.join(C.sized_by(roots, "root", 60), "host").mapInArrow(_placed, "host string, slot int, block long, payload long")
+    # Copies of a page count once: payloads, not pages, support a block.
+    blocks = C.materialize(placed.groupBy("host", "slot", "block").agg(F.countDistinct("payload").alias("payloads")))
+    enough = blocks.where("slot < 0").select("host", F.col("payloads").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    # A slot with any block that few pages have is a place of content, where nothing is the template's.
+    slots = blocks.where("slot >= 0").join(enough, "host").groupBy("host", "slot").agg(F.min(F.col("payloads") / F.col("n")).alias("least")).where(F.col("least") >= SUPPORT)
+    listed = slots.groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("slots")).join(roots, "host")
+    return listed.select("host", F.to_json(F.struct(F.split("root", "\n").alias("root"), "slots")).alias("template"))
 
 
 @lru_cache(512)
 def _template(raw: str) -> tuple[list[str], frozenset]:
     found = json.loads(raw)
-    return found["root"], frozenset(found["words"])
+    return found["root"], frozenset(found["slots"])
 
 
 def extract(html: str, template: str | None) -> str:
     """The main text of a page."""
-    root, words = _template(template) if template else ([], frozenset())
     events = list(parse(html))
-    has_article = any(node.article for _, node, _ in events)
-    main = None
-    if root and not has_article:
-        main = _main_slots(events, root)
-    blocks: list[str] = []
+    if has_article(events):
+        return "\n\n".join(t for t, _ in blocks_of(events, None, True))
+    root, owned = _template(template) if template else ([], frozenset())
+    slots = slots_of(events, root) if owned else None
+    blocks = blocks_of(events, slots)
+    words: Counter = Counter()
+    for t, slot in blocks:
+        words[slot] += len(t.split())
+    supported = owned & words.keys() if slots else set()
+    # A page that is nearly all template is a copy of others that differ in little.
+    copy = sum(words[slot] for slot in supported) > MOST * words.total()
+    gone = set() if copy else {slot for slot in supported if words[slot] >= LEAST_WORDS}
+    return "\n\n".join(t for t, slot in blocks if slot not in gone)
+
+
+def blocks_of(events: list, slots: list[int] | None, article: bool = False) -> list[tuple[str, int]]:
+    """The blocks of text that may be main text, with their slots; article: only those inside articles."""
+    blocks: list[tuple[str, int]] = []
     text: list[str] = []
-    owned = True
+    slot = 0
 
     def close():
-        nonlocal owned
         block = " ".join(_html.unescape("".join(text)).split())
-        # Outside an article, a block of nothing but the template's words is the template's.
-        if block and not (owned and not has_article):
-            blocks.append(block)
+        if block:
+            blocks.append((block, slot))
         text.clear()
-        owned = bool(words)
 
-    owned = bool(words)
     for i, (kind, node, piece) in enumerate(events):
         if kind == "text":
-            if not node.dropped and (node.article or not has_article) and (main is None or main[i]):
+            if not node.dropped and (node.article or not article):
                 text.append(piece)
-                owned = owned and all(f"word {node.path} {w}" in words for w in piece.split())
         elif node.name in BLOCKS:
             close()
+            # Only elements that end a block begin a slot.
+            slot = slots[i] if slots else 0
         elif node.name == "br" and kind == "open":
             text.append(" ")
     close()
-    return "\n\n".join(blocks)
+    return blocks
 
 
-def _main_slots(events: list, root: list[str]) -> list[bool] | None:
-    """For each event of a page without an article, whether its slot can hold main text; None if the page doesn't fit the template."""
-    main, at, good = [], 0, True
+def slots_of(events: list, root: list[str]) -> list[int] | None:
+    """For each event, the number of the root's tokens up to it; None if the page doesn't fit the template."""
+    slots, at = [], 0
     for kind, node, _ in events:
         if kind != "text" and at < len(root) and f"{kind} {node.path}" == root[at]:
             at += 1
-            good = kind == "close" or not node.dropped or node.name in VOID
-        main.append(good)
-    return main if at == len(root) else None
+        slots.append(at)
+    return slots if at == len(root) else None
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -243,8 +259,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     others = [c for c in pages.columns if c != "html"]
     names = {c: f"_c{i}" for i, c in enumerate(others)}
     rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    keyed = rows.select("host", "html", F.unhex(F.md5(F.concat_ws("\n", F.col(names["url"]), "html"))).alias("key"))
-    templates = C.materialize(deduce_templates(keyed))
+    templates = C.materialize(deduce_templates(rows.select("host", "html")))
     rows = rows.join(C.sized_by(templates, "template", 60), "host", "left").drop("host")
 
     def run(batches):

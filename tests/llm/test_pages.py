@@ -59,6 +59,21 @@ def test_articles_that_the_template_lacks(spark):
     assert extracted(spark, [(None, h) for h in unlike]) == [*text[:3], "other site"]
 
 
+def test_frequent_words_of_content_stay(spark):
+    html = "<body><div>Our shop sells things</div><div><h2>About number{0}</h2><p>Thanks for reading this</p><p>{1}</p></div></body>"
+    shop = [html.format(k, f"page{k} text that only page{k} has") for k in range(6)]
+    same = ["Thanks for reading this" in t and "Our shop" not in t for t in extracted(spark, [("http://s/", h) for h in shop])]
+    assert all(same)
+    # Copies of one page, and copies that differ in a count, are no template.
+    whole = "Our shop sells things\n\nAbout number0\n\nThanks for reading this\n\npage0 text that only page0 has"
+    assert extracted(spark, [("http://s/", h) for h in (shop[0], shop[0], shop[1])])[0] == whole
+    counts = [f"<body><h1>An article</h1><div>It has these many words of text</div><table><tr><td>{k} views</table></body>" for k in range(4)]
+    assert extracted(spark, [("http://s/", h) for h in counts]) == [f"An article\n\nIt has these many words of text\n\n{k} views" for k in range(4)]
+    # Words behind a void element of the template, and a heading of one word.
+    void = [f"<body><input><p>text of number{k}</p><h2>Notes</h2><div>more of number{k}</div></body>" for k in range(4)]
+    assert extracted(spark, [("http://s/", h) for h in void]) == [f"text of number{k}\n\nNotes\n\nmore of number{k}" for k in range(4)]
+
+
 def test_archives(spark):
     big = "é" * 90_000
     rows = [(3, "http://a/3", big), (1, "http://a/b c\r\nX: y", big), (2, None, big), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (1, "http://a/b", big), (None, "n", "y" * 200), (8, "u", "y" * 200)]
