@@ -40,7 +40,7 @@ LEAST_WORDS = 3
 MOST = 2 / 3
 
 #: Elements that are never main text.
-DROPPED = frozenset("nav footer aside form script style noscript template head title button select textarea option iframe svg object dialog menu label input figcaption".split())
+DROPPED = frozenset("nav footer aside form script style noscript template head title button select textarea option iframe svg object dialog menu label input".split())
 #: Elements whose text isn't read as markup.
 RAW = "script|style|textarea|title|noscript|iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,7 +51,11 @@ MARKS = re.compile(
     r"comments?|replies|reply|respond|discussion|disqus|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"share|sharing|social|related|recommended|footer|header|masthead|toolbar|widget|pagination|pager|search|skip|hidden|contentinfo|complementary)(?:$|[\s_-])"
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Marks of readers' comments, which hold for articles too.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|discussion|disqus)(?:$|[\s_-])")
+#: Names that tell how a wrapper of the page is laid out, though a mark is part of them.
+_LAYOUT = re.compile(r"^(?:with|has|no|without|content|main-content)[_-]|[_-](?:fixed|sticky|open|closed|enabled|layout)$")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattr>[^>]*)>(?P<rawtext>.*?)(?:</(?P=raw)\s*>|\Z)|"
     r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z|(?P<text>[^<]+|<)",
@@ -60,28 +64,43 @@ _TOKEN = re.compile(
 
 
 class Node:
-    """An open element: its name, the signature of its place, and whether it is main text."""
+    """An open element: its name, the signature of its place, whether it is never main text, is marked
+    as something else (COMMENT: as readers' comments), and is inside an article, and whether that is inside a mark."""
 
-    __slots__ = ("name", "path", "dropped", "article")
+    __slots__ = ("name", "path", "dropped", "mark", "article", "outer")
 
-    def __init__(self, name: str, path: str, dropped: bool, article: bool):
-        self.name, self.path, self.dropped, self.article = name, path, dropped, article
+    def __init__(self, name: str, path: str, dropped: bool, mark: int, article: bool, outer: int):
+        self.name, self.path, self.dropped, self.mark, self.article, self.outer = name, path, dropped, mark, article, outer
 
 
-_ROOT = Node("", "", False, False)
+MARK, COMMENT = 1, 2
+_ROOT = Node("", "", False, 0, False, 0)
 
 
 def _opened(parent: Node, name: str, attributes: str) -> Node:
     dropped = parent.dropped or name in DROPPED or (name == "header" and not parent.article)
+    mark, outer = parent.mark, parent.outer
+    starts = name in ("article", "main")
+    if starts and not parent.article and mark == MARK:
+        # Whether a mark around an article holds for it is decided when the whole page is known.
+        mark, outer = 0, MARK
     if attributes:
+        seen = set()
         for key, value in _ATTRIBUTE.findall(attributes):
             key = key.lower()
+            if key in seen:
+                continue
+            seen.add(key)
             value = value.strip("\"'").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
-                dropped = True
-            elif key != "aria-hidden":
-                dropped = dropped or (name not in ("body", "html", "article", "main") and MARKS.search(value) is not None)
-    return Node(name, f"{parent.path}/{name}", dropped, parent.article or name in ("article", "main"))
+                dropped = dropped or name not in ("html", "body")
+            elif key in ("class", "id", "role") and name not in ("body", "html"):
+                marks = [v for v in value.split() if not _LAYOUT.search(v)]
+                if any(map(COMMENTS.search, marks)):
+                    mark = COMMENT
+                elif not starts and any(map(MARKS.search, marks)):
+                    mark = max(mark, MARK)
+    return Node(name, f"{parent.path}/{name}", dropped, mark, parent.article or starts, outer)
 
 
 def parse(html: str):
@@ -118,7 +137,23 @@ def parse(html: str):
 
 
 def has_article(events: list) -> bool:
-    return any(node.article for _, node, _ in events)
+    """Whether an article is the page's main text."""
+    return article_of(events) is not None
+
+
+def article_of(events: list) -> int | None:
+    """Which articles are the main text: 0 those outside marks; MARK all, if the others' marks must be those of the
+    page's wrappers, as no more words are outside of articles; None if elements outside of articles are."""
+    found = {node.outer for _, node, _ in events if node.article and not node.dropped and not node.mark}
+    if not found:
+        return None
+    if 0 in found:
+        return 0
+    words = [0, 0]
+    for kind, node, text in events:
+        if kind == "text" and not node.dropped and not node.mark:
+            words[node.article] += len(text.split())
+    return MARK if words[True] >= words[False] else None
 
 
 def host_of(column: str = "url"):
@@ -202,8 +237,9 @@ def _template(raw: str) -> tuple[list[str], frozenset]:
 def extract(html: str, template: str | None) -> str:
     """The main text of a page."""
     events = list(parse(html))
-    if has_article(events):
-        return "\n\n".join(t for t, _ in blocks_of(events, None, True))
+    article = article_of(events)
+    if article is not None:
+        return "\n\n".join(t for t, _ in blocks_of(events, None, article))
     root, owned = _template(template) if template else ([], frozenset())
     slots = slots_of(events, root) if owned else None
     blocks = blocks_of(events, slots)
@@ -217,8 +253,8 @@ def extract(html: str, template: str | None) -> str:
     return "\n\n".join(t for t, slot in blocks if slot not in gone)
 
 
-def blocks_of(events: list, slots: list[int] | None, article: bool = False) -> list[tuple[str, int]]:
-    """The blocks of text that may be main text, with their slots; article: only those inside articles."""
+def blocks_of(events: list, slots: list[int] | None, article: int | None = None) -> list[tuple[str, int]]:
+    """The blocks of text that may be main text, with their slots; article: as article_of() says."""
     blocks: list[tuple[str, int]] = []
     text: list[str] = []
     slot = 0
@@ -231,7 +267,7 @@ def blocks_of(events: list, slots: list[int] | None, article: bool = False) -> l
 
     for i, (kind, node, piece) in enumerate(events):
         if kind == "text":
-            if not node.dropped and (node.article or not article):
+            if not node.dropped and not node.mark and (not node.outer if article is None else node.article and node.outer <= article):
                 text.append(piece)
         elif node.name in BLOCKS:
             close()

@@ -74,6 +74,21 @@ def test_frequent_words_of_content_stay(spark):
     assert extracted(spark, [("http://s/", h) for h in void]) == [f"text of number{k}\n\nNotes\n\nmore of number{k}" for k in range(4)]
 
 
+def test_attributes_and_marks(spark):
+    text = "<p>the article's own text</p>"
+    kept = ["style='overflow:hidden'", "title='a hidden gem'", "data-href=/a/hidden/", "class='content-sidebar-wrap'", "class='with-sidebar'", "class=header-fixed", "class=sidebar-wrap", "id=menu-page"]
+    for name in ("div", "section"):
+        rows = [("", f"<body><{name} {a}><article>{text}</article></{name}></body>") for a in kept]
+        assert extracted(spark, rows) == ["the article's own text"] * len(kept)
+    rows = [f"<body style='overflow:hidden'>{text}</body>", f"<article title='hidden gem'>{text}</article>", f"<div class=with-sidebar>{text}</div>", f"<article>{text}<figure><figcaption>caption</figcaption></figure></article>"]
+    assert extracted(spark, [("", h) for h in rows]) == ["the article's own text"] * 3 + ["the article's own text\n\ncaption"]
+    # Hidden elements, readers' comments, and articles of a side bar aren't the article.
+    gone = ["<div hidden>x</div>", "<div HIDDEN=''>x</div>", "<div aria-hidden=true>x</div>", "<div class='a sidebar'>x</div>", "<article class=comment>x</article>", "<div id=comments><article>x</article></div>"]
+    assert extracted(spark, [("", f"<body><article>{text}{g}</article></body>") for g in gone]) == ["the article's own text"] * len(gone)
+    assert extracted(spark, [("", f"<body><div>{text}</div>{g}</body>") for g in gone]) == ["the article's own text"] * len(gone)
+    assert extracted(spark, [("", f"<div>{text}</div><div class=sidebar><article>other</article></div>"), ("", f"<article>{text}</article><div class=related><article>other</article></div>")]) == ["the article's own text"] * 2
+
+
 def test_archives(spark):
     big = "é" * 90_000
     rows = [(3, "http://a/3", big), (1, "http://a/b c\r\nX: y", big), (2, None, big), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (1, "http://a/b", big), (None, "n", "y" * 200), (8, "u", "y" * 200)]
