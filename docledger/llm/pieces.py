@@ -9,12 +9,14 @@ text falls into segments that can be encoded apart and remembered. In a segment
 encoded has one last token: the only automaton match ending there that is compatible with the last
 token before it, that is, the two encode to themselves side by side. The ids are read backwards from
 the end. Runs of U+2581 have merges of equal score, whose order depends on their place in the
-segment; segments with such runs are merged step by step instead.
+segment; segments with such runs are merged step by step instead. Prefixes are shared only between segments of
+at most SHARED characters, and only these are remembered; a longer one has an array of last tokens by position.
 """
 
 import hashlib
 import heapq
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,6 +32,8 @@ REMEMBERED = 250_000
 #: Compatible pairs, and prefixes, likewise.
 PAIRS = 400_000
 PREFIXES = 500_000
+#: The most characters of a segment whose prefixes go to the shared table, as all of them together grow with its square.
+SHARED = 64
 
 
 class _Known(dict):
@@ -43,6 +47,8 @@ class _Known(dict):
         if found is None:
             ids = self.owner.segment_ids(segment)
             found = "".join(map(self.owner.shown.__getitem__, ids)), b"".join(map(self.owner.text.__getitem__, ids))
+        if len(segment) > SHARED:
+            return found
         self[segment] = found
         return found
 
@@ -132,12 +138,39 @@ class PieceModel:
                     return False
         return True
 
+    def compatible_pair(self, pair: int) -> bool:
+        good = self.compatible.get(pair)
+        if good is None:
+            if len(self.compatible) > PAIRS:
+                self.compatible.clear()
+            good = self.compatible[pair] = self.fits(pair >> 20, pair & 0xFFFFF)
+        return good
+
+    def by_positions(self, segment: str) -> list[int]:
+        """As by_prefixes(), with one array for the segment alone."""
+        last, known = array("i", bytes(4 * (len(segment) + 1))), 0
+        for end, (piece, size) in self.automaton.iter(segment):
+            if end < known:
+                continue
+            end += 1
+            if end == size or self.compatible_pair(last[end - size] << 20 | piece):
+                last[end] = piece
+                known = end
+        out, n = [], len(segment)
+        while n:
+            out.append(piece := last[n])
+            n -= self.length[piece]
+        out.reverse()
+        return out
+
     def by_prefixes(self, segment: str) -> list[int]:
         """The ids of a segment whose characters are all pieces.
 
         The table holds the last token of every prefix met so far, in any segment; only the others are worked out.
         """
-        table, compatible = self.prefixes, self.compatible
+        if len(segment) > SHARED:
+            return self.by_positions(segment)
+        table = self.prefixes
         if len(table) > PREFIXES:
             table.clear()
         n = len(segment)
@@ -153,15 +186,8 @@ class PieceModel:
                 if end < known:
                     continue
                 end += 1
-                if end != size:
-                    pair = table[segment[: end - size]] << 20 | piece
-                    good = compatible.get(pair)
-                    if good is None:
-                        if len(compatible) > PAIRS:
-                            compatible.clear()
-                        good = compatible[pair] = self.fits(pair >> 20, piece)
-                    if not good:
-                        continue
+                if end != size and not self.compatible_pair(table[segment[: end - size]] << 20 | piece):
+                    continue
                 table[segment[:end]] = piece
                 known = end
         out = []

@@ -24,6 +24,23 @@ def test_pieces_equal_library():
         assert (shown, n, decoded.decode()) == (" ".join(map(str, ids)), len(ids), sp.decode(ids))
 
 
+def test_long_unbroken_runs_equal_library():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.default_model())
+    m = P.model(P.default_model())
+    random.seed(7)
+    n = 1_000_000
+    runs = ["".join(random.choices("acgt", k=n)), "a" * n, "".join(random.choices("0123456789", k=100_000)), "-" * 3000 + "=-\n" * 30_000, "한é𠮷the" * 20_000, "x" + " " * 50_000 + "y" * P.SHARED + "z"]
+    for text in runs:
+        ids = sp.encode(text, add_eos=True)
+        shown, count, decoded = m.encode(text)
+        assert count == len(ids) and shown == " ".join(map(str, ids)) and decoded.decode() == sp.decode(ids)
+    for size in range(P.SHARED - 3, P.SHARED + 4):
+        text = "".join(random.choices("thein", k=size))
+        assert m.encode(text)[0] == " ".join(map(str, sp.encode(text, add_eos=True)))
+    assert max(map(len, m.prefixes)) <= P.SHARED and max(map(len, m.known)) <= P.SHARED
+
+
 def test_pair_test_is_the_merge():
     m = P.model(P.default_model())
     random.seed(6)
