@@ -77,13 +77,11 @@ def indel_ratio(a: str, b: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The indel ratio of normalized texts; pairs whose lengths rule out SIMILAR give 0."""
+    """The indel ratio of normalized texts; where a threshold follows, may_be_similar() spares the pairs that can't pass."""
 
     def one(x, y):
         if x is None or y is None:
             return None
-        if 2 * min(len(x), len(y)) < SIMILAR * (len(x) + len(y)):
-            return 0.0
         return indel_ratio(x, y)
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)

@@ -117,3 +117,8 @@ def test_log_stream(spark, tmp_path):
     query = log.daily_changes(log.read_log(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r.section_id, r.rows, r.changed) for r in spark.table("changes").collect()) == [("a", 1, 2), ("a", 2, 4), ("b", 1, 2), ("b", 2, 4)]
+
+
+def test_similarity_is_the_ratio(spark):
+    rows = spark.createDataFrame([("abcd", "ab"), ("abcd", "abcd"), ("", "x"), ("", ""), (None, "x")], "a string, b string")
+    assert [r.s for r in rows.select(T.similarity("a", "b").alias("s")).collect()] == [4 / 6, 1.0, 0.0, 1.0, None]
