@@ -210,7 +210,7 @@ def numeric_diff(spark, sf_dir):
 @_query()
 def numeric_unit_tokens(spark, sf_dir):
     """Numbers with units by the full grammar, which SQL can't express."""
-    rows = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d")).select("doc_id", F.explode(numeric_tokens(F.col("text"))).alias("t"))
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(numeric_tokens(F.col("text"))).alias("t"))
     return rows.groupBy("doc_id", "t.value", "t.unit").agg(F.count("*").alias("n"))
 
 

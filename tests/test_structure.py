@@ -11,6 +11,7 @@ from docledger.functions import numeric as N
 from docledger.functions import text as T
 from docledger.operators import structure as S
 from docledger.operators import versions as V
+from docledger.plans.driver_queries import numeric_unit_tokens
 from docledger.plans.rules import exit_code, validate
 from docledger.sources import docx, sections
 from docledger.streaming import log
@@ -122,3 +123,9 @@ def test_log_stream(spark, tmp_path):
 def test_similarity_is_the_ratio(spark):
     rows = spark.createDataFrame([("abcd", "ab"), ("abcd", "abcd"), ("", "x"), ("", ""), (None, "x")], "a string, b string")
     assert [r.s for r in rows.select(T.similarity("a", "b").alias("s")).collect()] == [4 / 6, 1.0, 0.0, 1.0, None]
+
+
+def test_digits_of_other_scripts_give_tokens(spark, tmp_path):
+    rows = [(1, "takes \uff15\uff10 ms"), (2, "\u0663 V"), (3, "none"), (4, None), (5, "7 A")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.unit) for r in numeric_unit_tokens(spark, str(tmp_path)).collect()) == [(1, "ms"), (2, "V"), (5, "A")]
