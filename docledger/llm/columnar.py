@@ -1,5 +1,7 @@
 """Words and shingles of Arrow string columns as numpy arrays, without a Python object for each word."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,16 +17,11 @@ SPACES = (_code == 32) | ((_code >= 9) & (_code <= 13))
 NON_ALNUM = (_code < 128) & ~((_code >= 48) & (_code <= 57)) & ~((_code >= 97) & (_code <= 122))
 _LOWER = np.where((_code >= 65) & (_code <= 90), _code + 32, _code).astype(np.uint8)
 
-_BASE = 0x9E6C63D0876A9A63
-_power = _inverse = np.ones(1, U)
-
-
-def _powers(n: int):
-    global _power, _inverse
-    if len(_power) < n:
-        steps = max(n, CHUNK + 4096)
-        _power, _inverse = (np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(steps - 1, b, U))]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return _power[:n], _inverse
+#: What a word's hash begins with, by its length; an arbitrary fixed key.
+_KEY = U(0x9E6C63D0876A9A63)
+#: Words over so many bytes are hashed one by one.
+_LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,6 +34,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 _PLACE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time go through mix(), each step keyed by the one before.
+
+    Spans of one length of at most eight bytes never share a hash.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    size = ends - starts
+    h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + _KEY)
+    at = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(at):
+        left = size[at] - done
+        h[at] = mix(h[at] ^ (eight[starts[at] + done] & _KEEP[np.minimum(left, 8)]))
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
 class Words:
     """The words of a chunk of texts: 64-bit identities, byte spans, and each text's first word."""
 
@@ -53,22 +72,24 @@ class Words:
         after[offsets[1:][offsets[1:] > 0] - 1] = False
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
-        power, inverse = _powers(n)
-        total = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * power, out=total[1:])
-        self.hash = mix((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93))
+        self.hash = _hashed(self.data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)
 
     def bytes(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def runs(h: np.ndarray, k: int) -> np.ndarray:
-    """One hash for every k consecutive entries of h (also across texts; callers cut by text)."""
+def runs(h: np.ndarray, k: int, more: int = 0) -> np.ndarray:
+    """One hash for every k consecutive entries of h (also across texts; callers cut by text).
+
+    Another number `more` gives hashes that are independent of the first.
+    """
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U)
     out = np.full(n, U(k))
+    if more:
+        h = mix(h + U(more))
     for j in range(k):
         out += h[j : n + j] * _PLACE[j]
     return mix(out)
