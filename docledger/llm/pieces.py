@@ -17,13 +17,15 @@ import hashlib
 import heapq
 import re
 from array import array
+from itertools import chain
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SPACE = "▁"
 #: Letters, digits, or others, with the spaces before them; spaces stand for U+2581 throughout.
 _SEGMENT = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[_²³¹¼½¾])+| *\d+| +")
@@ -37,16 +39,16 @@ SHARED = 64
 
 
 class _Known(dict):
-    """Segments met lately: their ids as text with a space behind each, and the bytes these stand for."""
+    """Segments met lately: their ids as text with a space behind each, and the ids themselves."""
 
     def __init__(self, owner: "PieceModel", older: dict):
         self.owner, self.older = owner, older
 
-    def __missing__(self, segment: str) -> tuple[str, bytes]:
+    def __missing__(self, segment: str) -> tuple[str, tuple]:
         found = self.older.get(segment)
         if found is None:
             ids = self.owner.segment_ids(segment)
-            found = "".join(map(self.owner.shown.__getitem__, ids)), b"".join(map(self.owner.text.__getitem__, ids))
+            found = "".join(map(self.owner.shown.__getitem__, ids)), tuple(ids)
         if len(segment) > SHARED:
             return found
         self[segment] = found
@@ -212,20 +214,24 @@ class PieceModel:
         return out + self.by_prefixes(segment[begin:])
 
     def decode(self, ids: list[int]) -> bytes:
-        """What ids stand for, before the front space is dropped."""
-        return b"".join(map(self.text.__getitem__, ids))
+        """The text of ids: control ids stand for nothing, and the space that encoding puts in front is dropped."""
+        return b"".join(map(self.text.__getitem__, ids)).removeprefix(b" ")
 
-    def encode(self, text: str) -> tuple[str, int, bytes]:
-        """All ids with the end id, joined by spaces; their number; the decoded text."""
+    def encode(self, text: str) -> tuple[str, list[int]]:
+        """All ids with the end id: joined by spaces, and as numbers."""
         if not text:
-            return str(self.end), 1, b""
+            return str(self.end), [self.end]
         if len(self.known) > REMEMBERED:
             self.known.older = {}
             self.known = _Known(self, dict(self.known))
-        shown, decoded = zip(*map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " "))), strict=True)
-        shown = "".join(shown)
-        # Decoding drops the space that encoding put in front.
-        return shown + str(self.end), shown.count(" ") + 1, b"".join(decoded)[1:]
+        shown, ids = zip(*map(self.known.__getitem__, _SEGMENT.findall(" " + text.replace(SPACE, " "))), strict=True)
+        return "".join(shown) + str(self.end), [*chain.from_iterable(ids), self.end]
+
+    def forget(self) -> None:
+        """Free what was remembered; a worker process lives on after its task."""
+        self.known = _Known(self, {})
+        self.compatible.clear()
+        self.prefixes.clear()
 
 
 _models: dict[str, PieceModel] = {}
@@ -242,14 +248,17 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
     model_path must name the same file on every executor. A column of docs with one of these names is replaced.
     """
-    docs = docs.drop("ids", "n_tokens", "decoded")
+    docs = C.bounded(docs).drop("ids", "n_tokens", "decoded")
 
     def run(batches):
         m = model(model_path)
-        for batch in batches:
-            found = [m.encode(t.as_py()) for t in batch["text"]]
-            ids = [np.array(x[0].split(" "), np.int32) for x in found]
-            yield pa.record_batch({f.name: batch[f.name] for f in batch.schema} | {"ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array([x[1] for x in found], pa.int64()), "decoded": pa.array([x[2].decode() for x in found], pa.string())})
+        try:
+            for batch in batches:
+                ids = [m.encode(t.as_py())[1] for t in batch["text"]]
+                decoded = [m.decode(x).decode() for x in ids]
+                yield pa.record_batch({f.name: batch[f.name] for f in batch.schema} | {"ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array(map(len, ids), pa.int64()), "decoded": pa.array(decoded, pa.string())})
+        finally:
+            m.forget()
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>", "n_tokens long", "decoded string"]))
 
@@ -259,13 +268,20 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
 
     The same as digests over encode_pieces(), without carrying the ids and texts themselves to the JVM.
     """
-    docs = docs.drop("n_tokens", "ids_sha256", "decoded_sha256")
+    docs = C.bounded(docs).drop("n_tokens", "ids_sha256", "decoded_sha256")
 
     def run(batches):
         m = model(model_path)
-        for batch in batches:
-            found = [m.encode(t.as_py()) for t in batch["text"]]
-            yield pa.record_batch({f.name: batch[f.name] for f in batch.schema if f.name != "text"} | {"n_tokens": pa.array([x[1] for x in found], pa.int64()), "ids_sha256": [hashlib.sha256(x[0].encode()).hexdigest() for x in found], "decoded_sha256": [hashlib.sha256(x[2]).hexdigest() for x in found]})
+        try:
+            for batch in batches:
+                found = []
+                for t in batch["text"]:
+                    shown, ids = m.encode(t.as_py())
+                    found.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(m.decode(ids)).hexdigest()))
+                n, of_ids, of_text = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.record_batch({f.name: batch[f.name] for f in batch.schema if f.name != "text"} | {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_text, pa.string())})
+        finally:
+            m.forget()
 
     return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]))
 

@@ -20,8 +20,8 @@ def test_pieces_equal_library():
     for _ in range(4000):
         text = "".join(random.choice(parts) for _ in range(random.randint(0, 14)))
         ids = sp.encode(text, add_eos=True)
-        shown, n, decoded = m.encode(text)
-        assert (shown, n, decoded.decode()) == (" ".join(map(str, ids)), len(ids), sp.decode(ids))
+        shown, found = m.encode(text)
+        assert (shown, found, m.decode(found).decode()) == (" ".join(map(str, ids)), ids, sp.decode(ids))
 
 
 def test_long_unbroken_runs_equal_library():
@@ -33,12 +33,14 @@ def test_long_unbroken_runs_equal_library():
     runs = ["".join(random.choices("acgt", k=n)), "a" * n, "".join(random.choices("0123456789", k=100_000)), "-" * 3000 + "=-\n" * 30_000, "한é𠮷the" * 20_000, "x" + " " * 50_000 + "y" * P.SHARED + "z"]
     for text in runs:
         ids = sp.encode(text, add_eos=True)
-        shown, count, decoded = m.encode(text)
-        assert count == len(ids) and shown == " ".join(map(str, ids)) and decoded.decode() == sp.decode(ids)
+        shown, found = m.encode(text)
+        assert found == ids and shown == " ".join(map(str, ids)) and m.decode(found).decode() == sp.decode(ids)
     for size in range(P.SHARED - 3, P.SHARED + 4):
         text = "".join(random.choices("thein", k=size))
         assert m.encode(text)[0] == " ".join(map(str, sp.encode(text, add_eos=True)))
     assert max(map(len, m.prefixes)) <= P.SHARED and max(map(len, m.known)) <= P.SHARED
+    m.forget()
+    assert not m.prefixes and not m.known and m.encode("the")[1] == sp.encode("the", add_eos=True)
 
 
 def test_pair_test_is_the_merge():
