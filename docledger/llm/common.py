@@ -10,13 +10,28 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
+#: Bytes of an Arrow batch that goes to Python, unless the session says otherwise: rows of whole texts or sets
+#: would else fill an executor's memory at Spark's 10,000 rows.
+BATCH = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df itself; from now on the session's Arrow batches are bounded by bytes."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is used.
+    Only on one machine (a local master, as in tests) a temporary folder does where that setting is missing.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.gettempdir() + "/docledger"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -25,7 +40,21 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        delete(t.sparkSession, t._scratch)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder, through Spark's own file systems."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def sized(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -49,7 +78,9 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     keyed = materialize(docs.select("doc_id", text_key().alias("key")))
     # A table of its own, so that the join can be broadcast or a large group of copies split.
     reps = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"))
-    return materialize(keyed.join(sized(reps, 64), "key", "left").select("doc_id", "key", F.coalesce("rep", "doc_id").alias("rep")))
+    out = materialize(keyed.join(sized(reps, 64), "key", "left").select("doc_id", "key", F.coalesce("rep", "doc_id").alias("rep")))
+    drop(keyed, reps)
+    return out
 
 
 def representatives(docs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -60,7 +91,7 @@ def representatives(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of undirected edges (a, b); component is the smallest node that can be reached.
+    """(node, component) of undirected edges (a, b), materialized; component is the smallest node that can be reached.
 
     Alternating large-star and small-star contraction: every step is a partial minimum and a join,
     and each round's edges are written to the shared folder.
@@ -70,10 +101,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         new = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == mark or new[0] == 0:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+            both = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
+            out = materialize(both.groupBy("node").agg(F.min("component").alias("component")))
+            drop(e)
+            return out
         mark = new
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialize(large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, materialize(large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        drop(old, large)

@@ -158,7 +158,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     A column of docs with one of these names is replaced.
     """
     new = ("n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated")
-    docs = docs.drop(*new)
+    docs = C.bounded(docs).drop(*new)
     windows = _windows(items, window)
     n_blocks = max(1, -(-windows.select("words").distinct().count() // BLOCK))
     blocks = []

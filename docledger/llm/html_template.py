@@ -291,7 +291,7 @@ def slots_of(events: list, root: list[str]) -> list[int] | None:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """The columns of pages but html, with text and n_chars. A column of pages with one of these names is replaced."""
-    pages = pages.drop("text", "n_chars")
+    pages = C.bounded(pages).drop("text", "n_chars")
     others = [c for c in pages.columns if c != "html"]
     names = {c: f"_c{i}" for i, c in enumerate(others)}
     rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))

@@ -172,7 +172,7 @@ def find_copies(images: DataFrame, is_query) -> DataFrame:
     is_query: a condition on id. A class is a query if any of its ids is. Queries are named by their class_id;
     best_query is the one with most inliers, the smallest of equals, else null.
     """
-    keyed = C.materialize(images.select(F.col("id").cast("long").alias("id"), F.unhex(F.md5("pixels")).alias("key")))
+    keyed = C.materialize(C.bounded(images).select(F.col("id").cast("long").alias("id"), F.unhex(F.md5("pixels")).alias("key")))
     classes = C.materialize(keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked")).where("key is not null"))
     own = classes.where("class_id is not null").select(F.col("class_id").alias("id"), "asked", "key")
     rows = images.select(F.col("id").cast("long").alias("id"), "pixels").withColumn("key", F.unhex(F.md5("pixels")))

@@ -10,25 +10,32 @@ whose doc_id is null gets its n_shingles and a null component_id; an empty table
 
 How: exact copies are put aside. A fixed-size count sketch over all shingles gives the order,
 rare first. Each document's prefix of that order goes to its shingles' partitions; shingles met
-once go no further. Candidates must pass the length and positional filters. Members of a run are
+once go no further, and of a shingle that very many have each task sends two rows to its partition and
+spreads the others. Candidates must pass the length and positional filters. Members of a run are
 first paired with one pivot each round; what that links is one component, so the last round takes
 only pairs between different components and groups of copies never cost all their pairs. Pairs
 are verified once, after a suffix filter, on whole sets.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columnar import SPACES, U, chunks, runs
+from .columnar import SPACES, U, chunks, mix, runs
 
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the input's size.
 SKETCH_BITS = 18
-PIVOT_ROUNDS = 1
-#: Documents of a block in the last round.
-BLOCK = 512
+#: Rounds of pivots; after the first, only while runs over SMALL are open.
+PIVOT_ROUNDS = 3
+#: Runs of at most so many documents are paired by a join, larger ones in blocks of BLOCK documents.
+SMALL = 32
+BLOCK = 256
+#: Shingles that a task remembers to have met; forgetting one costs a row, never a result.
+MET = 1 << 16
 
 
 def shingle_sets(texts, n: int):
@@ -68,12 +75,34 @@ def _counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("bucket is null").select("doc_id", "n"), order
 
 
+class _Met:
+    """Tells which rows of a task have a shingle that the task has met twice before or in an earlier batch."""
+
+    def __init__(self):
+        self.h = np.zeros(0, U)
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        order = np.argsort(h, kind="stable")
+        x = h[order]
+        start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        size = np.diff(np.append(start, len(x)))
+        head = x[start]
+        met = np.isin(head, self.h, assume_unique=True)
+        run = np.repeat(np.arange(len(start)), size)
+        out = np.zeros(len(h), bool)
+        out[order] = met[run] | (np.arange(len(x)) - start[run] >= 2)
+        again = head[(size > 1) & ~met][:MET]
+        # When the new ones don't fit, the older ones are forgotten.
+        self.h = np.concatenate([self.h, again]) if len(self.h) + len(again) <= MET else again
+        return out
+
+
 def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataFrame:
     """(h, rep, n, pos) for prefix shingles that at least two documents have in their prefixes."""
     sketch = docs.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(batches):
-        rare = sketch.value
+        rare, met = sketch.value, _Met()
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             h, rep, size, pos = [], [], [], []
@@ -82,20 +111,29 @@ def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataF
                 if k:
                     first = np.argsort(rare[(s >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]
                     h.append(s[first])
-                    rep.append(np.full(k, ids[row]))
+                    rep.append(np.full(k, ids[row], np.int64))
                     size.append(np.full(k, len(s), np.int32))
                     pos.append(np.arange(k, dtype=np.int32))
             if h:
-                yield pa.record_batch({"h": np.concatenate(h).view(np.int64), "rep": np.concatenate(rep).astype(np.int64), "n": np.concatenate(size), "pos": np.concatenate(pos)})
+                h, rep, size, pos = map(np.concatenate, (h, rep, size, pos))
+                known = met.known(h)
+                # A known row needs no proof any more; it is dealt by a hash of its own, and ~pos says so.
+                deal = np.where(known, mix(rep.view(U) ^ mix(h)), h)
+                yield pa.record_batch({"deal": deal.view(np.int64), "h": h.view(np.int64), "rep": rep, "n": size, "pos": np.where(known, ~pos, pos)})
 
     def met_again(batches):
         held = None  # a last row whose run may go on
         last = None
         for batch in batches:
+            known = batch["pos"].to_numpy() < 0
+            if known.any():
+                some = batch.filter(pa.array(known))
+                yield pa.record_batch({"h": some["h"], "rep": some["rep"], "n": some["n"], "pos": ~some["pos"].to_numpy()})
+                batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
             if held is not None:
-                batch = pa.concat_batches([held, batch]) if hasattr(pa, "concat_batches") else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             h = batch["h"].to_numpy()
             same = np.zeros(len(h), bool)
             same[1:] = h[1:] == h[:-1]
@@ -107,10 +145,11 @@ def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataF
             held = None if keep[-1] else batch.slice(len(h) - 1)
             last = h[-1] if keep[-1] else None
             if keep.any():
-                yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(keep)).select(["h", "rep", "n", "pos"])
 
-    rows = docs.mapInArrow(prefixes, "h long, rep long, n int, pos int")
-    return C.materialize(rows.repartition("h").sortWithinPartitions("h").mapInArrow(met_again, "h long, rep long, n int, pos int").distinct())
+    rows = docs.mapInArrow(prefixes, "deal long, h long, rep long, n int, pos int")
+    # Sorted by h: a known row's h may lie between others, but each run of rows to be proven is together.
+    return C.materialize(rows.repartition("deal").sortWithinPartitions("h").mapInArrow(met_again, "h long, rep long, n int, pos int"))
 
 
 def _filters(x: str, y: str, threshold: int):
@@ -157,23 +196,36 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> Data
 
     rows = docs.join(C.sized(ids, 16), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "id long, s binary")
     table = C.materialize(rows)
+    C.drop(ids)
     joined = pairs.join(table.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(table.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return C.materialize(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+    good = C.materialize(joined.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+    C.drop(table)
+    return good
 
 
-def _remaining(rows: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
+def _small_runs(rows: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a run of open_runs (h) and pass the filters."""
+    met = rows.join(open_runs.select("h"), "h")
+    found = met.alias("x").join(met.alias("y"), "h").where("x.rep < y.rep and x.c <> y.c").where(_filters("x", "y", threshold))
+    return found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def _large_runs(rows: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix shingle and pass all filters.
 
-    A document's shared shingles stay together. Documents of runs with the same pivot meet in
-    blocks of BLOCK, each block with each, so no pair is a row before it has passed: from the number of
-    shingles that two prefixes share and what is left behind them follows the most their sets can share.
+    open_runs: h with its pivot and the pivot's component, main. A document's shared shingles stay together.
+    Documents of runs with the same pivot meet in blocks of BLOCK, so no pair is a row before it has passed: from the
+    number of shingles that two prefixes share and what is left behind them follows the most their sets can share.
     """
     met = rows.join(open_runs, "h")
-    members = met.select("pivot", "rep").distinct()
-    blocks = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    members = C.materialize(met.select("pivot", "rep", "c", (F.col("c") == F.col("main")).alias("main")).groupBy("pivot", "rep", "c").agg(F.min("main").alias("main")))
+    size = members.groupBy("pivot").agg(F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("n_rest"), F.ceil(F.count_if("main") / BLOCK).cast("int").alias("n_main"))
     whole = rows.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep", "n", "c").agg(F.collect_list("h").alias("hs"))
-    placed = members.join(blocks, "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = members.drop("c").join(size, "pivot")
+    # Blocks 0 .. n_rest - 1, then those of the pivot's own component, which needn't meet each other.
+    own = F.when(F.col("main"), F.col("n_rest") + F.pmod(F.xxhash64("rep"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("n_rest"))).cast("int")
+    others = F.when(F.col("main"), F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_main"))
+    placed = placed.withColumn("own", own).where(others > 0).withColumn("other", F.explode(F.sequence(F.lit(0), others.cast("int") - 1)))
     placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def pairs(key, table):
@@ -211,36 +263,57 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[Dat
     copies: (doc_id, key, rep) from common.exact_copies. sizes: (doc_id, n) of representatives.
     components: (node, component) of the representatives that link with another text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    docs = C.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     copies = C.exact_copies(docs)
     reps = C.representatives(docs, copies)
+    if not copies.where("doc_id is not null").groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        reps = reps.dropDuplicates()
     sizes, order = _counts(reps, n)
     shared = _shared(reps, order, n, threshold)
-    links = shared.sparkSession.createDataFrame([], "a long, b long")
-    tried = links
+    links, tried, used = [], [], [shared]
     components = None
     for step in range(PIVOT_ROUNDS + 1):
         if components is None:
             rows = shared.withColumn("c", F.col("rep"))
         else:
             rows = C.materialize(shared.join(C.sized(components.withColumnRenamed("node", "rep"), 24), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"))
-        # Runs whose members are all linked already have no more to say.
-        open_runs = rows.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "pos"), F.struct("c", "n", "rep")).alias("p")).where("low < high")
-        if step < PIVOT_ROUNDS:
-            pivots = open_runs.select("h", "low", "p.rep", "p.n", "p.pos")
-            found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.low")).where(_filters("x", "y", threshold))
-            # Each member tries the pivot that it shares most with.
-            found = found.groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).count().groupBy("x").agg(F.max_by("y", F.struct("count", -F.col("y"))).alias("y"))
-            pairs = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            used.append(rows)
+        # Runs whose members are all linked already have no more to say. Each round tries pivots of its own.
+        order_by = F.struct("c", "n", "rep") if not step else F.struct("c", F.xxhash64("rep", F.lit(step)), "rep")
+        runs_of = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "pos", "c"), order_by).alias("p"))
+        open_runs = C.materialize(runs_of.where("low < high").drop("low", "high"))
+        used.append(open_runs)
+        large = open_runs.where(F.col("m") > SMALL)
+        last = step == PIVOT_ROUNDS or (step > 0 and large.isEmpty())
+        if last:
+            pairs = _small_runs(rows, open_runs.where(F.col("m") <= SMALL), threshold)
+            blocks = _large_runs(rows, large.select("h", F.col("p.rep").alias("pivot"), F.col("p.c").alias("main")), threshold)
+            pairs = pairs.unionByName(blocks).distinct()
+            for t in tried:
+                pairs = pairs.join(C.sized(t, 16), ["a", "b"], "left_anti")
         else:
-            pairs = _remaining(rows, C.materialize(open_runs.select("h", F.col("p.rep").alias("pivot"))), threshold)
-        pairs = C.materialize(pairs.join(tried, ["a", "b"], "left_anti") if step else pairs)
-        if pairs.isEmpty():
-            continue
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(_verified(pairs, reps, n, threshold))
-        components = C.materialize(C.connected_components(links))
-    return copies, sizes, components if components is not None else shared.sparkSession.createDataFrame([], "node long, component long")
+            pivots = open_runs.select("h", "p.rep", "p.n", "p.pos", "p.c")
+            found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.c")).where(_filters("x", "y", threshold))
+            # Each member tries the pivot that it shares most with.
+            found = found.groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).count()
+            found = found.select("x", "y", "count", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            for t in tried:
+                found = found.join(C.sized(t, 16), ["a", "b"], "left_anti")
+            pairs = found.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("count", -F.col("y"))).alias("best")).select("best.*").distinct()
+        pairs = C.materialize(pairs)
+        tried.append(pairs)
+        if not pairs.isEmpty():
+            links.append(_verified(pairs, reps, n, threshold))
+            components = C.connected_components(reduce(DataFrame.unionByName, links))
+            used.append(components)
+        if last:
+            break
+    if components is None:
+        return copies, sizes, spark.createDataFrame([], "node long, component long")
+    used.remove(components)
+    C.drop(*used, *tried, *links)
+    return copies, sizes, components
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 75) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
 from .columnar import NON_ALNUM, U, Words, chunks
 
 #: Phrases that the base labels name.
@@ -127,7 +128,7 @@ def scan_licences(docs: DataFrame, notices: list | None = None, base: dict | Non
     A column of docs with one of these names is replaced.
     """
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    docs = docs.drop(*new)
+    docs = C.bounded(docs).drop(*new)
     index = Index(NOTICES if notices is None else notices, BASE if base is None else base)
     index.rank(_frequencies(docs, index))
     shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -158,7 +158,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A column of docs with one of these names is replaced.
     """
-    docs = docs.drop("held_out", "score", "predicted")
+    docs = C.bounded(docs).drop("held_out", "score", "predicted")
     scale, w, bias = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast((scale * w, scale * scale, bias))
 

@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A column of docs with one of these names is replaced.
     """
-    key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = C.bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     copies = C.exact_copies(key)
     spans = repeated_windows(C.representatives(key, copies), window)
     later = C.materialize(copies.where("doc_id > rep").select("doc_id", "key").distinct()).withColumn("_copy", F.lit(True))

@@ -82,7 +82,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages to archives in folder (a URI that all executors can write to). Returns (archive, n_records)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = C.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     digests = rows.where(F.octet_length("html") >= REVISIT).where("page_id is not null").select("page_id", F.unhex(F.sha2("html", 256)).alias("digest"))
     digests = C.materialize(digests)
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")

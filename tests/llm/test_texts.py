@@ -51,6 +51,8 @@ def test_jaccard_blocks_agree(docs, monkeypatch):
     want = sorted(map(str, J.jaccard_components(docs).collect()))
     monkeypatch.setattr(J, "PIVOT_ROUNDS", 0)
     monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "SMALL", 3)
+    monkeypatch.setattr(J, "MET", 50)
     assert sorted(map(str, J.jaccard_components(docs).collect())) == want
 
 
