@@ -11,33 +11,53 @@ from docledger.llm import common, decontaminate, jaccard, pieces, quality, subst
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of quality 1."""
+    """Documents that the classifier predicts to be of quality 1.
+
+    Null and empty texts are judged by the bias alone; repeated rows, null ids and further columns stay as they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score_quality(docs, labels).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id; documents without words stay."""
-    component = jaccard.jaccard_components(docs)
-    gone = common.materialize(component.where("component_id < doc_id").select("doc_id").distinct())
-    return docs.join(common.sized(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of linked documents the one with the smallest doc_id; documents without words stay.
+
+    Of repeated rows of a doc_id and its text one stays. Rows without a doc_id, and those of a doc_id that has
+    several texts, belong to no document that could be told from others, so they stay.
+    """
+    key = [F.col("doc_id").cast("long").alias("_id"), common.text_key().alias("_key")]
+    rows = docs.where("doc_id is not null").select(*key).groupBy("_id", "_key").agg(F.count("*").alias("_n"))
+    repeated = common.materialize(rows.where("_n > 1").select("_id", "_key"))
+    several = rows.groupBy("_id").count().where("count > 1").select(F.col("_id").alias("doc_id"))
+    component = jaccard.jaccard_components(docs).where("component_id < doc_id").select("doc_id").distinct()
+    gone = common.materialize(component.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("_id")))
+    left = docs.select(*docs.columns, *key).join(common.sized(gone, 16), "_id", "left_anti")
+    once = left.join(common.sized(repeated, 48), ["_id", "_key"], "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(left.join(common.sized(repeated, 48), ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; a text that loses nothing stays as it is."""
+    """Texts without repeated passages; a text that loses nothing stays as it is, as do null and empty ones.
+
+    Every row stays. Rows that repeat a doc_id and its text, and rows without a doc_id, are as substring.py defines.
+    """
     rows = substring.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
+    return rows.withColumn("text", text).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item; null and empty texts have none. Repeated rows fare alike."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.decontaminate(docs, items).where("not contaminated").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts; null and empty texts have the end id alone."""
     return pieces.piece_digests(docs.select("doc_id", "text"), pieces.default_model())
 
 
