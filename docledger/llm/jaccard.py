@@ -29,8 +29,9 @@ from .columnar import SPACES, U, chunks, mix, runs
 
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the input's size.
 SKETCH_BITS = 18
-#: Rounds of pivots; after the first, only while runs over SMALL are open.
+#: Rounds of pivots; after the first, only for open runs over LARGE documents.
 PIVOT_ROUNDS = 3
+LARGE = 1024
 #: Runs of at most so many documents are paired by a join, larger ones in blocks of BLOCK documents.
 SMALL = 32
 BLOCK = 256
@@ -284,16 +285,16 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[Dat
         runs_of = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "pos", "c"), order_by).alias("p"))
         open_runs = C.materialize(runs_of.where("low < high").drop("low", "high"))
         used.append(open_runs)
-        large = open_runs.where(F.col("m") > SMALL)
-        last = step == PIVOT_ROUNDS or (step > 0 and large.isEmpty())
+        asked = open_runs.where(F.col("m") > LARGE) if step else open_runs
+        last = step == PIVOT_ROUNDS or asked.isEmpty()
         if last:
             pairs = _small_runs(rows, open_runs.where(F.col("m") <= SMALL), threshold)
-            blocks = _large_runs(rows, large.select("h", F.col("p.rep").alias("pivot"), F.col("p.c").alias("main")), threshold)
+            blocks = _large_runs(rows, open_runs.where(F.col("m") > SMALL).select("h", F.col("p.rep").alias("pivot"), F.col("p.c").alias("main")), threshold)
             pairs = pairs.unionByName(blocks).distinct()
             for t in tried:
                 pairs = pairs.join(C.sized(t, 16), ["a", "b"], "left_anti")
         else:
-            pivots = open_runs.select("h", "p.rep", "p.n", "p.pos", "p.c")
+            pivots = asked.select("h", "p.rep", "p.n", "p.pos", "p.c")
             found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.c")).where(_filters("x", "y", threshold))
             # Each member tries the pivot that it shares most with.
             found = found.groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).count()
@@ -339,3 +340,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 75) -> Data
 
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM docs UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
