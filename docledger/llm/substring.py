@@ -11,7 +11,7 @@ doc_id with different texts are compared by word position, so equal places don't
 How: positions p with p mod PERIOD in COVER are anchors. For any two positions some common shift
 below PERIOD puts both on the cover, so two equal windows share an aligned anchor of
 window - PERIOD + 1 words. Hashes of anchors met again say where equal windows can be; only there
-the match is extended to whole windows, whose first occurrence stays. Tasks settle what their own rows
+the match is extended to whole windows, compared by two independent 64-bit hashes, whose first occurrence stays. Tasks settle what their own rows
 tell of a hash before the shuffle, so a passage that most documents share doesn't fill one partition. Exact copies of a text need
 no windows: all but the first lose every word if there are `window` of them.
 """
@@ -39,27 +39,30 @@ def _documents(batch, separators=SPACES):
 
 
 class _Places:
-    """Record batches (h, doc_id, pos) of one task, in which hot hashes are settled before the shuffle.
+    """Record batches (h, g, doc_id, pos) of one task, in which hot hashes are settled before the shuffle.
 
-    A place whose result the task knows by its own rows gets ~pos and a hash of its own in place of h, so it is
+    Two places are equal if both their hashes h and g are; without but_first there is no g. A place whose result
+    the task knows by its own rows gets ~pos and a hash of its own in place of h, so it is
     dealt evenly: the third and later places of a hash, or (but_first) all places later than the
     earliest that the task has sent. Of each hash a task sends on a few rows, however many it has.
     """
 
     def __init__(self, but_first: bool):
         self.but_first = but_first
-        self.h, self.doc, self.pos = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.h, self.g, self.doc, self.pos = np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def batch(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((pos, doc, h)) if self.but_first else np.argsort(h, kind="stable")
+    def batch(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, g: np.ndarray | None = None) -> pa.RecordBatch:
+        order = np.lexsort((pos, doc, g, h)) if self.but_first else np.argsort(h, kind="stable")
         x, d, p = h[order], doc[order], pos[order]
-        start = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        y = g[order] if self.but_first else np.zeros(len(x), U)
+        start = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
         size = np.diff(np.append(start, len(x)))
         run = np.repeat(np.arange(len(start)), size)
-        head, low_d, low_p = x[start], d[start], p[start]
+        head, head_g, low_d, low_p = x[start], y[start], d[start], p[start]
         at = np.searchsorted(self.h, head)
         met = np.zeros(len(head), bool)
-        met[at < len(self.h)] = self.h[at[at < len(self.h)]] == head[at < len(self.h)]
+        inside = at < len(self.h)
+        met[inside] = (self.h[at[inside]] == head[inside]) & (self.g[at[inside]] == head_g[inside])
         if self.but_first:
             sent_d, sent_p = self.doc[at[met]], self.pos[at[met]]
             before = (sent_d < low_d[met]) | ((sent_d == low_d[met]) & (sent_p < low_p[met]))
@@ -67,23 +70,29 @@ class _Places:
             known = (d != low_d[run]) | (p != low_p[run])
         else:
             known = met[run] | (np.arange(len(x)) - start[run] >= 2)
-        self._remember(head, low_d, low_p, met | (size > 1))
+        self._remember(head, head_g, low_d, low_p, met | (size > 1))
         mark = np.zeros(len(h), bool)
         mark[order] = known
         spread = mix(doc.view(U) * U(0x9E3779B97F4A7C15) + pos.astype(U))
-        return pa.record_batch({"h": np.where(mark, spread, h).view(np.int64), "doc_id": doc, "pos": np.where(mark, ~pos, pos)})
+        out = {"h": np.where(mark, spread, h).view(np.int64), "doc_id": doc, "pos": np.where(mark, ~pos, pos)}
+        return pa.record_batch(out | {"g": g.view(np.int64)} if self.but_first else out)
 
-    def _remember(self, h: np.ndarray, doc: np.ndarray, pos: np.ndarray, again: np.ndarray) -> None:
-        h, doc, pos = h[again][:SENT], doc[again][:SENT], pos[again][:SENT]
+    def _remember(self, h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray, again: np.ndarray) -> None:
+        h, g, doc, pos = h[again][:SENT], g[again][:SENT], doc[again][:SENT], pos[again][:SENT]
         old = ~np.isin(self.h, h)
         if old.sum() + len(h) <= SENT:
-            h, doc, pos = np.append(self.h[old], h), np.append(self.doc[old], doc), np.append(self.pos[old], pos)
+            h, g, doc, pos = np.append(self.h[old], h), np.append(self.g[old], g), np.append(self.doc[old], doc), np.append(self.pos[old], pos)
         order = np.argsort(h, kind="stable")
-        self.h, self.doc, self.pos = h[order], doc[order], pos[order]
+        self.h, self.g, self.doc, self.pos = h[order], g[order], doc[order], pos[order]
+
+
+#: Columns of rows of _Places, without and with a second hash.
+_ROWS = "h long, doc_id long, pos int"
+_ROWS_G = f"{_ROWS}, g long"
 
 
 def _met_again(rows: DataFrame, but_first: bool) -> DataFrame:
-    """(doc_id, pos) of rows (h, doc_id, pos) of _Places whose h another place has too; or of all such but the first place."""
+    """(doc_id, pos) of rows of _Places whose hashes another place has too; or of all such but the first place."""
 
     def scan(batches):
         held = last = None
@@ -101,14 +110,16 @@ def _met_again(rows: DataFrame, but_first: bool) -> DataFrame:
             same = np.zeros(len(h), bool)
             same[1:] = h[1:] == h[:-1]
             if but_first:
-                # Sorted by (h, doc_id, pos): the first place of each h stays, and so do repeated rows of that place.
+                # Sorted by (h, g, doc_id, pos): the first place of each stays, and so do repeated rows of that place.
+                g = batch["g"].to_numpy()
+                same[1:] &= g[1:] == g[:-1]
                 start = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
                 first_d, first_p = d[start], p[start]
-                if last is not None and h[0] == last[0]:
-                    on = h == last[0]
-                    first_d, first_p = np.where(on, last[1], first_d), np.where(on, last[2], first_p)
+                if last is not None and (h[0], g[0]) == last[:2]:
+                    on = (h == last[0]) & (g == last[1])
+                    first_d, first_p = np.where(on, last[2], first_d), np.where(on, last[3], first_p)
                 keep = (d != first_d) | (p != first_p)
-                last = (h[-1], first_d[-1], first_p[-1])
+                last = (h[-1], g[-1], first_d[-1], first_p[-1])
             else:
                 keep = same.copy()
                 keep[:-1] |= same[1:]
@@ -119,7 +130,7 @@ def _met_again(rows: DataFrame, but_first: bool) -> DataFrame:
             if keep.any():
                 yield pa.record_batch({"doc_id": d[keep], "pos": p[keep]})
 
-    order = ("h", "doc_id", "pos") if but_first else ("h",)
+    order = ("h", "g", "doc_id", "pos") if but_first else ("h",)
     return rows.repartition("h").sortWithinPartitions(*order).mapInArrow(scan, "doc_id long, pos int")
 
 
@@ -180,7 +191,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for lo, hi, w in _documents(batch):
-                whole, h, doc, at_word = runs(w.hash, window), [], [], []
+                whole, other, h, g, doc, at_word = runs(w.hash, window), runs(w.hash, window, 1), [], [], [], []
                 for row in range(lo, hi):
                     a, b = w.first[row - lo], w.first[row - lo + 1]
                     if b - a < window:
@@ -192,14 +203,17 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
                     np.add.at(edge, known + 1, -1)
                     pos = np.flatnonzero(np.cumsum(edge[: b - a - window + 1]) > 0)
                     h.append(whole[a + pos])
+                    g.append(other[a + pos])
                     doc.append(np.full(len(pos), ids[row], np.int64))
                     at_word.append(pos.astype(np.int32))
                 if sum(map(len, h)):
-                    yield places.batch(np.concatenate(h), np.concatenate(doc), np.concatenate(at_word))
+                    yield places.batch(np.concatenate(h), np.concatenate(doc), np.concatenate(at_word), np.concatenate(g))
 
-    spans = _packed_anchors(_met_again(docs.mapInArrow(anchors, "h long, doc_id long, pos int"), False))
+    spans = _packed_anchors(_met_again(docs.mapInArrow(anchors, _ROWS), False))
     near = docs.join(C.sized_by(spans, "spans", 40), "doc_id").select("doc_id", "text", "spans")
-    return _packed(_met_again(near.mapInArrow(windows, "h long, doc_id long, pos int"), True))
+    out = _packed(_met_again(near.mapInArrow(windows, _ROWS_G), True))
+    C.drop(spans)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -264,3 +278,18 @@ def _joined(w, words: np.ndarray) -> bytes:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i : i + 19], ' ') ORDER BY doc_id, i) > 1 AS later
+  FROM docs, unnest(range(1, len(w) - 18)) AS t(i)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM windows, unnest(range(0, 20)) AS t(j) WHERE later),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (
+  SELECT doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (g.i IS NULL) AS kept
+  FROM words LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
