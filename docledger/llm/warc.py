@@ -31,6 +31,8 @@ SEGMENT = 32 << 10
 FRAME = 8 << 10
 ARCHIVE = 8 << 20
 PIECE = 16 << 10
+#: Bytes of blocks that a task holds before it sends their rows on.
+PARSED = 4 << 20
 
 _PAGE = "urn:x-page:"
 
@@ -141,18 +143,18 @@ def _page(uri: str | None) -> int | None:
     return int(number) if number else None
 
 
-def _http(headers: dict, block: bytes) -> dict:
-    """What a whole block says."""
+def _http(headers: dict, block: bytes, keep: bool) -> dict:
+    """What a whole block says; its payload only if it is to be kept. A revisit is verified later, by its response."""
     digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
     out = {"page_id": _page(headers["WARC-Record-ID"]), "payload_digest": digest, "record_type": headers["WARC-Type"], "refers_to": _page(headers.get("WARC-Refers-To"))}
     head, _, body = block.partition(b"\r\n\r\n")
     if headers["WARC-Type"] == "revisit":
-        return out | {"payload_bytes": int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0]), "verified": True, "payload": None}
+        return out | {"payload_bytes": int(head.split(b"Content-Length: ")[1].split(b"\r\n")[0]), "verified": False, "payload": None}
     try:
         payload = unchunked(body)
     except ValueError:
         return out | {"payload_bytes": None, "verified": False, "payload": None}
-    return out | {"payload_bytes": len(payload), "verified": hashlib.sha256(payload).hexdigest() == digest, "payload": payload}
+    return out | {"payload_bytes": len(payload), "verified": hashlib.sha256(payload).hexdigest() == digest, "payload": payload if keep else None}
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("verified", pa.bool_())])
@@ -162,8 +164,8 @@ _OUT_SQL = "page_id long, payload_bytes long, payload_digest string, record_type
 def read_archives(spark, folder: str, archives: DataFrame, payloads: bool = False) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and verified of every page in these archives.
 
-    With payloads also payload (binary, null for revisits). Segments that miss a part or whose length or digest
-    is wrong give a row with verified false.
+    With payloads also payload (binary, null for revisits). Segments that miss a part, or whose length or digest
+    is wrong, and revisits whose response isn't there or differs from what they say give a row with verified false.
     """
     if archives.isEmpty():
         return spark.createDataFrame([], _OUT_SQL + (", payload binary" if payloads else ""))
@@ -176,17 +178,25 @@ def read_archives(spark, folder: str, archives: DataFrame, payloads: bool = Fals
     def parse(batches):
         for batch in batches:
             for content in batch["content"]:
-                rows, origin = [], []
+                rows, origin, size = [], [], 0
                 for headers, block in parse_records(content.as_buffer().to_pybytes()):
                     if "WARC-Segment-Number" in headers:
                         total = headers.get("WARC-Segment-Total-Length")
                         rows.append({})
                         origin.append({"origin": headers.get("WARC-Segment-Origin-ID", headers["WARC-Record-ID"]), "number": int(headers["WARC-Segment-Number"]), "total": total and int(total), "digest": headers.get("WARC-Payload-Digest"), "block": block})
+                        size += len(block)
                     else:
-                        rows.append(_http(headers, block))
+                        rows.append(_http(headers, block, payloads))
                         origin.append({})
-                a, b = pa.RecordBatch.from_pylist(origin, segment), pa.RecordBatch.from_pylist(rows, out)
-                yield pa.RecordBatch.from_arrays([*a.columns, *b.columns], schema=pa.schema([*segment, *out]))
+                        size += len(block) if payloads else 0
+                    if size >= PARSED or len(rows) >= 10_000:
+                        yield table(origin, rows)
+                        rows, origin, size = [], [], 0
+                yield table(origin, rows)
+
+    def table(origin, rows):
+        a, b = pa.RecordBatch.from_pylist(origin, segment), pa.RecordBatch.from_pylist(rows, out)
+        return pa.RecordBatch.from_arrays([*a.columns, *b.columns], schema=pa.schema([*segment, *out]))
 
     def join(batches):
         for batch in batches:
@@ -195,7 +205,7 @@ def read_archives(spark, folder: str, archives: DataFrame, payloads: bool = Fals
                 block = b"".join(p["block"] for p in parts)
                 total = next((p["total"] for p in parts if p["total"] is not None), None)
                 digest = next((p["digest"] for p in parts if p["digest"]), "")
-                row = _http({"WARC-Record-ID": origin, "WARC-Type": "response", "WARC-Payload-Digest": digest}, block)
+                row = _http({"WARC-Record-ID": origin, "WARC-Type": "response", "WARC-Payload-Digest": digest}, block, payloads)
                 whole = [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and total == len(block)
                 rows.append(row | {"verified": row["verified"] and whole})
             yield pa.RecordBatch.from_pylist(rows, out)
@@ -203,10 +213,29 @@ def read_archives(spark, folder: str, archives: DataFrame, payloads: bool = Fals
     parsed = C.materialize(files.select("content").mapInArrow(parse, f"origin string, number int, total long, digest string, block binary, {out_sql}"))
     whole = parsed.where("origin is null").select(*out.names)
     parts = parsed.where("origin is not null").groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "digest", "block"))).alias("parts"))
-    return whole.unionByName(parts.mapInArrow(join, out_sql))
+    return _revisits_verified(C.materialize(whole.unionByName(parts.mapInArrow(join, out_sql))))
+
+
+def _revisits_verified(rows: DataFrame) -> DataFrame:
+    """rows, in which a revisit is verified if the response that it names has its digest and length and is verified."""
+    revisit = F.col("record_type") == "revisit"
+    named = rows.where(revisit).select(F.col("refers_to").alias("page_id")).distinct()
+    responses = rows.where(~revisit).join(named, "page_id", "left_semi").where("verified")
+    responses = C.materialize(responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("same")).distinct())
+    checked = rows.where(revisit).drop("verified").join(C.sized(responses, 120), ["refers_to", "payload_digest", "payload_bytes"], "left").withColumn("verified", F.coalesce("same", F.lit(False)))
+    return rows.where(~revisit).unionByName(checked.select(*rows.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     folder = C.scratch(spark)
     archives = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_archives(spark, folder, archives)
+
+
+ORACLE_SQL = """
+WITH records AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+first AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS origin FROM records)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN page_id = origin THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> origin THEN origin END AS refers_to, true AS verified
+FROM first
+"""
