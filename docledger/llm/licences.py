@@ -2,15 +2,17 @@
 
 Input: a table with text. A-Z are lower-cased, words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`.
 
-Defined results: null and empty texts have no words, no places and the score 0; every row gets a row;
-a template found at several places counts once in the labels.
-
-How: templates are short notices, each with a mandatory key phrase. Document frequencies of their
-words are counted over all documents. The index keys each template by the word of its key phrase
-with the highest IDF and keeps that word's place. A text's words are looked up there; place minus
-place says where the template would begin; there the key phrase must stand word for word, and the share
-of the template's other words at their own places gives the score. The base phrases are templates that
-are nothing but a key phrase, so each of their places is found.
+Defined results: null and empty texts have no words, no places and the score 0; every row gets a row, repeated rows the
+same; a template found at several places counts once in the labels; other columns stay, but those named as a result.
+
+How: templates are whole licence texts and one-line notices, each with phrases that must be there. Document
+frequencies of their words are counted over all documents. The index posts each template under its POSTED words of
+highest IDF, two of its first phrase among them, with their places. A text's words are looked up there; place minus place
+says where the template would begin, and postings of one template that agree on that within SLACK words (words may have
+been put in or left out) are intersected: two must agree. There every phrase must stand word for word, and the share of
+the template's words that stand at one of the agreed beginnings must reach the template's least share; it is the
+score. The base phrases are templates that are nothing but a phrase, posted under its rarest word, so each of
+their places is found.
 """
 
 import numpy as np
@@ -20,31 +22,12 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from .columnar import NON_ALNUM, U, Words, chunks
+from .licence_texts import BASE, NOTICES, TEXTS
 
-#: Phrases that the base labels name.
-BASE = {
-    "cc by": "cc-by",
-    "general public license": "gpl",
-    "all rights reserved": "reserved",
-}
-#: Label, notice, and the phrase in it that must be there.
-NOTICES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa", "cc by sa"),
-    ("cc-by-nd", "licensed under cc by nd", "cc by nd"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute this software"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("cc0-1.0", "cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
-]
+#: Words of a template that the index has.
+POSTED = 8
+#: By so many words may the places of a template's words be shifted against each other.
+SLACK = 6
 #: The score of a text with base phrases but no notice.
 BASE_SCORE = 0.5
 
@@ -54,49 +37,95 @@ def _hashes(text: str) -> np.ndarray:
     return Words(raw, np.array([0, len(raw)]), NON_ALNUM, True).hash
 
 
+class _Template:
+    def __init__(self, label: str, text: str, phrases: list[str], least: float):
+        self.label, self.words, self.least = label, _hashes(text), least
+        self.phrases = [self._placed(_hashes(p)) for p in phrases]
+
+    def _placed(self, phrase: np.ndarray) -> tuple[int, np.ndarray]:
+        n = len(phrase)
+        return next(i for i in range(len(self.words) - n + 1) if (self.words[i : i + n] == phrase).all()), phrase
+
+
 class Index:
-    """Postings of templates by the rarest word of their key phrases."""
-
-    def __init__(self, notices: list, base: dict):
-        self.templates = []
-        for label, text, phrase in [*((label, p, p) for p, label in base.items()), *notices]:
-            words, key = _hashes(text), _hashes(phrase)
-            at = next(i for i in range(len(words)) if (words[i : i + len(key)] == key).all() and i + len(key) <= len(words))
-            self.templates.append((label, words, at, len(key)))
+    """Postings of templates by their rarest words."""
+
+    def __init__(self, templates: list, base: dict):
+        self.templates = [_Template(label, phrase, [phrase], 0.0) for phrase, label in base.items()] + [_Template(*t) for t in templates]
         self.n_base = len(base)
-        self.vocabulary = np.unique(np.concatenate([t[1] for t in self.templates]))
+        self.vocabulary = np.unique(np.concatenate([t.words for t in self.templates]))
 
     def rank(self, frequency: np.ndarray) -> None:
-        """Choose each template's entry: the least frequent word of its key phrase."""
+        """Choose each template's postings."""
         rows = []
-        for number, (_, words, at, size) in enumerate(self.templates):
-            place = at + int(np.argmin(frequency[np.searchsorted(self.vocabulary, words[at : at + size])]))
-            rows.append((words[place], number, place))
+        for number, t in enumerate(self.templates):
+            often = frequency[np.searchsorted(self.vocabulary, t.words)]
+            at, phrase = t.phrases[0]
+            inside = at + np.argsort(often[at : at + len(phrase)], kind="stable")
+            if number < self.n_base:
+                places = inside[:1]
+            else:
+                places = np.unique(np.concatenate([inside[:2], np.argsort(often, kind="stable")[:POSTED]]))
+            rows += [(t.words[p], number, p) for p in places]
         rows.sort()
         self.key = np.array([r[0] for r in rows], U)
         self.number = np.array([r[1] for r in rows])
         self.place = np.array([r[2] for r in rows])
-
-    def found(self, w: Words) -> list[tuple[int, int, float]]:
-        """(template, word at which its key phrase starts, share of its words) for every place in a chunk."""
-        slot = np.searchsorted(self.key, w.hash)
-        at = np.flatnonzero(self.key[np.minimum(slot, len(self.key) - 1)] == w.hash)
+        self.need = np.where(np.arange(len(self.templates)) < self.n_base, 1, np.minimum(2, np.bincount(self.number, minlength=len(self.templates))))
+
+    def found(self, w: Words) -> list[tuple[int, int, int, float]]:
+        """(template, document, word at which its first phrase starts, share of its words) of a chunk."""
+        low, high = np.searchsorted(self.key, w.hash, "left"), np.searchsorted(self.key, w.hash, "right")
+        at = np.flatnonzero(high > low)
+        n = high[at] - low[at]
+        row = np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        number, place, doc = self.number[row], self.place[row], np.searchsorted(w.first, at, "right") - 1
+        begin = at - place
+        order = np.lexsort((begin, doc, number))
+        number, place, doc, begin = number[order], place[order], doc[order], begin[order]
+        # Postings of one template and document whose beginnings lie close together are one group.
+        gap = np.where(number < self.n_base, 0, SLACK)[1:]
+        cut = np.append(True, (number[1:] != number[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(begin) > gap)) if len(number) else np.zeros(0, bool)
+        group = np.cumsum(cut) - 1
+        starts = np.flatnonzero(cut)
+        different = np.unique(group * (1 << 20) + place)
+        agreed = np.bincount(different >> 20, minlength=len(starts))
+        ends = np.append(starts[1:], len(number))
         out = []
-        for i in at.tolist():
-            doc = int(np.searchsorted(w.first, i, "right")) - 1
-            lo, hi = int(w.first[doc]), int(w.first[doc + 1])
-            for k in range(int(slot[i]), len(self.key)):
-                if self.key[k] != w.hash[i]:
-                    break
-                _, words, phrase, size = self.templates[self.number[k]]
-                begin = i - int(self.place[k])
-                if begin + phrase < lo or begin + phrase + size > hi or not (w.hash[begin + phrase : begin + phrase + size] == words[phrase : phrase + size]).all():
-                    continue
-                a, b = max(begin, lo), min(begin + len(words), hi)
-                share = float((w.hash[a:b] == words[a - begin : b - begin]).sum()) / len(words)
-                out.append((int(self.number[k]), begin + phrase, share))
+        for g in np.flatnonzero(agreed >= self.need[number[starts]]).tolist():
+            t, d = int(number[starts[g]]), int(doc[starts[g]])
+            hit = self._verified(self.templates[t], w.hash[w.first[d] : w.first[d + 1]], np.unique(begin[starts[g] : ends[g]]) - int(w.first[d]))
+            if hit is not None:
+                out.append((t, d, *hit))
         return out
 
+    def _verified(self, t: _Template, words: np.ndarray, begins: np.ndarray) -> tuple[int, float] | None:
+        """Where the first phrase starts and the share of the template's words that stand in place.
+
+        Between the beginnings that postings agree on, and a little beyond, words may have been put in or left out
+        where no posting tells; there only words that stand in threes count.
+        """
+        n, known = len(t.words), set(begins.tolist())
+        more = SLACK + n // 10 if n > SLACK else 0
+        stands = np.zeros(n, bool)
+        first: list = [None] * len(t.phrases)
+        for b in range(int(begins[0]) - more, int(begins[-1]) + more + 1):
+            lo, hi = max(b, 0), min(b + n, len(words))
+            if lo >= hi:
+                continue
+            equal = np.zeros(n + 4, bool)
+            equal[lo - b + 2 : hi - b + 2] = words[lo:hi] == t.words[lo - b : hi - b]
+            if b not in known:
+                threes = equal[:-2] & equal[1:-1] & equal[2:]
+                equal[:] = np.append(threes, [False, False]) | np.append(False, np.append(threes, False)) | np.append([False, False], threes)
+            stands |= equal[2:-2]
+            for k, (at, phrase) in enumerate(t.phrases):
+                if first[k] is None and b + at >= 0 and np.array_equal(words[b + at : b + at + len(phrase)], phrase):
+                    first[k] = b + at
+        share = float(stands.mean())
+        return (first[0], share) if None not in first and share >= t.least else None
+
 
 def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
     """How many documents have each word of the templates."""
@@ -122,14 +151,14 @@ def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
     return total
 
 
-def scan_licences(docs: DataFrame, notices: list | None = None, base: dict | None = None) -> DataFrame:
+def scan_licences(docs: DataFrame, templates: list | None = None, base: dict | None = None) -> DataFrame:
     """The columns of docs but text, with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
-    A column of docs with one of these names is replaced.
+    templates: (label, text, phrases, least share). A column of docs with one of these names is replaced.
     """
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     docs = C.bounded(docs).drop(*new)
-    index = Index(NOTICES if notices is None else notices, BASE if base is None else base)
+    index = Index([*TEXTS, *NOTICES] if templates is None else templates, BASE if base is None else base)
     index.rank(_frequencies(docs, index))
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -144,12 +173,11 @@ def scan_licences(docs: DataFrame, notices: list | None = None, base: dict | Non
             score = np.zeros(n)
             for lo, hi, w in chunks(batch["text"], NON_ALNUM, True):
                 n_words.append(np.diff(w.first))
-                for number, begin, share in ix.found(w):
-                    doc = int(np.searchsorted(w.first, begin, "right")) - 1
-                    row, label = lo + doc, ix.templates[number][0]
+                for number, doc, begin, share in ix.found(w):
+                    row, label = lo + doc, ix.templates[number].label
                     labels[row].add(label)
                     if number < ix.n_base:
-                        starts[row].append(begin - int(w.first[doc]))
+                        starts[row].append(begin)
                         of_base[row].add(label)
                         share = BASE_SCORE
                     score[row] = max(score[row], share)
@@ -172,3 +200,20 @@ def scan_licences(docs: DataFrame, notices: list | None = None, base: dict | Non
 
 def query(spark, sf_dir: str) -> DataFrame:
     return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+def base_places(spark, sf_dir: str) -> DataFrame:
+    """The columns of op7 that SQL can state."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+BASE_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, i - 1 AS at, label FROM docs, unnest(range(1, len(w) + 1)) AS t(i),
+    (VALUES ('cc by', 2, 'cc-by'), ('general public license', 3, 'gpl'), ('all rights reserved', 3, 'reserved')) AS p(phrase, n, label)
+  WHERE w[i] = split_part(phrase, ' ', 1) AND array_to_string(w[i : i + n - 1], ' ') = phrase)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(label) AS n_base, min(at) AS first_word, max(at) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM docs LEFT JOIN places USING (doc_id) GROUP BY doc_id, w
+"""

@@ -2,6 +2,7 @@
 
 import importlib
 
+from . import licences
 
 #: Name of the query, module that holds its function `query(spark, sf_dir)`.
 MODULES = {
@@ -19,9 +20,10 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), "query") for name, module in MODULES.items()}
+    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "query") for name, module in MODULES.items()}
+    return found | {"licence_base_places": licences.base_places}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {name: sql for name, sql in found.items() if sql} | {"licence_base_places": licences.BASE_SQL}
