@@ -1,17 +1,19 @@
 """Copies of images by local descriptors.
 
-Input: images (id integer, pixels: SIDE * SIDE grey levels, row by row, as binary of one byte each).
-Queries are looked up among all images; a pair is a copy if LEAST_INLIERS matches agree on one similarity.
-
-Defined results: null pixels or those of another size have no descriptors and match nothing; equal pixels are
-one class whose smallest id stands for it; every image row gets a row; flat images have no corners.
-
-How: corners by the structure tensor on several scales, the strongest CORNERS kept; the grey
-centroid of a corner's patch turns its binary tests; 128 tests make a descriptor. Descriptors are cut
-into BANDS bands: two that differ in fewer bits than there are bands share one, so equality joins on (band,
-value) find every pair within RADIUS. Matches of two images then vote: each gives a turn, scale
-and shift, and the one that most others agree with decides. Only that step sees an image pair, and it is
-bounded by CORNERS squared.
+Input: images (id integer, pixels: bytes row by row with one, three or four channels of one byte each, width and
+height; without these two columns images are grey squares). Queries are looked up among all images; a pair is a
+copy if LEAST_INLIERS matches agree on one similarity: a turn, scale and shift (mirrored copies are none).
+
+Defined results: null pixels, and those whose number doesn't fit width and height, have no descriptors and match
+nothing; equal images are one class whose smallest id stands for it; every image row gets a row, repeated and null ids
+too; flat images have no corners; other columns are ignored; an empty table gives an empty one.
+
+How: images are made smaller to at most AREA pixels. Corners by the structure tensor on several scales, the strongest
+kept in proportion to the area; the grey centroid of a corner's smoothed patch turns its binary tests; 128 tests
+make a descriptor. TABLES tables each take KEY_BITS bits of it as a key: a mask of the queries' keys, of a fixed size,
+holds back rows of other images before equality joins on (table, key), and pairs within RADIUS bits stay. Matches of two
+images then vote: each gives a similarity, and the one that most others agree with decides. Only that step sees
+an image pair, and it is bounded by the corners of both.
 """
 
 import numpy as np
@@ -21,21 +23,28 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
+AREA = 256 * 256
+SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
+#: Corners of an image of SIDE times SIDE pixels.
 SIDE = 96
-SCALES = (1.0, 0.75, 0.5)
-CORNERS = 24
-BANDS = 8
-RADIUS = BANDS - 1
-LEAST_INLIERS = 6
+CORNERS = 80
+TABLES = 24
+KEY_BITS = 20
+RADIUS = 20
+LEAST_INLIERS = 9
 #: Pixels that a match may be off the common similarity.
 SLACK = 4.0
-_PATCH = 11
+MARGIN = 9
+#: Pixels of images that are described together.
+STACK = 64 * SIDE * SIDE
 
 _random = np.random.default_rng(11)
-#: Places of the binary tests around a corner: 128 pairs inside a circle.
+#: Places of the binary tests around a corner: 128 pairs inside a square.
 _TESTS = np.clip(_random.normal(0, 4.5, (128, 2, 2)), -9, 9)
+#: The bits of each table's key.
+_CHOSEN = np.stack([_random.choice(128, KEY_BITS, replace=False) for _ in range(TABLES)])
 _y, _x = np.mgrid[-7:8, -7:8]
-_disc = (_x**2 + _y**2 <= 49).astype(np.float32)
+_disc = ((_x**2 + _y**2 <= 49) * np.exp(-(_x**2 + _y**2) / (2 * 4.2**2))).astype(np.float32)
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -48,86 +57,137 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
 def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1.0:
         return a
-    at = (np.arange(int(a.shape[1] * scale)) + 0.5) / scale - 0.5
-    lo = np.clip(np.floor(at).astype(int), 0, a.shape[1] - 2)
-    t = (at - lo).astype(np.float32)
-    rows = a[:, lo] * (1 - t)[None, :, None] + a[:, lo + 1] * t[None, :, None]
-    return rows[:, :, lo] * (1 - t) + rows[:, :, lo + 1] * t
+
+    def axis(n):
+        at = (np.arange(max(1, round(n * scale))) + 0.5) / scale - 0.5
+        low = np.clip(np.floor(at).astype(int), 0, max(n - 2, 0))
+        return low, np.minimum(low + 1, n - 1), np.clip(at - low, 0, 1).astype(np.float32)
+
+    (y, y1, v), (x, x1, u) = axis(a.shape[1]), axis(a.shape[2])
+    rows = a[:, y] * (1 - v)[None, :, None] + a[:, y1] * v[None, :, None]
+    return rows[:, :, x] * (1 - u) + rows[:, :, x1] * u
+
+
+def _peaks(a: np.ndarray, r: int) -> np.ndarray:
+    """The largest value of the square around each pixel."""
+    for axis in (1, 2):
+        most = a
+        for d in range(1, r + 1):
+            most = np.maximum(most, np.maximum(np.roll(a, d, axis), np.roll(a, -d, axis)))
+        a = most
+    return a
+
+
+def _corners(stack: np.ndarray, scale: float) -> tuple:
+    """Image, y, x and strength of the corners at a scale, and the smoothed images."""
+    a = _box(_resized(stack, scale), 1)
+    if min(a.shape[1:]) <= 2 * MARGIN:
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(0, np.float32), a
+    gy, gx = np.gradient(a, axis=(1, 2))
+    xx, yy, xy = (_box(v, 2) for v in (gx * gx, gy * gy, gx * gy))
+    strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    ok = (strength >= _peaks(strength, 3)) & (strength > 1.0)
+    ok[:, :MARGIN] = ok[:, -MARGIN:] = ok[:, :, :MARGIN] = ok[:, :, -MARGIN:] = False
+    k, y, x = np.nonzero(ok)
+    return k, y, x, strength[k, y, x], _box(a, 2)
+
+
+def _sampled(a: np.ndarray, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values between pixels."""
+    y, x = np.clip(y, 0, a.shape[1] - 1.001), np.clip(x, 0, a.shape[2] - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    v, u = (y - i).astype(np.float32), (x - j).astype(np.float32)
+    return (a[k, i, j] * (1 - u) + a[k, i, j + 1] * u) * (1 - v) + (a[k, i + 1, j] * (1 - u) + a[k, i + 1, j + 1] * u) * v
 
 
 def describe(stack: np.ndarray) -> tuple:
     """Of a stack of images: image, x, y, angle, scale and descriptor (two 64-bit halves) of every corner kept."""
-    found = []
-    for scale in SCALES:
-        a = _box(_resized(stack.astype(np.float32), scale), 1)
-        gy, gx = np.gradient(a, axis=(1, 2))
-        xx, yy, xy = (_box(v, 2) for v in (gx * gx, gy * gy, gx * gy))
-        strength = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        around = strength.copy()
-        for dy in range(-3, 4):
-            for dx in range(-3, 4):
-                around = np.maximum(around, np.roll(strength, (dy, dx), (1, 2)))
-        ok = (strength >= around) & (strength > 1.0)
-        ok[:, :_PATCH] = ok[:, -_PATCH:] = ok[:, :, :_PATCH] = ok[:, :, -_PATCH:] = False
-        k, y, x = np.nonzero(ok)
-        found.append((k, y, x, strength[k, y, x], scale, a))
-    image = np.concatenate([f[0] for f in found])
-    strength = np.concatenate([f[3] for f in found])
+    first = min(1.0, (AREA / (stack.shape[1] * stack.shape[2])) ** 0.5)
+    stack = _resized(stack.astype(np.float32), first)
+    most = int(CORNERS * max(1.0, stack.shape[1] * stack.shape[2] / SIDE**2))
+    found = [_corners(stack, scale) for scale in SCALES]
+    image, strength = np.concatenate([f[0] for f in found]), np.concatenate([f[3] for f in found])
     order = np.lexsort((np.arange(len(image)), -strength, image))
     rank = np.arange(len(order)) - np.searchsorted(image[order], image[order])
     kept = np.zeros(len(image), bool)
-    kept[order[rank < CORNERS]] = True
+    kept[order[rank < most]] = True
     out, begin = [], 0
-    for k, y, x, _, scale, a in found:
+    for (k, y, x, _, a), scale in zip(found, SCALES, strict=True):
         mine = kept[begin : begin + len(k)]
         begin += len(k)
-        k, y, x = k[mine], y[mine], x[mine]
-        patch = a[k[:, None, None], y[:, None, None] + _y, x[:, None, None] + _x] * _disc
+        k, y, x = (v[mine][:, None, None] for v in (k, y, x))
+        patch = a[k, np.clip(y + _y, 0, a.shape[1] - 1), np.clip(x + _x, 0, a.shape[2] - 1)] * _disc
         angle = np.arctan2((patch * _y).sum((1, 2)), (patch * _x).sum((1, 2)))
         c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        tx = np.rint(_TESTS[None, :, :, 0] * c - _TESTS[None, :, :, 1] * s).astype(int)
-        ty = np.rint(_TESTS[None, :, :, 0] * s + _TESTS[None, :, :, 1] * c).astype(int)
-        ty = np.clip(y[:, None, None] + ty, 0, a.shape[1] - 1)
-        tx = np.clip(x[:, None, None] + tx, 0, a.shape[2] - 1)
-        value = a[k[:, None, None], ty, tx]
+        turned_x, turned_y = _TESTS[None, :, :, 0] * c - _TESTS[None, :, :, 1] * s, _TESTS[None, :, :, 0] * s + _TESTS[None, :, :, 1] * c
+        value = _sampled(a, k, y + turned_y, x + turned_x)
         bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
+        k, y, x = k.ravel(), y.ravel(), x.ravel()
         out.append((k, x / scale, y / scale, angle, np.full(len(k), scale), np.ascontiguousarray(bits).view(np.int64).reshape(-1, 2)))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(6))
 
 
+def _grey(raw, width: int, height: int) -> np.ndarray | None:
+    """Grey levels of an image, or None if its bytes don't fit its size."""
+    if width < 1 or height < 1 or len(raw) not in (width * height, 3 * width * height, 4 * width * height):
+        return None
+    levels = np.frombuffer(raw, np.uint8).reshape(height, width, -1)
+    return levels[:, :, :3].mean(axis=2, dtype=np.float32)
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """(id, x, y, angle, scale, d0, d1) of the corners of images (id, pixels)."""
+    """(id, n, x, y, angle, scale, d0, d1) of the corners of images (id, pixels, width, height), n counting an image's."""
 
     def run(batches):
         for batch in batches:
+            sizes: dict = {}
+            for i, (w, h) in enumerate(zip(batch["width"].to_pylist(), batch["height"].to_pylist(), strict=True)):
+                sizes.setdefault((w, h), []).append(i)
             ids = batch["id"].to_numpy(zero_copy_only=False)
-            for lo in range(0, batch.num_rows, 64):
-                raw = [batch["pixels"][i].as_buffer() for i in range(lo, min(lo + 64, batch.num_rows))]
-                stack = np.stack([np.frombuffer(r, np.uint8).reshape(SIDE, SIDE) for r in raw])
-                k, x, y, angle, scale, d = describe(stack)
-                if len(k):
-                    yield pa.record_batch({"id": ids[lo + k].astype(np.int64), "x": x, "y": y, "angle": angle.astype(float), "scale": scale, "d0": d[:, 0], "d1": d[:, 1]})
+            for (w, h), rows in sizes.items():
+                step = max(1, STACK // max(1, (w or 0) * (h or 0)))
+                for lo in range(0, len(rows), step):
+                    grey = [(i, _grey(batch["pixels"][i].as_buffer(), w, h)) for i in rows[lo : lo + step]]
+                    grey = [g for g in grey if g[1] is not None]
+                    if not grey:
+                        continue
+                    k, x, y, angle, scale, d = describe(np.stack([g[1] for g in grey]))
+                    order = np.argsort(k, kind="stable")
+                    k, x, y, angle, scale, d = (v[order] for v in (k, x, y, angle, scale, d))
+                    n = np.arange(len(k)) - np.searchsorted(k, k)
+                    at = np.array([g[0] for g in grey])[k]
+                    small = [v.astype(np.float32) for v in (x, y, angle, scale)]
+                    yield pa.record_batch({"id": ids[at].astype(np.int64), "n": n.astype(np.int32)} | dict(zip(("x", "y", "angle", "scale"), small, strict=True)) | {"d0": d[:, 0], "d1": d[:, 1]})
+
+    good = images.where("pixels is not null and width is not null and height is not null")
+    return good.select("id", "pixels", "width", "height").mapInArrow(run, "id long, n int, x float, y float, angle float, scale float, d0 long, d1 long")
+
 
-    good = images.where(F.octet_length("pixels") == SIDE * SIDE)
-    return good.select("id", "pixels").mapInArrow(run, "id long, x double, y double, angle double, scale double, d0 long, d1 long")
+def keys_of(d0: np.ndarray, d1: np.ndarray) -> np.ndarray:
+    """The key of every table (columns) for each descriptor: its number, then KEY_BITS bits."""
+    bits = np.unpackbits(np.ascontiguousarray(np.stack([d0, d1], axis=1)).view(np.uint8), axis=1).astype(np.int64)
+    power = 1 << np.arange(KEY_BITS)
+    return np.stack([bits[:, chosen] @ power + (t << KEY_BITS) for t, chosen in enumerate(_CHOSEN)], axis=1)
 
 
-def _banded(rows: DataFrame) -> DataFrame:
-    """A row for each band: its number and 16 bits of the descriptor in one key."""
-    half = BANDS // 2
-    keys = [F.shiftleft(F.lit(b).cast("long"), 16) + F.shiftrightunsigned(F.col("d0" if b < half else "d1"), 16 * (b % half)).bitwiseAND(F.lit(0xFFFF)) for b in range(BANDS)]
-    return rows.withColumn("band", F.explode(F.array(*keys)))
+_KEYED = "key int, id long, n int, x float, y float, angle float, scale float, d0 long, d1 long"
 
 
-def _first_shared():
-    """Whether the band that two descriptors meet in is the first that they share, so that each pair is one row."""
-    number, half = F.shiftright("band", 16), BANDS // 2
-    good = F.lit(True)
-    for b in range(BANDS - 1):
-        d = "d0" if b < half else "d1"
-        unlike = F.shiftrightunsigned(F.col(d).bitwiseXOR(F.col(f"q_{d}")), 16 * (b % half)).bitwiseAND(F.lit(0xFFFF)) != 0
-        good = good & ((number <= b) | unlike)
-    return good
+def _keyed(rows: DataFrame, mask=None) -> DataFrame:
+    """A row of a descriptor for each table; with mask (a broadcast of packed bits) only for keys that are in it."""
+
+    def run(batches):
+        known = np.unpackbits(mask.value).view(bool) if mask is not None else None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                keys = keys_of(part["d0"].to_numpy(), part["d1"].to_numpy())
+                row, table = np.nonzero(known[keys]) if known is not None else np.indices(keys.shape).reshape(2, -1)
+                taken = part.take(pa.array(row))
+                yield pa.record_batch({"key": keys[row, table].astype(np.int32)} | {f.name: taken[f.name] for f in part.schema})
+
+    return rows.mapInArrow(run, _KEYED)
 
 
 def consensus(q: np.ndarray, m: np.ndarray) -> int:
@@ -137,30 +197,44 @@ def consensus(q: np.ndarray, m: np.ndarray) -> int:
     c, s = np.cos(turn) * grow, np.sin(turn) * grow
     dx = m[:, 0] - (c * q[:, 0] - s * q[:, 1])
     dy = m[:, 1] - (s * q[:, 0] + c * q[:, 1])
+
+    def agreed(i):
+        off_x = c[i, None] * q[:, 0] - s[i, None] * q[:, 1] + dx[i, None] - m[:, 0]
+        off_y = s[i, None] * q[:, 0] + c[i, None] * q[:, 1] + dy[i, None] - m[:, 1]
+        return np.hypot(off_x, off_y) <= SLACK
+
+    votes = np.concatenate([agreed(np.arange(lo, min(lo + 256, len(q)))).sum(axis=1) for lo in range(0, len(q), 256)])
     best = 0
-    for i in range(len(q)):
-        off = np.hypot(c[i] * q[:, 0] - s[i] * q[:, 1] + dx[i] - m[:, 0], s[i] * q[:, 0] + c[i] * q[:, 1] + dy[i] - m[:, 1])
-        good = off <= SLACK
+    for i in np.argsort(-votes, kind="stable").tolist():
+        if votes[i] <= best:
+            break
+        good = agreed(np.array([i]))[0]
         # Corners of one place on several scales count once.
         best = max(best, min(len({(int(a) >> 3, int(b) >> 3) for a, b in p[good, :2]}) for p in (q, m)))
     return best
 
 
 def copies(images: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, id, inliers) of copies; images and queries have one row for each class of equal pixels."""
+    """(query, id, inliers) of copies; images and queries have one row for each class of equal images."""
     every = C.materialize(descriptors(images))
-    asked = C.materialize(every.join(queries.select("id"), "id", "left_semi"))
-    names = {c: f"q_{c}" for c in asked.columns}
-    asked = C.materialize(_banded(asked).withColumnsRenamed(names))
+    asked = C.materialize(_keyed(every.join(C.sized(C.materialize(queries.select("id")), 16), "id", "left_semi")))
+    # The mask has a bit for every possible key, whatever the number of queries.
+    word, bit = F.shiftright("key", 5), F.expr("shiftleft(1L, key & 31)")
+    words = asked.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    mask = np.zeros(TABLES << KEY_BITS - 5, np.uint32)
+    mask[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    mask = np.packbits(np.unpackbits(mask.view(np.uint8), bitorder="little"))
+    met = _keyed(every, every.sparkSession.sparkContext.broadcast(mask))
+    asked = asked.withColumnsRenamed({c: f"q_{c}" for c in asked.columns if c != "key"})
     differ = F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q_d1")))
-    met = _banded(every).join(C.sized(asked, 80), "band").where((F.col("id") != F.col("q_id")) & (differ <= RADIUS) & _first_shared())
-    pairs = met.select("q_id", "id", *[F.col(f"{p}{c}") for p in ("q_", "") for c in ("x", "y", "angle", "scale")]).distinct()
-    q, m = (F.array(*[F.col(f"{p}{c}") for c in ("x", "y", "angle", "scale")]) for p in ("q_", ""))
-    grouped = pairs.groupBy("q_id", "id").agg(F.collect_list(F.concat(q, m)).alias("m")).where(F.size("m") >= LEAST_INLIERS)
+    met = met.join(C.sized(asked, 100), "key").where((F.col("id") != F.col("q_id")) & (differ <= RADIUS))
+    pairs = met.select("q_id", "q_n", "id", "n", *[f"{p}{c}" for p in ("q_", "") for c in ("x", "y", "angle", "scale")]).distinct()
+    place = F.array(*[F.col(f"{p}{c}") for p in ("q_", "") for c in ("x", "y", "angle", "scale")])
+    grouped = pairs.groupBy("q_id", "id").agg(F.collect_list(place).alias("m")).where(F.size("m") >= LEAST_INLIERS)
 
     def vote(batches):
         for batch in batches:
-            n = [consensus(v[:, :4], v[:, 4:]) for v in (np.array(x) for x in batch["m"].to_pylist())]
+            n = [consensus(v[:, :4], v[:, 4:]) for v in (np.array(x, np.float64) for x in batch["m"].to_pylist())]
             yield pa.record_batch({"query": batch["q_id"], "id": batch["id"], "inliers": pa.array(n, pa.int64())})
 
     return grouped.mapInArrow(vote, "query long, id long, inliers long").where(F.col("inliers") >= LEAST_INLIERS)
@@ -172,48 +246,76 @@ def find_copies(images: DataFrame, is_query) -> DataFrame:
     is_query: a condition on id. A class is a query if any of its ids is. Queries are named by their class_id;
     best_query is the one with most inliers, the smallest of equals, else null.
     """
-    keyed = C.materialize(C.bounded(images).select(F.col("id").cast("long").alias("id"), F.unhex(F.md5("pixels")).alias("key")))
+    side = F.sqrt(F.octet_length("pixels")).cast("int")
+    size = [(F.col(c).cast("int") if c in images.columns else side).alias(c) for c in ("width", "height")]
+    rows = C.bounded(images).select(F.col("id").cast("long").alias("id"), "pixels", *size)
+    same = F.concat_ws("x", F.coalesce("width", F.lit(-1)), F.coalesce("height", F.lit(-1)))
+    rows = rows.withColumn("key", F.unhex(F.md5(F.concat(same.cast("binary"), "pixels"))))
+    keyed = C.materialize(rows.select("id", "key"))
     classes = C.materialize(keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked")).where("key is not null"))
     own = classes.where("class_id is not null").select(F.col("class_id").alias("id"), "asked", "key")
-    rows = images.select(F.col("id").cast("long").alias("id"), "pixels").withColumn("key", F.unhex(F.md5("pixels")))
     reps = rows.join(C.sized(own.select("id", "key"), 48), ["id", "key"], "left_semi").dropDuplicates(["id"])
-    found = copies(reps.select("id", "pixels"), own.where("asked").select("id"))
+    found = copies(reps.select("id", "pixels", "width", "height"), own.where("asked").select("id"))
     best = found.groupBy(F.col("id").alias("class_id")).agg(F.count("*").alias("n_queries"), F.max(F.struct("inliers", -F.col("query"))).alias("best"))
     out = keyed.join(classes.select("key", "class_id"), "key", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(best, "class_id", "left")
     return out.select("id", "class_id", F.coalesce("n_queries", F.lit(0)).alias("n_queries"), (-F.col("best.col2")).alias("best_query"), F.col("best.inliers").alias("best_inliers"))
 
 
+#: Fixed list: the edits of copies that render() draws.
+EDITS = ("quarter turn, cropped, brighter", "turn of 10 degrees", "turn of 30 degrees", "scale 0.85", "cropped to a half", "noise")
+
+
+def warped(image: np.ndarray, degrees: float, scale: float) -> np.ndarray:
+    """An image turned about its middle and scaled, grey where nothing is."""
+    h, w = image.shape
+    height, width = round(h * scale), round(w * scale)
+    y, x = np.mgrid[:height, :width]
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    u, v = (x - (width - 1) / 2) / scale, (y - (height - 1) / 2) / scale
+    x, y = c * u + s * v + (w - 1) / 2, c * v - s * u + (h - 1) / 2
+    inside = (x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1)
+    return np.where(inside, _sampled(image[None], np.zeros(x.shape, int), y, x), 128)
+
+
+def edited(image: np.ndarray, edit: str, seed: int) -> np.ndarray:
+    """The image with one of EDITS."""
+    if edit == EDITS[0]:
+        k = SIDE // 12
+        return np.pad(np.rot90(np.minimum(image + 12, 255))[k:, k:], ((0, k), (0, k)), constant_values=128)
+    if edit in EDITS[1:3]:
+        return warped(image, 10 if edit == EDITS[1] else 30, 1.0)
+    if edit == EDITS[3]:
+        return warped(image, 0, 0.85)
+    if edit == EDITS[4]:
+        return image[:, : image.shape[1] // 2]
+    return np.clip(image + np.random.default_rng(seed).normal(0, 8, image.shape), 0, 255)
+
+
 def render(vectors: DataFrame) -> DataFrame:
-    """(id, pixels) from embeddings (vec_id, embedding of 64 numbers): a texture of 8 x 8 waves each, as the tables have no images.
+    """(id, pixels, width, height) from embeddings (vec_id, embedding of 64 numbers): a texture of 8 x 8 waves each, as the tables have no images.
 
-    Of every twentieth vector there is also an edited copy, id -1 - vec_id: turned by a quarter, cropped at two
-    sides and brightened.
+    Of every twentieth vector there is also an edited copy, id -1 - vec_id, the edits of EDITS in turn.
     """
 
     def draw(batches):
-        cell = SIDE // 8
         waves = np.cos(np.pi * np.outer(np.arange(3, 19, 2), 2 * np.arange(SIDE) + 1) / (2 * SIDE))
         for batch in batches:
-            ids, out = [], []
+            rows = []
             for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"], strict=True):
                 v = np.nan_to_num(np.array(v.as_py() if v.is_valid else [], np.float32))
                 if len(v) != 64:
-                    ids.append(i)
-                    out.append(None)
+                    rows.append((i, None, None, None))
                     continue
                 image = waves.T @ v.reshape(8, 8) @ waves
-                image = 20 + 200 * (image - image.min()) / max(float(np.ptp(image)), 1e-9)
-                ids.append(i)
-                out.append(image.astype(np.uint8).tobytes())
+                image = np.floor(20 + 200 * (image - image.min()) / max(float(np.ptp(image)), 1e-9))
+                drawn = [(i, image)]
                 if i is not None and i % 20 == 0:
-                    edited = np.rot90(np.minimum(image + 12, 255))
-                    k = cell * 2 // 3
-                    edited = np.pad(edited[k:, k:], ((0, k), (0, k)), constant_values=128)
-                    ids.append(-1 - i)
-                    out.append(edited.astype(np.uint8).tobytes())
-            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "pixels": pa.array(out, pa.binary())})
-
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(draw, "id long, pixels binary")
+                    drawn.append((-1 - i, edited(image, EDITS[i // 20 % len(EDITS)], i)))
+                rows += [(k, x.astype(np.uint8).tobytes(), x.shape[1], x.shape[0]) for k, x in drawn]
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "pixels", "width", "height"])
+
+    return C.bounded(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(draw, "id long, pixels binary, width int, height int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
