@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from docledger.llm import common as C
 from docledger.llm import html_template as H
 from docledger.llm import images as I
 from docledger.llm import url_lists as U
@@ -89,6 +90,57 @@ def test_attributes_and_marks(spark):
     assert extracted(spark, [("", f"<div>{text}</div><div class=sidebar><article>other</article></div>"), ("", f"<article>{text}</article><div class=related><article>other</article></div>")]) == ["the article's own text"] * 2
 
 
+def shop(k: int, n: int = 3) -> str:
+    """A page whose elements say nothing: an own first line, n paragraphs, and on some pages a list that repeats."""
+    lines = "".join(f"<div>line{j} of page{k} has words of its own</div>" for j in range(n))
+    optional = "<dl><dd>Join our club today</dd><dd>It costs you nothing</dd></dl>" if k % 4 else ""
+    return f"<body><table><tr><td>Our shop sells things</td><td>Open from nine to five</td></tr></table><section><p>page{k} begins here</p>{lines}</section>{optional}<ol><li>Write to us today</li></ol></body>"
+
+
+def test_template_decides_without_helpful_tags(spark, monkeypatch):
+    rows = [(f"http://shop/{k}", shop(k, 2 + k % 3)) for k in range(8)]
+    want = ["\n\n".join([f"page{k} begins here", *(f"line{j} of page{k} has words of its own" for j in range(2 + k % 3))]) for k in range(8)]
+    got = extracted(spark, rows)
+    assert got == want
+    monkeypatch.setattr(H, "SUPPORT", 2.0)  # no class is frequent: templates are off
+    off = extracted(spark, rows)
+    assert all(a != b and "Our shop sells things" in b for a, b in zip(got, off, strict=True))
+
+
+def test_template_inside_articles(spark):
+    rows = [(f"http://news/{k}", f"<body><article><h1>News of the day</h1><p>text{k} of number{k}</p><div>Tell your friends about us</div></article></body>") for k in range(5)]
+    assert extracted(spark, rows) == [f"News of the day\n\ntext{k} of number{k}" for k in range(5)]
+    rows = [("", f"<article><p>a b</p><figure><figcaption>cap tion</figcaption></figure><label>la bel</label><div class={c}>in side</div></article>") for c in ("discussion", "side-by-side", "paper-discussion")]
+    assert extracted(spark, rows) == ["a b\n\ncap tion\n\nla bel\n\nin side"] * 3
+
+
+def test_classes_by_brute_force(spark):
+    """Every large and frequent group of tokens with equal counts on all unlike pages, and no other."""
+    pages = [("a", shop(k, 1 + k % 3)) for k in range(9)] + [("b", shop(k)) for k in range(2)] + [("c", page(k, f"<p>own {k}</p>")) for k in range(4)]
+    got = H.equivalence_classes(H.unlike(spark.createDataFrame([(k, *p) for k, p in enumerate(pages + pages[:4])], "page_id long, host string, html string"))).collect()
+    want = set()
+    for host in "abc":
+        counts = [H.Counter((h, t is not None) for h, t in H._page(html)) for name, html in pages if name == host]
+        vectors = {}
+        for token in set().union(*counts):
+            v = tuple(c[token] for c in counts)
+            if sum(n > 0 for n in v) >= max(H.LEAST_PAGES, H.SUPPORT * len(counts)) and token != (H.HEADING, True):
+                vectors.setdefault(v, []).append(token)
+        for v, tokens in vectors.items():
+            if len(tokens) >= H.LEAST_TOKENS and len(counts) >= H.LEAST_PAGES:
+                want.add((host, v == (1,) * len(counts), frozenset(h for h, text in tokens if not text), frozenset(h for h, text in tokens if text)))
+    assert {(r.host, r.is_root, frozenset(r.tokens), frozenset(r.texts)) for r in got} == want and any(not w[1] for w in want)
+
+
+def test_hostile_markup():
+    deep = "<div>" * 3000 + "deep" + "</div>" * 3000
+    assert H.extract(deep, None) == "deep"
+    long = "<article>" + "<p>some words &amp; more</p>" * 20_000 + "</article>"
+    assert H.extract(long, None).count("some words & more") == 20_000
+    for html in ("<", "<!--", "<div class='", "<a href=\"x>y", "</p></p>", "<script>", "&#xFFFFFFF;", "<p" * 1000, "<!doctype", "\x00<p>a"):
+        assert isinstance(H.extract(html, None), str)
+
+
 def test_archives(spark):
     big = "é" * 90_000
     rows = [(3, "http://a/3", big), (1, "http://a/b c\r\nX: y", big), (2, None, big), (4, "u", "x" * 99), (5, "u", "x" * 99), (6, "u", None), (7, "u", ""), (1, "http://a/b", big), (None, "n", "y" * 200), (8, "u", "y" * 200)]
@@ -101,6 +153,16 @@ def test_archives(spark):
     assert kinds == sorted([(3, "revisit", 1, n), (1, "response", None, n), (1, "response", None, n), (2, "revisit", 1, n), (4, "response", None, 99), (5, "response", None, 99), (6, "response", None, 0), (7, "response", None, 0), (-1, "response", None, 200), (8, "response", None, 200)])
     assert all(bytes(r.payload).decode() == big for r in got if r.page_id == 1)
     assert W.read_archives(spark, folder + "-none", archives.limit(0)).count() == 0
+    none = C.materialize(W.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), folder + "-empty"))
+    assert none.count() == 0
+
+
+def test_revisits_need_their_response(spark):
+    columns = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean"
+    rows = [(1, 200, "aa", "response", None, True), (2, 200, "aa", "revisit", 1, False), (3, 200, "bb", "revisit", 1, False), (4, 201, "aa", "revisit", 1, False), (5, 200, "aa", "revisit", 9, False), (6, 200, "cc", "response", None, False), (7, 200, "cc", "revisit", 6, False), (1, 200, "aa", "response", None, True)]
+    got = {r.page_id: r.verified for r in W._revisits_verified(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False}
+    assert W._revisits_verified(spark.createDataFrame(rows, columns)).count() == len(rows)
 
 
 def test_broken_segments():
@@ -132,6 +194,32 @@ def test_url_lists_oracle(spark):
     assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in U.query(spark, "/root/testdata/sf0.01").select(*columns).collect())
 
 
+def textures(n: int, seed: int = 9) -> list[np.ndarray]:
+    """Images of SIDE times SIDE grey levels: noise of two scales."""
+    random = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = I._box(random.normal(0, 1, (1, I.SIDE, I.SIDE)), 2) * 5 + I._box(random.normal(0, 1, (1, I.SIDE, I.SIDE)), 5) * 8
+        out.append(np.floor(20 + 200 * (a[0] - a.min()) / np.ptp(a)))
+    return out
+
+
+def test_recall_of_each_edit(spark):
+    """100 images among as many edited copies of each kind, of other sizes too."""
+    n, rows = 100, []
+    more = {"scale 0.75": lambda a: I.warped(a, 0, 0.75), "inner half": lambda a: a[14:-14, 14:-14], "colour, larger": lambda a: I.warped(a, 0, 1.3)}
+    kinds = [*I.EDITS, *more]
+    for k, a in enumerate(textures(n)):
+        rows.append((k, a, 1))
+        rows += [(1000 * (j + 1) + k, more[kind](a) if kind in more else I.edited(a, kind, k), 3 if kind.startswith("colour") else 1) for j, kind in enumerate(kinds)]
+    rows = [(k, np.repeat(a.astype(np.uint8)[:, :, None], c, axis=2).tobytes(), a.shape[1], a.shape[0]) for k, a, c in rows]
+    images = spark.createDataFrame(rows, "id long, pixels binary, width int, height int").repartition(8)
+    got = I.find_copies(images, F.col("id") < n).toPandas().set_index("id")
+    recall = {kind: float((got.best_query.loc[[1000 * (j + 1) + k for k in range(n)]].to_numpy() == np.arange(n)).mean()) for j, kind in enumerate(kinds)}
+    assert min(recall.values()) >= 0.9, recall
+    assert (got.loc[range(n)].n_queries == 0).all()
+
+
 def test_edited_copies_are_found(spark):
     got = I.query(spark, "/root/testdata/sf0.001").toPandas()
     copies = got[(got.id < 0) & ((-1 - got.id) % 100 == 0)]
@@ -139,13 +227,31 @@ def test_edited_copies_are_found(spark):
     assert (got[got.n_queries > 0].id < 0).all()
 
 
-def test_bands_lose_nothing():
+def test_tables_find_close_descriptors():
+    """Descriptors that differ in a tenth of their bits share a key of some table."""
     random = np.random.default_rng(1)
-    for _ in range(200):
-        a = random.integers(0, 2, 128)
-        b = a.copy()
-        b[random.choice(128, I.RADIUS, replace=False)] ^= 1
-        assert any((x == y).all() for x, y in zip(a.reshape(I.BANDS, -1), b.reshape(I.BANDS, -1), strict=True))
+    a = random.integers(-(2**63), 2**63 - 1, (2000, 2))
+    flips = np.packbits(random.random((2000, 128)) < 0.1, axis=1).view(np.int64)
+    b = a ^ flips
+    met = (I.keys_of(a[:, 0], a[:, 1]) == I.keys_of(b[:, 0], b[:, 1])).any(axis=1)
+    assert met.mean() > 0.8
+
+
+def test_consensus_by_brute_force():
+    random = np.random.default_rng(5)
+    for n in (1, 7, 60, 300):
+        q = np.column_stack([random.uniform(0, 96, (n, 2)), random.uniform(-3, 3, n), random.choice(I.SCALES, n)])
+        m = q.copy()
+        m[:, :2] += 5
+        wrong = random.random(n) < 0.3
+        m[wrong, :2] = random.uniform(0, 96, (wrong.sum(), 2))
+        best = 0
+        for i in range(n):
+            turn, grow = m[i, 2] - q[i, 2], q[i, 3] / m[i, 3]
+            turned = q[:, :2] @ (grow * np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]]))
+            good = np.hypot(*(turned - turned[i] + m[i, :2] - m[:, :2]).T) <= I.SLACK
+            best = max(best, min(len({(int(a) >> 3, int(b) >> 3) for a, b in p[good, :2]}) for p in (q, m)))
+        assert I.consensus(q, m) == best
 
 
 def test_images_odd_rows(spark):

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docledger.llm import common as C
 from docledger.llm import decontaminate as D
 from docledger.llm import jaccard as J
 from docledger.llm import licences as L
@@ -52,8 +53,24 @@ def test_jaccard_blocks_agree(docs, monkeypatch):
     monkeypatch.setattr(J, "PIVOT_ROUNDS", 0)
     monkeypatch.setattr(J, "BLOCK", 4)
     monkeypatch.setattr(J, "SMALL", 3)
-    monkeypatch.setattr(J, "MET", 50)
     assert sorted(map(str, J.jaccard_components(docs).collect())) == want
+    monkeypatch.setattr(J, "PIVOT_ROUNDS", 3)
+    monkeypatch.setattr(J, "LARGE", 4)
+    assert sorted(map(str, J.jaccard_components(docs).collect())) == want
+
+
+def test_shingles_settled_in_a_task():
+    """A known row's shingle has two rows that the task deals by the shingle itself."""
+    random = np.random.default_rng(8)
+    task, plain, rows = J._Met(), {}, 0
+    for _ in range(8):
+        h = np.where(random.random(60) < 0.5, random.integers(0, 3, 60), random.integers(3, 500, 60)).astype(np.uint64)
+        for x, known in zip(h.tolist(), task.known(h).tolist(), strict=True):
+            rows += 1
+            if not known:
+                plain[x] = plain.get(x, 0) + 1
+            assert not known or plain[x] >= 2
+    assert sum(plain.values()) < 0.8 * rows and max(plain.values()) < 12
 
 
 def test_suffix_filter_never_over():
@@ -103,8 +120,9 @@ def test_places_settled_before_the_shuffle(spark, monkeypatch, sent, but_first):
         for _ in range(6):
             h = np.where(random.random(40) < 0.6, random.integers(0, 4, 40), random.integers(4, 300, 40)).astype(np.uint64)
             doc, pos = random.integers(0, 9, 40), random.integers(0, 30, 40).astype(np.int32)
-            rows += zip(h.tolist(), doc.tolist(), pos.tolist(), strict=True)
-            batches.append(task.batch(h, doc, pos))
+            g = random.integers(0, 2, 40).astype(np.uint64) if but_first else h
+            rows += zip(zip(h.tolist(), g.tolist(), strict=True), doc.tolist(), pos.tolist(), strict=True)
+            batches.append(task.batch(h, doc, pos, g))
     if sent > 300:
         assert sum((b["pos"].to_numpy() < 0).sum() for b in batches) > 0.4 * len(rows)
     by = {}
@@ -125,9 +143,12 @@ def test_windows_of_other_sizes(spark, window):
 ITEMS = [(1, " ".join(f"w{i * 7 % 101}x{i}" for i in range(10, 32))), (2, "ONE two"), (3, "one"), (4, None), (5, ""), (None, "one two"), (6, "t1 t2 t3 t4 t5 t6 t7 t8 t9 t10 t11"), (6, "t1 t2 t3 t4 t5 t6 t7 t8 t9 t10 t11")]
 
 
-@pytest.mark.parametrize("block", [D.BLOCK, 5])
-def test_decontamination(spark, docs, rows, block, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK", block)
+@pytest.mark.parametrize("bits", [(D.COUNTER_BITS, D.FILTER_BITS, C.BROADCAST_BYTES), (3, 8, -1)])
+def test_decontamination(spark, docs, rows, bits, monkeypatch):
+    """Also with a sketch and a filter that hold nearly nothing back, and without broadcasts."""
+    counter_bits, filter_bits, broadcast = bits
+    monkeypatch.setattr(C, "BROADCAST_BYTES", broadcast)
+    docs = docs.withColumns({"key": F.lit("k"), "hit": F.lit("h"), "text_key": F.lit("t"), "pos": F.lit(4)})
     windows = {}
     for i, t in ITEMS:
         w = ALNUM.findall(lowered(t))
@@ -143,7 +164,9 @@ def test_decontamination(spark, docs, rows, block, monkeypatch):
                     hit[j : j + n] = [True] * n
                     items |= windows[k]
         want.append((i, len(w), sum(hit), len(items), sha(",".join(sorted(items))), sum(hit) > 0))
-    got = D.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = D.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), 10, counter_bits, filter_bits)
+    assert set(docs.columns) <= set(found.columns) and found.select("key", "hit", "text_key", "pos").distinct().collect() == [("k", "h", "t", 4)]
+    got = found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
 
 
@@ -166,6 +189,53 @@ def test_licences(spark):
     assert got[6] == got[7] == (0, 0, None, None, "", "", 0.0)
 
 
+def brute_base(text):
+    """The base columns of one text by their definition."""
+    w = ALNUM.findall(lowered(text))
+    found = [(i, label) for phrase, label in L.BASE.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in found]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def test_whole_licences_with_changed_words(spark, docs):
+    import random
+
+    random.seed(4)
+    rows, want = [(0, "cc by cc by cc-by. General  public license; general public licence all rights reserved rights"), (1, "license " * 3000)], {}
+    for k, (label, text, phrases, _) in enumerate(L.TEXTS):
+        words = text.split()
+        for j, change in enumerate(("none", "put", "left", "other")):
+            w = list(words)
+            key = {x for p in phrases for x in p.split()}
+            for _ in range(len(w) // 20 if change != "none" else 0):
+                i = random.randrange(len(w))
+                if set(ALNUM.findall(lowered(w[i]))) & key or (i and set(ALNUM.findall(lowered(w[i - 1]))) & key):
+                    continue
+                if change == "put":
+                    w.insert(i, "strange")
+                elif change == "left":
+                    del w[i]
+                else:
+                    w[i] = "other"
+            rows.append((10 + 10 * k + j, "before it " * 5 + " ".join(w) + " and after"))
+            want[rows[-1][0]] = label
+        rows.append((9000 + k, phrases[0] + " but nothing else of the text"))
+    got = {r.doc_id: r for r in L.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, label in want.items() if label not in got[i].labels.split(",")] == []
+    assert all(got[i].score > 0.6 for i in want)
+    assert "bsd-2-clause" not in got[9001].labels and "isc" not in got[9003].labels
+    for i, t in rows:
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == brute_base(t)
+
+
+def test_base_places_by_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = L.query(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts) and sum(r.n_base for r in got) > 10
+    for r in got:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_base(texts[r.doc_id])
+
+
 def test_licences_odd_rows(docs, rows):
     for r in L.scan_licences(docs).collect():
         assert 0 <= r.score <= 1
