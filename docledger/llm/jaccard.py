@@ -11,10 +11,10 @@ whose doc_id is null gets its n_shingles and a null component_id; an empty table
 How: exact copies are put aside. A fixed-size count sketch over all shingles gives the order,
 rare first. Each document's prefix of that order goes to its shingles' partitions; shingles met
 once go no further, and of a shingle that very many have each task sends two rows to its partition and
-spreads the others. Candidates must pass the length and positional filters. Members of a run are
-first paired with one pivot each round; what that links is one component, so the last round takes
-only pairs between different components and groups of copies never cost all their pairs. Pairs
-are verified once, after a suffix filter, on whole sets.
+spreads the others. Candidates must pass the length and positional filters. Documents that meet in small runs are
+paired by a join, and each tries its least partner first; members of a large run try one pivot each round. What
+that links is one component, so the last round takes only pairs between different components and groups of copies
+never cost all their pairs. Pairs are verified once, after a suffix filter, on whole sets.
 """
 
 from functools import reduce
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columnar import SPACES, U, chunks, mix, runs
+from .columnar import SPACES, U, chunks, runs
 
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the input's size.
 SKETCH_BITS = 18
@@ -118,9 +118,8 @@ def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataF
             if h:
                 h, rep, size, pos = map(np.concatenate, (h, rep, size, pos))
                 known = met.known(h)
-                # A known row needs no proof any more; it is dealt by a hash of its own, and ~pos says so.
-                deal = np.where(known, mix(rep.view(U) ^ mix(h)), h)
-                yield pa.record_batch({"deal": deal.view(np.int64), "h": h.view(np.int64), "rep": rep, "n": size, "pos": np.where(known, ~pos, pos)})
+                # A known row needs no proof any more; ~pos says so.
+                yield pa.record_batch({"h": h.view(np.int64), "rep": rep, "n": size, "pos": np.where(known, ~pos, pos)})
 
     def met_again(batches):
         held = None  # a last row whose run may go on
@@ -146,11 +145,12 @@ def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataF
             held = None if keep[-1] else batch.slice(len(h) - 1)
             last = h[-1] if keep[-1] else None
             if keep.any():
-                yield batch.filter(pa.array(keep)).select(["h", "rep", "n", "pos"])
+                yield batch.filter(pa.array(keep))
 
-    rows = docs.mapInArrow(prefixes, "deal long, h long, rep long, n int, pos int")
-    # Sorted by h: a known row's h may lie between others, but each run of rows to be proven is together.
-    return C.materialize(rows.repartition("deal").sortWithinPartitions("h").mapInArrow(met_again, "h long, rep long, n int, pos int"))
+    rows = docs.mapInArrow(prefixes, "h long, rep long, n int, pos int")
+    # Known rows are dealt evenly; of the others each run is together, as they are sorted by h.
+    deal = F.when(F.col("pos") < 0, F.xxhash64("h", "rep")).otherwise(F.col("h"))
+    return C.materialize(rows.repartition(deal).sortWithinPartitions("h").mapInArrow(met_again, "h long, rep long, n int, pos int"))
 
 
 def _filters(x: str, y: str, threshold: int):
@@ -204,24 +204,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> Data
     return good
 
 
-def _small_runs(rows: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a run of open_runs (h) and pass the filters."""
-    met = rows.join(open_runs.select("h"), "h")
-    found = met.alias("x").join(met.alias("y"), "h").where("x.rep < y.rep and x.c <> y.c").where(_filters("x", "y", threshold))
-    return found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+def _small_runs(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b), a < b, that meet in runs of rows, each of a bounded size, and pass the filters.
+
+    A pair that meets in large runs too is counted short here, but found there.
+    """
+    found = rows.alias("x").join(rows.alias("y"), "h").where("x.rep < y.rep").where(_filters("x", "y", threshold))
+    pairs = found.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("i"), F.col("y.n").alias("j")).agg(F.count("*").alias("k"))
+    # Whatever two sets share outside of both prefixes is behind the prefix of one of them.
+    behind = lambda n: F.ceil(threshold * F.col(n) / 100) - 1
+    return pairs.where((100 + threshold) * (F.col("k") + F.greatest(behind("i"), behind("j"))) >= threshold * (F.col("i") + F.col("j"))).select("a", "b").distinct()
+
+
+def _open_runs(rows: DataFrame, step: int) -> DataFrame:
+    """(h, m, p) of runs of rows with more than one component: size, and a pivot (c, n, rep, pos) of the least component."""
+    first = F.min(F.struct("c", *([F.xxhash64("rep", F.lit(step)).alias("by")] if step else []), "n", "rep", "pos"))
+    found = rows.groupBy("h").agg(F.count("*").alias("m"), F.max("c").alias("high"), first.alias("p"))
+    return C.materialize(found.where("p.c < high").drop("high"))
+
+
+def _with_pivots(rows: DataFrame, runs_of: DataFrame, tried: list[DataFrame], threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of runs with the pivot that each shares most with; pairs of tried are left out."""
+    pivots = runs_of.select("h", "p.rep", "p.n", "p.pos", "p.c")
+    found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.c")).where(_filters("x", "y", threshold))
+    found = found.groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).count()
+    found = _without(found.select("x", "y", "count", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), tried)
+    return found.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("count", -F.col("y"))).alias("best")).select("best.*").distinct()
 
 
-def _large_runs(rows: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a prefix shingle and pass all filters.
+def _without(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    for t in tried:
+        pairs = pairs.join(C.sized(t, 16), ["a", "b"], "left_anti")
+    return pairs
 
-    open_runs: h with its pivot and the pivot's component, main. A document's shared shingles stay together.
+
+def _large_runs(rows: DataFrame, shared: DataFrame, open_runs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in open runs of rows and pass all filters.
+
+    open_runs: h with its pivot and the pivot's component, main. A document's shared shingles, of all runs, stay together.
     Documents of runs with the same pivot meet in blocks of BLOCK, so no pair is a row before it has passed: from the
     number of shingles that two prefixes share and what is left behind them follows the most their sets can share.
     """
     met = rows.join(open_runs, "h")
     members = C.materialize(met.select("pivot", "rep", "c", (F.col("c") == F.col("main")).alias("main")).groupBy("pivot", "rep", "c").agg(F.min("main").alias("main")))
     size = members.groupBy("pivot").agg(F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("n_rest"), F.ceil(F.count_if("main") / BLOCK).cast("int").alias("n_main"))
-    whole = rows.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep", "n", "c").agg(F.collect_list("h").alias("hs"))
+    whole = shared.join(members.select("rep", "c").distinct(), "rep").groupBy("rep", "n", "c").agg(F.collect_list("h").alias("hs"))
     placed = members.drop("c").join(size, "pivot")
     # Blocks 0 .. n_rest - 1, then those of the pivot's own component, which needn't meet each other.
     own = F.when(F.col("main"), F.col("n_rest") + F.pmod(F.xxhash64("rep"), F.col("n_main"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("n_rest"))).cast("int")
@@ -272,48 +299,52 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[Dat
         reps = reps.dropDuplicates()
     sizes, order = _counts(reps, n)
     shared = _shared(reps, order, n, threshold)
-    links, tried, used = [], [], [shared]
+    large = C.materialize(shared.groupBy("h").count().where(F.col("count") > SMALL).select("h"))
+    small = C.materialize(_small_runs(shared.join(C.sized(large, 16), "h", "left_anti"), threshold))
+    rows = big = C.materialize(shared.join(C.sized(large, 16), "h"))
+    some = not big.isEmpty()
+    links, tried, used = [], [], [shared, large, small, big]
     components = None
-    for step in range(PIVOT_ROUNDS + 1):
-        if components is None:
-            rows = shared.withColumn("c", F.col("rep"))
-        else:
-            rows = C.materialize(shared.join(C.sized(components.withColumnRenamed("node", "rep"), 24), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component"))
-            used.append(rows)
-        # Runs whose members are all linked already have no more to say. Each round tries pivots of its own.
-        order_by = F.struct("c", "n", "rep") if not step else F.struct("c", F.xxhash64("rep", F.lit(step)), "rep")
-        runs_of = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("rep", "n", "pos", "c"), order_by).alias("p"))
-        open_runs = C.materialize(runs_of.where("low < high").drop("low", "high"))
-        used.append(open_runs)
-        asked = open_runs.where(F.col("m") > LARGE) if step else open_runs
-        last = step == PIVOT_ROUNDS or asked.isEmpty()
-        if last:
-            pairs = _small_runs(rows, open_runs.where(F.col("m") <= SMALL), threshold)
-            blocks = _large_runs(rows, open_runs.where(F.col("m") > SMALL).select("h", F.col("p.rep").alias("pivot"), F.col("p.c").alias("main")), threshold)
-            pairs = pairs.unionByName(blocks).distinct()
-            for t in tried:
-                pairs = pairs.join(C.sized(t, 16), ["a", "b"], "left_anti")
-        else:
-            pivots = asked.select("h", "p.rep", "p.n", "p.pos", "p.c")
-            found = rows.alias("x").join(pivots.alias("y"), "h").where(F.col("x.c") != F.col("y.c")).where(_filters("x", "y", threshold))
-            # Each member tries the pivot that it shares most with.
-            found = found.groupBy(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).count()
-            found = found.select("x", "y", "count", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            for t in tried:
-                found = found.join(C.sized(t, 16), ["a", "b"], "left_anti")
-            pairs = found.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("count", -F.col("y"))).alias("best")).select("best.*").distinct()
+
+    def try_pairs(pairs: DataFrame) -> None:
+        nonlocal components
         pairs = C.materialize(pairs)
         tried.append(pairs)
         if not pairs.isEmpty():
             links.append(_verified(pairs, reps, n, threshold))
             components = C.connected_components(reduce(DataFrame.unionByName, links))
             used.append(components)
-        if last:
-            break
+
+    def of_now(table: DataFrame, node: str, name: str) -> DataFrame:
+        """table with the component that its column node is in now."""
+        if components is None:
+            return table.withColumn(name, F.col(node))
+        found = components.select(F.col("node").alias(node), F.col("component").alias(name))
+        return table.join(C.sized(found, 24), node, "left").withColumn(name, F.coalesce(name, node))
+
+    for step in range(PIVOT_ROUNDS if some else 1):
+        # First each document tries its least partner and a pivot; then only members of very large runs try others.
+        pairs = None if step else small.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        if some:
+            rows = C.materialize(of_now(big, "rep", "c"))
+            runs_of = _open_runs(rows, step)
+            used += [rows, runs_of]
+            asked = runs_of.where(F.col("m") > LARGE) if step else runs_of
+            if step and asked.isEmpty():
+                break
+            found = _with_pivots(rows, asked, tried, threshold)
+            pairs = found if pairs is None else pairs.unionByName(found).distinct()
+        try_pairs(pairs)
+    pairs = of_now(of_now(small, "a", "c"), "b", "d").where("c <> d").select("a", "b")
+    if some:
+        rows = C.materialize(of_now(big, "rep", "c"))
+        runs_of = _open_runs(rows, 0)
+        used += [rows, runs_of]
+        pairs = pairs.unionByName(_large_runs(rows, shared, runs_of.select("h", F.col("p.rep").alias("pivot"), F.col("p.c").alias("main")), threshold)).distinct()
+    try_pairs(_without(pairs, tried))
     if components is None:
         return copies, sizes, spark.createDataFrame([], "node long, component long")
-    used.remove(components)
-    C.drop(*used, *tried, *links)
+    C.drop(*[t for t in used if t is not components], *tried, *links)
     return copies, sizes, components
 
 
