@@ -1,7 +1,7 @@
 """Numbers with units in texts, as multisets that can be compared between versions."""
 
 import re
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,50 +9,66 @@ from pyspark.sql import functions as F
 
 from docledger.functions.text import TOKEN, ws_normalized
 
-#: Common symbols of the base vocabulary; callers can add their own.
-UNITS = "s ms µs ns min h d Hz kHz MHz GHz V mV kV MV A mA µA kA W mW kW MW Ω kΩ MΩ F µF nF pF H mH N kN Nm Pa kPa MPa bar mbar °C K % dB dBm m mm cm km µm in g kg mg t l ml bit kbit Mbit B kB MB GB rpm rad deg".split()
-#: Fixed value: words before a number that make it a reference.
-REFERENCE = r"\b(?:section|chapter|table|figure|fig\.|clause|annex|appendix|equation|note)\s+[A-Z]?\d+(?:\.\d+)*"
-
-_NUMBER = re.compile(r"(?<![\w.,])(?P<sign>[-+−]?)(?P<digits>\d[\d.,]*(?:[eE][-+]?\d+)?)")
-
-
-def canonical(digits: str) -> str:
-    """A plain decimal without thousands separators; what no decimal is stays as it is."""
+#: The base vocabulary; callers can add their own.
+UNITS = """
+% ‰ ° °C °F K
+s ms µs us ns min h d
+Hz kHz MHz GHz rpm
+m mm cm km in ft
+g kg mg t N Nm kN
+V mV kV A mA µA Ω kΩ MΩ W kW mW Wh kWh Ah mAh
+Pa kPa MPa bar mbar psi
+B kB MB GB bit kbit Mbit baud
+""".split()
+#: Words before a dotted number that make it a reference, and the form of block IDs.
+REFERENCE = r"(?:\b(?:section|clause|figure|table|annex)|§)\s*\d+(?:\.\d+)+"
+BLOCK_ID = r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{1,7}-[0-9]{6}(?![0-9])"
+
+_NUMBER = re.compile(r"(?<![\w.,])(?P<sign>[-+±−]?)(?P<digits>\d[\d.,]*(?:[eE][-+]?\d+)?)")
+_RANGE = re.compile(r"\s?[-–—]\s?(?=\d)")
+_UNIT = re.compile(r"[^\s\d.,;:()\[\]]+")
+#: Exponents beyond this stay as they are written.
+_PLAIN = 60
+
+
+def canonical(number: str) -> str:
+    """A plain decimal without thousands separators; what no decimal is, or too large for one, stays as it is."""
+    sign = "±" if number.startswith("±") else ""
     try:
-        value = Decimal(digits.replace(",", "").replace("−", "-"))
-    except InvalidOperation:
-        return digits
-    return f"{value.normalize():f}" if value else "0"
+        value = Decimal(number.removeprefix("±").replace(",", "").replace("−", "-"))
+        if not value:
+            return f"{sign}0"
+        value = value.normalize()
+    except ArithmeticError:
+        return number
+    return f"{sign}{value:f}" if abs(value.adjusted()) <= _PLAIN else f"{sign}{value}"
 
 
 def tokens_of(text: str | None, units: frozenset) -> list[dict]:
-    """value, unit and whether it is an end of a range, for each number that isn't an ID, link or reference."""
+    """value, unit and whether it is an end of a range, for each number that isn't an ID, link target or reference."""
     if not text:
         return []
-    text = re.sub(r"\[\[([^\]|]*)\|?[\d.]*([^\]]*)\]\]", r" \2 ", ws_normalized(text))
-    text = re.sub(r"\b[A-Z]+-\d{6}\b", " ", text)
-    text = re.sub(REFERENCE, " ", text, flags=re.I)
+    text = ws_normalized(text)
+    text = re.sub(r"\[\[[^\]|]*(?:\|([^\]]*))?\]\]", lambda m: f" {m[1] or ''} ", text)
+    text = re.sub(REFERENCE, " ", re.sub(BLOCK_ID, " ", text), flags=re.I)
     out, at = [], 0
-    text_range = re.compile(r"\s?[-–]\s?(?=\d)")
+
+    def unit_at(end: int) -> str | None:
+        found = _UNIT.match(text, end + (text[end : end + 1] == " "))
+        return found[0] if found and found[0] in units else None
+
     while m := _NUMBER.search(text, at):
         digits = m["digits"].rstrip(".,")
-        end = m.start("digits") + len(digits)
-        unit, tail = None, text[end : end + 1] == " " and text[end + 1 :] or text[end:]
-        found = re.match(r"[^\s\d.,;:()\[\]]+", tail)
-        if found and found[0] in units:
-            unit = found[0]
+        at = m.start("digits") + len(digits)
+        unit = unit_at(at)
         out.append({"value": canonical(m["sign"] + digits), "unit": unit, "range": False})
-        span = text_range.match(text, end)
-        at = end
-        if span and (second := re.match(r"\d[\d.,]*", text[span.end() :])):
-            digits = second[0].rstrip(".,")
-            end = span.end() + len(digits)
-            found = re.match(r" ?([^\s\d.,;:()\[\]]+)", text[end:])
-            unit = found[1] if found and found[1] in units else None
-            out[-1] |= {"range": True, "unit": out[-1]["unit"] or unit}
-            out.append({"value": canonical(digits), "unit": unit, "range": True})
-            at = end
+        behind = at if unit is None else text.index(unit, at) + len(unit)
+        if (span := _RANGE.match(text, behind)) and (second := _NUMBER.match(text[span.end() :])):
+            digits = second["digits"].rstrip(".,")
+            at = span.end() + len(digits)
+            second_unit = unit_at(at)
+            out[-1] |= {"range": True, "unit": unit or second_unit}
+            out.append({"value": canonical(digits), "unit": second_unit, "range": True})
     return out
 
 
@@ -75,3 +91,21 @@ def multiset_difference(base: DataFrame, work: DataFrame) -> DataFrame:
     both = base.withColumn("_n", F.lit(-1)).unionByName(work.withColumn("_n", F.lit(1)))
     found = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     return found.select(*columns, F.when(F.col("_n") < 0, "removed").otherwise("added").alias("side"), F.abs("_n").cast("long").alias("n"))
+
+
+def numeric_changes(base: DataFrame, work: DataFrame, extra: tuple = ()) -> DataFrame:
+    """(id, removed, added, message) of blocks (id, type, content, supersedes, split_from) whose numbers with units changed.
+
+    A block is compared with itself in base and with every base block that its lineage names, as one multiset. Headings
+    and code have no numbers. removed and added are sorted lists, an entry for each time.
+    """
+    has = lambda t: t.where("id is not null and type not in ('heading', 'code')")
+    token = lambda t, *keys: t.select(*keys, F.explode(numeric_tokens(F.col("content"), extra)).alias("t")).select(*keys, F.concat_ws(" ", "t.value", "t.unit").alias("token"))
+    ids = has(work).select("id", F.array_union(F.array("id"), F.array_compact(F.concat(F.coalesce("supersedes", F.array().cast("array<string>")), F.array("split_from")))).alias("sources"))
+    was = token(has(base), "id").withColumnRenamed("id", "source").join(ids.select("id", F.explode("sources").alias("source")), "source").select("id", "token")
+    found = multiset_difference(was, token(has(work), "id"))
+    texts = lambda side: F.array_sort(F.flatten(F.collect_list(F.when(F.col("side") == side, F.array_repeat("token", F.col("n").cast("int"))))))
+    rows = found.groupBy("id").agg(texts("removed").alias("removed"), texts("added").alias("added"))
+    arrow = F.concat(F.lit('number changed: "'), F.col("removed")[0], F.lit('" -> "'), F.col("added")[0], F.lit('"'))
+    lists = F.concat(F.lit("numbers removed: ["), F.array_join("removed", ", "), F.lit("]  added: ["), F.array_join("added", ", "), F.lit("]"))
+    return rows.withColumn("message", F.when((F.size("removed") == 1) & (F.size("added") == 1), arrow).otherwise(lists))

@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, St
 
 #: Characters that normalization drops, and the ranges that count as CJK.
 INVISIBLE = "​‌‍﻿­"
-CJK = "぀-ヿ㐀-䶿一-鿿가-힯豈-﫿"
+CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
 #: Fixed value: the least similarity of two versions of a block.
 SIMILAR = 0.85
 
@@ -39,8 +39,8 @@ def text_hash(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space tokens with a letter or digit that isn't CJK, and one for every 2.5 CJK characters, rounded up."""
-    spoken = F.size(F.filter(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, f"[{CJK}]", "").rlike(r"[\p{L}\p{N}]")))
-    return (spoken + F.ceil(F.length(F.regexp_replace(text, f"[^{CJK}]", "")) / 2.5)).cast("long")
+    spoken = F.regexp_count(F.regexp_replace(text, f"[{CJK}]", ""), F.lit(r"(?<!\S)[^\s\p{L}\p{N}]*+[\p{L}\p{N}]"))
+    return (spoken + F.ceil(F.regexp_count(text, F.lit(f"[{CJK}]")) / 2.5)).cast("long")
 
 
 def block_id(doc: Column, number: Column) -> Column:

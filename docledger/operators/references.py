@@ -15,8 +15,9 @@ def dangling(links: DataFrame, targets: DataFrame, name: str) -> DataFrame:
 
 
 def inverse(links: DataFrame, source: str, target: str) -> DataFrame:
-    """target, n_refs and the sorted sources as one text."""
-    return links.groupBy(target).agg(F.countDistinct(source).alias("n_refs"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("refs"))
+    """target, source and the target's n_refs, a row for each distinct link: a hub's sources never meet in one row."""
+    rows = links.select(target, source).distinct()
+    return rows.join(rows.groupBy(target).agg(F.count("*").alias("n_refs")), target)
 
 
 def as_of_last(rows: DataFrame, key: list, order: list, wanted: Column, value: str, name: str) -> DataFrame:
@@ -25,24 +26,42 @@ def as_of_last(rows: DataFrame, key: list, order: list, wanted: Column, value: s
     return rows.withColumn(name, F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(before))
 
 
-#: Inner words of a passage that stand for it; passages with fewer are compared with every text.
+#: Words in a row that stand for a passage in the search for its texts.
 KEY_WORDS = 3
+#: Keys are broadcast while they are at most so many, otherwise joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: str) -> DataFrame:
     """(passage_id, text_id) where the text contains the passage.
 
-    A text that contains a passage has its inner words as whole words, so it has the passage's key words in
-    a row: an equality join on these, then the substring test. Passages are expected to be the smaller side.
+    A text that contains a passage has its inner words as whole words. So it has KEY_WORDS of them in a row, or all
+    of fewer, as a key: of a passage's keys the rarest over all texts stands for it. Keys of texts are counted and joined
+    only if a passage has them, and texts are fetched for candidates only; then the substring test follows. Passages
+    without a whole inner word are compared with every text; they are passages of at most two words.
     """
-    by_space = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    p = passages.select(passage_id, F.col("text").alias("_passage")).where("_passage <> ''").withColumn("_w", by_space("_passage"))
-    keyed = p.where(F.size("_w") >= KEY_WORDS + 2).withColumn("_key", F.array_join(F.slice("_w", 2, KEY_WORDS), " "))
-    short = p.where(F.size("_w") < KEY_WORDS + 2)
-    t = texts.select(text_id, F.col("text").alias("_text")).withColumn("_w", by_space("_text"))
-    grams = t.where(F.size("_w") >= KEY_WORDS).select(text_id, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - KEY_WORDS + 1), lambda i: F.array_join(F.slice("_w", i, KEY_WORDS), " ")))).alias("_key"))
-    # Only the key travels; the text is fetched for candidates.
-    candidates = grams.join(keyed.select(passage_id, "_key"), "_key").select(passage_id, text_id).distinct()
-    found = candidates.join(keyed.select(passage_id, "_passage"), passage_id).join(texts.select(text_id, F.col("text").alias("_text")), text_id).where(F.contains("_text", "_passage"))
-    rest = short.join(texts.select(text_id, F.col("text").alias("_text")), F.contains("_text", "_passage"))
-    return found.select(passage_id, text_id).unionByName(rest.select(passage_id, text_id)).distinct()
+    inner = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    grams = lambda words, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
+    p = passages.select(passage_id, F.col("text").alias("_passage")).where("_passage <> ''").withColumn("_w", inner("_passage"))
+    p = p.withColumn("_w", F.when(F.size("_w") > 2, F.slice("_w", 2, F.size("_w") - 2)).otherwise(F.array().cast("array<string>")))
+    sizes = [r[0] for r in p.select(F.least(F.size("_w"), F.lit(KEY_WORDS)).alias("n")).where("n > 0").distinct().orderBy("n").collect()]  # KEY_WORDS at most
+    of_passage = F.array().cast("array<string>")
+    for n in sizes:
+        of_passage = F.when(F.size("_w") >= n if n == KEY_WORDS else F.size("_w") == n, grams(F.col("_w"), n)).otherwise(of_passage)
+    keys = p.select(passage_id, F.explode(of_passage).alias("_key"))
+    known = keys.select("_key").distinct()
+    if known.count() <= BROADCAST_KEYS:
+        known = F.broadcast(known)
+    t = texts.select(text_id, "text").withColumn("_w", inner("text"))
+    parts = [F.when(F.size("_w") >= n, grams(F.col("_w"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    found = t.select(text_id, F.explode(F.concat(F.array().cast("array<string>"), *parts)).alias("_key")).join(known, "_key", "left_semi")
+    often = found.groupBy("_key").agg(F.count("*").alias("_n"))
+    chosen = keys.join(often, "_key").groupBy(passage_id).agg(F.count("*").alias("_met"), F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
+    # Every key must be in some text, or the passage is in none.
+    all_of = keys.groupBy(passage_id).agg(F.count("*").alias("_all"))
+    chosen = chosen.join(all_of, passage_id).where("_met = _all").select(passage_id, "_key")
+    candidates = found.join(chosen, "_key").select(passage_id, text_id).distinct()
+    whole = texts.select(text_id, F.col("text").alias("_text"))
+    met = candidates.join(p.select(passage_id, "_passage"), passage_id).join(whole, text_id).where(F.contains("_text", "_passage"))
+    rest = p.where(F.size("_w") == 0).join(whole, F.contains("_text", "_passage"))
+    return met.select(passage_id, text_id).unionByName(rest.select(passage_id, text_id)).distinct()

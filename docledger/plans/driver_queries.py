@@ -115,17 +115,17 @@ def _hrefs(spark, sf_dir) -> DataFrame:
     return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).distinct()
 
 
-@_query(f"WITH {_HREFS}, targets AS (SELECT href FROM hrefs GROUP BY href HAVING count(*) > 1) SELECT page_id, href FROM hrefs WHERE href NOT IN (SELECT href FROM targets)")
+@_query(f"WITH {_HREFS}, targets AS (SELECT href FROM hrefs GROUP BY href HAVING count(*) > 2) SELECT page_id, href FROM hrefs WHERE href NOT IN (SELECT href FROM targets)")
 def dangling_links(spark, sf_dir):
     links = _hrefs(spark, sf_dir)
-    targets = links.groupBy("href").count().where("count > 1").select("href")
+    targets = links.groupBy("href").count().where("count > 2").select("href")
     return R.dangling(links, targets, "href").select("page_id", "href")
 
 
-@_query(f"WITH {_HREFS} SELECT href AS target, count(DISTINCT page_id) AS n_refs, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS refs FROM hrefs GROUP BY href")
+@_query(f"WITH {_HREFS} SELECT href AS target, page_id AS source, count(*) OVER (PARTITION BY href) AS n_refs FROM hrefs")
 def backlinks(spark, sf_dir):
     found = R.inverse(_hrefs(spark, sf_dir), "page_id", "href")
-    return found.select(F.col("href").alias("target"), "n_refs", "refs")
+    return found.select(F.col("href").alias("target"), F.col("page_id").alias("source"), "n_refs")
 
 
 @_query(f"WITH {_HREFS} SELECT page_id, count(*) AS n_out, array_to_string(list_sort(list(href)), ' ') AS refs_out FROM hrefs GROUP BY page_id")
@@ -161,17 +161,20 @@ def change_summary(spark, sf_dir):
 
 
 def _lineage(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Order keys as block ids; every fifth block takes in the one before it, which goes, as every seventh does."""
+    """Order keys as block ids; every fifth block takes in the one before it, which goes, as every seventh does.
+
+    Every thirtieth block also names one that never was.
+    """
     ids = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     none = F.array().cast("array<long>")
     base = ids.select("id", none.alias("supersedes"), F.lit(None).cast("long").alias("split_from"))
-    merged = F.when(F.col("id") % 5 == 0, F.array(F.col("id") - 1)).otherwise(none)
+    merged = F.when(F.col("id") % 30 == 0, F.array(F.col("id") - 1, -F.col("id"))).when(F.col("id") % 5 == 0, F.array(F.col("id") - 1)).otherwise(none)
     work = ids.where("id % 7 <> 0 and id % 5 <> 4").select("id", merged.alias("supersedes"), F.lit(None).cast("long").alias("split_from"))
     return base, work
 
 
 _LINEAGE = """base AS (SELECT o_orderkey AS id FROM orders), work AS (SELECT id FROM base WHERE id % 7 <> 0 AND id % 5 <> 4),
-claims AS (SELECT id, id - 1 AS claimed FROM work WHERE id % 5 = 0)"""
+claims AS (SELECT id, id - 1 AS claimed FROM work WHERE id % 5 = 0 UNION ALL SELECT id, -id FROM work WHERE id % 30 = 0)"""
 
 
 @_query(f"WITH {_LINEAGE} SELECT id FROM base WHERE id NOT IN (SELECT id FROM work) AND id NOT IN (SELECT claimed FROM claims)")
@@ -241,15 +244,6 @@ def asof_rationale(spark, sf_dir):
     return rows.where("event_type = 'purchase'").select("event_id", "user_id", "rationale")
 
 
-@_query(f"""WITH {_HREFS}, owners AS (SELECT href, min(page_id) AS owner FROM hrefs GROUP BY href)
-SELECT owner, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM hrefs JOIN owners USING (href) WHERE owner % 10 = 0 AND page_id % 10 <> 0 GROUP BY owner""")
-def inbound_impact(spark, sf_dir):
-    links = _hrefs(spark, sf_dir)
-    owners = links.groupBy("href").agg(F.min("page_id").alias("owner"))
-    rows = links.join(owners, "href").where("owner % 10 = 0 and page_id % 10 <> 0")
-    return rows.groupBy("owner").agg(F.count("*").alias("n_links"), F.countDistinct("page_id").alias("n_pages"))
-
-
 @_query()
 def reingest_match(spark, sf_dir):
     """Blocks of documents matched with those of an edited copy; similarity needs a UDF."""
@@ -263,11 +257,12 @@ def reingest_match(spark, sf_dir):
 
 @_query()
 def text_similarity(spark, sf_dir):
-    """The indel ratio of neighbours among documents that begin alike."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", T.normalize("text").alias("norm")).withColumn("bucket", F.md5(F.substring("norm", 1, 60)))
-    near = Window.partitionBy("bucket").orderBy("doc_id")
-    rows = docs.select(F.lag("doc_id").over(near).alias("a"), F.col("doc_id").alias("b"), F.lag("norm").over(near).alias("was"), "norm").where("a is not null")
-    return rows.select("a", "b", T.similarity("was", "norm").alias("similarity"))
+    """The indel ratio of the lines that two versions of a document have at the same place, unless they are equal."""
+    lines = S.block_stream(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "block_index", "content")
+    edited = F.regexp_replace("content", r"\b(\w)(\w+)", "$2$1")
+    work = lines.where(F.pmod(F.xxhash64("doc_id", "block_index"), F.lit(5)) == 0).select("doc_id", "block_index", edited.alias("now"))
+    both = lines.withColumnRenamed("content", "was").join(work, ["doc_id", "block_index"]).where("was <> now")
+    return both.select("doc_id", "block_index", T.similarity(T.normalize("was"), T.normalize("now")).alias("similarity"))
 
 
 @_query()
@@ -278,12 +273,3 @@ def html_flatten(spark, sf_dir):
 @_query()
 def html_wellformed(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", H.well_formed("html").alias("well_formed"))
-
-
-@_query("SELECT r_name, n_name, count(*) AS blocks, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS findings FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name")
-def findings_summary(spark, sf_dir):
-    nation, region = (F.broadcast(_table(spark, sf_dir, t)) for t in ("nation", "region"))
-    rows = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name", "n_name").agg(F.count("*").alias("blocks"), F.count_if(F.col("c_acctbal") < 0).alias("findings"))
-
-

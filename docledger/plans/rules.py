@@ -1,18 +1,40 @@
 """Validation rules over blocks of a base and a working snapshot; each gives findings.
 
-blocks: file, block_index, id, type, content, marker, attrs, supersedes, split_from (sources.sections.blocks).
-Findings: file, rule, severity, block_id, message.
+blocks: as sources.sections.blocks() gives them. Findings: file, rule, severity, block_id, message.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docledger.functions.html import well_formed
-from docledger.functions.numeric import multiset_difference, numeric_tokens
+from docledger.functions.numeric import numeric_changes
 from docledger.functions.text import links_of, words
+from docledger.operators import vault
 from docledger.operators import versions as V
 
 LARGE = 1500
+#: Block types, the form of ids, and what the front matter of a section must have.
+TYPES = ("heading", "paragraph", "list", "table", "figure", "formula", "code", "raw")
+ID = r"^[A-Z][A-Z0-9]{1,7}-[0-9]{6}$"
+REQUIRED = {
+    "id": r'^"[A-Z][A-Z0-9]{1,7}-[0-9]{6}"$',
+    "doc": r'^"[A-Z][A-Z0-9]{1,7}"$',
+    "number": r'^".*"$',
+    "title": r'^".+"$',
+    "level": r"^[0-6]$",
+    "order": r"^\d+$",
+    "path": r"^\[.*\]$",
+    "path_ids": r'^\["[A-Z][A-Z0-9]{1,7}-[0-9]{6}"(,"[A-Z][A-Z0-9]{1,7}-[0-9]{6}")*\]$',
+    "breadcrumb": r'^".*"$',
+    "bookmarks": r"^\[.*\]$",
+    "refs_out": r"^\[.*\]$",
+    "blocks": r"^[1-9]\d*$",
+    "words": r"^\d+$",
+    "source": r'^\{"docx":".*","paragraphs":\[\d+,\d+\]\}$',
+    "ingest_version": r"^[1-9]\d*$",
+    "generated": r"^false$",
+}
+OPTIONAL = {"parent": REQUIRED["id"]}
 
 
 def _finding(rows: DataFrame, rule: str, severity: str, message) -> DataFrame:
@@ -21,13 +43,44 @@ def _finding(rows: DataFrame, rule: str, severity: str, message) -> DataFrame:
     return rows.select(file.alias("file"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), block.alias("block_id"), message.alias("message"))
 
 
+def locked() -> F.Column:
+    """Whether a block is locked: by its attribute, or by its type if it has none."""
+    by_type = F.col("type").isin("figure", "raw") | ((F.col("type") == "formula") & F.coalesce(F.col("attrs")["format"] == "image", F.lit(False)))
+    return F.when(F.col("attrs")["locked"].isNotNull(), F.col("attrs")["locked"] == "true").otherwise(by_type)
+
+
+def schema_faults(front: DataFrame) -> DataFrame:
+    """(file, key) of front matter (file, valid, fields): keys that are missing, of a wrong form, or unknown."""
+    known = REQUIRED | OPTIONAL
+    wrong = [F.when(F.col("fields")[k].isNull() | ~F.col("fields")[k].rlike(form), F.lit(k)) for k, form in REQUIRED.items()]
+    wrong += [F.when(F.col("fields")[k].isNotNull() & ~F.col("fields")[k].rlike(form), F.lit(k)) for k, form in OPTIONAL.items()]
+    faults = F.concat(F.array_compact(F.array(*wrong)), F.array_except(F.map_keys("fields"), F.array(*map(F.lit, known))))
+    return front.where("valid").select("file", F.explode(faults).alias("key"))
+
+
 def v01(base, work, ctx):
-    rows = ctx["front"].where(~F.col("valid") | (F.coalesce(F.col("fields")["id"], F.lit("")) != F.concat(F.lit('"'), "file", F.lit('"'))))
-    return _finding(rows, "V01", "error", F.lit("front matter is invalid or its id differs from the file name"))
+    front = ctx["front"]
+    broken = _finding(front.where(~F.col("valid")), "V01", "error", F.lit("front matter can't be read"))
+    other = front.where(F.col("valid") & F.col("fields")["id"].isNotNull() & (F.col("fields")["id"] != F.concat(F.lit('"'), "file", F.lit('"'))))
+    faults = _finding(schema_faults(front), "V01", "error", F.concat(F.lit("front matter breaks its schema: "), "key"))
+    return broken.unionByName(_finding(other, "V01", "error", F.lit("id differs from the file name"))).unionByName(faults)
 
 
 def v02(base, work, ctx):
-    return _finding(work.where(F.col("id").isNotNull() & ~F.col("id").rlike(r"^[A-Z][A-Z0-9]*-\d{6}$")), "V02", "error", F.lit("anchor without a valid id"))
+    a = F.col("attrs")
+    flag = lambda k: a[k].isNotNull() & ~a[k].isin("true", "false")
+    fault = (
+        F.when(F.col("n_anchors") > 1, "more than one anchor")
+        .when(F.col("id").isNull() | ~F.col("id").rlike(ID), "anchor without a valid id")
+        .when(~F.coalesce(a["type"].isin(*TYPES), F.lit(False)), "unknown block type")
+        .when((F.col("type") == "table") & ~F.coalesce(a["format"].isin("pipe", "html"), F.lit(False)), "table without its format")
+        .when((F.col("type") == "figure") & a["asset"].isNull(), "figure without an asset")
+        .when((F.col("type") == "formula") & ~F.coalesce((a["format"] == "latex") | ((a["format"] == "image") & a["asset"].isNotNull()), F.lit(False)), "formula without its format or asset")
+        .when((F.col("type") == "raw") & ~F.coalesce((a["fallback"] == "true") & a["asset"].isNotNull(), F.lit(False)), "raw block without fallback and asset")
+        .when(flag("locked") | flag("ordered"), "attribute that must be true or false")
+    )
+    rows = work.where("n_anchors > 0").withColumn("fault", fault).where("fault is not null")
+    return _finding(rows, "V02", "error", F.col("fault"))
 
 
 def v03(base, work, ctx):
@@ -40,7 +93,8 @@ def v04(base, work, ctx):
 
 
 def v04a(base, work, ctx):
-    return _finding(V.unknown_claims(base, work), "V04a", "error", F.concat(F.lit("lineage names unknown "), "claimed"))
+    unknown = V.unknown_claims(base, work).join(work.select("id", "file").dropDuplicates(["id"]), "id", "left")
+    return _finding(unknown, "V04a", "error", F.concat(F.lit("lineage names unknown "), "claimed"))
 
 
 def v04b(base, work, ctx):
@@ -48,9 +102,9 @@ def v04b(base, work, ctx):
 
 
 def v05(base, work, ctx):
-    locked = F.coalesce(F.col("b.attrs")["locked"] == "true", F.col("b.type").isin("figure", "raw"))
-    both = base.alias("b").join(work.alias("w"), F.col("b.id") == F.col("w.id")).where(locked & (F.md5("b.content") != F.md5("w.content")))
-    return _finding(both.select("w.file", "w.id"), "V05", "error", F.lit("locked block changed"))
+    kept = base.where("id is not null").where(locked()).select("id", F.col("raw_sha").alias("was"))
+    changed = work.join(kept, "id").where("raw_sha <> was")
+    return _finding(changed, "V05", "error", F.concat(F.lit("locked "), "type", F.lit(" block modified")))
 
 
 def v06(base, work, ctx):
@@ -63,73 +117,102 @@ def v06(base, work, ctx):
 def v07(base, work, ctx):
     links = work.select("file", "id", F.explode(links_of(F.col("content"))).alias("l")).select("file", "id", "l.section", F.lower("l.block").alias("marker"))
     sections = work.select(F.col("file").alias("section")).distinct()
-    marks = work.where("marker is not null").select(F.col("file").alias("section"), F.lower("marker").alias("marker"))
+    marks = work.where("marker is not null").select(F.col("file").alias("section"), F.lower("marker").alias("marker")).distinct()
     lost = links.join(sections, "section", "left_anti").unionByName(links.where("marker is not null").join(sections, "section", "left_semi").join(marks, ["section", "marker"], "left_anti").select("section", "file", "id", "marker"))
-    return _finding(lost, "V07", "error", F.concat(F.lit("dangling link to "), "section"))
+    return _finding(lost, "V07", "error", F.concat(F.lit("wikilink target "), F.concat_ws("#^", "section", "marker"), F.lit(" does not exist")))
 
 
 def v08(base, work, ctx):
-    rows = work.withColumn("asset", F.col("attrs")["asset"]).where("asset is not null")
+    rows = work.where(F.col("type").isin("figure", "formula", "raw")).withColumn("asset", F.col("attrs")["asset"]).where("asset is not null")
     return _finding(rows.join(ctx["assets"], "asset", "left_anti"), "V08", "error", F.concat(F.lit("missing asset "), "asset"))
 
 
+def v09(base, work, ctx):
+    counted = work.groupBy("file").agg(F.count("id").alias("n"))
+    rows = ctx["front"].select("file", F.col("fields")["blocks"].alias("said")).join(counted, "file").where(~F.col("said").eqNullSafe(F.col("n").cast("string")))
+    return _finding(rows, "V09", "warn", F.concat(F.lit("front matter counts "), F.coalesce("said", F.lit("no")), F.lit(" blocks, the file has "), F.col("n").cast("string")))
+
+
 def v10(base, work, ctx):
-    tokens = lambda t: t.where("type not in ('heading', 'code')").select("id", F.explode(numeric_tokens(F.col("content"))).alias("t")).select("id", "t.value", "t.unit")
-    shared = base.select("id").join(work.select("id"), "id")
-    found = multiset_difference(tokens(base).join(shared, "id", "left_semi"), tokens(work).join(shared, "id", "left_semi"))
-    text = F.concat_ws(" ", "value", "unit")
-    rows = found.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == "removed", text))), ", ").alias("old"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == "added", text))), ", ").alias("new"))
-    return _finding(rows.join(work.select("id", "file"), "id"), "V10", "warn", F.concat("old", F.lit(" → "), "new"))
+    rows = numeric_changes(base, work, tuple(ctx.get("extra_units", ())))
+    return _finding(rows.join(work.where("id is not null").select("id", "file").dropDuplicates(["id"]), "id"), "V10", "warn", F.col("message"))
 
 
 def v11(base, work, ctx):
-    return _finding(work.where("id is null"), "V11", "warn", F.lit("block without an id"))
+    return _finding(work.where("n_anchors = 0"), "V11", "warn", F.lit("block without an anchor"))
 
 
 def v12(base, work, ctx):
-    both = base.alias("b").join(work.alias("w"), F.col("b.id") == F.col("w.id")).where("b.type = 'heading' and regexp_extract(b.content, '^(#*) ?([0-9.]*)', 0) <> regexp_extract(w.content, '^(#*) ?([0-9.]*)', 0)")
-    return _finding(both.select("w.file", "w.id"), "V12", "warn", F.lit("level or number of a heading changed"))
+    level, number, _ = vault.heading_parts(F.col("content"))
+    parts = lambda t, p: t.where("type = 'heading' and id is not null").select("id", "file", F.struct(level.alias("level"), number.alias("number")).alias(p))
+    rows = parts(work, "now").join(parts(base, "was").drop("file"), "id").where("now <> was")
+    return _finding(rows, "V12", "warn", F.lit("level or number of a heading changed"))
 
 
 def v13(base, work, ctx):
     asked = work.select(F.explode(links_of(F.col("content"))).alias("l")).where("l.block is not null").select(F.upper("l.block").alias("id")).distinct()
-    lacking = work.join(asked, "id", "left_semi").where("marker is null")
-    orphan = work.where("marker is not null").join(asked, "id", "left_anti")
-    return _finding(lacking, "V13", "error", F.lit("link target without a marker")).unionByName(_finding(orphan, "V13", "warn", F.lit("marker that nothing links to")))
+    lacking = work.join(asked, "id", "left_semi").where("marker is null and type <> 'heading'")
+    wrong = work.where(F.col("marker").isNotNull() & ~F.coalesce(F.upper("marker") == F.col("id"), F.lit(False)))
+    return _finding(lacking, "V13", "error", F.lit("link target without a marker")).unionByName(_finding(wrong, "V13", "warn", F.lit("marker that differs from its anchor")))
 
 
 def v14(base, work, ctx):
-    sizes = work.groupBy("file").agg(F.sum(words(F.col("content"))).alias("n")).where(F.col("n") > ctx.get("large", LARGE))
+    sizes = work.groupBy("file").agg(F.sum(words(vault.plain_of())).alias("n")).where(F.col("n") > ctx.get("large", LARGE))
     return _finding(sizes, "V14", "info", F.concat(F.lit("section has "), F.col("n").cast("string"), F.lit(" words")))
 
 
+def v15(base, work, ctx):
+    rows = vault.drift(vault.sections(work, ctx["front"]), ctx["front"]).where("key <> 'blocks'")
+    doubtful = _finding(vault.doubtful_order(ctx["front"]), "V15", "info", F.lit("order is absent or another file's too"))
+    return _finding(rows, "V15", "warn", F.concat("key", F.lit(" differs from what the vault says"))).unionByName(doubtful)
+
+
+#: Byte order mark, carriage returns, trailing spaces, more than one blank line, tabs outside of fences, no single line feed at the end.
+FAULTS = r"\A\x{FEFF}|\r|[ \t]+\n|\n\n\n"
+
+
 def v16(base, work, ctx):
-    rows = ctx["files"].where(F.col("text").rlike(r"\A﻿|\r|[ \t]+\n|\n\n\n") | ~F.col("text").rlike(r"[^\n]\n\z"))
+    text = F.col("text")
+    outside = F.regexp_replace(text, r"(?ms)^```.*?^```[^\n]*$", "")
+    rows = ctx["files"].where(text.rlike(FAULTS) | outside.contains("\t") | ~text.rlike(r"[^\n]\n\z"))
     return _finding(rows, "V16", "warn", F.lit("file isn't in the fixed format"))
 
 
 def v17(base, work, ctx):
-    rows = ctx["front"].where(F.coalesce(F.col("fields")["ingest_version"].cast("int"), F.lit(0)) < ctx["version"])
-    return _finding(rows, "V17", "error", F.lit("file is of an older ingest"))
+    rows = ctx["front"].where(F.coalesce(F.col("fields")["ingest_version"].try_cast("int"), F.lit(0)) < ctx["version"])
+    return _finding(rows, "V17", "error", F.concat(F.lit("file is of an older ingest; migrate it to version "), F.lit(str(ctx["version"]))))
 
 
-RULES = {f.__name__.replace("v", "V", 1): f for f in (v01, v02, v03, v04, v04a, v04b, v05, v06, v07, v08, v10, v11, v12, v13, v14, v16, v17)}
+RULES = {f.__name__.replace("v", "V", 1): f for f in (v01, v02, v03, v04, v04a, v04b, v05, v06, v07, v08, v09, v10, v11, v12, v13, v14, v15, v16, v17)}
 #: What a rule needs beyond the two snapshots.
-NEEDS = {"V01": "front", "V08": "assets", "V16": "files", "V17": "version"}
+NEEDS = {"V01": ("front",), "V08": ("assets",), "V09": ("front",), "V15": ("front",), "V16": ("files",), "V17": ("front", "version")}
 
 
 def validate(base: DataFrame, work: DataFrame, ctx: dict | None = None) -> DataFrame:
-    """Findings of all rules whose inputs ctx has."""
+    """Findings of all rules whose inputs ctx has: front, files, assets (a column asset), version, allow_delete, large, extra_units."""
     ctx = ctx or {}
     found = None
     for name, rule in RULES.items():
-        if NEEDS.get(name, "") in ("", *ctx):
+        if all(k in ctx for k in NEEDS.get(name, ())):
             rows = rule(base, work, ctx)
             found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def exit_code(findings: DataFrame) -> int:
-    """0 clean, 1 warnings, 2 errors."""
+def summary(findings: DataFrame) -> DataFrame:
+    """(severity, n, files) of findings."""
+    return findings.groupBy("severity").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
+
+
+def listing(findings: DataFrame) -> DataFrame:
+    """(file, block_id, rule, line): findings as lines of text, to be sorted by these columns when they are shown."""
+    line = F.concat_ws("  ", F.rpad("rule", 4, " "), F.rpad("severity", 5, " "), F.coalesce("block_id", F.lit("-")), "message")
+    return findings.select("file", "block_id", "rule", line.alias("line"))
+
+
+def exit_code(findings: DataFrame | None = None, unreadable: bool = False, usage: bool = False) -> int:
+    """0 clean, 1 warnings, 2 errors, 3 if files could not be read, 4 if the call was wrong."""
+    if usage or unreadable:
+        return 4 if usage else 3
     worst = findings.agg(F.max(F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warn", 1).otherwise(0))).first()[0]
     return int(worst or 0)

@@ -1,17 +1,22 @@
 """Section files: front matter and anchored blocks, as tables and back to bytes."""
 
+import hashlib
+import json
+import re
+
 import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docledger.functions.text import anchor_of
 
 #: Order of front-matter keys in files.
-KEYS = ["id", "doc", "number", "title", "level", "parent", "order", "path", "path_ids", "breadcrumb", "bookmarks", "refs_out", "blocks", "words", "source", "ingest_version"]
+KEYS = ["id", "doc", "number", "title", "level", "parent", "order", "path", "path_ids", "breadcrumb", "bookmarks", "refs_out", "blocks", "words", "source", "ingest_version", "generated"]
 #: Order of anchor attributes; the rest follows by name.
-ATTRIBUTES = ["id", "type", "format", "locked", "fallback", "asset", "supersedes", "split_from"]
-ANCHOR = r"(?m)^(?=<!--\s*(?:[a-z_]+:\S+\s*)+-->$)"
+ATTRIBUTES = ["id", "type", "ordered", "format", "lang", "fallback", "asset", "reason", "locked", "supersedes", "split_from"]
+#: The form of an anchor and of a block reference.
+_ANCHOR = re.compile(r"<!--\s*((?:[a-z][a-z0-9_]*:\S+\s*)+)-->$")
+_MARKER = re.compile(r"(?:^|\n| )\^([a-z0-9-]+)\Z")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -30,7 +35,6 @@ def split_front(files: DataFrame) -> DataFrame:
 
 def front_matter(files: DataFrame) -> DataFrame:
     """(file, valid, fields as a map of JSON texts) of split files."""
-    import json
 
     def run(batches):
         for batch in batches:
@@ -41,40 +45,82 @@ def front_matter(files: DataFrame) -> DataFrame:
                 except yaml.YAMLError:
                     fields = None
                 good.append(isinstance(fields, dict))
-                out.append([(str(k), json.dumps(v, sort_keys=True, default=str)) for k, v in fields.items()] if good[-1] else [])
+                out.append([(str(k), json.dumps(v, sort_keys=True, default=str, ensure_ascii=False, separators=(",", ":"))) for k, v in fields.items()] if good[-1] else [])
             yield pa.record_batch({"file": batch["file"], "valid": good, "fields": pa.array(out, pa.map_(pa.string(), pa.string()))})
 
     return files.select("file", "front").mapInArrow(run, "file string, valid boolean, fields map<string,string>")
 
 
+def parse_body(body: str | None) -> list[dict]:
+    """The blocks of a body, in order: what blank lines outside of fences separate; an anchor line begins one too."""
+    found: list[list[str]] = [[]]
+    fence = False
+    for line in (body or "").split("\n"):
+        if not fence and not line.strip():
+            found.append([])
+            continue
+        if not fence and _ANCHOR.match(line) and any(not _ANCHOR.match(x) for x in found[-1]):
+            found.append([])
+        if line.startswith("```"):
+            fence = not fence
+        found[-1].append(line)
+    out = []
+    for lines in filter(None, found):
+        anchors = []
+        while lines and (m := _ANCHOR.match(lines[0])):
+            anchors.append(m[1])
+            lines = lines[1:]
+        heading = bool(lines) and re.match(r"#{1,6} ", lines[0]) is not None
+        if heading and (m := _ANCHOR.search(lines[0])):
+            anchors.append(m[1])
+            lines = [lines[0][: m.start()].rstrip(), *lines[1:]]
+        content = "\n".join(lines)
+        attrs = dict(pair.split(":", 1) for pair in anchors[0].split()) if anchors else {}
+        marker = None if heading else _MARKER.search(content)
+        raw = content[: marker.start()] if marker else content
+        out.append(
+            {
+                "block_index": len(out),
+                "n_anchors": len(anchors),
+                "attrs": list(attrs.items()),
+                "id": attrs.get("id"),
+                "type": attrs.get("type") or ("heading" if heading else "paragraph"),
+                "content": raw.rstrip(),
+                "marker": marker[1] if marker else None,
+                "raw_sha": hashlib.sha256(raw.encode()).hexdigest(),
+                "supersedes": attrs["supersedes"].split(",") if "supersedes" in attrs else [],
+                "split_from": attrs.get("split_from"),
+            }
+        )
+    return out
+
+
+_BLOCK = pa.schema([("file", pa.string()), ("block_index", pa.int64()), ("n_anchors", pa.int32()), ("attrs", pa.map_(pa.string(), pa.string())), ("id", pa.string()), ("type", pa.string()), ("content", pa.string()), ("marker", pa.string()), ("raw_sha", pa.string()), ("supersedes", pa.list_(pa.string())), ("split_from", pa.string())])
+_BLOCK_SQL = "file string, block_index long, n_anchors int, attrs map<string,string>, id string, type string, content string, marker string, raw_sha string, supersedes array<string>, split_from string"
+
+
 def blocks(files: DataFrame) -> DataFrame:
-    """(file, block_index, attrs, id, type, content, marker, supersedes, split_from) of split files.
+    """A row for each block of split files. raw_sha stands for the block's bytes without anchor and marker."""
 
-    A block begins at its anchor and ends before the next; text before the first anchor is the heading line.
-    """
-    rows = files.select("file", F.posexplode(F.split("body", ANCHOR)).alias("block_index", "raw"))
-    first, rest = F.substring_index("raw", "\n", 1), F.expr("substring(raw, length(substring_index(raw, '\n', 1)) + 2)")
-    rows = rows.withColumn("attrs", anchor_of(first)).where("attrs is not null").withColumn("content", F.rtrim(F.regexp_replace(rest, r"\n+\z", "")))
-    marker = F.regexp_extract("content", r"(?:^|\s)\^([a-z0-9-]+)\z", 1)
-    lineage = F.when(F.col("attrs")["supersedes"].isNotNull(), F.split(F.col("attrs")["supersedes"], ",")).otherwise(F.array().cast("array<string>"))
-    return rows.select(
-        "file",
-        (F.col("block_index") - 1).cast("long").alias("block_index"),
-        "attrs",
-        F.col("attrs")["id"].alias("id"),
-        F.col("attrs")["type"].alias("type"),
-        F.regexp_replace("content", r"\s*(?:^|\s)\^[a-z0-9-]+\z", "").alias("content"),
-        F.when(marker != "", marker).alias("marker"),
-        lineage.alias("supersedes"),
-        F.col("attrs")["split_from"].alias("split_from"),
-    )
+    def run(batches):
+        for batch in batches:
+            rows = [{"file": file} | block for file, body in zip(batch["file"].to_pylist(), batch["body"].to_pylist(), strict=True) for block in parse_body(body)]
+            yield pa.RecordBatch.from_pylist(rows, _BLOCK)
+
+    return files.select("file", "body").mapInArrow(run, _BLOCK_SQL)
 
 
 def rendered(found: DataFrame, heads: DataFrame) -> DataFrame:
-    """(file, text): files written from blocks and heads (file, front, heading), byte for byte the same each time."""
-    key = lambda a: F.concat(F.lpad(F.when(F.array_position(F.array(*map(F.lit, ATTRIBUTES)), a.key) > 0, F.array_position(F.array(*map(F.lit, ATTRIBUTES)), a.key)).otherwise(99).cast("string"), 2, "0"), F.lit(" "), a.key, F.lit(":"), a.value)
-    anchor = F.concat(F.lit("<!-- "), F.array_join(F.transform(F.array_sort(F.transform(F.map_entries("attrs"), key)), lambda x: F.substring(x, 4, 1 << 20)), " "), F.lit(" -->"))
-    text = F.concat(anchor, F.lit("\n"), "content", F.when(F.col("marker").isNotNull(), F.concat(F.lit(" ^"), "marker")).otherwise(""))
+    """(file, text): files written from blocks and heads (file, front), byte for byte the same each time.
+
+    A heading's anchor ends its line, the others have a line before their block.
+    """
+    place = lambda key: F.array_position(F.array(*map(F.lit, ATTRIBUTES)), key)
+    key = lambda a: F.struct(F.when(place(a.key) > 0, place(a.key)).otherwise(99).alias("at"), F.concat(a.key, F.lit(":"), a.value).alias("text"))
+    pairs = F.array_join(F.transform(F.array_sort(F.transform(F.map_entries("attrs"), key)), lambda x: x.text), " ")
+    anchor = F.when(F.size("attrs") > 0, F.concat(F.lit("<!-- "), pairs, F.lit(" -->")))
+    marked = F.concat("content", F.when(F.col("marker").isNotNull(), F.concat(F.when(F.col("type").isin("paragraph"), " ").otherwise("\n"), F.lit("^"), "marker")).otherwise(""))
+    text = F.when(F.col("type") == "heading", F.concat_ws(" ", "content", anchor)).otherwise(F.concat_ws("\n", anchor, marked))
     body = found.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", text.alias("t")))), lambda s: s.t), "\n\n").alias("body"))
-    whole = F.concat(F.lit("---\n"), "front", F.lit("\n---\n\n"), F.col("heading"), F.lit("\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
+    whole = F.concat(F.lit("---\n"), "front", F.lit("\n---\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
     return heads.join(body, "file", "left").select("file", whole.alias("text"))

@@ -6,7 +6,10 @@ import os
 import duckdb
 import pytest
 
-from docledger.plans.driver_queries import ORACLES, QUERIES
+from docledger.plans import driver_queries, vault_queries
+
+QUERIES = driver_queries.QUERIES | vault_queries.QUERIES
+ORACLES = driver_queries.ORACLES | vault_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from docledger.functions import numeric as N
 from docledger.functions import text as T
+from docledger.functions.plain import to_plain_text
+from docledger.operators import registry as R
 from docledger.operators import structure as S
+from docledger.operators import vault as vault_ops
 from docledger.operators import versions as V
 from docledger.plans.driver_queries import numeric_unit_tokens
-from docledger.plans.rules import exit_code, validate
+from docledger.plans.rules import exit_code, schema_faults, validate
 from docledger.sources import docx, sections
 from docledger.streaming import log
 
@@ -21,7 +24,9 @@ def test_numeric_grammar():
     tokens = lambda t: [(x["value"], x["unit"], x["range"]) for x in N.tokens_of(t, frozenset(map(T.ws_normalized, N.UNITS)))]
     assert tokens("wait 50 ms.") == [("50", "ms", False)]
     assert tokens("0–100 %") == [("0", "%", True), ("100", "%", True)]
-    assert tokens("see section 3.2 and SYS-000120") == []
+    assert tokens("see section 3.2, §4.1, Table 3.1 and SYS-000120 or A1B-000120") == []
+    assert tokens("note 50 ms, Table 3, [[SYS-000999#^sys-000998|takes 7 s]]") == [("50", "ms", False), ("3", None, False), ("7", "s", False)]
+    assert tokens("10 ms – 20 ms, ±5 %, −3 °C, 1e999999999 V") == [("10", "ms", True), ("20", "ms", True), ("±5", "%", False), ("-3", "°C", False), ("1e999999999", "V", False)]
     assert tokens("5 µs or 1,000.50 kV") == [("5", T.ws_normalized("µs"), False), ("1000.5", "kV", False)]
     assert tokens("Sig2 10 things") == [("10", None, False)]
     assert tokens("10 mV, 10 MV")[0] != tokens("10 mV, 10 MV")[1]
@@ -55,7 +60,8 @@ def test_list_numbers_begin_anew(spark):
     assert [".".join(map(str, r.counters)) for r in got.collect()] == ["1", "1.1", "1.2", "2", "2.1", "2.1.1", "2.1.2", "2.2", "2.2.1"]
 
 
-HEAD = "---\nid: SYS-000100\ningest_version: 1\n---\n\n# 1 Power\n\n"
+FRONT = 'id: SYS-000100\ndoc: SYS\nnumber: "1"\ntitle: Power\nlevel: 1\norder: 0\npath: ["1"]\npath_ids: ["SYS-000100"]\nbreadcrumb: "SYS > 1 Power"\nbookmarks: []\nrefs_out: ["SYS-000100"]\nblocks: 4\nwords: 14\nsource: {docx: s.docx, paragraphs: [0, 9]}\ningest_version: 1\ngenerated: false'
+HEAD = f"---\n{FRONT}\n---\n\n# 1 Power <!-- id:SYS-000100 type:heading -->\n\n"
 
 
 def vault(spark, tmp_path, name, body, file="SYS-000100"):
@@ -67,7 +73,7 @@ def vault(spark, tmp_path, name, body, file="SYS-000100"):
     return sections.blocks(split), {"front": sections.front_matter(split), "files": files, "version": 1}
 
 
-ONE = "<!-- id:SYS-000101 type:paragraph -->\nStarts in 50 ms, see [[SYS-000100]]. ^sys-000101\n\n<!-- id:SYS-000102 type:figure locked:true -->\n![a](b.png)\n\n<!-- id:SYS-000103 type:table format:pipe -->\n| a | b |\n|---|---|\n| 1 | 2 |\n"
+ONE = "<!-- id:SYS-000101 type:paragraph -->\nStarts in 50 ms, see [[SYS-000100]]. ^sys-000101\n\n<!-- id:SYS-000102 type:figure asset:b.png locked:true -->\n![a](b.png)\n\n<!-- id:SYS-000103 type:table format:pipe -->\n| a | b |\n|---|---|\n| 1 | 2 |\n"
 
 
 def rules(findings):
@@ -76,24 +82,100 @@ def rules(findings):
 
 def test_round_trip(spark, tmp_path):
     found, _ = vault(spark, tmp_path, "a", ONE)
-    heads = spark.createDataFrame([("SYS-000100", "id: SYS-000100\ningest_version: 1", "# 1 Power")], "file string, front string, heading string")
+    heads = spark.createDataFrame([("SYS-000100", FRONT)], "file string, front string")
     assert sections.rendered(found, heads).first().text == HEAD + ONE
 
 
+def test_body_is_split_before_anchors_are_read():
+    rows = sections.parse_body("# 1 A <!-- id:S1-000001 type:heading -->\n\nno anchor here\n\n<!-- id:S1-000002 type:code -->\n```c\na\n\nb <!-- id:x type:y -->\n```\n\n<!-- id:S1-000003 type:list ordered:true -->\n- a\n- b\n^s1-000003\n<!-- id:S1-000004 type:paragraph -->\n<!-- id:S1-000005 type:paragraph -->\ntwice\n")
+    assert [(r["id"], r["type"], r["n_anchors"], r["content"], r["marker"]) for r in rows] == [
+        ("S1-000001", "heading", 1, "# 1 A", None),
+        (None, "paragraph", 0, "no anchor here", None),
+        ("S1-000002", "code", 1, "```c\na\n\nb <!-- id:x type:y -->\n```", None),
+        ("S1-000003", "list", 1, "- a\n- b", "s1-000003"),
+        ("S1-000004", "paragraph", 2, "twice", None),
+    ]
+    assert sections.parse_body(None) == sections.parse_body("\n\n") == []
+
+
 def test_rules(spark, tmp_path):
     base, ctx = vault(spark, tmp_path, "base", ONE)
-    assert rules(validate(base, base, ctx)) == [("V13", "SYS-000101")]
-    work, ctx = vault(spark, tmp_path, "work", ONE.replace("50 ms", "80 ms").replace("b.png", "c.png").replace("| 1 | 2 |", "| 1 |").replace("[[SYS-000100]]", "[[SYS-000999]]"))
+    assert rules(validate(base, base, ctx)) == []
+    work, ctx = vault(spark, tmp_path, "work", ONE.replace("50 ms", "80 ms").replace("b.png)", "c.png)").replace("| 1 | 2 |", "| 1 |").replace("[[SYS-000100]]", "[[SYS-000999]]"))
     found = validate(base, work, ctx)
-    assert rules(found) == [("V05", "SYS-000102"), ("V06", "SYS-000103"), ("V07", "SYS-000101"), ("V10", "SYS-000101"), ("V10", "SYS-000103"), ("V13", "SYS-000101")]
-    assert found.where("rule = 'V10' and block_id = 'SYS-000101'").first().message == "50 ms → 80 ms"
-    assert exit_code(found) == 2
+    assert rules(found) == [("V05", "SYS-000102"), ("V06", "SYS-000103"), ("V07", "SYS-000101"), ("V10", "SYS-000101"), ("V10", "SYS-000103"), ("V15", None), ("V15", None)]
+    assert {r.block_id: r.message for r in found.where("rule = 'V10'").collect()} == {"SYS-000101": 'number changed: "50 ms" -> "80 ms"', "SYS-000103": "numbers removed: [2]  added: []"}
+    assert exit_code(found) == 2 and exit_code(unreadable=True) == 3 and exit_code(usage=True) == 4
     merged, ctx = vault(spark, tmp_path, "merged", "<!-- id:SYS-000101 type:paragraph supersedes:SYS-000102,SYS-000103 -->\nStarts in 50 ms, see [[SYS-000100]].\n")
-    assert {r for r, _ in rules(validate(base, merged, ctx))} <= {"V10"}
-    lost, ctx = vault(spark, tmp_path, "lost", "<!-- id:SYS-000101 type:paragraph supersedes:SYS-000777 -->\nStarts in 50 ms, see [[SYS-000100]].\n\n<!-- type:paragraph -->\nnew\n")
-    assert {("V04", "SYS-000102"), ("V04", "SYS-000103"), ("V04a", "SYS-000101"), ("V11", None)} <= set(rules(validate(base, lost, ctx)))
+    assert {r for r, _ in rules(validate(base, merged, ctx))} <= {"V09", "V10", "V15"}
+    lost, ctx = vault(spark, tmp_path, "lost", "<!-- id:SYS-000101 type:paragraph supersedes:SYS-000777 -->\nStarts in 50 ms, see [[SYS-000100]].\n\n<!-- type:paragraph -->\nnew\n\nwithout\n")
+    assert {("V02", None), ("V04", "SYS-000102"), ("V04", "SYS-000103"), ("V04a", "SYS-000101"), ("V11", None)} <= set(rules(validate(base, lost, ctx)))
     kinds = {r.id: r.change for r in V.classify(base, merged).collect()}
-    assert kinds == {"SYS-000101": "merged", "SYS-000102": "deleted", "SYS-000103": "deleted"}
+    assert kinds == {"SYS-000100": "unchanged", "SYS-000101": "merged", "SYS-000102": "deleted", "SYS-000103": "deleted"}
+
+
+def test_locked_bytes_and_split_numbers(spark, tmp_path):
+    base, _ = vault(spark, tmp_path, "base", ONE + "\n<!-- id:SYS-000104 type:paragraph -->\nIt takes 6 ms and then 7 ms.\n")
+    spaces, ctx = vault(spark, tmp_path, "spaces", ONE.replace("![a](b.png)", "![a](b.png) ") + "\n<!-- id:SYS-000104 type:paragraph -->\nIt takes 6 ms.\n\n<!-- id:SYS-000105 type:paragraph split_from:SYS-000104 -->\nThen 99 ms.\n")
+    found = {(r.rule, r.block_id): r.message for r in validate(base, spaces, ctx).collect()}
+    assert found["V05", "SYS-000102"] == "locked figure block modified"
+    assert found["V10", "SYS-000104"] == "numbers removed: [7 ms]  added: []"
+    assert found["V10", "SYS-000105"] == "numbers removed: [6 ms, 7 ms]  added: [99 ms]"
+    twice, _ = vault(spark, tmp_path, "twice", ONE.replace("50 ms", "50 ms and 50 ms"))
+    assert N.numeric_changes(base, twice).where("id = 'SYS-000101'").first().message == "numbers removed: []  added: [50 ms]"
+
+
+def test_faults_of_files(spark, tmp_path):
+    bad = ONE.replace("| 1 | 2 |", "| 1\t| 2 |").replace("format:pipe", "format:grid")
+    found, ctx = vault(spark, tmp_path, "bad", bad)
+    assert {("V02", "SYS-000103"), ("V16", None)} <= set(rules(validate(found, found, ctx)))
+    fenced, ctx = vault(spark, tmp_path, "fenced", ONE + "\n<!-- id:SYS-000104 type:code -->\n```c\n\tx\n```\n")
+    assert "V16" not in {r for r, _ in rules(validate(fenced, fenced, ctx))}
+    (tmp_path / "bad" / "SYS-000100.md").write_text((HEAD + ONE).replace("level: 1", "level: 9").replace("words: 14", "words: 15\nextra: 1").replace("doc: SYS\n", ""))
+    front = sections.front_matter(sections.split_front(sections.read_files(spark, str(tmp_path / "bad"))))
+    assert sorted(r.key for r in schema_faults(front).collect()) == ["doc", "extra", "level"]
+
+
+def test_plain_text(spark):
+    rows = [
+        ("heading", "## 3.2 Braking <!-- id:S1-000001 type:heading -->", None, "3.2 Braking"),
+        ("paragraph", "a **b** *c* `d` [[S1-000001|the rest]] [[S1-000001#^s1-000002]]", None, "a b c d the rest S1-000001#^s1-000002"),
+        ("list", "- a\n  1. b", None, "- a\n  1. b"),
+        ("table", "| a | b \\| c |\n|:--|--:|\n| 1 | 2 |", "pipe", "a | b \\| c\n1 | 2"),
+        ("table", "<table><tr><td>a<br>b</td><td>c</td></tr><tr><th>d</th></tr></table>", "html", "a b | c\nd"),
+        ("figure", "![alt](x.png)\n*The caption*", None, "[FIGURE] The caption"),
+        ("formula", "$$x = 1$$", "latex", "x = 1"),
+        ("formula", "![alt](x.png)", "image", "[FORMULA] alt"),
+        ("code", "```c\nint a;\n\nb\n```", None, "int a;\n\nb"),
+        ("raw", "text [[as it is]]", None, "text [[as it is]]"),
+    ]
+    table = spark.createDataFrame(rows, "kind string, content string, form string, want string")
+    for r in table.select("want", to_plain_text(F.col("kind"), F.col("content"), F.col("form")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_words_count_cjk_apart(spark):
+    texts = ["one, two -- 3", "漢字 ab漢", "", "漢字漢字漢", "… ab"]
+    assert [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.words(F.col("t")).alias("n")).collect()] == [3, 1 + 2, 0, 2, 1]
+
+
+def test_registry(spark, tmp_path):
+    found, ctx = vault(spark, tmp_path, "a", ONE)
+    entries = R.entries_of(found, vault_ops.sections(found, ctx["front"]), "v0")
+    assert {r.id: r.key for r in entries.collect()}["SYS-000102"].startswith("SYS-000100|figure|0|")
+    text = R.registry_text(entries.withColumns({"doc_key": F.lit("SYS"), "next": F.lit(104)})).first().text
+    assert json.dumps(json.loads(text), sort_keys=True, indent=2, ensure_ascii=False) + "\n" == text
+    (tmp_path / "ids").mkdir()
+    (tmp_path / "ids" / "ids.json").write_text(text)
+    again = R.read_registry(spark, str(tmp_path / "ids"))
+    assert sorted(map(str, again.drop("doc_key", "next").select(*entries.columns).collect())) == sorted(map(str, entries.collect()))
+    work, _ = vault(spark, tmp_path, "b", "<!-- id:SYS-000201 type:paragraph split_from:SYS-000101 -->\na\n\n<!-- id:SYS-000202 type:paragraph split_from:SYS-000101 -->\nb\n\n<!-- id:SYS-000203 type:paragraph supersedes:SYS-000102 -->\nc\n")
+    after = R.updated(entries, work, "v1")
+    states = {r.id: (r.status, r.merged_into, r.split_into, r.last_seen) for r in after.collect()}
+    assert states == {"SYS-000100": ("active", None, None, "v1"), "SYS-000101": ("split", None, ["SYS-000201", "SYS-000202"], "v0"), "SYS-000102": ("merged", "SYS-000203", None, "v0"), "SYS-000103": ("active", None, None, "v0")}
+    gone = R.updated(after, work, "v2", allow_delete=True)
+    assert gone.where("id = 'SYS-000103'").first().status == "deleted" and R.broken_states(after, gone).count() == 0
+    assert [tuple(r) for r in R.broken_states(after, gone.withColumn("status", F.lit("active"))).orderBy("id").collect()] == [("SYS-000101", "split", "active"), ("SYS-000102", "merged", "active")]
 
 
 def test_word_package(spark, tmp_path):
