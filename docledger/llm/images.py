@@ -9,13 +9,15 @@ nothing; equal images are one class whose smallest id stands for it; every image
 too; flat images have no corners; other columns are ignored; an empty table gives an empty one.
 
 How: images are made smaller to at most AREA pixels. Corners by the structure tensor on several scales, the strongest
-kept in proportion to the area; the grey centroid of a corner's smoothed patch turns its binary tests; 128 tests
-make a descriptor. TABLES tables each take KEY_BITS bits of it as a key: a mask of the queries' keys, of a fixed size,
+kept in proportion to the area; the grey centroid of a corner's smoothed patch turns its binary tests; 128 tests,
+chosen on noise for how little they tell of each other, make a descriptor. TABLES tables each take KEY_BITS bits of it as a key: a mask of the queries' keys, of a fixed size,
 holds back rows of other images before equality joins on (table, key), and pairs within RADIUS bits stay. Matches of two
 images then vote: each gives a similarity, and the one that most others agree with decides. Only that step sees
 an image pair, and it is bounded by the corners of both.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +41,8 @@ MARGIN = 9
 STACK = 64 * SIDE * SIDE
 
 _random = np.random.default_rng(11)
-#: Places of the binary tests around a corner: 128 pairs inside a square.
-_TESTS = np.clip(_random.normal(0, 4.5, (128, 2, 2)), -9, 9)
+#: Binary tests compare places within REACH of a corner that are APART from each other.
+REACH, APART = 13, 4
 #: The bits of each table's key.
 _CHOSEN = np.stack([_random.choice(128, KEY_BITS, replace=False) for _ in range(TABLES)])
 _y, _x = np.mgrid[-7:8, -7:8]
@@ -93,6 +95,46 @@ def _corners(stack: np.ndarray, scale: float) -> tuple:
     return k, y, x, strength[k, y, x], _box(a, 2)
 
 
+def _angles(a: np.ndarray, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The direction of each corner's grey centroid."""
+    k, y, x = k[:, None, None], y[:, None, None], x[:, None, None]
+    patch = a[k, np.clip(y + _y, 0, a.shape[1] - 1), np.clip(x + _x, 0, a.shape[2] - 1)] * _disc
+    return np.arctan2((patch * _y).sum((1, 2)), (patch * _x).sum((1, 2)))
+
+
+def _tested(a: np.ndarray, k: np.ndarray, y: np.ndarray, x: np.ndarray, angle: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """The outcome of turned tests (pairs of places) at each corner."""
+    c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+    turned_x, turned_y = tests[None, :, :, 0] * c - tests[None, :, :, 1] * s, tests[None, :, :, 0] * s + tests[None, :, :, 1] * c
+    value = _sampled(a, k[:, None, None], y[:, None, None] + turned_y, x[:, None, None] + turned_x)
+    return value[:, :, 0] < value[:, :, 1]
+
+
+@lru_cache(1)
+def tests() -> np.ndarray:
+    """128 tests: of random ones those that divide corners of noise evenly and tell little of those before them.
+
+    The same in every process: noise and tests come from fixed seeds.
+    """
+    random = np.random.default_rng(11)
+    pairs = random.uniform(-REACH, REACH, (6000, 2, 2))
+    pairs = pairs[(np.hypot(pairs[:, :, 0], pairs[:, :, 1]) <= REACH).all(axis=1) & (np.hypot(*(pairs[:, 0] - pairs[:, 1]).T) >= APART)][:1000]
+    noise = _box(random.normal(0, 1, (12, SIDE, SIDE)), 2) * 5 + _box(random.normal(0, 1, (12, SIDE, SIDE)), 5) * 8
+    noise = (20 + 200 * (noise - noise.min()) / np.ptp(noise)).astype(np.float32)
+    k, y, x, _, a = _corners(noise, 1.0)
+    v = _tested(a, k, y, x, _angles(a, k, y, x), pairs).astype(np.float32)
+    even = np.argsort(abs(v.mean(axis=0) - 0.5), kind="stable")
+    v = (v - v.mean(axis=0)) / np.maximum(v.std(axis=0), 1e-6)
+    alike = abs(v.T @ v) / len(v)
+    most, chosen = 0.3, []
+    while len(chosen) < 128:
+        most, chosen = most + 0.05, []
+        for i in even.tolist():
+            if len(chosen) < 128 and (alike[i, chosen] < most).all():
+                chosen.append(i)
+    return pairs[chosen]
+
+
 def _sampled(a: np.ndarray, k: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Values between pixels."""
     y, x = np.clip(y, 0, a.shape[1] - 1.001), np.clip(x, 0, a.shape[2] - 1.001)
@@ -116,14 +158,9 @@ def describe(stack: np.ndarray) -> tuple:
     for (k, y, x, _, a), scale in zip(found, SCALES, strict=True):
         mine = kept[begin : begin + len(k)]
         begin += len(k)
-        k, y, x = (v[mine][:, None, None] for v in (k, y, x))
-        patch = a[k, np.clip(y + _y, 0, a.shape[1] - 1), np.clip(x + _x, 0, a.shape[2] - 1)] * _disc
-        angle = np.arctan2((patch * _y).sum((1, 2)), (patch * _x).sum((1, 2)))
-        c, s = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        turned_x, turned_y = _TESTS[None, :, :, 0] * c - _TESTS[None, :, :, 1] * s, _TESTS[None, :, :, 0] * s + _TESTS[None, :, :, 1] * c
-        value = _sampled(a, k, y + turned_y, x + turned_x)
-        bits = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
-        k, y, x = k.ravel(), y.ravel(), x.ravel()
+        k, y, x = k[mine], y[mine], x[mine]
+        angle = _angles(a, k, y, x)
+        bits = np.packbits(_tested(a, k, y, x, angle, tests()), axis=1)
         out.append((k, x / scale, y / scale, angle, np.full(len(k), scale), np.ascontiguousarray(bits).view(np.int64).reshape(-1, 2)))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(6))
 
