@@ -47,13 +47,148 @@ def paths(sections: DataFrame, doc: str, order: list, deepest: int = 6) -> DataF
     return rows.withColumn("parent", F.when(F.size("path_ids") > 0, F.element_at("path_ids", -1))).drop("_at", *dropped)
 
 
-def list_numbers(items: DataFrame, group: list, order: list, deepest: int = 9) -> DataFrame:
-    """items (ilvl) with counters: a level counts on until an item of a shallower level, then begins anew."""
+def list_numbers(items: DataFrame, group: list, order: list, deepest: int = 9, start: Column | None = None, restart: Column | None = None) -> DataFrame:
+    """items (ilvl) with counters: a level counts on until an item of a level that restarts it, then begins anew.
+
+    start and restart: arrays with an entry for each level, from 0: its first number (1 without them), and how many of the
+    levels above restart it (all of them; 0: none). A level that no item has had yet stands before its first number.
+    """
     rows = items
     so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first = lambda k: F.coalesce(F.get(start, F.lit(k)), F.lit(1)) if start is not None else F.lit(1)
+    above = lambda k: F.coalesce(F.get(restart, F.lit(k)), F.lit(k)) if restart is not None else F.lit(k)
     for k in range(deepest):
-        rows = rows.withColumn(f"_g{k}", F.count(F.when(F.col("ilvl") < k, 1)).over(so_far))
+        rows = rows.withColumn(f"_g{k}", F.count(F.when(F.col("ilvl") < above(k), 1)).over(so_far))
         within = Window.partitionBy(*group, f"_g{k}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn(f"_n{k}", F.greatest(F.count(F.when(F.col("ilvl") == k, 1)).over(within), F.lit(1)))
+        rows = rows.withColumn(f"_n{k}", F.count(F.when(F.col("ilvl") == k, 1)).over(within) + first(k) - 1)
     counters = F.slice(F.array(*[F.col(f"_n{k}") for k in range(deepest)]), F.lit(1), F.col("ilvl") + 1)
     return rows.withColumn("counters", counters).drop(*[f"_{p}{k}" for k in range(deepest) for p in "gn"])
+
+
+def roman(n: Column) -> Column:
+    """Roman numerals of 1 to 3999; others as decimals."""
+    digits = lambda one, five, ten: ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
+    place = lambda names, by: F.get(F.array(*map(F.lit, names)), (F.floor(n / by) % 10).cast("int"))
+    parts = [place(["", "M", "MM", "MMM", "", "", "", "", "", ""], 1000), place(digits("C", "D", "M"), 100), place(digits("X", "L", "C"), 10), place(digits("I", "V", "X"), 1)]
+    return F.when((n >= 1) & (n < 4000), F.concat(*parts)).otherwise(n.cast("string"))
+
+
+def formatted(n: Column, form: Column) -> Column:
+    """A counter in a level's number format; letters repeat after z, bullets have no number."""
+    letter = F.when(n < 1, n.cast("string")).otherwise(F.repeat(F.chr((n - 1) % 26 + 97), F.ceil(n / 26).cast("int")))
+    return (
+        F.when(form == "lowerLetter", letter)
+        .when(form == "upperLetter", F.upper(letter))
+        .when(form == "lowerRoman", F.lower(roman(n)))
+        .when(form == "upperRoman", roman(n))
+        .when(form == "decimalZero", F.lpad(n.cast("string"), 2, "0"))
+        .when(form.isin("bullet", "none"), "")
+        .otherwise(n.cast("string"))
+    )
+
+
+def rendered_number(text: Column, counters: Column, forms: Column) -> Column:
+    """lvlText with %1 to %9 replaced by the counters of levels 0 to 8, each in its level's format."""
+    for k in range(9):
+        value = F.coalesce(formatted(F.get(counters, F.lit(k)), F.coalesce(F.get(forms, F.lit(k)), F.lit("decimal"))), F.lit(""))
+        text = F.replace(text, F.lit(f"%{k + 1}"), value)
+    return text
+
+
+def numbered(items: DataFrame, definitions: DataFrame, doc: str, order: list) -> DataFrame:
+    """items (doc, num_id, ilvl) with number: rendered by definitions (doc, num_id, ilvl, num_fmt, lvl_text, start, lvl_restart, start_override).
+
+    Items without a definition, or of the format none, get an empty number and count for nothing.
+    """
+    level = F.struct("ilvl", "num_fmt", "lvl_text", F.coalesce("start_override", "start").alias("start"), F.coalesce("lvl_restart", "ilvl").alias("restart"))
+    # A list definition has at most nine levels.
+    lists = definitions.groupBy(doc, "num_id").agg(F.array_sort(F.collect_list(level)).alias("_levels"))
+    at = lambda name: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.get(F.filter(F.col("_levels"), lambda x: x["ilvl"] == k), F.lit(0))[name])
+    rows = items.join(lists, [doc, "num_id"], "left").withColumns({"_fmt": at("num_fmt"), "_text": at("lvl_text"), "_start": at("start"), "_restart": at("restart")})
+    own = F.get(F.col("_fmt"), F.col("ilvl"))
+    counts = rows.where(own.isNotNull() & (own != "none"))
+    rest = rows.where(own.isNull() | (own == "none")).withColumn("number", F.lit(""))
+    counts = list_numbers(counts, [doc, "num_id"], order, 9, F.col("_start"), F.col("_restart"))
+    counts = counts.withColumn("number", rendered_number(F.get("_text", F.col("ilvl")), F.col("counters"), F.col("_fmt")))
+    return counts.select(*items.columns, "number").unionByName(rest.select(*items.columns, "number"))
+
+
+def unresolved_rate(items: DataFrame, doc: str, most: float = 0.10) -> DataFrame:
+    """(doc, headings, unresolved, advised) of headings without a number; over `most` another way of reading is advised."""
+    rows = items.where("kind = 'heading'").groupBy(doc).agg(F.count("*").alias("headings"), F.count_if(F.coalesce("number", F.lit("")) == "").alias("unresolved"))
+    return rows.withColumn("advised", F.col("unresolved") > most * F.col("headings"))
+
+
+def effective_numbering(items: DataFrame, styles: DataFrame, doc: str, deepest: int = 10) -> DataFrame:
+    """items (doc, style_id, num_id, ilvl) whose missing num_id and ilvl are those of the nearest style in the chain that has them.
+
+    styles: doc, style_id, based_on, num_id, ilvl. Chains are followed `deepest` styles far, so a circle ends.
+    """
+    up = styles.select(doc, F.col("style_id").alias("_style"), F.col("based_on").alias("_up"), F.col("num_id").alias("_num"), F.col("ilvl").alias("_lvl"))
+    # The table of styles is resolved once; items meet it in one join.
+    chain = up.select(doc, F.col("_style").alias("style_id"), "_up", "_num", "_lvl")
+    for _ in range(deepest):
+        step = up.select(doc, F.col("_style").alias("_up"), F.col("_up").alias("_next"), F.col("_num").alias("_n"), F.col("_lvl").alias("_l"))
+        chain = chain.join(step, [doc, "_up"], "left").select(doc, "style_id", F.when(F.col("_num").isNull(), F.col("_next")).alias("_up"), F.coalesce("_num", "_n").alias("_num"), F.when(F.col("_num").isNotNull(), F.col("_lvl")).otherwise(F.col("_l")).alias("_lvl"))
+    found = chain.select(doc, "style_id", "_num", "_lvl")
+    rows = items.join(found, [doc, "style_id"], "left")
+    direct = F.col("num_id").isNotNull()
+    return rows.withColumns({"ilvl": F.when(direct, F.col("ilvl")).otherwise(F.when(F.col("_num").isNotNull(), F.coalesce("_lvl", F.lit(0)))), "num_id": F.coalesce("num_id", "_num")}).drop("_num", "_lvl")
+
+
+def simple_table(cells: Column) -> Column:
+    """Whether a table can be a pipe table: no merged cells, one paragraph in each, nothing nested, equal rows."""
+    plain = F.forall(cells, lambda c: (c["grid_span"] == 1) & c["v_merge"].isNull() & (c["n_paras"] == 1) & ~c["nested"] & ~F.contains(c["text"], F.lit("\n")))
+    widths = F.transform(F.array_distinct(F.transform(cells, lambda c: c["row"])), lambda r: F.size(F.filter(cells, lambda c: c["row"] == r)))
+    return plain & (F.size(F.array_distinct(widths)) == 1)
+
+
+def representation(kind: Column, cells: Column, readable: Column) -> Column:
+    """The form in which an item is kept: nothing is dropped, what has no form of its own is raw."""
+    table = F.when(~readable, "raw").when(simple_table(cells), "table pipe").otherwise("table html")
+    forms = {"heading": "heading", "paragraph": "paragraph", "list": "list", "figure": "figure", "formula": "formula", "footnote": "paragraph", "code": "code"}
+    out = F.when(kind == "table", table)
+    for name, form in forms.items():
+        out = out.when(kind == name, F.when(readable, form).otherwise("raw"))
+    return out.otherwise("raw")
+
+
+def not_captured(items: DataFrame, blocks: DataFrame, key: list) -> DataFrame:
+    """Items that no block stands for; of a complete vault there are none."""
+    return items.join(blocks.select(*key).distinct(), key, "left_anti")
+
+
+def paired_by_order(objects: DataFrame, images: DataFrame, doc: str, order: list, image: str) -> DataFrame:
+    """objects with the image at the same place in their document's order, null where the numbers of both differ."""
+    place = lambda t: t.withColumns({"_n": F.row_number().over(Window.partitionBy(doc).orderBy(*order)), "_all": F.count("*").over(Window.partitionBy(doc))})
+    return place(objects).join(place(images).select(doc, "_n", "_all", image), [doc, "_n", "_all"], "left").drop("_n", "_all")
+
+
+def textual_references(items: DataFrame) -> DataFrame:
+    """(columns of items but text, reference): mentions of sections in prose, which are recorded and never resolved."""
+    found = F.regexp_extract_all("text", F.lit(r"(?i)\b((?:section|clause|chapter)\s+\d+(?:\.\d+)*)"), F.lit(1))
+    return items.withColumn("reference", F.explode(found)).drop("text")
+
+
+#: Codes of issues with their severities; skips have none.
+ISSUES = {
+    "unresolved_ref": "warn",
+    "textual_ref_candidate": "info",
+    "numbering_unresolved": "warn",
+    "table_parse_failed": "error",
+    "formula_conversion_failed": "warn",
+    "shape_unrenderable": "warn",
+    "style_dropped": "info",
+    "unknown_container": "info",
+    "source_has_unresolved_revisions": "warn",
+    "index_too_large": "warn",
+}
+
+
+def issues(rows: DataFrame) -> DataFrame:
+    """(doc, severity, code, paragraph, detail) of rows (doc, code, paragraph, detail); codes that aren't registered are left out.
+
+    Their order is that of doc, paragraph, code and detail.
+    """
+    severity = F.create_map(*[F.lit(x) for pair in ISSUES.items() for x in pair])[F.col("code")]
+    return rows.withColumn("severity", severity).where("severity is not null").select("doc", "severity", "code", "paragraph", "detail")

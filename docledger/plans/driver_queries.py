@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from docledger.functions import html as H
 from docledger.functions import text as T
 from docledger.functions.numeric import multiset_difference, numeric_tokens
+from docledger.operators import fidelity as FI
 from docledger.operators import references as R
 from docledger.operators import structure as S
 from docledger.operators import versions as V
+from docledger.streaming import log as L
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,13 +93,96 @@ def ordinal_by_type(spark, sf_dir):
 @_query("""WITH items AS (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS ilvl FROM conversations),
 tops AS (SELECT *, count(CASE WHEN ilvl = 0 THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS n0 FROM items),
 subs AS (SELECT *, count(CASE WHEN ilvl = 1 THEN 1 END) OVER (PARTITION BY conv_id, n0 ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS n1 FROM tops)
-SELECT conv_id, turn, CASE WHEN ilvl = 0 THEN CAST(greatest(n0, 1) AS VARCHAR) ELSE greatest(n0, 1) || '.' || greatest(n1, 1) END AS number FROM subs""")
+SELECT conv_id, turn, CASE WHEN ilvl = 0 THEN CAST(n0 AS VARCHAR) ELSE n0 || '.' || n1 END AS number FROM subs""")
 def list_numbering(spark, sf_dir):
     items = _table(spark, sf_dir, "conversations").withColumn("ilvl", F.when(F.col("role") == "assistant", 1).otherwise(0))
     rows = S.list_numbers(items, ["conv_id"], ["turn", "text"], 2)
     return rows.select("conv_id", "turn", F.array_join(F.col("counters").cast("array<string>"), ".").alias("number"))
 
 
+@_query("""WITH items AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS "at", l_partkey % 2 AS num_id, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS ilvl FROM lineitem WHERE l_partkey % 5 <> 4),
+a AS (SELECT *, count(CASE WHEN ilvl = 0 THEN 1 END) OVER (PARTITION BY doc ORDER BY "at" ROWS UNBOUNDED PRECEDING) + 4 AS n0, count(CASE WHEN ilvl < 1 THEN 1 END) OVER (PARTITION BY doc ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS g1 FROM items WHERE num_id = 1),
+b AS (SELECT *, count(CASE WHEN ilvl = 1 THEN 1 END) OVER (PARTITION BY doc, num_id, g1 ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS n1, count(CASE WHEN ilvl = 2 THEN 1 END) OVER (PARTITION BY doc, num_id ORDER BY "at" ROWS UNBOUNDED PRECEDING) AS n2 FROM a),
+roman AS (SELECT n, CASE WHEN n = 0 THEN '0' ELSE r END AS r FROM (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS n, unnest(['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII']) AS r))
+SELECT doc, "at", CASE ilvl WHEN 0 THEN 'Part ' || n0 WHEN 1 THEN n0 || '.' || CASE WHEN n1 = 0 THEN '0' ELSE chr(CAST(96 + n1 AS INT)) END || ')' ELSE roman.r || '-' || n0 END AS number FROM b JOIN roman ON roman.n = n2
+UNION ALL SELECT doc, "at", '' FROM items WHERE num_id = 0""")
+def rendered_numbering(spark, sf_dir):
+    """List numbers by definitions: letters, Roman numerals, another start, a level that never restarts, and lists without numbers."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    items = _table(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 4").select(F.col("l_orderkey").alias("doc"), place.alias("at"), (F.col("l_partkey") % 2).cast("int").alias("num_id"), F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("ilvl"))
+    level = lambda ilvl, form, text, start, restart, override: F.struct(F.lit(ilvl).alias("ilvl"), F.lit(form).alias("num_fmt"), F.lit(text).alias("lvl_text"), F.lit(start).alias("start"), F.lit(restart).cast("int").alias("lvl_restart"), F.lit(override).cast("int").alias("start_override"))
+    levels = F.array(level(0, "decimal", "Part %1", 1, None, 5), level(1, "lowerLetter", "%1.%2)", 1, None, None), level(2, "upperRoman", "%3-%1", 1, 0, None))
+    definitions = items.where("num_id = 1").select("doc", "num_id").distinct().withColumn("l", F.explode(levels)).select("doc", "num_id", "l.*")
+    return S.numbered(items, definitions, "doc", ["at"]).select("doc", "at", "number")
+
+
+@_query("""WITH links AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b((?:section|clause|chapter)\\s+\\d+(?:\\.\\d+)*)', 1)) AS reference FROM (SELECT doc_id, text || ' see Section ' || (doc_id % 9) || '.' || (doc_id % 4) AS text FROM documents))
+SELECT doc_id, reference FROM links""")
+def textual_references(spark, sf_dir):
+    """Mentions of sections in documents, each with one more at its end."""
+    mention = F.concat("text", F.lit(" see Section "), (F.col("doc_id") % 9).cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string"))
+    return S.textual_references(_table(spark, sf_dir, "documents").select("doc_id", mention.alias("text")))
+
+
+@_query("""WITH cells AS (SELECT l_orderkey, l_linenumber // 3 AS r, (l_linenumber % 3) AS c, l_quantity > 48 AS merged FROM lineitem),
+widths AS (SELECT l_orderkey, r, count(*) AS n, bool_or(merged) AS merged FROM cells GROUP BY ALL)
+SELECT l_orderkey, CASE WHEN NOT bool_or(merged) AND count(DISTINCT n) = 1 THEN 'table pipe' ELSE 'table html' END AS form FROM widths GROUP BY l_orderkey""")
+def table_representation(spark, sf_dir):
+    """Orders as tables of three cells a row; large quantities are merged cells."""
+    cell = F.struct(F.floor(F.col("l_linenumber") / 3).alias("row"), (F.col("l_linenumber") % 3).alias("col"), F.when(F.col("l_quantity") > 48, 2).otherwise(1).alias("grid_span"), F.lit(None).cast("string").alias("v_merge"), F.lit(1).alias("n_paras"), F.lit(False).alias("nested"), F.col("l_shipdate").cast("string").alias("text"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(cell).alias("cells"))  # an order has seven lines at most
+    return rows.select("l_orderkey", S.representation(F.lit("table"), F.col("cells"), F.lit(True)).alias("form"))
+
+
+@_query("""WITH RECURSIVE chain AS (SELECT p_partkey, p_partkey AS at, CASE WHEN p_size > 40 THEN p_size END AS num FROM part
+  UNION ALL SELECT c.p_partkey, p.p_partkey, CASE WHEN p.p_size > 40 THEN p.p_size END FROM chain c JOIN part p ON p.p_partkey = c.at // 2 WHERE c.num IS NULL AND c.at > 1)
+SELECT p_partkey, CAST(max(num) AS INT) AS num_id FROM chain GROUP BY p_partkey""")
+def style_chain(spark, sf_dir):
+    """Parts as styles, each based on the one of half its key; every style takes the numbering of the nearest that has one."""
+    parts = _table(spark, sf_dir, "part").select(F.lit("d").alias("doc"), F.col("p_partkey").alias("style_id"), F.floor(F.col("p_partkey") / 2).alias("based_on"), F.when(F.col("p_size") > 40, F.col("p_size")).alias("num_id"), F.lit(None).cast("int").alias("ilvl"))
+    items = parts.select("doc", "style_id", F.lit(None).cast("int").alias("num_id"), F.lit(None).cast("int").alias("ilvl"))
+    return S.effective_numbering(items, parts, "doc", 20).select(F.col("style_id").alias("p_partkey"), "num_id")
+
+
+@_query("""WITH numbered AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
+images AS (SELECT o_orderkey AS image, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders WHERE o_custkey % 3 <> 0 OR o_orderstatus <> 'F')
+SELECT a.o_orderkey, i.image FROM numbered a LEFT JOIN images i ON a.o_custkey = i.o_custkey AND a.n = i.n AND a.m = i.m""")
+def shape_images(spark, sf_dir):
+    """Orders as drawn objects of their customer, paired with rendered images by order where there are as many."""
+    orders = _table(spark, sf_dir, "orders")
+    images = orders.where("o_custkey % 3 <> 0 or o_orderstatus <> 'F'").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("image"))
+    return S.paired_by_order(orders.select("o_custkey", "o_orderkey"), images, "o_custkey", ["o_orderkey"], "image").select("o_orderkey", "image")
+
+
+@_query("""SELECT 'D' || o_custkey AS doc, CASE o_orderpriority WHEN '1-URGENT' THEN 'error' WHEN '2-HIGH' THEN 'warn' WHEN '3-MEDIUM' THEN 'warn' ELSE 'info' END AS severity,
+CASE o_orderpriority WHEN '1-URGENT' THEN 'table_parse_failed' WHEN '2-HIGH' THEN 'unresolved_ref' WHEN '3-MEDIUM' THEN 'index_too_large' ELSE 'style_dropped' END AS code, o_orderkey AS paragraph, o_orderstatus AS detail FROM orders WHERE o_orderpriority <> '5-LOW'""")
+def issue_registry(spark, sf_dir):
+    code = F.when(F.col("o_orderpriority") == "1-URGENT", "table_parse_failed").when(F.col("o_orderpriority") == "2-HIGH", "unresolved_ref").when(F.col("o_orderpriority") == "3-MEDIUM", "index_too_large").when(F.col("o_orderpriority") == "5-LOW", "skipped.toc").otherwise("style_dropped")
+    rows = _table(spark, sf_dir, "orders").select(F.concat(F.lit("D"), F.col("o_custkey").cast("string")).alias("doc"), code.alias("code"), F.col("o_orderkey").alias("paragraph"), F.col("o_orderstatus").alias("detail"))
+    return S.issues(rows)
+
+
+@_query("""SELECT c_mktsegment AS doc, count(*) AS headings, count_if(c_acctbal < 0) AS unresolved, count_if(c_acctbal < 0) > 0.1 * count(*) AS advised FROM customer GROUP BY c_mktsegment""")
+def numbering_failures(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("doc"), F.lit("heading").alias("kind"), F.when(F.col("c_acctbal") >= 0, F.col("c_custkey").cast("string")).alias("number"))
+    return S.unresolved_rate(rows, "doc")
+
+
+@_query("""SELECT event_type AS doc, CASE WHEN user_id % 3 = 0 THEN 'toc' ELSE 'header_footer' END AS code, count(*) AS paragraphs, CAST(sum(length(props)) AS BIGINT) AS chars FROM events WHERE user_id % 3 < 2 GROUP BY ALL""")
+def skip_counts(spark, sf_dir):
+    """Events as paragraphs that are skipped by their user."""
+    skip = F.when(F.col("user_id") % 3 == 0, "toc").when(F.col("user_id") % 3 == 1, "header_footer")
+    return FI.skip_counts(_table(spark, sf_dir, "events").select(F.col("event_type").alias("doc"), skip.alias("skip"), F.col("props").alias("text")))
+
+
+@_query("""SELECT event_id, CAST(user_id AS VARCHAR) AS section_id, 'set | ' || event_type AS rationale, CAST(floor(value) AS BIGINT) AS changed FROM events""")
+def log_rows(spark, sf_dir):
+    """Events written as rows of a log and read again."""
+    rows = _table(spark, sf_dir, "events").select(F.col("ts"), F.col("event_id").cast("string").alias("sha"), F.col("user_id").cast("string").alias("section_id"), F.lit("edit").alias("skill"), F.lit("").alias("model"), F.concat(F.lit("set | "), "event_type").alias("rationale"), F.create_map(F.lit("mod"), F.floor("value").cast("long")).alias("counts"), F.lit("none").alias("numeric"))
+    again = L.parse_rows(rows.select(L.row_text().alias("value")))
+    return again.select(F.col("sha").cast("long").alias("event_id"), "section_id", "rationale", F.col("counts")["mod"].alias("changed"))
+
+
 @_query("""SELECT o_orderpriority AS kind, count(*) AS found, count(c_custkey) AS resolved, count(*) - count(c_custkey) AS unresolved
 FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY o_orderpriority""")
 def bookmark_resolution(spark, sf_dir):
@@ -252,7 +337,9 @@ def reingest_match(spark, sf_dir):
     rows = rows.withColumn("hash", F.substring(F.sha2("norm", 256), 1, 8))
     edited = rows.withColumn("norm", F.when(F.pmod(F.xxhash64("row"), F.lit(4)) == 0, F.concat("norm", F.lit(" x"))).otherwise(F.col("norm"))).withColumn("hash", F.substring(F.sha2("norm", 256), 1, 8))
     old = rows.withColumnRenamed("row", "id").select("id", "type", "path", "ordinal", "hash", "norm")
-    return V.rematch(old, edited.select("row", "type", "path", "ordinal", "hash", "norm"))
+    # Three tiers read both sides; lost partitions are computed anew.
+    new = edited.select("row", "type", "path", "ordinal", "hash", "norm")
+    return V.rematch(old.persist(), new.persist())
 
 
 @_query()

@@ -1,18 +1,21 @@
-"""Word packages: the block stream of their documents."""
+"""Word packages: the block stream of their documents, skips and revisions, numbering, styles, bookmarks, links and media."""
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
-ITEM = "file string, para_idx int, item_seq int, kind string, outline_level int, num_id int, ilvl int, style_id string, revision string, in_toc boolean, text string, cells array<struct<row:int,col:int,grid_span:int,v_merge:string,n_paras:int,nested:boolean,text:string>>"
-_CELL = pa.struct([("row", pa.int32()), ("col", pa.int32()), ("grid_span", pa.int32()), ("v_merge", pa.string()), ("n_paras", pa.int32()), ("nested", pa.bool_()), ("text", pa.string())])
-_SCHEMA = pa.schema([("file", pa.string()), ("para_idx", pa.int32()), ("item_seq", pa.int32()), ("kind", pa.string()), ("outline_level", pa.int32()), ("num_id", pa.int32()), ("ilvl", pa.int32()), ("style_id", pa.string()), ("revision", pa.string()), ("in_toc", pa.bool_()), ("text", pa.string()), ("cells", pa.list_(_CELL))])
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+ITEM = "file string, part string, skip string, para_idx int, item_seq int, kind string, outline_level int, num_id int, ilvl int, style_id string, revision string, in_toc boolean, text string, cells array<struct<row:int,col:int,grid_span:int,v_merge:string,n_paras:int,nested:boolean,text:string>>"
 
 
 def _attr(node, path: str, name: str = "val"):
@@ -34,24 +37,29 @@ def _texts(node) -> str:
 def walk(body) -> list[dict]:
     """Items of a body in document order; unknown containers are entered."""
     out: list[dict] = []
-    state = {"para": -1, "toc": False}
+    # A contents list is a field; others, such as page references, may stand inside of it.
+    state = {"para": -1, "fields": [], "simple": False}
 
     def paragraph(p, revision):
         state["para"] += 1
         style = _attr(p, "w:pPr/w:pStyle")
-        instructions = "".join(x.text or "" for x in p.iter(f"{W}instrText"))
-        if instructions.strip().upper().startswith("TOC"):
-            state["toc"] = True
-        in_toc = state["toc"] or bool(style and style.upper().replace(" ", "").startswith("TOC") and style[3:].strip().isdigit())
-        ends = [x for x in p.iter(f"{W}fldChar") if x.get(f"{W}fldCharType") == "end"]
-        if ends:
-            state["toc"] = False
+        in_toc = "toc" in state["fields"] or state["simple"] or bool(style and style.upper().replace(" ", "").startswith("TOC") and style[3:].strip().isdigit())
+        for x in (x for x in p.iter() if x.tag in (f"{W}fldChar", f"{W}instrText", f"{W}fldSimple")):
+            what = x.get(f"{W}fldCharType")
+            toc = (x.text if x.tag == f"{W}instrText" else x.get(f"{W}instr") or "").strip().upper().startswith("TOC")
+            if what == "begin":
+                state["fields"].append("")
+            elif what == "end" and state["fields"]:
+                state["fields"].pop()
+            elif toc and x.tag == f"{W}instrText" and state["fields"]:
+                state["fields"][-1] = "toc"
+            in_toc = in_toc or toc
         level = _attr(p, "w:pPr/w:outlineLvl")
         if level is None and style and style.lower().startswith("heading") and style[7:].strip().isdigit():
             level = int(style[7:]) - 1
         num, ilvl = _attr(p, "w:pPr/w:numPr/w:numId"), _attr(p, "w:pPr/w:numPr/w:ilvl")
         text = _texts(p)
-        base = {"para_idx": state["para"], "style_id": style, "revision": revision, "in_toc": in_toc, "text": text}
+        base = {"para_idx": state["para"], "style_id": style, "revision": revision, "in_toc": in_toc, "skip": "toc" if in_toc else None, "text": text}
         if p.find(f"{W}pPr/{W}rPr/{W}del") is not None and not text:
             out.append(base | {"item_seq": 0, "kind": "paragraph", "revision": "del"})
             return
@@ -72,7 +80,7 @@ def walk(body) -> list[dict]:
             for c, cell in enumerate(row.findall(f"{W}tc")):
                 merge = cell.find(f"{W}tcPr/{W}vMerge")
                 cells.append({"row": r, "col": c, "grid_span": int(_attr(cell, "w:tcPr/w:gridSpan") or 1), "v_merge": None if merge is None else merge.get(f"{W}val") or "continue", "n_paras": len(cell.findall(f"{W}p")), "nested": cell.find(f".//{W}tbl") is not None, "text": " ".join(_texts(cell).split())})
-        out.append({"para_idx": state["para"], "item_seq": 0, "kind": "table", "revision": revision, "in_toc": state["toc"], "text": "\n".join(c["text"] for c in cells), "cells": cells})
+        out.append({"para_idx": state["para"], "item_seq": 0, "kind": "table", "revision": revision, "in_toc": "toc" in state["fields"], "skip": "toc" if "toc" in state["fields"] else None, "text": "\n".join(c["text"] for c in cells), "cells": cells})
 
     def descend(node, revision):
         for child in node:
@@ -82,6 +90,10 @@ def walk(body) -> list[dict]:
                 table(child, revision)
             elif child.tag == f"{W}ins":
                 descend(child, "ins")
+            elif child.tag == f"{W}fldSimple" and (child.get(f"{W}instr") or "").strip().upper().startswith("TOC"):
+                state["simple"] = True
+                descend(child, revision)
+                state["simple"] = False
             elif child.tag in (f"{W}del", f"{MC}Fallback", f"{W}sectPr"):
                 continue
             else:
@@ -91,19 +103,132 @@ def walk(body) -> list[dict]:
     return out
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """The items of every package below a path; one that can't be read gives a single item of kind 'broken'."""
+def _parts(package: zipfile.ZipFile):
+    """(name, skip, root of the paragraphs) of the parts that have text, the body first."""
+    for name in sorted(package.namelist(), key=lambda n: (n != "word/document.xml", n)):
+        found = re.fullmatch(r"word/(document|footnotes|header\d*|footer\d*)\.xml", name)
+        if found:
+            root = ET.fromstring(package.read(name))
+            kind = found[1].rstrip("0123456789")
+            yield {"document": "body"}.get(kind, kind), "header_footer" if kind in ("header", "footer") else None, root.find(f"{W}body") if kind == "document" else root
+
+
+def items_of(content: bytes) -> list[dict]:
+    """The items of a package's parts; headers and footers are there to be counted."""
+    out = []
+    for part, skip, root in _parts(zipfile.ZipFile(io.BytesIO(content))):
+        found = walk(root)
+        if part == "footnotes":
+            found = [r | {"kind": "footnote"} if r["kind"] == "paragraph" else r for r in found]
+        out += [r | {"part": part, "skip": skip or r.get("skip")} for r in found]
+    return out
+
+
+def revisions_of(content: bytes) -> list[dict]:
+    """Counts of accepted insertions, discarded deletions and comments of a body."""
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    n = {k: sum(1 for _ in root.iter(f"{W}{tag}")) for k, tag in (("ins_accepted", "ins"), ("del_discarded", "del"), ("comments_discarded", "commentReference"))}
+    return [n]
+
+
+def numbering_of(content: bytes) -> list[dict]:
+    """The levels of each list: format, text, first number, what restarts it and an override of its start."""
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/numbering.xml"))
+    whole = lambda x: None if x is None else int(x)
+    abstract = {}
+    for a in root.findall(f"{W}abstractNum"):
+        abstract[a.get(f"{W}abstractNumId")] = [(int(v.get(f"{W}ilvl")), _attr(v, "w:numFmt"), _attr(v, "w:lvlText"), whole(_attr(v, "w:start")), whole(_attr(v, "w:lvlRestart"))) for v in a.findall(f"{W}lvl")]
+    out = []
+    for n in root.findall(f"{W}num"):
+        over = {int(o.get(f"{W}ilvl")): whole(_attr(o, "w:startOverride")) for o in n.findall(f"{W}lvlOverride")}
+        for ilvl, form, text, start, restart in abstract.get(_attr(n, "w:abstractNumId"), []):
+            out.append({"num_id": int(n.get(f"{W}numId")), "ilvl": ilvl, "num_fmt": form or "decimal", "lvl_text": text or "", "start": start if start is not None else 1, "lvl_restart": restart, "start_override": over.get(ilvl)})
+    return out
+
+
+def styles_of(content: bytes) -> list[dict]:
+    """Each paragraph style with the one it is based on and its own numbering."""
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/styles.xml"))
+    out = []
+    for x in root.findall(f"{W}style"):
+        num, ilvl = _attr(x, "w:pPr/w:numPr/w:numId"), _attr(x, "w:pPr/w:numPr/w:ilvl")
+        out.append({"style_id": x.get(f"{W}styleId"), "based_on": _attr(x, "w:basedOn"), "num_id": num and int(num), "ilvl": ilvl and int(ilvl)})
+    return out
+
+
+def links_of(content: bytes) -> list[dict]:
+    """Bookmarks, hyperlinks and reference fields of a body, with the paragraph they stand in; external ones with their address."""
+    package = zipfile.ZipFile(io.BytesIO(content))
+    relations = {}
+    if "word/_rels/document.xml.rels" in package.namelist():
+        relations = {x.get("Id"): x.get("Target") for x in ET.fromstring(package.read("word/_rels/document.xml.rels"))}
+    out = []
+    for at, p in enumerate(ET.fromstring(package.read("word/document.xml")).iter(f"{W}p")):
+        row = lambda kind, target, display: out.append({"para_idx": at, "kind": kind, "target": target, "display": display})  # noqa: B023, E731
+        for x in p.iter(f"{W}bookmarkStart"):
+            row("bookmark", x.get(f"{W}name"), None)
+        for x in p.iter(f"{W}hyperlink"):
+            external = x.get(f"{R}id")
+            row("external" if external else "internal", relations.get(external) if external else x.get(f"{W}anchor"), _texts(x))
+        for x in p.iter(f"{W}instrText"):
+            if m := re.match(r"\s*REF\s+(\S+)", x.text or ""):
+                row("internal", m[1], None)
+    return out
+
+
+def media_of(content: bytes) -> list[dict]:
+    """Images that the body shows, in order, with their bytes."""
+    package = zipfile.ZipFile(io.BytesIO(content))
+    if "word/_rels/document.xml.rels" not in package.namelist():
+        return []
+    relations = {x.get("Id"): x.get("Target") for x in ET.fromstring(package.read("word/_rels/document.xml.rels"))}
+    out = []
+    for at, x in enumerate(ET.fromstring(package.read("word/document.xml")).iter(f"{A}blip")):
+        name = f"word/{relations.get(x.get(f'{R}embed'))}"
+        if name in package.namelist():
+            out.append({"at": at, "name": name.rsplit("/", 1)[-1], "bytes": package.read(name)})
+    return out
+
+
+def _read(spark: SparkSession, path: str, rows_of, columns: str, broken: list[dict]) -> DataFrame:
+    """A row for each dict that rows_of(bytes) gives of every package below a path, with its file."""
+
+    schema = to_arrow_schema(StructType.fromDDL(columns))
 
     def run(batches):
         for batch in batches:
             rows = []
             for file, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 try:
-                    part = zipfile.ZipFile(io.BytesIO(content.as_py())).read("word/document.xml")
-                    found = walk(ET.fromstring(part).find(f"{W}body"))
+                    found = rows_of(content.as_py())
                 except (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError):
-                    found = [{"kind": "broken", "in_toc": False}]
+                    found = broken
                 rows += [r | {"file": file} for r in found]
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInArrow(run, columns)
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """The items of every package below a path; one that can't be read gives a single item of kind 'broken'."""
+    return _read(spark, path, items_of, ITEM, [{"kind": "broken", "in_toc": False}])
+
+
+def read_revisions(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, revisions_of, "file string, ins_accepted long, del_discarded long, comments_discarded long", [])
+
+
+def read_numbering(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, numbering_of, "file string, num_id int, ilvl int, num_fmt string, lvl_text string, start int, lvl_restart int, start_override int", [])
+
+
+def read_styles(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, styles_of, "file string, style_id string, based_on string, num_id int, ilvl int", [])
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, links_of, "file string, para_idx int, kind string, target string, display string", [])
+
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInArrow(run, ITEM)
+def read_media(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, media_of, "file string, at int, name string, bytes binary", [])

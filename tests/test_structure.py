@@ -193,6 +193,61 @@ def test_word_package(spark, tmp_path):
     assert [len(r.cells) for r in rows if r.kind == "table"] == [2]
 
 
+def package(path, **parts):
+    with zipfile.ZipFile(path, "w") as z:
+        for name, text in parts.items():
+            z.writestr("word/" + name.replace("__", "/").replace("_xml", ".xml"), text)
+
+
+def test_parts_of_a_package(spark, tmp_path):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
+    run = lambda x: f"<w:r>{x}</w:r>"
+    field = lambda k: run(f'<w:fldChar w:fldCharType="{k}"/>')
+    text = lambda t: run(f"<w:t>{t}</w:t>")
+    page = field("begin") + run("<w:instrText>PAGEREF _Toc1</w:instrText>") + field("separate") + text("3") + field("end")
+    toc = [f"<w:p>{field('begin')}{run('<w:instrText>TOC o</w:instrText>')}{field('separate')}{text('one')}{page}</w:p>", f"<w:p>{text('two')}{page}</w:p>", f"<w:p>{text('three')}{page}{field('end')}</w:p>"]
+    marked = f'<w:p><w:bookmarkStart w:name="_Ref1"/>{text("body")}<w:hyperlink w:anchor="_Ref1">{text("there")}</w:hyperlink><w:hyperlink r:id="r1">{text("out")}</w:hyperlink>{run("<w:instrText> REF _Ref2 h</w:instrText>")}</w:p>'
+    changed = f'<w:p><w:ins>{text("new")}</w:ins><w:del>{run("<w:delText>old</w:delText>")}</w:del><w:r><w:commentReference/></w:r><w:r><w:drawing><a:blip r:embed="r2"/></w:drawing></w:r></w:p>'
+    levels = '<w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="upperRoman"/><w:lvlText w:val="%1."/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="lowerLetter"/><w:lvlText w:val="%1%2"/><w:lvlRestart w:val="0"/></w:lvl>'
+    package(
+        tmp_path / "x.docx",
+        document_xml=f"<w:document {ns}><w:body>{''.join(toc)}{marked}{changed}</w:body></w:document>",
+        header1_xml=f"<w:hdr {ns}><w:p>{text('head')}</w:p></w:hdr>",
+        footnotes_xml=f"<w:footnotes {ns}><w:footnote><w:p>{text('note')}</w:p></w:footnote></w:footnotes>",
+        numbering_xml=f'<w:numbering {ns}><w:abstractNum w:abstractNumId="7">{levels}</w:abstractNum><w:num w:numId="2"><w:abstractNumId w:val="7"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="4"/></w:lvlOverride></w:num></w:numbering>',
+        styles_xml=f'<w:styles {ns}><w:style w:styleId="A"><w:basedOn w:val="B"/></w:style><w:style w:styleId="B"><w:pPr><w:numPr><w:ilvl w:val="1"/><w:numId w:val="2"/></w:numPr></w:pPr></w:style></w:styles>',
+    )
+    with zipfile.ZipFile(tmp_path / "x.docx", "a") as z:
+        z.writestr("word/_rels/document.xml.rels", '<Relationships><Relationship Id="r1" Target="http://x/"/><Relationship Id="r2" Target="media/i1.png"/></Relationships>')
+        z.writestr("word/media/i1.png", "bytes")
+    at = str(tmp_path)
+    rows = [(r.part, r.kind, r.text, r.skip) for r in docx.read_docx(spark, at).collect()]
+    assert rows == [("body", "paragraph", "one3", "toc"), ("body", "paragraph", "two3", "toc"), ("body", "paragraph", "three3", "toc"), ("body", "paragraph", "bodythereout", None), ("body", "paragraph", "new", None), ("body", "figure", None, None), ("footnotes", "footnote", "note", None), ("header", "paragraph", "head", "header_footer")]
+    assert tuple(docx.read_revisions(spark, at).first())[1:] == (1, 1, 1)
+    assert [(r.kind, r.target, r.display) for r in docx.read_links(spark, at).collect()] == [("bookmark", "_Ref1", None), ("internal", "_Ref1", "there"), ("external", "http://x/", "out"), ("internal", "_Ref2", None)]
+    assert [(r.name, bytes(r.bytes)) for r in docx.read_media(spark, at).collect()] == [("i1.png", b"bytes")]
+    numbering = docx.read_numbering(spark, at)
+    assert [tuple(r)[1:] for r in numbering.collect()] == [(2, 0, "upperRoman", "%1.", 1, None, 4), (2, 1, "lowerLetter", "%1%2", 1, 0, None)]
+    items = spark.createDataFrame([(k, "A" if k % 2 else "C", None if k % 2 else 2, None if k % 2 else 0) for k in range(6)], "at int, style_id string, num_id int, ilvl int").join(numbering.select("file").distinct())
+    found = S.effective_numbering(items, docx.read_styles(spark, at), "file")
+    numbers = S.numbered(found, numbering, "file", ["at"]).orderBy("at").collect()
+    assert [r.number for r in numbers] == ["IV.", "IVa", "V.", "Vb", "VI.", "VIc"]
+
+
+def test_log_file(spark, tmp_path):
+    line = "| 2026-09-24T14:12+07:00 | a1b2c3d | SYS-000120 | restructure-section | m | split step 3 \\| in two | mod=5 new=1 del=0 | numeric: none |"
+    head = "| time | sha | section | skill | model | rationale | counts | numeric |\n|---|---|---|---|---|---|---|---|\n"
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "log.md").write_text(f"---\ngenerated: true\n---\n\n{head}{line}\n")
+    rows = log.read_rows(spark, str(tmp_path / "log"))
+    one = rows.first()
+    assert (one.sha, one.section_id, one.rationale, one.counts, one.numeric) == ("a1b2c3d", "SYS-000120", "split step 3 | in two", {"mod": 5, "new": 1, "del": 0}, "none")
+    log.append_rows(rows, str(tmp_path / "log"))
+    assert (tmp_path / "log" / "log.md").read_text().endswith(f"{line}\n")
+    again = log.read_rows(spark, str(tmp_path / "log")).collect()
+    assert len(again) == 2 and again[0] == again[1]
+
+
 def test_log_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     rows = [{"ts": f"2024-01-0{d}T10:00:00", "section_id": s, "skill": "x", "changed": 2} for d in (1, 1, 2) for s in ("a", "b")]
