@@ -211,9 +211,9 @@ BASE_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS (
-  SELECT doc_id, i - 1 AS at, label FROM docs, unnest(range(1, len(w) + 1)) AS t(i),
+  SELECT doc_id, i - 1 AS place, label FROM docs, unnest(range(1, len(w) + 1)) AS t(i),
     (VALUES ('cc by', 2, 'cc-by'), ('general public license', 3, 'gpl'), ('all rights reserved', 3, 'reserved')) AS p(phrase, n, label)
   WHERE w[i] = split_part(phrase, ' ', 1) AND array_to_string(w[i : i + n - 1], ' ') = phrase)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(label) AS n_base, min(at) AS first_word, max(at) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, count(label) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
 FROM docs LEFT JOIN places USING (doc_id) GROUP BY doc_id, w
 """
