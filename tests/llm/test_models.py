@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +91,38 @@ def test_quality_odd_rows(spark):
     rows = Q.score_quality(docs, some).collect()
     assert len(rows) == len(odd_rows()) and all(0 <= r.score <= 1 for r in rows)
     assert Q.score_quality(docs.limit(0), some).count() == 0
+
+
+def test_dual_solver_by_projected_gradient():
+    """The same weights as a plain projected-gradient solution of the dual problem."""
+    rng = np.random.default_rng(3)
+    n, size = 40, 25
+    rows = [np.sort(rng.choice(size, rng.integers(2, 9), replace=False)).astype(np.int32) for _ in range(n)]
+    y = np.where(rng.random(n) < 0.3, 1.0, -1.0)
+    scale = rng.normal(0, 1, size)
+    x = np.zeros((n, size + 1))
+    for i, f in enumerate(rows):
+        v = scale[f]
+        x[i, f] = v / np.sqrt((v * v).sum())
+    x[:, -1] = 1.0
+    most = n / (2 * np.where(y > 0, (y > 0).sum(), (y < 0).sum()))
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(n), 1 / np.linalg.norm(q, 2)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, most)
+    want = (alpha * y) @ x
+    w, bias = Q.fit_dual(rows, y, scale, rounds=20_000)
+    primal = lambda v: 0.5 * v @ v + (most * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert abs(primal(np.append(w, bias)) - primal(want)) < 1e-2 * primal(want)
+    assert np.abs(np.append(w, bias) - want).max() < 2e-2
+
+
+def test_log_count_ratios_by_brute_force(spark):
+    texts = [("a b a b", 1), ("good words here", 1), ("bad words", 0), ("a b", 0), (None, 1), ("", 0)]
+    got = Q._ratios(spark.createDataFrame(texts, "text string, y int"))
+    n = np.ones((2, 1 << Q.FEATURE_BITS))
+    for t, y in texts:
+        for _, f in Q.features(pa.array([t])):
+            n[y, f] += 1
+    p = n / n.sum(axis=1, keepdims=True)
+    assert np.allclose(got, np.log(p[1] / p[0]))
