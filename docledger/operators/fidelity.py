@@ -97,3 +97,12 @@ def gates(texts: DataFrame, counts: DataFrame, links: DataFrame, least: dict | N
     }
     rows = rows.select("doc", *[test.alias(name) for name, test in passed.items()])
     return rows.withColumn("published", F.col("links") & F.col("tables") & F.col("fidelity"))
+
+
+def coverage_documents(texts: DataFrame, counts: DataFrame, links: DataFrame, gated: DataFrame) -> DataFrame:
+    """(doc, json, markdown): each document's coverage report in both forms, from one row of numbers."""
+    rows = texts.join(counts, "doc", "full_outer").join(links.withColumnsRenamed({c: f"links_{c}" for c in links.columns if c != "doc"}), "doc", "full_outer").join(gated.withColumnsRenamed({c: f"gate_{c}" for c in gated.columns if c != "doc"}), "doc", "left")
+    names = [c for c in rows.columns if c != "doc"]
+    table = F.array_join(F.array(*[F.concat(F.lit(f"| {c} | "), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit(" |")) for c in names]), "\n")
+    front = F.concat(F.lit("---\ngenerated: true\ndoc: "), "doc", F.lit("\nkind: coverage\n---\n\n| what | value |\n| --- | --- |\n"))
+    return rows.select("doc", F.to_json(F.struct("doc", *names)).alias("json"), F.concat(front, table, F.lit("\n")).alias("markdown"))

@@ -10,6 +10,33 @@ def resolve(links: DataFrame, targets: DataFrame, name: str) -> DataFrame:
     return links.join(known, name, "left").withColumn("resolved", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def wikilinks(links: DataFrame, bookmarks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """links (doc, target, display and more) with text and resolved: bookmarks become links to the section of their block.
+
+    bookmarks: doc, name, block_id; blocks: id, file, type. A heading is linked by its section, another block by its marker in
+    it; what can't be resolved keeps its display text.
+    """
+    places = bookmarks.select("doc", F.col("name").alias("target"), F.col("block_id").alias("id")).join(blocks.select("id", F.col("file").alias("_file"), "type"), "id")
+    places = places.select("doc", "target", "_file", F.when(F.col("type") != "heading", F.concat(F.lit("#^"), F.lower("id"))).alias("_block"))
+    rows = links.join(places, ["doc", "target"], "left")
+    link = F.concat(F.lit("[["), "_file", F.coalesce("_block", F.lit("")), F.when(F.coalesce("display", F.lit("")) != "", F.concat(F.lit("|"), "display")).otherwise(""), F.lit("]]"))
+    return rows.withColumns({"resolved": F.col("_file").isNotNull(), "text": F.coalesce(link, "display", F.lit(""))}).drop("_file", "_block")
+
+
+def owning_section(paragraphs: DataFrame, sections: DataFrame, doc: str, at: str) -> DataFrame:
+    """paragraphs with the file of the section whose range (first, last) they stand in; null between ranges.
+
+    Ranges of a document don't overlap, so the last one that began is the only one that can hold a paragraph: one window
+    over both instead of a join on a range.
+    """
+    starts = sections.select(doc, F.col("first").alias(at), F.struct("file", "last").alias("_range"))
+    both = paragraphs.withColumn("_range", F.lit(None).cast(starts.schema["_range"].dataType)).withColumn("_own", F.lit(1))
+    both = both.unionByName(starts.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    so_far = Window.partitionBy(doc).orderBy(at, "_own").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_range", F.last("_range", ignorenulls=True).over(so_far)).where("_own = 1")
+    return rows.withColumn("file", F.when(F.col(at) <= F.col("_range.last"), F.col("_range.file"))).drop("_range", "_own")
+
+
 def dangling(links: DataFrame, targets: DataFrame, name: str) -> DataFrame:
     return links.join(targets.select(name), name, "left_anti")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docledger.functions.plain import to_plain_text
 from docledger.functions.text import breadcrumb, links_of, words
 from docledger.operators import structure as S
+from docledger.sources.sections import KEYS, rendered
 
 #: Fixed value: bytes from which an index is too large.
 INDEX_BYTES = 40 * 1024
@@ -118,3 +119,40 @@ def inbound_impact(base: DataFrame, work: DataFrame) -> DataFrame:
     links = link_rows(work).where("id is not null").select("file", F.col("id").alias("source"), F.coalesce(F.upper("block"), "section").alias("target"))
     met = links.join(changed.select(F.col("id").alias("target")), "target", "left_semi")
     return met.join(changed.select("file").distinct(), "file", "left_anti").select("source", "target").distinct()
+
+
+def with_markers(blocks: DataFrame) -> DataFrame:
+    """blocks with the markers that they must have: those of link targets that aren't headings, named by their anchor.
+
+    Others lose theirs.
+    """
+    asked = link_rows(blocks).where("block is not null").select(F.upper("block").alias("id")).distinct().withColumn("_asked", F.lit(True))
+    rows = blocks.join(asked, "id", "left")
+    return rows.withColumn("marker", F.when(F.col("_asked") & (F.col("type") != "heading"), F.lower("id"))).drop("_asked").select(*blocks.columns)
+
+
+def front_texts(derived: DataFrame, stored: DataFrame) -> DataFrame:
+    """(file, front): front matter with the keys in their fixed order, derived ones anew and the others as they are stored.
+
+    Values are written as JSON, which YAML reads; source alone is a flow mapping in any case.
+    """
+    both = derived.join(stored.select("file", "fields"), "file", "left")
+    lines = []
+    for key in KEYS:
+        value = F.col("fields")[key]
+        if key in DERIVED:
+            whole = F.to_json(F.struct(F.col(key).alias("v")))
+            value = F.when(whole != "{}", F.substring(whole, F.lit(6), F.length(whole) - 6))
+        lines.append(F.when(value.isNotNull(), F.concat(F.lit(f"{key}: "), value)))
+    return both.select("file", F.array_join(F.array_compact(F.array(*lines)), "\n").alias("front"))
+
+
+def formatted_files(blocks: DataFrame, stored: DataFrame) -> DataFrame:
+    """(file, text) of every section file in the fixed format, with markers and derived keys as they must be."""
+    marked = with_markers(blocks)
+    return rendered(marked, front_texts(sections(marked, stored), stored))
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Those rows (file, text) of after that before has otherwise or not at all: what has to be written."""
+    return after.join(before.select("file", F.col("text").alias("_was")), "file", "left").where(~F.col("text").eqNullSafe(F.col("_was"))).drop("_was")

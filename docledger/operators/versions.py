@@ -74,3 +74,11 @@ def rematch(old: DataFrame, new: DataFrame) -> DataFrame:
     b = new2.select(*place, "ordinal", F.col("row").alias("new_row"), F.col("norm").alias("now")).join(second.select("new_row"), "new_row", "left_anti")
     third = a.join(b, [*place, "ordinal"]).where(may_be_similar(F.col("was"), F.col("now"))).where(similarity("was", "now") >= SIMILAR).select("old_id", "new_row", F.lit(3).alias("tier"))
     return first.unionByName(second).unionByName(third)
+
+
+def rematch_summary(matches: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row: matched, new, deleted, and matched blocks whose path changed. old: id, path; new: row, path."""
+    both = old.select("id", F.col("path").alias("was")).join(matches.select(F.col("old_id").alias("id"), F.col("new_row").alias("row")), "id", "full_outer")
+    both = both.join(new.select("row", F.col("path").alias("now")), "row", "full_outer")
+    met = F.col("id").isNotNull() & F.col("row").isNotNull()
+    return both.agg(F.count_if(met).alias("matched"), F.count_if(F.col("id").isNull()).alias("new"), F.count_if(F.col("row").isNull()).alias("deleted"), F.count_if(met & (F.col("was") != F.col("now"))).alias("moved"))

@@ -210,6 +210,11 @@ def listing(findings: DataFrame) -> DataFrame:
     return findings.select("file", "block_id", "rule", line.alias("line"))
 
 
+def as_json(findings: DataFrame) -> DataFrame:
+    """(file, json): an object for each finding."""
+    return findings.select("file", F.to_json(F.struct("file", "rule", "severity", "block_id", "message")).alias("json"))
+
+
 def exit_code(findings: DataFrame | None = None, unreadable: bool = False, usage: bool = False) -> int:
     """0 clean, 1 warnings, 2 errors, 3 if files could not be read, 4 if the call was wrong."""
     if usage or unreadable:

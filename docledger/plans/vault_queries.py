@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docledger.operators import export as E
 from docledger.operators import fidelity as FI
+from docledger.operators import references as REF
 from docledger.operators import registry as R
 from docledger.operators import vault as V
 from docledger.operators.structure import block_stream
@@ -426,3 +427,29 @@ def assigned_ids(spark, sf_dir):
     highest = _base_blocks(spark, sf_dir).groupBy("doc_id").agg((F.max("k") * 10 + 1000).alias("next"))
     next_of = highest.select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc"), "next")
     return R.assign_ids(work, next_of).where(F.col("n_anchors") == 0).where(number.isNotNull()).select("file", "id")
+
+
+@_query(""", bookmarks AS (SELECT doc_id, k, id, file, type, 'bm' || k AS name FROM base WHERE k % 4 <> 3)
+SELECT b.doc_id, b.k, m.id IS NOT NULL AS resolved, CASE WHEN m.id IS NULL THEN b.w1 ELSE '[[' || m.file || CASE WHEN m.type <> 'heading' THEN '#^' || lower(m.id) ELSE '' END || '|' || b.w1 || ']]' END AS text
+FROM base b LEFT JOIN bookmarks m ON m.doc_id = b.doc_id AND m.k = b.k + 1""", work=False)
+def resolved_references(spark, sf_dir):
+    """Every block refers to a bookmark at the one behind it; every fourth block has none."""
+    blocks, _ = _vault(spark, sf_dir, False)
+    source = _base_blocks(spark, sf_dir)
+    bookmarks = source.where("k % 4 <> 3").select(F.col("doc_id").alias("doc"), F.concat(F.lit("bm"), F.col("k").cast("string")).alias("name"), F.col("id").alias("block_id"))
+    links = source.select(F.col("doc_id").alias("doc"), "k", F.concat(F.lit("bm"), (F.col("k") + 1).cast("string")).alias("target"), F.col("w1").alias("display"))
+    return REF.wikilinks(links, bookmarks, blocks).select(F.col("doc").alias("doc_id"), "k", "resolved", "text")
+
+
+@_query(" SELECT doc_id, k, CASE WHEN t < 5 THEN file END AS file FROM base", work=False)
+def owning_sections(spark, sf_dir):
+    """The section of each line by ranges of lines; ranges leave out every section's last line."""
+    source = _base_blocks(spark, sf_dir)
+    ranges = source.where("t = 0").select("doc_id", "file", F.col("k").alias("first"), (F.col("k") + 4).alias("last"))
+    return REF.owning_section(source.select("doc_id", "k"), ranges, "doc_id", "k").select("doc_id", "k", "file")
+
+
+@_query()
+def formatted_files(spark, sf_dir):
+    """Digests of all section files after formatting; a test shows that formatting them again changes nothing."""
+    return V.formatted_files(*_vault(spark, sf_dir)).select("file", F.md5("text").alias("digest"))

@@ -5,7 +5,9 @@ import json
 import re
 
 import pyarrow as pa
+import pyarrow.fs
 import yaml
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,3 +126,28 @@ def rendered(found: DataFrame, heads: DataFrame) -> DataFrame:
     body = found.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", text.alias("t")))), lambda s: s.t), "\n\n").alias("body"))
     whole = F.concat(F.lit("---\n"), "front", F.lit("\n---\n\n"), F.coalesce("body", F.lit("")), F.lit("\n"))
     return heads.join(body, "file", "left").select("file", whole.alias("text"))
+
+
+def asset_names(spark: SparkSession, folder: str) -> DataFrame:
+    """asset: the names of the files below a folder; their bytes are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("asset"))
+
+
+def write_assets(assets: DataFrame, folder: str) -> DataFrame:
+    """Write (asset, bytes) as files into a folder that all executors share (a URI). Returns (asset, size) of what was written.
+
+    A file is written under a name of its attempt and then moved, so a lost task leaves no half file under its name.
+    """
+
+    def run(batches):
+        store, path = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        for batch in batches:
+            for name, content in zip(batch["asset"].to_pylist(), batch["bytes"], strict=True):
+                with store.open_output_stream(f"{path}/.{name}.{attempt}", compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(f"{path}/.{name}.{attempt}", f"{path}/{name}")
+            yield pa.record_batch({"asset": batch["asset"], "size": pa.array([len(c.as_buffer()) for c in batch["bytes"]], pa.int64())})
+
+    return assets.select("asset", "bytes").mapInArrow(run, "asset string, size long")

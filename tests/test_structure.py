@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docledger.functions import numeric as N
 from docledger.functions import text as T
 from docledger.functions.plain import to_plain_text
+from docledger.operators import fidelity
 from docledger.operators import registry as R
 from docledger.operators import structure as S
 from docledger.operators import vault as vault_ops
@@ -193,6 +194,50 @@ def test_word_package(spark, tmp_path):
     assert [len(r.cells) for r in rows if r.kind == "table"] == [2]
 
 
+def test_formatting_twice_changes_nothing(spark, tmp_path):
+    body = ONE.replace(" ^sys-000101", "").replace("format:pipe", "locked:false format:pipe") + "\n<!-- id:SYS-000104 type:paragraph -->\nsee [[SYS-000100#^sys-000102]] ^sys-000104\n"
+    found, ctx = vault(spark, tmp_path, "a", body)
+    once = vault_ops.formatted_files(found, ctx["front"])
+    text = once.first().text
+    assert "^sys-000102" in text and "^sys-000104" not in text and "format:pipe locked:false" in text and "blocks: 5" in text
+    assert vault_ops.changed_files(ctx["files"], once).count() == 1
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "SYS-000100.md").write_text(text)
+    files = sections.read_files(spark, str(tmp_path / "b"))
+    split = sections.split_front(files)
+    again = vault_ops.formatted_files(sections.blocks(split), sections.front_matter(split))
+    assert again.first().text == text and vault_ops.changed_files(files, again).count() == 0
+    assert {r.rule for r in validate(found, sections.blocks(split), {"front": sections.front_matter(split), "files": files, "version": 1}).collect()} <= {"V04"}
+
+
+def test_assets(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a{k}.png", bytes([k]) * k) for k in range(1, 5)], "asset string, bytes binary")
+    assert sorted(map(tuple, sections.write_assets(rows, f"file://{tmp_path}/assets").collect())) == [(f"a{k}.png", k) for k in range(1, 5)]
+    assert sorted(r.asset for r in sections.asset_names(spark, f"{tmp_path}/assets").collect()) == [f"a{k}.png" for k in range(1, 5)]
+    assert (tmp_path / "assets" / "a3.png").read_bytes() == b"\x03" * 3
+
+
+def test_segments_and_summary(spark):
+    items = spark.createDataFrame([(0, "heading", 1), (1, "paragraph", None), (2, "heading", 3), (3, "heading", 2), (4, "paragraph", None)], "at int, kind string, level int").withColumn("doc", F.lit("d"))
+    assert [r.section_no for r in S.segment(items, "doc", ["at"]).orderBy("at").collect()] == [1, 1, 1, 2, 2]
+    old = spark.createDataFrame([("a", "p"), ("b", "p"), ("c", "q")], "id string, path string")
+    new = spark.createDataFrame([("1", "p"), ("2", "r"), ("3", "q")], "row string, path string")
+    met = spark.createDataFrame([("a", "1", 1), ("b", "2", 3)], "old_id string, new_row string, tier int")
+    assert tuple(V.rematch_summary(met, old, new).first()) == (2, 1, 1, 1)
+    blocks = spark.createDataFrame([("d", 1)], "doc string, para_idx int")
+    assert [r.para_idx for r in S.not_captured(spark.createDataFrame([("d", 1), ("d", 2)], "doc string, para_idx int"), blocks, ["doc", "para_idx"]).collect()] == [2]
+
+
+def test_coverage_documents(spark):
+    texts = spark.createDataFrame([("D1", 4, 3, 0.75)], "doc string, source_segments long, segments_covered long, coverage double")
+    counts = spark.createDataFrame([("D1", 2, 2, 2, 0)], "doc string, blocks long, tables long, tables_pipe long, tables_html long")
+    links = spark.createDataFrame([("D1", 10, 9, 1, 0, 2)], "doc string, found long, resolved_section long, resolved_block long, unresolved long, external long")
+    gated = fidelity.gates(texts, counts, links)
+    assert tuple(gated.first()) == ("D1", True, True, False, False)
+    row = fidelity.coverage_documents(texts, counts, links, gated).first()
+    assert json.loads(row.json)["links_found"] == 10 and "| coverage | 0.75 |" in row.markdown and row.markdown.startswith("---\ngenerated: true")
+
+
 def package(path, **parts):
     with zipfile.ZipFile(path, "w") as z:
         for name, text in parts.items():
