@@ -47,10 +47,22 @@ def inverse(links: DataFrame, source: str, target: str) -> DataFrame:
     return rows.join(rows.groupBy(target).agg(F.count("*").alias("n_refs")), target)
 
 
-def as_of_last(rows: DataFrame, key: list, order: list, wanted: Column, value: str, name: str) -> DataFrame:
-    """rows with the value of the last earlier row of the key that is wanted."""
-    before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(before))
+def as_of_last(rows: DataFrame, key: list, order: list, wanted: Column, value: str, name: str, bucket: Column | None = None) -> DataFrame:
+    """rows with the value of the last earlier row of the key that is wanted.
+
+    bucket: something that never falls in the order, such as the day. With it a key's rows are dealt by bucket, and only the
+    last wanted row of each bucket is carried on to those behind it, so a key with very many rows fills no task.
+    """
+    keep = F.when(wanted, F.col(value))
+    if bucket is None:
+        before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.last(keep, ignorenulls=True).over(before))
+    rows = rows.withColumn("_bucket", bucket)
+    before = Window.partitionBy(*key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(*key, "_bucket").agg(F.max_by(keep, F.when(keep.isNotNull(), F.struct(*order))).alias("_last"))
+    carried = last.withColumn("_before", F.last("_last", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    out = rows.withColumn(name, F.last(keep, ignorenulls=True).over(before)).join(carried, [*key, "_bucket"])
+    return out.withColumn(name, F.coalesce(name, "_before")).drop("_before", "_bucket")
 
 
 #: Words in a row that stand for a passage in the search for its texts.

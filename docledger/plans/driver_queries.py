@@ -325,7 +325,7 @@ def fidelity_containment(spark, sf_dir):
 
 @_query("""SELECT event_id, user_id, rationale FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rationale FROM events) WHERE event_type = 'purchase'""")
 def asof_rationale(spark, sf_dir):
-    rows = R.as_of_last(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", "event_id", "rationale")
+    rows = R.as_of_last(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", "event_id", "rationale", F.date_trunc("day", "ts"))
     return rows.where("event_type = 'purchase'").select("event_id", "user_id", "rationale")
 
 
