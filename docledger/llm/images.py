@@ -32,7 +32,7 @@ SIDE = 96
 CORNERS = 80
 TABLES = 24
 KEY_BITS = 20
-RADIUS = 20
+RADIUS = 18
 LEAST_INLIERS = 9
 #: Pixels that a match may be off the common similarity.
 SLACK = 4.0
@@ -291,7 +291,10 @@ def find_copies(images: DataFrame, is_query) -> DataFrame:
     keyed = C.materialize(rows.select("id", "key"))
     classes = C.materialize(keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.max(F.coalesce(is_query, F.lit(False))).alias("asked")).where("key is not null"))
     own = classes.where("class_id is not null").select(F.col("class_id").alias("id"), "asked", "key")
-    reps = rows.join(C.sized(own.select("id", "key"), 48), ["id", "key"], "left_semi").dropDuplicates(["id"])
+    reps = rows.join(C.sized(own.select("id", "key"), 48), ["id", "key"], "left_semi")
+    # Pixels are only dealt out anew where rows are repeated.
+    if not keyed.where("id is not null").groupBy("id", "key").count().where("count > 1").isEmpty():
+        reps = reps.dropDuplicates(["id"])
     found = copies(reps.select("id", "pixels", "width", "height"), own.where("asked").select("id"))
     best = found.groupBy(F.col("id").alias("class_id")).agg(F.count("*").alias("n_queries"), F.max(F.struct("inliers", -F.col("query"))).alias("best"))
     out = keyed.join(classes.select("key", "class_id"), "key", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(best, "class_id", "left")
