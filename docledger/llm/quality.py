@@ -51,11 +51,8 @@ def _of_chunk(w: Words, n: int):
     repeat[1:] = w.hash[1:] == w.hash[:-1]
     size = np.minimum(w.ends - w.starts, 15).astype(U)
     shape = size << U(8) | w.data[w.ends - 1] if len(w.ends) else size
-    if len(w.hash) > 3:
-        again = _hashed(repeat[1:-2] << U(2) | repeat[2:-1] << U(1) | repeat[3:], 2)
-        shapes = _hashed(shape[:-2] << U(24) | shape[1:-1] << U(12) | shape[2:], 3)
-    else:
-        again = shapes = np.zeros(0, np.int32)
+    again = _hashed(repeat[1:-2] << U(2) | repeat[2:-1] << U(1) | repeat[3:], 2) if len(w.hash) > 3 else np.zeros(0, np.int32)
+    shapes = _hashed(shape[:-2] << U(24) | shape[1:-1] << U(12) | shape[2:], 3) if len(w.hash) > 2 else np.zeros(0, np.int32)
     for i in range(n):
         a, b = begin[i], begin[i + 1]
         x, y = w.first[i], w.first[i + 1]
