@@ -10,13 +10,20 @@ from pyspark.sql import functions as F
 from docledger.llm import common, decontaminate, jaccard, pieces, quality, substring
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict]:
+    """docs with other columns than doc_id and text under names that no operator uses, and the way back."""
+    names = {c: f"_s{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), {n: c for c, n in names.items()}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1.
 
     Null and empty texts are judged by the bias alone; repeated rows, null ids and further columns stay as they are.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score_quality(docs, labels).where("predicted = 1").select(*docs.columns)
+    rows, back = _aside(docs)
+    return quality.score_quality(rows, labels).where("predicted = 1").select(*rows.columns).withColumnsRenamed(back)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +50,19 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Every row stays. Rows that repeat a doc_id and its text, and rows without a doc_id, are as substring.py defines.
     """
-    rows = substring.remove_repeats(docs)
+    own, back = _aside(docs)
+    rows = substring.remove_repeats(own)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")))
-    return rows.withColumn("text", text).select(*docs.columns)
+    for name in (n for n, c in back.items() if c == "n_chars"):
+        rows = rows.withColumn(name, F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col(name)))
+    return rows.withColumn("text", text).select(*own.columns).withColumnsRenamed(back)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; null and empty texts have none. Repeated rows fare alike."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, items).where("not contaminated").select(*docs.columns)
+    rows, back = _aside(docs)
+    return decontaminate.decontaminate(rows, items).where("not contaminated").select(*rows.columns).withColumnsRenamed(back)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
