@@ -30,10 +30,10 @@ SPACE = "▁"
 #: Letters, digits, or others, with the spaces before them; spaces stand for U+2581 throughout.
 _SEGMENT = re.compile(r" *[^\W\d_²³¹¼½¾]+| *(?:[^\w ]|[_²³¹¼½¾])+| *\d+| +")
 #: Segments remembered by a worker; when so many are new, the older ones are forgotten.
-REMEMBERED = 250_000
+REMEMBERED = 160_000
 #: Compatible pairs, and prefixes, likewise.
-PAIRS = 400_000
-PREFIXES = 500_000
+PAIRS = 300_000
+PREFIXES = 250_000
 #: The most characters of a segment whose prefixes go to the shared table, as all of them together grow with its square.
 SHARED = 64
 
