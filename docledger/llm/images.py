@@ -30,7 +30,7 @@ SCALES = (1.0, 0.84, 0.71, 0.59, 0.5)
 #: Corners of an image of SIDE times SIDE pixels.
 SIDE = 96
 CORNERS = 80
-TABLES = 24
+TABLES = 10
 KEY_BITS = 20
 RADIUS = 18
 LEAST_INLIERS = 9
@@ -254,7 +254,9 @@ def consensus(q: np.ndarray, m: np.ndarray) -> int:
 def copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, id, inliers) of copies; images and queries have one row for each class of equal images."""
     every = C.materialize(descriptors(images))
-    asked = C.materialize(_keyed(every.join(C.sized(C.materialize(queries.select("id")), 16), "id", "left_semi")))
+    corners = C.materialize(every.join(C.sized(C.materialize(queries.select("id")), 16), "id", "left_semi"))
+    places = corners.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "n", "x", "y", "angle", "scale")])
+    asked = C.materialize(_keyed(corners))
     # The mask has a bit for every possible key, whatever the number of queries.
     word, bit = F.shiftright("key", 5), F.expr("shiftleft(1L, key & 31)")
     words = asked.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
@@ -262,10 +264,12 @@ def copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     mask[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     mask = np.packbits(np.unpackbits(mask.view(np.uint8), bitorder="little"))
     met = _keyed(every, every.sparkSession.sparkContext.broadcast(mask))
-    asked = asked.withColumnsRenamed({c: f"q_{c}" for c in asked.columns if c != "key"})
+    # Keys of queries are many, so they travel without the places of their corners.
+    asked = asked.select("key", *[F.col(c).alias(f"q_{c}") for c in ("id", "n", "d0", "d1")])
     differ = F.bit_count(F.col("d0").bitwiseXOR(F.col("q_d0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q_d1")))
-    met = met.join(C.sized(asked, 100), "key").where((F.col("id") != F.col("q_id")) & (differ <= RADIUS))
-    pairs = met.select("q_id", "q_n", "id", "n", *[f"{p}{c}" for p in ("q_", "") for c in ("x", "y", "angle", "scale")]).distinct()
+    met = met.join(C.sized(asked, 56), "key").where((F.col("id") != F.col("q_id")) & (differ <= RADIUS))
+    pairs = met.select("q_id", "q_n", "id", "n", "x", "y", "angle", "scale").distinct()
+    pairs = pairs.join(C.sized(places, 64), ["q_id", "q_n"])
     place = F.array(*[F.col(f"{p}{c}") for p in ("q_", "") for c in ("x", "y", "angle", "scale")])
     grouped = pairs.groupBy("q_id", "id").agg(F.collect_list(place).alias("m")).where(F.size("m") >= LEAST_INLIERS)
 

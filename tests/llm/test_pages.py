@@ -234,7 +234,7 @@ def test_tables_find_close_descriptors():
     flips = np.packbits(random.random((2000, 128)) < 0.1, axis=1).view(np.int64)
     b = a ^ flips
     met = (I.keys_of(a[:, 0], a[:, 1]) == I.keys_of(b[:, 0], b[:, 1])).any(axis=1)
-    assert met.mean() > 0.8
+    assert met.mean() > 0.6
 
 
 def test_consensus_by_brute_force():
