@@ -6,10 +6,11 @@ import os
 import duckdb
 import pytest
 
-from docledger.plans import driver_queries, vault_queries
+from docledger.plans import driver_queries, reading_queries, vault_queries
 
-QUERIES = driver_queries.QUERIES | vault_queries.QUERIES
-ORACLES = driver_queries.ORACLES | vault_queries.ORACLES
+PLANS = (driver_queries, vault_queries, reading_queries)
+QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
 SF = "/root/testdata/sf0.001"
 
