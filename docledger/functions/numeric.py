@@ -44,12 +44,26 @@ def canonical(number: str) -> str:
     return f"{sign}{value:f}" if abs(value.adjusted()) <= _PLAIN else f"{sign}{value}"
 
 
+_LINK = re.compile(r"\[\[[^\]|]*(?:\|([^\]]*))?\]\]")
+_SECTION = re.compile(r"\s*\d+(?:\.\d+)*\.?(?:\s+|$)")
+
+
+def _shown(display: str, units: frozenset) -> str:
+    """The display text of a link without the number of a section that it begins with; a number with a unit is none."""
+    number = _SECTION.match(display)
+    if number is None:
+        return display
+    rest = display[number.end() :]
+    unit = _UNIT.match(rest)
+    return display if unit and unit[0] in units else rest
+
+
 def tokens_of(text: str | None, units: frozenset) -> list[dict]:
     """value, unit and whether it is an end of a range, for each number that isn't an ID, link target or reference."""
     if not text:
         return []
     text = ws_normalized(text)
-    text = re.sub(r"\[\[[^\]|]*(?:\|([^\]]*))?\]\]", lambda m: f" {m[1] or ''} ", text)
+    text = _LINK.sub(lambda m: f" {_shown(m[1] or '', units)} ", text)
     text = re.sub(REFERENCE, " ", re.sub(BLOCK_ID, " ", text), flags=re.I)
     out, at = [], 0
 
@@ -93,19 +107,26 @@ def multiset_difference(base: DataFrame, work: DataFrame) -> DataFrame:
     return found.select(*columns, F.when(F.col("_n") < 0, "removed").otherwise("added").alias("side"), F.abs("_n").cast("long").alias("n"))
 
 
-def numeric_changes(base: DataFrame, work: DataFrame, extra: tuple = ()) -> DataFrame:
-    """(id, removed, added, message) of blocks (id, type, content, supersedes, split_from) whose numbers with units changed.
+def numeric_changes(base: DataFrame, work: DataFrame, extra: tuple = (), groups: DataFrame | None = None) -> DataFrame:
+    """(id, removed, added, message) of blocks (id, type, content) whose numbers with units changed.
 
-    A block is compared with itself in base and with every base block that its lineage names, as one multiset. Headings
-    and code have no numbers. removed and added are sorted lists, an entry for each time.
+    groups: (id, root) of blocks that lineage ties together. What a group has in base is compared with what it has in work, as one
+    multiset, so numbers may move between parts of a split; its finding stands at the smallest id that work has. Every other
+    block is a group of its own; a new one has nothing in base. Headings and code have no numbers. removed and added are sorted
+    lists, an entry for each time.
     """
-    has = lambda t: t.where("id is not null and type not in ('heading', 'code')")
-    token = lambda t, *keys: t.select(*keys, F.explode(numeric_tokens(F.col("content"), extra)).alias("t")).select(*keys, F.concat_ws(" ", "t.value", "t.unit").alias("token"))
-    ids = has(work).select("id", F.array_union(F.array("id"), F.array_compact(F.concat(F.coalesce("supersedes", F.array().cast("array<string>")), F.array("split_from")))).alias("sources"))
-    was = token(has(base), "id").withColumnRenamed("id", "source").join(ids.select("id", F.explode("sources").alias("source")), "source").select("id", "token")
-    found = multiset_difference(was, token(has(work), "id"))
+    kept = "id is not null and type not in ('heading', 'code')"
+
+    def rooted(t: DataFrame) -> DataFrame:
+        if groups is None:
+            return t.withColumn("root", F.col("id"))
+        return t.join(groups, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    token = lambda t: rooted(t.where(kept).select("id", F.explode(numeric_tokens(F.col("content"), extra)).alias("t"))).select("root", F.concat_ws(" ", "t.value", "t.unit").alias("token"))
+    found = multiset_difference(token(base), token(work))
     texts = lambda side: F.array_sort(F.flatten(F.collect_list(F.when(F.col("side") == side, F.array_repeat("token", F.col("n").cast("int"))))))
-    rows = found.groupBy("id").agg(texts("removed").alias("removed"), texts("added").alias("added"))
+    rows = found.groupBy("root").agg(texts("removed").alias("removed"), texts("added").alias("added"))
+    rows = rows.join(rooted(work.where(kept).select("id")).groupBy("root").agg(F.min("id").alias("id")), "root")
     arrow = F.concat(F.lit('number changed: "'), F.col("removed")[0], F.lit('" -> "'), F.col("added")[0], F.lit('"'))
     lists = F.concat(F.lit("numbers removed: ["), F.array_join("removed", ", "), F.lit("]  added: ["), F.array_join("added", ", "), F.lit("]"))
-    return rows.withColumn("message", F.when((F.size("removed") == 1) & (F.size("added") == 1), arrow).otherwise(lists))
+    return rows.select("id", "removed", "added", F.when((F.size("removed") == 1) & (F.size("added") == 1), arrow).otherwise(lists).alias("message"))

@@ -8,37 +8,38 @@ from pyspark.sql import functions as F
 
 from docledger.functions.numeric import numeric_changes
 from docledger.functions.text import normalize
+from docledger.operators import versions as V
 from docledger.operators.vault import plain_of
+from docledger.sources import scratch
 
 
 def _texts(blocks: DataFrame) -> DataFrame:
-    return blocks.where("id is not null").select("id", "file", "block_index", "type", plain_of().alias("content"), "supersedes", "split_from")
+    rows = blocks.where("id is not null").select("id", "file", "block_index", "type", plain_of().alias("content"))
+    return rows.withColumn("norm", normalize("content"))
 
 
 def changes(base: DataFrame, work: DataFrame) -> DataFrame:
-    """(id, file, block_index, type, content, change, old) in six kinds, by id and lineage.
+    """(id, file, block_index, type, content, change, old) in six kinds, by id and by lineage that base doesn't have yet.
 
-    A block that base doesn't have is split or merged by its lineage, else new; one that only base has and no lineage
-    claims is deleted; the others compare by normalized plain text. old is the text of the block or of its ancestors.
+    New lineage comes first: a part of a block is split, a survivor is merged, whether base has its id or not; then presence decides, and
+    normalized plain text between unchanged and modified. old is the text of what a part was split from, the texts of a survivor
+    and of all that it took in, in the order that base has them, or the block's own. Ids that only base has and that lineage claims
+    have no row; the others are deleted.
     """
     old, new = _texts(base), _texts(work)
-    was = old.select("id", F.col("content").alias("was"))
-    claims = new.select("id", F.explode(F.when(F.col("split_from").isNotNull(), F.array("split_from")).otherwise(F.col("supersedes"))).alias("claimed"))
-    order = F.struct("claimed", F.col("was"))
-    ancestors = claims.join(was.withColumnRenamed("id", "claimed"), "claimed").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["was"]), "\n").alias("ancestors"))
-    rows = new.join(was, "id", "left").join(ancestors, "id", "left")
-    change = (
-        F.when(F.col("was").isNull() & F.col("split_from").isNotNull(), "split")
-        .when(F.col("was").isNull() & (F.size("supersedes") > 0), "merged")
-        .when(F.col("was").isNull(), "new")
-        .when(normalize("content") == normalize("was"), "unchanged")
-        .otherwise("modified")
-    )
+    claims = scratch.written(V.fresh_claims(base, work))
+    of = claims.groupBy("id").agg(F.bool_or(F.col("kind") == "split_from").alias("_split"))
+    took = claims.join(of, "id").where("kind = 'split_from' or not _split").select("id", "claimed").unionByName(of.where("not _split").select("id", F.col("id").alias("claimed"))).distinct()
+    place = F.struct("file", "block_index", "claimed", F.col("content").alias("text"))
+    sources = old.select(F.col("id").alias("claimed"), "file", "block_index", "content")
+    texts = took.join(sources, "claimed").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), "\n").alias("_took"))
+    known = old.select("id", F.col("content").alias("_was"), F.col("norm").alias("_norm"))
+    rows = new.join(known, "id", "left").join(scratch.sized(scratch.written(of.join(texts, "id", "left")), 256), "id", "left")
+    change = F.when(F.col("_split"), "split").when(~F.col("_split"), "merged").when(F.col("_was").isNull(), "new").when(F.col("norm") == F.col("_norm"), "unchanged").otherwise("modified")
     rows = rows.withColumn("change", change)
-    text = F.when(F.col("change").isin("split", "merged"), F.coalesce("ancestors", F.lit(""))).when(F.col("change") == "modified", F.col("was")).when(F.col("change") == "new", "")
+    text = F.when(F.col("change").isin("split", "merged"), F.coalesce("_took", F.lit(""))).when(F.col("change") == "modified", F.col("_was")).when(F.col("change") == "new", "")
     kept = rows.select("id", "file", "block_index", "type", "content", "change", text.alias("old"))
-    named = new.select(F.explode(F.array_compact(F.concat("supersedes", F.array("split_from")))).alias("id"))
-    gone = old.join(new.select("id"), "id", "left_anti").join(named, "id", "left_anti")
+    gone = old.join(new.select("id"), "id", "left_anti").join(V.claims(work).select(F.col("claimed").alias("id")), "id", "left_anti")
     lost = gone.select("id", "file", "block_index", "type", F.lit(None).cast("string").alias("content"), F.lit("deleted").alias("change"), F.col("content").alias("old"))
     return kept.unionByName(lost)
 
@@ -74,7 +75,8 @@ def spec_sheet(changed: DataFrame, derived: DataFrame, reasons: DataFrame) -> Da
 
 def changes_sheet(sheet: DataFrame, base: DataFrame, work: DataFrame) -> DataFrame:
     """Rows of the sheet that changed, with numeric_change by the same routine as the validation."""
-    numbers = numeric_changes(base, work).select("id", F.col("message").alias("numeric_change"))
+    groups = scratch.sized(scratch.written(V.lineage_groups(base, work)), 64)
+    numbers = numeric_changes(base, work, groups=groups).select("id", F.col("message").alias("numeric_change"))
     return sheet.where("change <> 'unchanged'").join(numbers, "id", "left")
 
 

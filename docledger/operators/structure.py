@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions.text import block_id
+from docledger.operators import graph
 
 
 def block_stream(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -119,18 +120,17 @@ def unresolved_rate(items: DataFrame, doc: str, most: float = 0.10) -> DataFrame
     return rows.withColumn("advised", F.col("unresolved") > most * F.col("headings"))
 
 
-def effective_numbering(items: DataFrame, styles: DataFrame, doc: str, deepest: int = 10) -> DataFrame:
-    """items (doc, style_id, num_id, ilvl) whose missing num_id and ilvl are those of the nearest style in the chain that has them.
+def style_numbering(styles: DataFrame, doc: str) -> DataFrame:
+    """(doc, style_id, num_id, ilvl, circular) of styles (doc, style_id, based_on, num_id, ilvl): the numbering of the nearest style up the
+    chain that has one, however long the chain; circular styles have none, as their chain never ends."""
+    own = styles.withColumn("_own", F.when(F.col("num_id").isNotNull(), F.struct("num_id", "ilvl")))
+    found = graph.nearest_up(own, doc, "style_id", "based_on", "_own")
+    return found.select(doc, "style_id", "_own.num_id", "_own.ilvl", "circular")
 
-    styles: doc, style_id, based_on, num_id, ilvl. Chains are followed `deepest` styles far, so a circle ends.
-    """
-    up = styles.select(doc, F.col("style_id").alias("_style"), F.col("based_on").alias("_up"), F.col("num_id").alias("_num"), F.col("ilvl").alias("_lvl"))
-    # The table of styles is resolved once; items meet it in one join.
-    chain = up.select(doc, F.col("_style").alias("style_id"), "_up", "_num", "_lvl")
-    for _ in range(deepest):
-        step = up.select(doc, F.col("_style").alias("_up"), F.col("_up").alias("_next"), F.col("_num").alias("_n"), F.col("_lvl").alias("_l"))
-        chain = chain.join(step, [doc, "_up"], "left").select(doc, "style_id", F.when(F.col("_num").isNull(), F.col("_next")).alias("_up"), F.coalesce("_num", "_n").alias("_num"), F.when(F.col("_num").isNotNull(), F.col("_lvl")).otherwise(F.col("_l")).alias("_lvl"))
-    found = chain.select(doc, "style_id", "_num", "_lvl")
+
+def effective_numbering(items: DataFrame, styles: DataFrame, doc: str) -> DataFrame:
+    """items (doc, style_id, num_id, ilvl) whose missing num_id and ilvl are those of their style, or of what it is based on."""
+    found = style_numbering(styles, doc).select(doc, "style_id", F.col("num_id").alias("_num"), F.col("ilvl").alias("_lvl"))
     rows = items.join(found, [doc, "style_id"], "left")
     direct = F.col("num_id").isNotNull()
     return rows.withColumns({"ilvl": F.when(direct, F.col("ilvl")).otherwise(F.when(F.col("_num").isNotNull(), F.coalesce("_lvl", F.lit(0)))), "num_id": F.coalesce("num_id", "_num")}).drop("_num", "_lvl")

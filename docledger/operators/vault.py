@@ -121,6 +121,12 @@ def inbound_impact(base: DataFrame, work: DataFrame) -> DataFrame:
     return met.join(changed.select("file").distinct(), "file", "left_anti").select("source", "target").distinct()
 
 
+def impacted_files(base: DataFrame, work: DataFrame) -> DataFrame:
+    """(file, source, target): inbound_impact() with the changed file that has the target."""
+    owners = work.where("id is not null").groupBy(F.col("id").alias("target")).agg(F.min("file").alias("file"))
+    return inbound_impact(base, work).join(owners, "target").select("file", "source", "target")
+
+
 def with_markers(blocks: DataFrame) -> DataFrame:
     """blocks with the markers that they must have: those of link targets that aren't headings, named by their anchor.
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docledger.functions.text import SIMILAR, may_be_similar, similarity
+from docledger.operators.graph import connected
 
 
 def compare(base: DataFrame, work: DataFrame, key: str, same: Column) -> DataFrame:
@@ -13,25 +14,6 @@ def compare(base: DataFrame, work: DataFrame, key: str, same: Column) -> DataFra
     return both.select(F.coalesce(f"b.{key}", f"w.{key}").alias(key), change.alias("change"))
 
 
-def classify(base: DataFrame, work: DataFrame) -> DataFrame:
-    """id and change in six kinds, from blocks (id, content, supersedes array, split_from).
-
-    Lineage that base doesn't have yet comes first: a survivor is merged, a part is split; then presence decides.
-    """
-    known = base.select("id", F.col("content").alias("old"), F.col("supersedes").alias("was"), F.col("split_from").alias("from"))
-    rows = work.join(known, "id", "full_outer")
-    fresh = F.size(F.array_except(F.coalesce("supersedes", F.array().cast("array<string>")), F.coalesce("was", F.array().cast("array<string>")))) > 0
-    change = (
-        F.when(fresh, "merged")
-        .when(F.col("split_from").isNotNull() & ~F.col("split_from").eqNullSafe(F.col("from")), "split")
-        .when(F.col("old").isNull(), "new")
-        .when(F.col("content").isNull(), "deleted")
-        .when(F.col("content") == F.col("old"), "unchanged")
-        .otherwise("modified")
-    )
-    return rows.select("id", change.alias("change"))
-
-
 def claims(work: DataFrame) -> DataFrame:
     """(id, claimed, kind) of lineage attributes."""
     merged = work.select("id", F.explode("supersedes").alias("claimed"), F.lit("supersedes").alias("kind"))
@@ -44,10 +26,23 @@ def vanished(base: DataFrame, work: DataFrame) -> DataFrame:
     return base.select("id").join(work.select("id"), "id", "left_anti").join(claims(work).select(F.col("claimed").alias("id")), "id", "left_anti")
 
 
-def unknown_claims(base: DataFrame, work: DataFrame) -> DataFrame:
-    """New claims that name no block of base."""
-    fresh = claims(work).join(claims(base), ["id", "claimed", "kind"], "left_anti")
-    return fresh.join(base.select(F.col("id").alias("claimed")), "claimed", "left_anti").select("id", "claimed", "kind")
+def fresh_claims(base: DataFrame, work: DataFrame) -> DataFrame:
+    """Claims that base doesn't have yet. Lineage is permanent, so only these say what happened between the two."""
+    return claims(work).join(claims(base), ["id", "claimed", "kind"], "left_anti")
+
+
+def unknown_claims(base: DataFrame, work: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """New claims that name no block of base, nor one that the registry (id) knows from before."""
+    unknown = fresh_claims(base, work).join(base.select(F.col("id").alias("claimed")), "claimed", "left_anti")
+    if registered is not None:
+        unknown = unknown.join(registered.select(F.col("id").alias("claimed")), "claimed", "left_anti")
+    return unknown.select("id", "claimed", "kind")
+
+
+def lineage_groups(base: DataFrame, work: DataFrame) -> DataFrame:
+    """(id, root) of blocks that new lineage ties together, directly or over others; root is the smallest id of the group."""
+    edges = fresh_claims(base, work).join(base.where("id is not null").select(F.col("id").alias("claimed")), "claimed", "left_semi")
+    return connected(edges.select(F.col("id").alias("a"), F.col("claimed").alias("b"))).select(F.col("node").alias("id"), "root")
 
 
 def double_claims(work: DataFrame) -> DataFrame:

@@ -141,7 +141,17 @@ def style_chain(spark, sf_dir):
     """Parts as styles, each based on the one of half its key; every style takes the numbering of the nearest that has one."""
     parts = _table(spark, sf_dir, "part").select(F.lit("d").alias("doc"), F.col("p_partkey").alias("style_id"), F.floor(F.col("p_partkey") / 2).alias("based_on"), F.when(F.col("p_size") > 40, F.col("p_size")).alias("num_id"), F.lit(None).cast("int").alias("ilvl"))
     items = parts.select("doc", "style_id", F.lit(None).cast("int").alias("num_id"), F.lit(None).cast("int").alias("ilvl"))
-    return S.effective_numbering(items, parts, "doc", 20).select(F.col("style_id").alias("p_partkey"), "num_id")
+    return S.effective_numbering(items, parts, "doc").select(F.col("style_id").alias("p_partkey"), "num_id")
+
+
+@_query("""SELECT o_orderkey // 6000 AS doc, o_orderkey AS style_id, CASE WHEN o_orderkey // 6000 % 2 = 0 THEN 7 WHEN o_orderkey % 6000 >= 5500 THEN 9 END AS num_id, o_orderkey // 6000 % 2 = 1 AND o_orderkey % 6000 < 5500 AS circular FROM orders""")
+def long_style_chains(spark, sf_dir):
+    """Orders as styles, 6000 a document, each based on the one before it. In even documents the first one alone has a numbering; in odd
+    ones it is based on the hundredth, a circle, and style 5500 has a numbering that those behind it take."""
+    key, doc = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 6000)
+    at, even = key % 6000, doc % 2 == 0
+    styles = _table(spark, sf_dir, "orders").select(doc.alias("doc"), key.alias("style_id"), F.when(at > 0, key - 1).when(~even, key + 99).alias("based_on"), F.when(even & (at == 0), 7).when(~even & (at == 5500), 9).alias("num_id"), F.lit(0).alias("ilvl"))
+    return S.style_numbering(styles, "doc").select("doc", "style_id", "num_id", "circular")
 
 
 @_query("""WITH numbered AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),

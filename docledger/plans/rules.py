@@ -1,6 +1,7 @@
 """Validation rules over blocks of a base and a working snapshot; each gives findings.
 
-blocks: as sources.sections.blocks() gives them. Findings: file, rule, severity, block_id, message.
+blocks: as sources.sections.blocks() gives them. Findings: file, rule, severity, block_id, message, old, new; old and new are null unless
+the rule compares a pair.
 """
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from docledger.functions.numeric import numeric_changes
 from docledger.functions.text import links_of, words
 from docledger.operators import vault
 from docledger.operators import versions as V
+from docledger.sources import scratch
 
 LARGE = 1500
 #: Block types, the form of ids, and what the front matter of a section must have.
@@ -37,10 +39,10 @@ REQUIRED = {
 OPTIONAL = {"parent": REQUIRED["id"]}
 
 
-def _finding(rows: DataFrame, rule: str, severity: str, message) -> DataFrame:
+def _finding(rows: DataFrame, rule: str, severity: str, message, old=None, new=None) -> DataFrame:
     block = F.col("id") if "id" in rows.columns else F.lit(None).cast("string")
     file = F.col("file") if "file" in rows.columns else F.lit(None).cast("string")
-    return rows.select(file.alias("file"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), block.alias("block_id"), message.alias("message"))
+    return rows.select(file.alias("file"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), block.alias("block_id"), message.alias("message"), *[(F.lit(None) if c is None else c).cast("string").alias(n) for n, c in (("old", old), ("new", new))])
 
 
 def locked() -> F.Column:
@@ -93,7 +95,7 @@ def v04(base, work, ctx):
 
 
 def v04a(base, work, ctx):
-    unknown = V.unknown_claims(base, work).join(work.select("id", "file").dropDuplicates(["id"]), "id", "left")
+    unknown = V.unknown_claims(base, work, ctx.get("registry")).join(work.select("id", "file").dropDuplicates(["id"]), "id", "left")
     return _finding(unknown, "V04a", "error", F.concat(F.lit("lineage names unknown "), "claimed"))
 
 
@@ -130,12 +132,16 @@ def v08(base, work, ctx):
 def v09(base, work, ctx):
     counted = work.groupBy("file").agg(F.count("id").alias("n"))
     rows = ctx["front"].select("file", F.col("fields")["blocks"].alias("said")).join(counted, "file").where(~F.col("said").eqNullSafe(F.col("n").cast("string")))
-    return _finding(rows, "V09", "warn", F.concat(F.lit("front matter counts "), F.coalesce("said", F.lit("no")), F.lit(" blocks, the file has "), F.col("n").cast("string")))
+    message = F.concat(F.lit("front matter counts "), F.coalesce("said", F.lit("no")), F.lit(" blocks, the file has "), F.col("n").cast("string"))
+    return _finding(rows, "V09", "warn", message, F.col("said"), F.col("n"))
 
 
 def v10(base, work, ctx):
-    rows = numeric_changes(base, work, tuple(ctx.get("extra_units", ())))
-    return _finding(rows.join(work.where("id is not null").select("id", "file").dropDuplicates(["id"]), "id"), "V10", "warn", F.col("message"))
+    groups = scratch.sized(scratch.written(V.lineage_groups(base, work)), 64)
+    rows = numeric_changes(base, work, tuple(ctx.get("extra_units", ())), groups)
+    rows = rows.join(work.where("id is not null").groupBy("id").agg(F.min("file").alias("file")), "id")
+    one = lambda side: F.when(F.col("message").startswith("number changed"), F.col(side)[0])
+    return _finding(rows, "V10", "warn", F.col("message"), one("removed"), one("added"))
 
 
 def v11(base, work, ctx):
@@ -144,9 +150,9 @@ def v11(base, work, ctx):
 
 def v12(base, work, ctx):
     level, number, _ = vault.heading_parts(F.col("content"))
-    parts = lambda t, p: t.where("type = 'heading' and id is not null").select("id", "file", F.struct(level.alias("level"), number.alias("number")).alias(p))
+    parts = lambda t, p: t.where("type = 'heading' and id is not null").select("id", "file", F.trim(F.concat_ws(" ", F.repeat(F.lit("#"), level), number)).alias(p))
     rows = parts(work, "now").join(parts(base, "was").drop("file"), "id").where("now <> was")
-    return _finding(rows, "V12", "warn", F.lit("level or number of a heading changed"))
+    return _finding(rows, "V12", "warn", F.lit("level or number of a heading changed"), F.col("was"), F.col("now"))
 
 
 def v13(base, work, ctx):
@@ -164,7 +170,7 @@ def v14(base, work, ctx):
 def v15(base, work, ctx):
     rows = vault.drift(vault.sections(work, ctx["front"]), ctx["front"]).where("key <> 'blocks'")
     doubtful = _finding(vault.doubtful_order(ctx["front"]), "V15", "info", F.lit("order is absent or another file's too"))
-    return _finding(rows, "V15", "warn", F.concat("key", F.lit(" differs from what the vault says"))).unionByName(doubtful)
+    return _finding(rows, "V15", "warn", F.concat("key", F.lit(" differs from what the vault says")), F.col("stored"), F.col("derived")).unionByName(doubtful)
 
 
 #: Byte order mark, carriage returns, trailing spaces, more than one blank line, tabs outside of fences, no single line feed at the end.
@@ -210,9 +216,32 @@ def listing(findings: DataFrame) -> DataFrame:
     return findings.select("file", "block_id", "rule", line.alias("line"))
 
 
+def report(findings: DataFrame, files_checked: int, impact: DataFrame, against: str) -> DataFrame:
+    """(part, file, block_id, rule, line): the whole report; sorted by its columns, nulls first, it reads from top to bottom.
+
+    Part 0 has a line for each file with findings and theirs below it, part 1 the summary, part 2 what inbound links affect: a line for
+    each changed file, with the blocks (impact: file, source, target) that link into it from files that didn't change.
+    """
+    lines = listing(findings).select(F.lit(0).alias("part"), "file", "block_id", "rule", F.concat(F.lit("  "), "line").alias("line"))
+    heads = findings.select("file").distinct().select(F.lit(0).alias("part"), "file", F.lit(None).cast("string").alias("block_id"), F.lit("").alias("rule"), F.concat(F.coalesce("file", F.lit("(vault)")), F.when(F.col("file").isNotNull(), ".md").otherwise("")).alias("line"))
+    n = lambda severity: F.count_if(F.col("severity") == severity).cast("string")
+    total = findings.agg(F.concat(F.lit("Summary: "), n("error"), F.lit(" errors, "), n("warn"), F.lit(f" warnings, {files_checked} files checked, base={against}")).alias("line"))
+    none = F.lit(None).cast("string")
+    total = total.select(F.lit(1).alias("part"), none.alias("file"), none.alias("block_id"), none.alias("rule"), "line")
+    met = impact.groupBy("file").agg(F.concat(F.lit("Affected by inbound references: "), F.array_join(F.array_sort(F.collect_set("source")), ", ")).alias("line"))
+    met = met.select(F.lit(2).alias("part"), "file", none.alias("block_id"), none.alias("rule"), "line")
+    return heads.unionByName(lines).unionByName(total).unionByName(met)
+
+
+def in_order(report_rows: DataFrame) -> DataFrame:
+    """The lines of a report in their order, which is total."""
+    return report_rows.orderBy(*[F.asc_nulls_first(c) for c in ("part", "file", "block_id", "rule", "line")])
+
+
 def as_json(findings: DataFrame) -> DataFrame:
-    """(file, json): an object for each finding."""
-    return findings.select("file", F.to_json(F.struct("file", "rule", "severity", "block_id", "message")).alias("json"))
+    """(file, json): an object for each finding, with nulls for what it lacks."""
+    parts = [F.concat(F.lit(f'"{k}":'), F.when(F.col(k).isNull(), "null").otherwise(F.substring(F.to_json(F.struct(F.col(k).alias("v"))), F.lit(6), F.length(F.to_json(F.struct(F.col(k).alias("v")))) - 6))) for k in ("file", "rule", "severity", "block_id", "message", "old", "new")]
+    return findings.select("file", F.concat(F.lit("{"), F.array_join(F.array(*parts), ","), F.lit("}")).alias("json"))
 
 
 def exit_code(findings: DataFrame | None = None, unreadable: bool = False, usage: bool = False) -> int:

@@ -9,6 +9,7 @@ with front matter, and every query starts from the parsed files.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docledger.functions.numeric import UNITS
 from docledger.operators import export as E
 from docledger.operators import fidelity as FI
 from docledger.operators import references as REF
@@ -16,11 +17,22 @@ from docledger.operators import registry as R
 from docledger.operators import vault as V
 from docledger.operators.structure import block_stream
 from docledger.plans import rules
+from docledger.sources import scratch
 from docledger.sources import sections as S
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
+_KEPT: dict = {}
+
+
+def _kept(spark, sf_dir: str, what: str, make) -> DataFrame:
+    """A derived table, written once to the shared folder for all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _KEPT:
+        _KEPT[key] = scratch.written(make())
+    return _KEPT[key]
+
 #: What both sides derive from documents: a row for each line that has text, with the block that it becomes.
 _SOURCE = r"""
 lines AS (
@@ -84,6 +96,10 @@ def _query(sql: str | None = None, work: bool = True, recursive: bool = False):
 
 
 def _base_blocks(spark, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "base", lambda: _derived_blocks(spark, sf_dir))
+
+
+def _derived_blocks(spark, sf_dir: str) -> DataFrame:
     lines = block_stream(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     c = F.trim(F.regexp_replace(F.regexp_replace("content", "[^a-zA-Z0-9 ]", ""), " +", " "))
     rows = lines.select("doc_id", "block_index", F.when(c == "", "empty").otherwise(c).alias("c"))
@@ -180,8 +196,9 @@ def _files(spark, sf_dir: str, edited: bool) -> DataFrame:
 
 def _vault(spark, sf_dir: str, edited: bool = True) -> tuple[DataFrame, DataFrame]:
     """Blocks and front matter of the parsed files of a snapshot."""
-    split = S.split_front(_files(spark, sf_dir, edited))
-    return S.blocks(split), S.front_matter(split)
+    name = "work" if edited else "base"
+    split = S.split_front(_kept(spark, sf_dir, f"{name} files", lambda: _files(spark, sf_dir, edited)))
+    return _kept(spark, sf_dir, f"{name} blocks", lambda: S.blocks(split)), _kept(spark, sf_dir, f"{name} front", lambda: S.front_matter(split))
 
 
 @_query(", counted AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY place) - 1 AS block_index FROM work) SELECT file, block_index, id, CASE WHEN bare THEN 'paragraph' ELSE type END AS type, CASE WHEN bare THEN 0 ELSE 1 END AS n_anchors, content, marker, supersedes, split_from FROM counted")
@@ -206,21 +223,19 @@ links AS (
 changed AS (SELECT b.id, w.file, b.number_of FROM base b JOIN work w ON b.id = w.id WHERE b.t = 5 AND b.e = 0),
 merged AS (SELECT w.id, w.file, b.cell, b.w1, b.w2 FROM work w JOIN base b ON w.supersedes = b.id),
 findings AS (
-  SELECT file, 'V04' AS rule, 'error' AS severity, id AS block_id, 'id of base vanished without lineage' AS message FROM base WHERE id NOT IN (FROM ids) AND id NOT IN (SELECT claimed FROM claims)
-  UNION ALL SELECT file, 'V04a', 'error', id, 'lineage names unknown ' || claimed FROM claims WHERE claimed NOT IN (SELECT id FROM base)
-  UNION ALL SELECT w.file, 'V05', 'error', w.id, 'locked figure block modified' FROM work w JOIN base b ON w.id = b.id WHERE b.type = 'figure' AND w.content <> b.content
-  UNION ALL SELECT file, 'V06', 'error', id, 'rows of a pipe table differ in width' FROM work WHERE type = 'table' AND contains(content, ' extra |')
-  UNION ALL SELECT l.file, 'V07', 'error', l.id, 'wikilink target ' || concat_ws('#^', section, l.marker) || ' does not exist' FROM links l WHERE section NOT IN (FROM files) OR (l.marker IS NOT NULL AND NOT EXISTS (SELECT 1 FROM work m WHERE m.file = section AND m.marker = l.marker))
-  UNION ALL SELECT file, 'V09', 'warn', NULL, 'front matter counts ' || (n + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) || ' blocks, the file has ' || m FROM (SELECT file, doc_id, count(*) AS n FROM base GROUP BY ALL) JOIN (SELECT file, count(id) AS m FROM work GROUP BY file) USING (file) WHERE n + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END <> m
-  UNION ALL SELECT file, 'V11', 'warn', NULL, 'block without an anchor' FROM work WHERE bare
-  UNION ALL SELECT w.file, 'V12', 'warn', w.id, 'level or number of a heading changed' FROM work w JOIN base b ON w.id = b.id WHERE b.type = 'heading' AND w.content <> b.content AND b.number <> '9.9')"""
+  SELECT file, 'V04' AS rule, 'error' AS severity, id AS block_id, 'id of base vanished without lineage' AS message, CAST(NULL AS VARCHAR) AS old, CAST(NULL AS VARCHAR) AS new FROM base WHERE id NOT IN (FROM ids) AND id NOT IN (SELECT claimed FROM claims)
+  UNION ALL SELECT file, 'V04a', 'error', id, 'lineage names unknown ' || claimed, NULL, NULL FROM claims WHERE claimed NOT IN (SELECT id FROM base)
+  UNION ALL SELECT w.file, 'V05', 'error', w.id, 'locked figure block modified', NULL, NULL FROM work w JOIN base b ON w.id = b.id WHERE b.type = 'figure' AND w.content <> b.content
+  UNION ALL SELECT file, 'V06', 'error', id, 'rows of a pipe table differ in width', NULL, NULL FROM work WHERE type = 'table' AND contains(content, ' extra |')
+  UNION ALL SELECT l.file, 'V07', 'error', l.id, 'wikilink target ' || concat_ws('#^', section, l.marker) || ' does not exist', NULL, NULL FROM links l WHERE section NOT IN (FROM files) OR (l.marker IS NOT NULL AND NOT EXISTS (SELECT 1 FROM work m WHERE m.file = section AND m.marker = l.marker))
+  UNION ALL SELECT file, 'V09', 'warn', NULL, 'front matter counts ' || (n + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) || ' blocks, the file has ' || m, CAST(n + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS VARCHAR), CAST(m AS VARCHAR) FROM (SELECT file, doc_id, count(*) AS n FROM base GROUP BY ALL) JOIN (SELECT file, count(id) AS m FROM work GROUP BY file) USING (file) WHERE n + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END <> m
+  UNION ALL SELECT file, 'V11', 'warn', NULL, 'block without an anchor', NULL, NULL FROM work WHERE bare
+  UNION ALL SELECT w.file, 'V12', 'warn', w.id, 'level or number of a heading changed', repeat('#', b.level) || ' ' || b.number, repeat('#', b.level) || ' 9.9' FROM work w JOIN base b ON w.id = b.id WHERE b.type = 'heading' AND w.content <> b.content AND b.number <> '9.9')"""
 
 
 def _all_findings(spark, sf_dir: str) -> DataFrame:
     base, _ = _vault(spark, sf_dir, False)
     work, front = _vault(spark, sf_dir)
-    # Every rule reads the parsed snapshots; lost partitions are parsed anew.
-    base, work, front = base.persist(), work.persist(), front.persist()
     found = rules.validate(base, work, {"front": front, "version": 1})
     return found.where("rule not in ('V01', 'V10', 'V15')")
 
@@ -236,12 +251,28 @@ def findings_summary(spark, sf_dir):
     return rules.summary(_all_findings(spark, sf_dir))
 
 
-@_query(""", numbers AS (SELECT 1) SELECT w.file, w.id AS block_id, 'number changed: "' || number_of || ' ms" -> "' || (number_of + 1) || ' ms"' AS message FROM base b JOIN work w ON b.id = w.id WHERE b.t = 5 AND b.e = 0""")
+_NUMBERS = r"""units AS (SELECT unnest(string_split('""" + " ".join(u for u in UNITS if u.isascii()) + r"""', ' ')) AS unit),
+tied AS (
+  SELECT coalesce(split_from, id) AS root, -1 AS side, content FROM work WHERE id IS NOT NULL AND type NOT IN ('heading', 'code')
+  UNION ALL SELECT coalesce(c.id, b.id), 1, b.content FROM base b LEFT JOIN work c ON c.supersedes = b.id WHERE b.type NOT IN ('heading', 'code')),
+found AS (
+  SELECT root, side, unnest(regexp_extract_all(' ' || content, '[^A-Za-z0-9_.,](\d+)((?: ?[^\s\d.,;:()\[\]]+)?)', 1)) AS digits, trim(unnest(regexp_extract_all(' ' || content, '[^A-Za-z0-9_.,](\d+)((?: ?[^\s\d.,;:()\[\]]+)?)', 2))) AS behind
+  FROM (SELECT root, side, regexp_replace(regexp_replace(content, '\[\[[^|\]]*\|(?:[0-9]+(?: |\]))?', ' ', 'g'), '[A-Z][A-Z0-9]{1,7}-[0-9]{6}', ' ', 'g') AS content FROM tied)),
+token AS (SELECT root, side, CASE WHEN ltrim(digits, '0') = '' THEN '0' ELSE ltrim(digits, '0') END || CASE WHEN behind IN (FROM units) THEN ' ' || behind ELSE '' END AS token FROM found),
+differs AS (SELECT root, token, CAST(sum(side) AS BIGINT) AS n FROM token GROUP BY root, token HAVING sum(side) <> 0),
+lists AS (SELECT root, coalesce(list_sort(flatten(list(CASE WHEN n > 0 THEN list_transform(range(n), lambda x: token) END) FILTER (n > 0))), []) AS removed, coalesce(list_sort(flatten(list(CASE WHEN n < 0 THEN list_transform(range(-n), lambda x: token) END) FILTER (n < 0))), []) AS added FROM differs GROUP BY root),
+names AS (SELECT coalesce(split_from, id) AS root, min(id) AS id FROM work WHERE id IS NOT NULL GROUP BY ALL),
+numeric AS (
+  SELECT w.file, w.id AS block_id, CASE WHEN len(removed) = 1 AND len(added) = 1 THEN 'number changed: "' || removed[1] || '" -> "' || added[1] || '"' ELSE 'numbers removed: [' || array_to_string(removed, ', ') || ']  added: [' || array_to_string(added, ', ') || ']' END AS message,
+    CASE WHEN len(removed) = 1 AND len(added) = 1 THEN removed[1] END AS old, CASE WHEN len(removed) = 1 AND len(added) = 1 THEN added[1] END AS new FROM lists JOIN names USING (root) JOIN work w ON w.id = names.id)"""
+
+
+@_query(f", {_NUMBERS} SELECT * FROM numeric")
 def numeric_findings(spark, sf_dir):
-    """The findings of V10 that are one number for another."""
+    """The findings of V10: groups that lineage ties together as one, with lists where it isn't one number for another."""
     base, _ = _vault(spark, sf_dir, False)
     work, _ = _vault(spark, sf_dir)
-    return rules.v10(base, work, {}).where("message like 'number changed%'").select("file", "block_id", "message")
+    return rules.v10(base, work, {}).select("file", "block_id", "message", "old", "new")
 
 
 _TREE = rf""", heads AS (
@@ -308,8 +339,8 @@ def inbound_impact(spark, sf_dir):
 _CHANGED = f""", old AS (SELECT id, file, k * 10 AS place, type, {_PLAIN.format('content')} AS plain FROM base),
 new AS (SELECT id, file, place, CASE WHEN bare THEN 'paragraph' ELSE type END AS type, {_PLAIN.format('content')} AS plain, supersedes, split_from FROM work WHERE id IS NOT NULL),
 changed AS (
-  SELECT n.id, n.file, n.type, n.plain AS content, CASE WHEN o.id IS NULL AND n.split_from IS NOT NULL THEN 'split' WHEN o.id IS NULL AND supersedes IS NOT NULL THEN 'merged' WHEN o.id IS NULL THEN 'new' WHEN o.plain = n.plain THEN 'unchanged' ELSE 'modified' END AS change,
-    CASE WHEN o.id IS NULL AND coalesce(n.split_from, supersedes) IS NOT NULL THEN (SELECT plain FROM old a WHERE a.id = coalesce(n.split_from, supersedes)) WHEN o.id IS NULL THEN '' WHEN o.plain <> n.plain THEN o.plain END AS old
+  SELECT n.id, n.file, n.type, n.plain AS content, CASE WHEN n.split_from IS NOT NULL THEN 'split' WHEN supersedes IS NOT NULL THEN 'merged' WHEN o.id IS NULL THEN 'new' WHEN o.plain = n.plain THEN 'unchanged' ELSE 'modified' END AS change,
+    CASE WHEN n.split_from IS NOT NULL THEN (SELECT plain FROM old a WHERE a.id = n.split_from) WHEN supersedes IS NOT NULL THEN (SELECT string_agg(plain, chr(10) ORDER BY file, place) FROM old a WHERE a.id IN (n.id, n.supersedes)) WHEN o.id IS NULL THEN '' WHEN o.plain <> n.plain THEN o.plain END AS old
   FROM new n LEFT JOIN old o ON n.id = o.id
   UNION ALL SELECT id, file, type, NULL, 'deleted', plain FROM old WHERE id NOT IN (SELECT id FROM new) AND id NOT IN (SELECT supersedes FROM new WHERE supersedes IS NOT NULL) AND id NOT IN (SELECT split_from FROM new WHERE split_from IS NOT NULL))"""
 
@@ -355,6 +386,32 @@ def export_sheet(spark, sf_dir):
     return sheet.withColumn("order", F.col("order").cast("long"))
 
 
+@_query(f"""{_CHANGED}{_TREE}, {_NUMBERS}, here AS (SELECT id, row_number() OVER (PARTITION BY doc_id ORDER BY s, place) - 1 AS "order" FROM work WHERE id IS NOT NULL)
+SELECT 'D' || tree.doc_id AS doc, c.id, tree.number AS section, here."order", c.type, c.change, c.content, c.old AS old_content, n.message AS numeric_change
+FROM changed c JOIN tree ON c.file = tree.file LEFT JOIN here ON here.id = c.id LEFT JOIN numeric n ON n.block_id = c.id WHERE c.change <> 'unchanged'""")
+def changes_sheet(spark, sf_dir):
+    base, _ = _vault(spark, sf_dir, False)
+    work, front = _vault(spark, sf_dir)
+    sheet = E.spec_sheet(_changes(spark, sf_dir), V.sections(work, front), E.rationale_of(*_log(spark, sf_dir)))
+    rows = E.changes_sheet(sheet, base, work)
+    return rows.select("doc", "id", "section", F.col("order").cast("long").alias("order"), "type", "change", "content", "old_content", "numeric_change")
+
+
+_IMPACT = f"""{_LINKS}, moved AS (SELECT w.id, w.file FROM work w LEFT JOIN base b ON w.id = b.id WHERE w.id IS NOT NULL AND (b.id IS NULL OR w.content <> b.content)),
+impact AS (SELECT DISTINCT c.file, l.id AS source FROM links l JOIN moved c ON c.id = l.target WHERE l.file NOT IN (SELECT file FROM moved))"""
+
+
+@_query(f"""{_FINDINGS.replace("links AS", "linked AS").replace("FROM links l", "FROM linked l")}{_IMPACT}
+SELECT 0 AS part, file, block_id, rule, '  ' || rpad(rule, 4, ' ') || '  ' || rpad(severity, 5, ' ') || '  ' || coalesce(block_id, '-') || '  ' || message AS line FROM findings
+UNION ALL SELECT DISTINCT 0, file, NULL, '', file || '.md' FROM findings
+UNION ALL SELECT 1, NULL, NULL, NULL, 'Summary: ' || count_if(severity = 'error') || ' errors, ' || count_if(severity = 'warn') || ' warnings, ' || (SELECT count(DISTINCT file) FROM work) || ' files checked, base=v0' FROM findings
+UNION ALL SELECT 2, file, NULL, NULL, 'Affected by inbound references: ' || string_agg(source, ', ' ORDER BY source) FROM impact GROUP BY file""")
+def findings_report(spark, sf_dir):
+    base, _ = _vault(spark, sf_dir, False)
+    work, front = _vault(spark, sf_dir)
+    return rules.report(_all_findings(spark, sf_dir), front.count(), V.impacted_files(base, work), "v0")
+
+
 @_query(""" SELECT 'D' || doc_id AS doc, count(DISTINCT file) AS sections, count(*) AS blocks, count_if(type = 'paragraph') AS paragraphs, count_if(type = 'list') AS lists, count_if(type = 'table') AS tables, count_if(type = 'table') AS tables_pipe,
   CAST(0 AS BIGINT) AS tables_html, CAST(0 AS BIGINT) AS tables_degraded, count_if(type = 'figure') AS figures, count_if(type = 'formula') AS formulas, count_if(type = 'formula') AS formulas_latex, CAST(0 AS BIGINT) AS formulas_image FROM base GROUP BY doc_id""", work=False)
 def coverage_counts(spark, sf_dir):

@@ -4,6 +4,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side is broadcast only if its rows, counted, take so many bytes at most; otherwise Spark shuffles.
+BROADCAST_BYTES = 24 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,3 +34,8 @@ def drop(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sized(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df (written, so that counting is cheap) with a broadcast hint if it is proven small."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

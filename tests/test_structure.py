@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from docledger.functions import numeric as N
 from docledger.functions import text as T
 from docledger.functions.plain import to_plain_text
-from docledger.operators import fidelity
+from docledger.operators import export, fidelity, graph
 from docledger.operators import registry as R
 from docledger.operators import structure as S
 from docledger.operators import vault as vault_ops
 from docledger.operators import versions as V
 from docledger.plans.driver_queries import numeric_unit_tokens
-from docledger.plans.rules import exit_code, schema_faults, validate
+from docledger.plans.rules import as_json, exit_code, in_order, report, schema_faults, validate
 from docledger.sources import docx, sections
 from docledger.streaming import log
 
@@ -33,6 +33,38 @@ def test_numeric_grammar():
     assert tokens("10 mV, 10 MV")[0] != tokens("10 mV, 10 MV")[1]
 
 
+def test_numbers_of_sections_in_links():
+    tokens = lambda t: [(x["value"], x["unit"]) for x in N.tokens_of(t, frozenset(N.UNITS))]
+    assert tokens("as in [[S1-000002|5.1 Signal thresholds]] and [[S1-000003|3 Limits of 7 V]]") == [("7", "V")]
+    assert tokens("[[S1-000002|5.1]] [[S1-000002|50 ms]] [[S1-000002|2.5 kV]] [[S1-000002|4.]]") == [("50", "ms"), ("2.5", "kV")]
+
+
+def test_escapes_are_text(spark):
+    rows = [("paragraph", r"a \| b \* c **bold \* d** \\ *it* \_x\_ [[S1-000001|see \*]]", None), ("table", "| a \\| b | c |\n|---|---|\n| \\* | 2 |", "pipe"), ("heading", r"## 1.2 A \* B", None), ("list", "- über *größe*\n- 東京 \\# 1", None), ("paragraph", "**" + "x" * 20_000 + "** ****", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "type string, content string, form string").select(to_plain_text(F.col("type"), F.col("content"), F.col("form"))).collect()]
+    assert got == [r"a | b * c bold * d \ it _x_ see *", "a | b | c\n* | 2", "1.2 A * B", "- über größe\n- 東京 # 1", "x" * 20_000 + " ****"]
+
+
+def test_chains_and_groups(spark):
+    styles = [("d", k, k - 1, 4 if k == 0 else None) for k in range(1, 5_000)] + [("d", 0, 77, 4), ("e", 1, 2, None), ("e", 2, 3, None), ("e", 3, 1, None), ("e", 4, 3, None), ("e", 5, 99, None), ("e", 6, 6, 8), ("e", 7, None, None), ("e", 6, 6, 8)]
+    got = {(r.doc, r.style_id): (r.num_id, r.circular) for r in S.style_numbering(spark.createDataFrame(styles, "doc string, style_id int, based_on int, num_id int").withColumn("ilvl", F.lit(0)), "doc").collect()}
+    assert all(got["d", k] == (4, False) for k in range(5_000))
+    assert {k[1]: v for k, v in got.items() if k[0] == "e"} == {1: (None, True), 2: (None, True), 3: (None, True), 4: (None, True), 5: (None, False), 6: (8, False), 7: (None, False)}
+    edges = [(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (1002, 1001), (5, 5), (7, 3), (7, 3)]
+    roots = {r.node: r.root for r in graph.connected(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert roots == {k: 0 for k in range(301)} | {k: 1000 for k in (1000, 1001, 1002)}
+    assert graph.connected(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_report_and_json(spark):
+    findings = spark.createDataFrame([("S1-000001", "V10", "warn", "S1-000002", 'number changed: "1" -> "2"', "1", "2"), ("S1-000001", "V05", "error", "S1-000001", 'say "x"', None, None)], "file string, rule string, severity string, block_id string, message string, old string, new string")
+    impact = spark.createDataFrame([("S1-000001", "S1-000300", "S1-000002"), ("S1-000001", "S1-000200", "S1-000002")], "file string, source string, target string")
+    lines = [r.line for r in in_order(report(findings, 4, impact, "v0")).collect()]
+    assert lines == ["S1-000001.md", '  V05   error  S1-000001  say "x"', '  V10   warn   S1-000002  number changed: "1" -> "2"', "Summary: 1 errors, 1 warnings, 4 files checked, base=v0", "Affected by inbound references: S1-000200, S1-000300"]
+    parsed = sorted((json.loads(r.json) for r in as_json(findings).collect()), key=lambda x: x["rule"])
+    assert parsed == [{"file": "S1-000001", "rule": "V05", "severity": "error", "block_id": "S1-000001", "message": 'say "x"', "old": None, "new": None}, {"file": "S1-000001", "rule": "V10", "severity": "warn", "block_id": "S1-000002", "message": 'number changed: "1" -> "2"', "old": "1", "new": "2"}]
+
+
 def test_ratio():
     assert T.indel_ratio("abcd", "abxd") == pytest.approx(2 * 3 / 8)
     assert T.indel_ratio("", "") == 1 and T.common_subsequence("ABCBDAB", "BDCABA") == 4
@@ -111,8 +143,11 @@ def test_rules(spark, tmp_path):
     assert {r for r, _ in rules(validate(base, merged, ctx))} <= {"V09", "V10", "V15"}
     lost, ctx = vault(spark, tmp_path, "lost", "<!-- id:SYS-000101 type:paragraph supersedes:SYS-000777 -->\nStarts in 50 ms, see [[SYS-000100]].\n\n<!-- type:paragraph -->\nnew\n\nwithout\n")
     assert {("V02", None), ("V04", "SYS-000102"), ("V04", "SYS-000103"), ("V04a", "SYS-000101"), ("V11", None)} <= set(rules(validate(base, lost, ctx)))
-    kinds = {r.id: r.change for r in V.classify(base, merged).collect()}
-    assert kinds == {"SYS-000100": "unchanged", "SYS-000101": "merged", "SYS-000102": "deleted", "SYS-000103": "deleted"}
+    assert rules(validate(base, lost, ctx | {"registry": spark.createDataFrame([("SYS-000777",)], "id string")}).where("rule = 'V04a'")) == []
+    kinds = {r.id: (r.change, r.old) for r in export.changes(base, merged).collect()}
+    assert kinds == {"SYS-000100": ("unchanged", None), "SYS-000101": ("merged", "Starts in 50 ms, see SYS-000100.\n[FIGURE] a\na | b\n1 | 2")}
+    # Lineage that base already has says nothing about this edit.
+    assert {r.id: r.change for r in export.changes(merged, merged).collect()} == {"SYS-000100": "unchanged", "SYS-000101": "unchanged"}
 
 
 def test_locked_bytes_and_split_numbers(spark, tmp_path):
@@ -120,8 +155,13 @@ def test_locked_bytes_and_split_numbers(spark, tmp_path):
     spaces, ctx = vault(spark, tmp_path, "spaces", ONE.replace("![a](b.png)", "![a](b.png) ") + "\n<!-- id:SYS-000104 type:paragraph -->\nIt takes 6 ms.\n\n<!-- id:SYS-000105 type:paragraph split_from:SYS-000104 -->\nThen 99 ms.\n")
     found = {(r.rule, r.block_id): r.message for r in validate(base, spaces, ctx).collect()}
     assert found["V05", "SYS-000102"] == "locked figure block modified"
-    assert found["V10", "SYS-000104"] == "numbers removed: [7 ms]  added: []"
-    assert found["V10", "SYS-000105"] == "numbers removed: [6 ms, 7 ms]  added: [99 ms]"
+    # A split is one group: 6 ms stays, 7 ms became 99 ms, whichever part has it.
+    assert found["V10", "SYS-000104"] == 'number changed: "7 ms" -> "99 ms"' and ("V10", "SYS-000105") not in found
+    moved, ctx = vault(spark, tmp_path, "moved", ONE + "\n<!-- id:SYS-000104 type:paragraph -->\nIt takes 7 ms.\n\n<!-- id:SYS-000105 type:paragraph split_from:SYS-000104 -->\nThen 6 ms.\n")
+    pair = validate(base, moved, ctx)
+    assert [r for r in rules(pair) if r[0] == "V10"] == []
+    lost, ctx = vault(spark, tmp_path, "lost", ONE + "\n<!-- id:SYS-000104 type:paragraph -->\nIt takes 7 ms.\n\n<!-- id:SYS-000105 type:paragraph split_from:SYS-000104 -->\nThen.\n")
+    assert [(r.block_id, r.message) for r in validate(base, lost, ctx).where("rule = 'V10'").collect()] == [("SYS-000104", "numbers removed: [6 ms]  added: []")]
     twice, _ = vault(spark, tmp_path, "twice", ONE.replace("50 ms", "50 ms and 50 ms"))
     assert N.numeric_changes(base, twice).where("id = 'SYS-000101'").first().message == "numbers removed: []  added: [50 ms]"
 
@@ -142,7 +182,7 @@ def test_plain_text(spark):
         ("heading", "## 3.2 Braking <!-- id:S1-000001 type:heading -->", None, "3.2 Braking"),
         ("paragraph", "a **b** *c* `d` [[S1-000001|the rest]] [[S1-000001#^s1-000002]]", None, "a b c d the rest S1-000001#^s1-000002"),
         ("list", "- a\n  1. b", None, "- a\n  1. b"),
-        ("table", "| a | b \\| c |\n|:--|--:|\n| 1 | 2 |", "pipe", "a | b \\| c\n1 | 2"),
+        ("table", "| a | b \\| c |\n|:--|--:|\n| 1 | 2 |", "pipe", "a | b | c\n1 | 2"),
         ("table", "<table><tr><td>a<br>b</td><td>c</td></tr><tr><th>d</th></tr></table>", "html", "a b | c\nd"),
         ("figure", "![alt](x.png)\n*The caption*", None, "[FIGURE] The caption"),
         ("formula", "$$x = 1$$", "latex", "x = 1"),
