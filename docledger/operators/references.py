@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docledger.sources import scratch
+
 
 def resolve(links: DataFrame, targets: DataFrame, name: str) -> DataFrame:
     """links with `resolved`: whether a target has the name."""
@@ -67,40 +69,88 @@ def as_of_last(rows: DataFrame, key: list, order: list, wanted: Column, value: s
 
 #: Words in a row that stand for a passage in the search for its texts.
 KEY_WORDS = 3
-#: Keys are broadcast while they are at most so many, otherwise joined by a shuffle.
-BROADCAST_KEYS = 200_000
+#: Characters by which a part of a run of characters is looked up.
+GRAM = 6
+
+
+def _runs(text) -> Column:
+    """The runs of white space and of other characters that a text consists of, in order."""
+    return F.regexp_extract_all(text, F.lit(r"\s+|\S+"), F.lit(0))
+
+
+def _grams(words: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
+def _by_word_keys(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates (pid, tid) of passages with KEY_WORDS inner words or more: the rarest KEY_WORDS of them in a row."""
+    keys = passages.select("pid", F.explode(_grams(F.col("inner"), KEY_WORDS)).alias("key"))
+    known = scratch.written(keys.select("key").distinct())
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    t = texts.select("tid", words.alias("w")).where(F.size("w") >= KEY_WORDS)
+    found = scratch.written(t.select("tid", F.explode(_grams(F.col("w"), KEY_WORDS)).alias("key")).join(scratch.sized_by(known, "key", 64), "key", "left_semi"))
+    often = found.groupBy("key").agg(F.count("*").alias("n"))
+    # Every key must be in some text, or the passage is in none.
+    met = keys.join(often, "key", "left").groupBy("pid").agg(F.count("*").alias("every"), F.count("n").alias("met"), F.min_by("key", F.struct("n", "key")).alias("key"))
+    chosen = scratch.written(met.where("every = met").select("pid", "key"))
+    return found.join(scratch.sized_by(chosen, "key", 64), "key").select("pid", "tid")
+
+
+def _by_runs(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Candidates (pid, tid) of passages of few words, over the vocabulary of the texts' runs.
+
+    A passage of one run lies inside a run of the text. Of several, the first ends a run, the last begins one, and those between
+    are runs themselves. Each of these says which runs of the vocabulary a text must have one of; a passage takes the one whose runs
+    stand in the fewest texts. Runs are looked up by their grams (of GRAM characters, or of a shorter part's length), which are made of distinct
+    runs only.
+    """
+    posts = scratch.written(texts.select("tid", F.explode(F.array_distinct(_runs(F.col("text")))).alias("run")))
+    vocabulary = scratch.written(posts.groupBy("run").agg(F.count("*").alias("df")))
+    n, runs = F.size("runs"), F.col("runs")
+    part = lambda place, text: F.struct(F.lit(place).alias("place"), text.alias("part"))
+    whole = F.transform(F.slice(runs, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda r: part("whole", r))
+    parts = F.when(n == 1, F.array(part("inside", runs[0]))).otherwise(F.concat(F.array(part("end", runs[0]), part("begin", F.element_at(runs, -1))), whole))
+    asked = passages.select("pid", F.explode(parts).alias("x")).select("pid", "x.place", "x.part").distinct()
+    size = F.least(F.length("part"), F.lit(GRAM))
+    gram = F.when(F.col("place") == "end", F.col("part").substr(F.length("part") - size + 1, size)).when(F.col("place") == "whole", F.col("part")).otherwise(F.col("part").substr(F.lit(1), size))
+    asked = scratch.written(asked.withColumns({"gram": gram, "size": size}))
+    sizes = [r[0] for r in asked.where("place = 'inside'").select("size").distinct().orderBy("size").collect()]  # GRAM at most
+    edges = [r[0] for r in asked.where("place in ('begin', 'end')").select("size").distinct().orderBy("size").collect()]
+    length = F.length("run")
+    at = lambda start, k: F.col("run").substr(start, F.lit(k))
+    key = lambda place, text: F.struct(F.lit(place).alias("place"), text.alias("gram"))
+    none = F.array().cast("array<struct<place:string,gram:string>>")
+    slices = lambda k: F.transform(F.sequence(F.lit(1), length - k + 1), lambda i: key("inside", at(i, k)))
+    inside = [F.when(length >= k, F.array_distinct(slices(k))).otherwise(none) for k in sizes]
+    begin = [F.when(length >= k, F.array(key("begin", at(F.lit(1), k)), key("end", at(length - k + 1, k)))).otherwise(none) for k in edges]
+    keys = vocabulary.select("run", "df", F.explode(F.concat(F.array(key("whole", F.col("run"))), *inside, *begin)).alias("k")).select("run", "df", "k.*")
+    fits = F.when(F.col("place") == "inside", F.contains("run", "part")).when(F.col("place") == "begin", F.startswith("run", "part")).when(F.col("place") == "end", F.endswith("run", "part")).otherwise(F.col("run") == F.col("part"))
+    hits = scratch.written(keys.join(scratch.sized_by(asked, "part", 96), ["place", "gram"]).where(fits).select("pid", "place", "part", "run", "df"))
+    counted = hits.groupBy("pid", "place", "part").agg(F.sum("df").alias("n"))
+    # A part that no run fits rules its passage out.
+    best = asked.join(counted, ["pid", "place", "part"], "left").groupBy("pid").agg(F.count("*").alias("every"), F.count("n").alias("met"), F.min_by(F.struct("place", "part"), F.struct("n", "place", "part")).alias("x"))
+    best = best.where("every = met").select("pid", "x.place", "x.part")
+    chosen = scratch.written(hits.join(best, ["pid", "place", "part"]).select("pid", "run").distinct())
+    return posts.join(scratch.sized_by(chosen, "run", 64), "run").select("pid", "tid").distinct()
 
 
 def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: str) -> DataFrame:
-    """(passage_id, text_id) where the text contains the passage.
+    """(passage_id, text_id) where the text contains the passage; both tables have a column text. Empty passages are in no text.
 
-    A text that contains a passage has its inner words as whole words. So it has KEY_WORDS of them in a row, or all
-    of fewer, as a key: of a passage's keys the rarest over all texts stands for it. Keys of texts are counted and joined
-    only if a passage has them, and texts are fetched for candidates only; then the substring test follows. Passages
-    without a whole inner word are compared with every text; they are passages of at most two words.
+    A text that contains a passage has its inner words as whole words. So it has KEY_WORDS of them in a row, if there are as many:
+    of a passage's keys the rarest over all texts stands for it. Passages of fewer inner words are looked up in the vocabulary of the
+    texts. Either way texts are fetched for candidates only, and the test on the whole text decides.
     """
-    inner = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    grams = lambda words, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    p = passages.select(passage_id, F.col("text").alias("_passage")).where("_passage <> ''").withColumn("_w", inner("_passage"))
-    p = p.withColumn("_w", F.when(F.size("_w") > 2, F.slice("_w", 2, F.size("_w") - 2)).otherwise(F.array().cast("array<string>")))
-    sizes = [r[0] for r in p.select(F.least(F.size("_w"), F.lit(KEY_WORDS)).alias("n")).where("n > 0").distinct().orderBy("n").collect()]  # KEY_WORDS at most
-    of_passage = F.array().cast("array<string>")
-    for n in sizes:
-        of_passage = F.when(F.size("_w") >= n if n == KEY_WORDS else F.size("_w") == n, grams(F.col("_w"), n)).otherwise(of_passage)
-    keys = p.select(passage_id, F.explode(of_passage).alias("_key"))
-    known = keys.select("_key").distinct()
-    if known.count() <= BROADCAST_KEYS:
-        known = F.broadcast(known)
-    t = texts.select(text_id, "text").withColumn("_w", inner("text"))
-    parts = [F.when(F.size("_w") >= n, grams(F.col("_w"), n)).otherwise(F.array().cast("array<string>")) for n in sizes]
-    found = t.select(text_id, F.explode(F.concat(F.array().cast("array<string>"), *parts)).alias("_key")).join(known, "_key", "left_semi")
-    often = found.groupBy("_key").agg(F.count("*").alias("_n"))
-    chosen = keys.join(often, "_key").groupBy(passage_id).agg(F.count("*").alias("_met"), F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
-    # Every key must be in some text, or the passage is in none.
-    all_of = keys.groupBy(passage_id).agg(F.count("*").alias("_all"))
-    chosen = chosen.join(all_of, passage_id).where("_met = _all").select(passage_id, "_key")
-    candidates = found.join(chosen, "_key").select(passage_id, text_id).distinct()
-    whole = texts.select(text_id, F.col("text").alias("_text"))
-    met = candidates.join(p.select(passage_id, "_passage"), passage_id).join(whole, text_id).where(F.contains("_text", "_passage"))
-    rest = p.where(F.size("_w") == 0).join(whole, F.contains("_text", "_passage"))
-    return met.select(passage_id, text_id).unionByName(rest.select(passage_id, text_id)).distinct()
+    p = passages.select(F.col(passage_id).alias("pid"), F.col("text").alias("passage")).where("passage <> ''").withColumn("runs", _runs(F.col("passage")))
+    p = p.withColumn("inner", F.filter(F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 2, F.lit(0))), lambda r: r.rlike(r"\S")))
+    p, t = scratch.written(p), texts.select(F.col(text_id).alias("tid"), "text").where("text is not null")
+    many = F.size("inner") >= KEY_WORDS
+    found = None
+    for rows, candidates in ((p.where(many), _by_word_keys), (p.where(~many), _by_runs)):
+        if not rows.isEmpty():
+            part = candidates(rows, t)
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return p.limit(0).join(t.limit(0), F.col("pid").cast("string") == F.col("tid").cast("string")).select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
+    met = found.join(scratch.sized_by(p.select("pid", "passage").distinct(), "passage", 64), "pid").join(t, "tid").where(F.contains("text", "passage"))
+    return met.select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id)).distinct()

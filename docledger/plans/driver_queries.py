@@ -333,6 +333,26 @@ def fidelity_containment(spark, sf_dir):
     return items.select("item_id").join(counts, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.col("n_docs").isNotNull().alias("covered"))
 
 
+_SHORT = r"""WITH words AS (SELECT item_id, string_split_regex(trim(text), '\s+') AS w FROM benchmark WHERE text IS NOT NULL),
+short AS (
+  SELECT item_id, 'one' AS form, w[1] AS text FROM words UNION ALL SELECT item_id, 'inner', substr(w[2], 2, 3) FROM words UNION ALL SELECT item_id, 'two', w[1] || ' ' || w[2] FROM words
+  UNION ALL SELECT item_id, 'cut', right(w[2], 2) || ' ' || left(w[3], 3) FROM words UNION ALL SELECT item_id, 'three', right(w[3], 1) || ' ' || w[4] || ' ' || left(w[5], 1) FROM words UNION ALL SELECT item_id, 'gap', ' ' || left(w[1], 4) FROM words)"""
+
+
+@_query(f"{_SHORT} SELECT item_id, form, count(d.doc_id) AS n_docs, sum(d.doc_id)::BIGINT AS id_sum FROM short s LEFT JOIN documents d ON contains(d.text, s.text) WHERE s.text <> '' GROUP BY item_id, form")
+def short_containment(spark, sf_dir):
+    """Passages of one to three words or parts of words, cut from the benchmark, in all documents."""
+    w = F.split(F.trim("text"), r"\s+")
+    at = lambda k: F.coalesce(F.get(w, F.lit(k - 1)), F.lit(""))
+    line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    forms = {"one": at(1), "inner": at(2).substr(2, 3), "two": line(at(1), " ", at(2)), "cut": line(F.right(at(2), F.lit(2)), " ", F.left(at(3), F.lit(3))), "three": line(F.right(at(3), F.lit(1)), " ", at(4), " ", F.left(at(5), F.lit(1))), "gap": line(" ", F.left(at(1), F.lit(4)))}
+    items = _table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("text")) for k, v in forms.items()])).alias("x"))
+    items = items.select(F.struct("item_id", "x.form").alias("p"), "x.text").where("text <> ''")
+    found = R.contained(items, "p", _table(spark, sf_dir, "documents"), "doc_id")
+    counts = found.groupBy("p").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("id_sum"))
+    return items.select("p").join(counts, "p", "left").select("p.item_id", "p.form", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "id_sum")
+
+
 @_query("""SELECT event_id, user_id, rationale FROM (SELECT *, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rationale FROM events) WHERE event_type = 'purchase'""")
 def asof_rationale(spark, sf_dir):
     rows = R.as_of_last(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", "event_id", "rationale", F.date_trunc("day", "ts"))
