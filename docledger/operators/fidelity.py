@@ -1,9 +1,13 @@
 """How much of a source's text a vault holds: directional containment, counters, skips and gates."""
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from docledger.functions.text import normalize
+from docledger.operators.references import contained
+from docledger.sources import scratch
 
 #: The least rates of the gates.
 LEAST = {"links": 0.95, "tables": 0.90, "fidelity": 0.99}
@@ -24,16 +28,82 @@ def haystacks(texts: DataFrame) -> DataFrame:
 
 
 def coverage(source: DataFrame, emitted: DataFrame) -> DataFrame:
-    """source with covered: whether the segment stands in its own section, or else in any of its document.
+    """source with covered and place: own if the segment stands in its own section, elsewhere if in another of its document.
 
-    The first test is an equality join on the section. Only what it leaves meets the document's other sections, by document,
-    so that no text meets all texts.
+    The first test is an equality join on the section. Only what it leaves is looked for in the document's sections, over their
+    vocabulary, so that no text meets all texts.
     """
-    own = source.join(emitted.select("doc", "file", "haystack"), ["doc", "file"], "left").withColumn("covered", F.coalesce(F.contains("haystack", "segment"), F.lit(False))).drop("haystack")
-    rest = own.where("not covered").select("doc", "segment").distinct().join(emitted.select("doc", "haystack"), "doc")
-    found = rest.where(F.contains("haystack", "segment")).select("doc", "segment").distinct().withColumn("_elsewhere", F.lit(True))
-    rows = own.join(found, ["doc", "segment"], "left")
-    return rows.withColumn("covered", F.col("covered") | F.coalesce("_elsewhere", F.lit(False))).drop("_elsewhere")
+    own = source.join(emitted.select("doc", "file", "haystack"), ["doc", "file"], "left").withColumn("_own", F.coalesce(F.contains("haystack", "segment"), F.lit(False))).drop("haystack")
+    own = scratch.written(own)
+    left = own.where("not _own").select("doc", F.struct("doc", "segment").alias("of"), F.col("segment").alias("text")).distinct()
+    found = contained(left, "of", emitted.select("doc", F.struct("doc", "file").alias("at"), F.col("haystack").alias("text")), "at", "doc")
+    found = found.select("of.doc", "of.segment").distinct().withColumn("_elsewhere", F.lit(True))
+    rows = own.join(found, ["doc", "segment"], "left").withColumn("place", F.when(F.col("_own"), "own").when(F.col("_elsewhere"), "elsewhere"))
+    return rows.withColumn("covered", F.col("place").isNotNull()).drop("_own", "_elsewhere")
+
+
+#: What the writer adds on purpose, as the report names it.
+ADDED = ("heading_numbers", "list_numbers", "captions")
+
+
+def pieces(blocks: DataFrame) -> DataFrame:
+    """(doc, file, block_index, piece, kind, ink) of blocks (doc, file, block_index, type, plain): the parts of their plain texts.
+
+    A heading's number, a list item's marker and a figure's caption are parts of their own, of the kinds in ADDED; the rest is text.
+    ink is the normalized part without white space.
+    """
+    part = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    number = F.regexp_extract("plain", r"^(\d+(?:\.\d+)*)(?:\s|$)", 1)
+    marker = lambda line: F.regexp_extract(line, r"^\s*([-*+]|[0-9A-Za-z]{1,8}[.)])\s", 1)
+    rest = lambda text, start: F.substring(text, F.length(start) + 1, F.length(text))
+    items = F.flatten(F.transform(F.split("plain", "\n"), lambda line: F.array(part("list_numbers", marker(line)), part("text", rest(F.ltrim(line), marker(line))))))
+    parts = F.when(F.col("type") == "heading", F.array(part("heading_numbers", number), part("text", rest(F.col("plain"), number)))).when(F.col("type") == "list", items).when(F.col("type") == "figure", F.array(part("captions", F.col("plain")))).otherwise(F.array(part("text", F.col("plain"))))
+    rows = blocks.select("doc", "file", "block_index", F.posexplode(parts).alias("piece", "x")).select("doc", "file", "block_index", "piece", "x.kind", F.replace(normalize("x.text"), F.lit(" "), F.lit("")).alias("ink"))
+    return rows.where("ink <> ''")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType())])))
+def _aligned(texts: pd.Series, segments: pd.Series) -> pd.Series:
+    """Where a section's segments stand in its text: each behind the one before it, or else wherever it is first."""
+
+    def one(text: str, parts) -> list[tuple]:
+        at, out = 0, []
+        for part in parts if text is not None and parts is not None else ():
+            start = text.find(part, at)
+            if start < 0:
+                start = text.find(part)
+            else:
+                at = start + len(part)
+            if start >= 0:
+                out.append({"start": start, "stop": start + len(part)})
+        return out
+
+    return pd.Series([one(t, p) for t, p in zip(texts, segments, strict=True)], dtype=object)
+
+
+def additions(source: DataFrame, parts: DataFrame) -> DataFrame:
+    """(doc, heading_numbers, list_numbers, captions, other, added_chars): characters of the vault that no source segment accounts for.
+
+    source: segments(); parts: pieces(). It is the other direction of coverage() and never set off against it. The segments of a section
+    are laid along its text in order; what their spans leave open is added. The spans' ends and the pieces' starts are
+    events on one line for each section, and a running count tells which stretches are open: no spans meet all pieces.
+    """
+    order = Window.partitionBy("doc", "file").orderBy("block_index", "piece")
+    placed = parts.withColumn("at", F.sum(F.length("ink")).over(order) - F.length("ink"))
+    whole = parts.groupBy("doc", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "piece", "ink"))), lambda x: x["ink"]), "").alias("text"))
+    ink = source.select("doc", "file", "paragraph", F.replace("segment", F.lit(" "), F.lit("")).alias("ink"))
+    laid = ink.groupBy("doc", "file").agg(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "ink"))), lambda x: x["ink"]).alias("segments"))
+    spans = whole.join(laid, ["doc", "file"]).select("doc", "file", F.explode(_aligned("text", "segments")).alias("s"))
+    event = lambda rows, at, step, kind: rows.select("doc", "file", at.cast("long").alias("at"), F.lit(step).alias("step"), kind.alias("kind"))
+    none = F.lit(None).cast("string")
+    ends = whole.select("doc", "file", F.length("text").alias("at"))
+    events = event(spans, F.col("s.start"), 1, none).unionByName(event(spans, F.col("s.stop"), -1, none)).unionByName(event(placed, F.col("at"), 0, F.col("kind"))).unionByName(event(ends, F.col("at"), 0, none))
+    along = Window.partitionBy("doc", "file").orderBy("at", F.desc_nulls_last("kind"))
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    rows = events.withColumns({"n": F.lead("at").over(along) - F.col("at"), "over": F.sum("step").over(so_far), "of": F.last("kind", ignorenulls=True).over(so_far)})
+    open_of = lambda *kinds: F.coalesce(F.sum(F.when((F.col("over") == 0) & F.col("of").isin(*kinds), F.col("n"))), F.lit(0)).cast("long")
+    out = rows.groupBy("doc").agg(*[open_of(k).alias(k) for k in ADDED], open_of("text").alias("other"))
+    return out.withColumn("added_chars", sum((F.col(k) for k in ADDED), F.col("other")))
 
 
 def uncovered(rows: DataFrame) -> DataFrame:
@@ -42,8 +112,8 @@ def uncovered(rows: DataFrame) -> DataFrame:
 
 
 def text_counts(rows: DataFrame) -> DataFrame:
-    """doc, source_segments, segments_covered and coverage of coverage()."""
-    out = rows.groupBy("doc").agg(F.count("*").alias("source_segments"), F.count_if("covered").alias("segments_covered"))
+    """doc, source_segments, segments_covered, those of them that stand elsewhere, and coverage of coverage()."""
+    out = rows.groupBy("doc").agg(F.count("*").alias("source_segments"), F.count_if("covered").alias("segments_covered"), F.count_if(F.col("place").eqNullSafe("elsewhere")).alias("covered_elsewhere"))
     return out.withColumn("coverage", F.col("segments_covered") / F.col("source_segments"))
 
 

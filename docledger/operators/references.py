@@ -84,16 +84,16 @@ def _grams(words: Column, n: int) -> Column:
 
 def _by_word_keys(passages: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidates (pid, tid) of passages with KEY_WORDS inner words or more: the rarest KEY_WORDS of them in a row."""
-    keys = passages.select("pid", F.explode(_grams(F.col("inner"), KEY_WORDS)).alias("key"))
-    known = scratch.written(keys.select("key").distinct())
+    keys = passages.select("pid", "scope", F.explode(_grams(F.col("inner"), KEY_WORDS)).alias("key"))
+    known = scratch.written(keys.select("scope", "key").distinct())
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    t = texts.select("tid", words.alias("w")).where(F.size("w") >= KEY_WORDS)
-    found = scratch.written(t.select("tid", F.explode(_grams(F.col("w"), KEY_WORDS)).alias("key")).join(scratch.sized_by(known, "key", 64), "key", "left_semi"))
-    often = found.groupBy("key").agg(F.count("*").alias("n"))
+    t = texts.select("tid", "scope", words.alias("w")).where(F.size("w") >= KEY_WORDS)
+    found = scratch.written(t.select("tid", "scope", F.explode(_grams(F.col("w"), KEY_WORDS)).alias("key")).join(scratch.sized_by(known, "key", 96), ["scope", "key"], "left_semi"))
+    often = found.groupBy("scope", "key").agg(F.count("*").alias("n"))
     # Every key must be in some text, or the passage is in none.
-    met = keys.join(often, "key", "left").groupBy("pid").agg(F.count("*").alias("every"), F.count("n").alias("met"), F.min_by("key", F.struct("n", "key")).alias("key"))
-    chosen = scratch.written(met.where("every = met").select("pid", "key"))
-    return found.join(scratch.sized_by(chosen, "key", 64), "key").select("pid", "tid")
+    met = keys.join(often, ["scope", "key"], "left").groupBy("pid", "scope").agg(F.count("*").alias("every"), F.count("n").alias("met"), F.min_by("key", F.struct("n", "key")).alias("key"))
+    chosen = scratch.written(met.where("every = met").select("pid", "scope", "key"))
+    return found.join(scratch.sized_by(chosen, "key", 96), ["scope", "key"]).select("pid", "tid")
 
 
 def _by_runs(passages: DataFrame, texts: DataFrame) -> DataFrame:
@@ -104,13 +104,13 @@ def _by_runs(passages: DataFrame, texts: DataFrame) -> DataFrame:
     stand in the fewest texts. Runs are looked up by their grams (of GRAM characters, or of a shorter part's length), which are made of distinct
     runs only.
     """
-    posts = scratch.written(texts.select("tid", F.explode(F.array_distinct(_runs(F.col("text")))).alias("run")))
-    vocabulary = scratch.written(posts.groupBy("run").agg(F.count("*").alias("df")))
+    posts = scratch.written(texts.select("tid", "scope", F.explode(F.array_distinct(_runs(F.col("text")))).alias("run")))
+    vocabulary = scratch.written(posts.groupBy("scope", "run").agg(F.count("*").alias("df")))
     n, runs = F.size("runs"), F.col("runs")
     part = lambda place, text: F.struct(F.lit(place).alias("place"), text.alias("part"))
     whole = F.transform(F.slice(runs, F.lit(2), F.greatest(n - 2, F.lit(0))), lambda r: part("whole", r))
     parts = F.when(n == 1, F.array(part("inside", runs[0]))).otherwise(F.concat(F.array(part("end", runs[0]), part("begin", F.element_at(runs, -1))), whole))
-    asked = passages.select("pid", F.explode(parts).alias("x")).select("pid", "x.place", "x.part").distinct()
+    asked = passages.select("pid", "scope", F.explode(parts).alias("x")).select("pid", "scope", "x.place", "x.part").distinct()
     size = F.least(F.length("part"), F.lit(GRAM))
     gram = F.when(F.col("place") == "end", F.col("part").substr(F.length("part") - size + 1, size)).when(F.col("place") == "whole", F.col("part")).otherwise(F.col("part").substr(F.lit(1), size))
     asked = scratch.written(asked.withColumns({"gram": gram, "size": size}))
@@ -123,27 +123,30 @@ def _by_runs(passages: DataFrame, texts: DataFrame) -> DataFrame:
     slices = lambda k: F.transform(F.sequence(F.lit(1), length - k + 1), lambda i: key("inside", at(i, k)))
     inside = [F.when(length >= k, F.array_distinct(slices(k))).otherwise(none) for k in sizes]
     begin = [F.when(length >= k, F.array(key("begin", at(F.lit(1), k)), key("end", at(length - k + 1, k)))).otherwise(none) for k in edges]
-    keys = vocabulary.select("run", "df", F.explode(F.concat(F.array(key("whole", F.col("run"))), *inside, *begin)).alias("k")).select("run", "df", "k.*")
+    keys = vocabulary.select("scope", "run", "df", F.explode(F.concat(F.array(key("whole", F.col("run"))), *inside, *begin)).alias("k")).select("scope", "run", "df", "k.*")
     fits = F.when(F.col("place") == "inside", F.contains("run", "part")).when(F.col("place") == "begin", F.startswith("run", "part")).when(F.col("place") == "end", F.endswith("run", "part")).otherwise(F.col("run") == F.col("part"))
-    hits = scratch.written(keys.join(scratch.sized_by(asked, "part", 96), ["place", "gram"]).where(fits).select("pid", "place", "part", "run", "df"))
+    hits = scratch.written(keys.join(scratch.sized_by(asked, "part", 128), ["scope", "place", "gram"]).where(fits).select("pid", "scope", "place", "part", "run", "df"))
     counted = hits.groupBy("pid", "place", "part").agg(F.sum("df").alias("n"))
     # A part that no run fits rules its passage out.
     best = asked.join(counted, ["pid", "place", "part"], "left").groupBy("pid").agg(F.count("*").alias("every"), F.count("n").alias("met"), F.min_by(F.struct("place", "part"), F.struct("n", "place", "part")).alias("x"))
     best = best.where("every = met").select("pid", "x.place", "x.part")
-    chosen = scratch.written(hits.join(best, ["pid", "place", "part"]).select("pid", "run").distinct())
-    return posts.join(scratch.sized_by(chosen, "run", 64), "run").select("pid", "tid").distinct()
+    chosen = scratch.written(hits.join(best, ["pid", "place", "part"]).select("pid", "scope", "run").distinct())
+    return posts.join(scratch.sized_by(chosen, "run", 96), ["scope", "run"]).select("pid", "tid").distinct()
 
 
-def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: str) -> DataFrame:
+def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: str, scope: str | None = None) -> DataFrame:
     """(passage_id, text_id) where the text contains the passage; both tables have a column text. Empty passages are in no text.
 
+    scope: a column of both, such as the document, in which a passage is looked for; without it, in all texts.
+
     A text that contains a passage has its inner words as whole words. So it has KEY_WORDS of them in a row, if there are as many:
     of a passage's keys the rarest over all texts stands for it. Passages of fewer inner words are looked up in the vocabulary of the
     texts. Either way texts are fetched for candidates only, and the test on the whole text decides.
     """
-    p = passages.select(F.col(passage_id).alias("pid"), F.col("text").alias("passage")).where("passage <> ''").withColumn("runs", _runs(F.col("passage")))
+    of = F.col(scope) if scope else F.lit(0)
+    p = passages.select(F.col(passage_id).alias("pid"), of.alias("scope"), F.col("text").alias("passage")).where("passage <> ''").withColumn("runs", _runs(F.col("passage")))
     p = p.withColumn("inner", F.filter(F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 2, F.lit(0))), lambda r: r.rlike(r"\S")))
-    p, t = scratch.written(p), texts.select(F.col(text_id).alias("tid"), "text").where("text is not null")
+    p, t = scratch.written(p), texts.select(F.col(text_id).alias("tid"), of.alias("scope"), "text").where("text is not null")
     many = F.size("inner") >= KEY_WORDS
     found = None
     for rows, candidates in ((p.where(many), _by_word_keys), (p.where(~many), _by_runs)):
@@ -152,5 +155,5 @@ def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: s
             found = part if found is None else found.unionByName(part)
     if found is None:
         return p.limit(0).join(t.limit(0), F.col("pid").cast("string") == F.col("tid").cast("string")).select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
-    met = found.join(scratch.sized_by(p.select("pid", "passage").distinct(), "passage", 64), "pid").join(t, "tid").where(F.contains("text", "passage"))
+    met = found.join(scratch.sized_by(p.select("pid", "passage").distinct(), "passage", 64), "pid").join(t.select("tid", "text"), "tid").where(F.contains("text", "passage"))
     return met.select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id)).distinct()

@@ -89,7 +89,7 @@ def _query(sql: str | None = None, work: bool = True, recursive: bool = False):
     def keep(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {_SOURCE}{_WORK if work else ''}{sql}"
+            ORACLES[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{_SOURCE}{_WORK if work else ''}{sql}"
         return f
 
     return keep
@@ -458,6 +458,42 @@ def uncovered_segments(spark, sf_dir):
     return FI.uncovered(_coverage(spark, sf_dir))
 
 
+@_query(f"""{_COVER}, here AS (SELECT b.doc_id, b.k, EXISTS (SELECT 1 FROM hay h WHERE h.doc_id = b.doc_id AND h.file = b.file AND contains(h.hay, lower(b.c))) AS own FROM base b)
+SELECT 'D' || c.doc_id AS doc, count(*) AS source_segments, count_if(covered) AS segments_covered, count_if(covered AND NOT own) AS covered_elsewhere, count_if(covered) / count(*) AS coverage FROM cover c JOIN here h ON h.doc_id = c.doc_id AND h.k = c.paragraph GROUP BY c.doc_id""")
+def text_coverage(spark, sf_dir):
+    return FI.text_counts(_coverage(spark, sf_dir))
+
+
+_ADDED = f""", raw_parts AS (
+  SELECT doc_id, file, place, piece, kind, replace(lower(text), ' ', '') AS ink FROM (
+    SELECT doc_id, file, place, type, unnest(CASE WHEN type = 'heading' THEN ['heading_numbers', 'text'] WHEN type = 'list' THEN flatten(list_transform(string_split(plain, chr(10)), lambda x: ['list_numbers', 'text'])) WHEN type = 'figure' THEN ['captions'] ELSE ['text'] END) AS kind,
+      unnest(CASE WHEN type = 'heading' THEN [split_part(plain, ' ', 1), substr(plain, strpos(plain, ' '))] WHEN type = 'list' THEN flatten(list_transform(string_split(plain, chr(10)), lambda x: ['-', substr(x, 3)])) ELSE [plain] END) AS text,
+      unnest(range(CASE WHEN type = 'heading' THEN 2 WHEN type = 'list' THEN 2 * len(string_split(plain, chr(10))) ELSE 1 END)) AS piece
+    FROM (SELECT doc_id, file, place, type, replace({_PLAIN.format('content')}, chr(9), ' ') AS plain FROM (SELECT doc_id, file, place, content, CASE WHEN bare THEN 'paragraph' ELSE type END AS type FROM work)))),
+parts AS (SELECT doc_id, file, place, piece, kind, replace(ink, chr(10), '') AS ink FROM raw_parts WHERE replace(ink, chr(10), '') <> ''),
+texts AS (SELECT file, string_agg(ink, '' ORDER BY place, piece) AS ink FROM parts GROUP BY file),
+laid AS (SELECT file, k, row_number() OVER (PARTITION BY file ORDER BY k) AS n, replace(lower(c), ' ', '') AS ink FROM base),
+walk AS (
+  SELECT file, CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS stop FROM texts
+  UNION ALL
+  SELECT w.file, l.n, CASE WHEN strpos(substr(t.ink, w.pos), l.ink) > 0 THEN w.pos + strpos(substr(t.ink, w.pos), l.ink) - 1 + length(l.ink) ELSE w.pos END,
+    CASE WHEN strpos(substr(t.ink, w.pos), l.ink) > 0 THEN w.pos + strpos(substr(t.ink, w.pos), l.ink) - 1 ELSE strpos(t.ink, l.ink) END,
+    CASE WHEN strpos(substr(t.ink, w.pos), l.ink) > 0 THEN w.pos + strpos(substr(t.ink, w.pos), l.ink) - 1 + length(l.ink) ELSE CASE WHEN strpos(t.ink, l.ink) > 0 THEN strpos(t.ink, l.ink) + length(l.ink) ELSE 0 END END
+  FROM walk w JOIN laid l ON l.file = w.file AND l.n = w.n + 1 JOIN texts t ON t.file = w.file),
+chars AS (SELECT doc_id, file, kind, unnest(range(first + 1, first + length(ink) + 1)) AS pos FROM (SELECT *, (sum(length(ink)) OVER (PARTITION BY file ORDER BY place, piece))::BIGINT - length(ink) AS first FROM parts)),
+open AS (SELECT doc_id, kind FROM chars c WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.file = c.file AND w.start > 0 AND c.pos >= w.start AND c.pos < w.stop))
+SELECT 'D' || d.doc_id AS doc, count_if(kind = 'heading_numbers') AS heading_numbers, count_if(kind = 'list_numbers') AS list_numbers, count_if(kind = 'captions') AS captions, count_if(kind = 'text') AS other, count(kind) AS added_chars
+FROM (SELECT DISTINCT doc_id FROM work) d LEFT JOIN open USING (doc_id) GROUP BY d.doc_id"""
+
+
+@_query(_ADDED, recursive=True)
+def text_additions(spark, sf_dir):
+    """Characters that the vault has and the source hasn't, by what the writer adds them for."""
+    base = _base_blocks(spark, sf_dir).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("doc"), "file", F.col("k").alias("paragraph"), F.col("c").alias("text"))
+    blocks, _ = _vault(spark, sf_dir)
+    return FI.additions(FI.segments(base), FI.pieces(blocks.select(V.document_of().alias("doc"), "file", "block_index", "type", V.plain_of().alias("plain"))))
+
+
 @_query(f"""{_COVER}{_LINK_COUNTS}, rates AS (SELECT 'D' || doc_id AS doc, count_if(covered) / count(*) AS rate FROM cover GROUP BY doc_id)
 SELECT r.doc, coalesce((resolved_section + resolved_block) / found >= 0.95, true) AS links, true AS tables, rate >= 0.99 AS fidelity, coalesce((resolved_section + resolved_block) / found >= 0.95, true) AND rate >= 0.99 AS published
 FROM rates r LEFT JOIN link_counts l ON r.doc = l.doc""")
