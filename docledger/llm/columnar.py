@@ -1,6 +1,8 @@
 """Words and shingles of Arrow string columns as numpy arrays, without a Python object for each word."""
 
 import hashlib
+import secrets as randomness
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 _PLACE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: eight bytes at a time go through mix(), each step keyed by the one before.
+def fresh_keys() -> tuple[int, int]:
+    """Keys of one call of an operator, drawn on the driver: nobody can write words that share hashes before they are drawn."""
+    return randomness.randbits(64), randomness.randbits(64)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: eight bytes at a time go through mix(), each step keyed by the one before, the first by key.
 
     Spans of one length of at most eight bytes never share a hash.
     """
@@ -43,7 +50,7 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     padded[: len(data)] = data
     eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
     size = ends - starts
-    h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + _KEY)
+    h = mix((size.astype(U) * U(0xD6E8FEB86659FD93) + _KEY) ^ U(key))
     at = np.flatnonzero(size <= _LONG)
     done = 0
     while len(at):
@@ -52,14 +59,17 @@ def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
         done += 8
         at = at[left > 8]
     for i in np.flatnonzero(size > _LONG):
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key.to_bytes(8, "little") if key else b"").digest(), "little")
     return h
 
 
 class Words:
-    """The words of a chunk of texts: 64-bit identities, byte spans, and each text's first word."""
+    """The words of a chunk of texts: hashes, byte spans, and each text's first word.
+
+    hash and second are 64 bits each, under keys of their own; where both are compared a word stands for 128 bits.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower: bool, keys: tuple[int, int] = (0, 1)):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
@@ -72,9 +82,14 @@ class Words:
         after[offsets[1:][offsets[1:] > 0] - 1] = False
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
-        self.hash = _hashed(self.data, self.starts, self.ends)
+        self.keys = keys
+        self.hash = _hashed(self.data, self.starts, self.ends, keys[0])
         self.first = np.searchsorted(self.starts, offsets)
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        return _hashed(self.data, self.starts, self.ends, self.keys[1])
+
     def bytes(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
@@ -95,7 +110,12 @@ def runs(h: np.ndarray, k: int, more: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def chunks(texts: pa.Array, separators: np.ndarray, lower: bool):
+def both_runs(h: np.ndarray, second: np.ndarray, k: int) -> np.ndarray:
+    """As runs(), of words that both hashes stand for: words that share one of them don't share the run's."""
+    return mix(runs(h, k) * _PLACE[255] + runs(second, k, 1))
+
+
+def chunks(texts: pa.Array, separators: np.ndarray, lower: bool, keys: tuple[int, int] = (0, 1)):
     """(first row, end row, Words) over a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -109,5 +129,5 @@ def chunks(texts: pa.Array, separators: np.ndarray, lower: bool):
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
         hi = min(hi, len(texts))
-        yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], separators, lower)
+        yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], separators, lower, keys)
         lo = hi

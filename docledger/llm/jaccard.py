@@ -14,10 +14,12 @@ once go no further, and of a shingle that very many have each task sends two row
 spreads the others. Candidates must pass the length and positional filters. Documents that meet in small runs are
 paired by a join, and each tries its least partner first; members of a large run try one pivot each round. What
 that links is one component, so the last round takes only pairs between different components and groups of copies
-never cost all their pairs. Pairs are verified once, after a suffix filter, on whole sets.
+never cost all their pairs. Pairs are verified once, after a suffix filter, on whole sets. A word stands for two hashes
+under keys that are drawn anew for each call, so words that share a hash can't be written on purpose.
 """
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columnar import SPACES, U, chunks, runs
+from .columnar import SPACES, U, both_runs, chunks, fresh_keys
 
 #: Counters of the sketch: 2**SKETCH_BITS, whatever the input's size.
 SKETCH_BITS = 18
@@ -39,13 +41,21 @@ BLOCK = 256
 MET = 1 << 16
 
 
-def shingle_sets(texts, n: int):
+class Shingles(NamedTuple):
+    """How a call takes shingles: their words, and the keys of the hashes that stand for words."""
+
+    n: int
+    keys: tuple[int, int]
+
+
+def shingle_sets(texts, how: Shingles):
     """(row, sorted distinct shingle hashes) of each text."""
-    for lo, hi, w in chunks(texts, SPACES, True):
-        all_runs = runs(w.hash, n)
+    n = how.n
+    for lo, hi, w in chunks(texts, SPACES, True, how.keys):
+        all_runs = both_runs(w.hash, w.second, n)
         for row in range(lo, hi):
             a, b = w.first[row - lo], w.first[row - lo + 1]
-            yield row, np.unique(all_runs[a : b - n + 1] if b - a >= n else runs(w.hash[a:b], max(1, b - a)))
+            yield row, np.unique(all_runs[a : b - n + 1] if b - a >= n else both_runs(w.hash[a:b], w.second[a:b], max(1, b - a)))
 
 
 def _least(threshold: int, n: int) -> int:
@@ -53,14 +63,14 @@ def _least(threshold: int, n: int) -> int:
     return -(-threshold * n // 100)
 
 
-def _counts(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+def _counts(docs: DataFrame, how: Shingles) -> tuple[DataFrame, np.ndarray]:
     """The table (doc_id, n_shingles) and the sketch, from one pass."""
 
     def count(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             sizes = np.zeros(batch.num_rows, np.int64)
-            for row, s in shingle_sets(batch["text"], n):
+            for row, s in shingle_sets(batch["text"], how):
                 sizes[row] = len(s)
                 np.add.at(sketch, (s >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.record_batch({"doc_id": batch["doc_id"], "n": pa.array(sizes), "bucket": pa.nulls(batch.num_rows, pa.int32())})
@@ -98,7 +108,7 @@ class _Met:
         return out
 
 
-def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataFrame:
+def _shared(docs: DataFrame, order: np.ndarray, how: Shingles, threshold: int) -> DataFrame:
     """(h, rep, n, pos) for prefix shingles that at least two documents have in their prefixes."""
     sketch = docs.sparkSession.sparkContext.broadcast(order)
 
@@ -107,7 +117,7 @@ def _shared(docs: DataFrame, order: np.ndarray, n: int, threshold: int) -> DataF
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             h, rep, size, pos = [], [], [], []
-            for row, s in shingle_sets(batch["text"], n):
+            for row, s in shingle_sets(batch["text"], how):
                 k = len(s) - _least(threshold, len(s)) + 1 if len(s) else 0
                 if k:
                     first = np.argsort(rare[(s >> U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:k]
@@ -175,13 +185,13 @@ def suffix_filter(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> in
     return left + suffix_filter(x[i:], y[j:], most - left, depth - 1)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, how: Shingles, threshold: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose whole sets are similar enough."""
     ids = C.materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
 
     def sets(batches):
         for batch in batches:
-            found = [s.tobytes() for _, s in shingle_sets(batch["text"], n)]
+            found = [s.tobytes() for _, s in shingle_sets(batch["text"], how)]
             yield pa.record_batch({"id": batch["doc_id"], "s": pa.array(found, pa.binary())})
 
     def check(batches):
@@ -297,8 +307,9 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[Dat
     reps = C.representatives(docs, copies)
     if not copies.where("doc_id is not null").groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         reps = reps.dropDuplicates()
-    sizes, order = _counts(reps, n)
-    shared = _shared(reps, order, n, threshold)
+    how = Shingles(n, fresh_keys())
+    sizes, order = _counts(reps, how)
+    shared = _shared(reps, order, how, threshold)
     large = C.materialize(shared.groupBy("h").count().where(F.col("count") > SMALL).select("h"))
     small = C.materialize(_small_runs(shared.join(C.sized(large, 16), "h", "left_anti"), threshold))
     rows = big = C.materialize(shared.join(C.sized(large, 16), "h"))
@@ -311,7 +322,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, threshold: int = 75) -> tuple[Dat
         pairs = C.materialize(pairs)
         tried.append(pairs)
         if not pairs.isEmpty():
-            links.append(_verified(pairs, reps, n, threshold))
+            links.append(_verified(pairs, reps, how, threshold))
             components = C.connected_components(reduce(DataFrame.unionByName, links))
             used.append(components)
 
@@ -357,10 +368,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: int = 75) -> Data
     # A text that only rows without a doc_id have is in no representative.
     alone = copies.groupBy("key").agg(F.min("rep").alias("rep")).where("rep is null").select("key")
     if not alone.isEmpty():
+        how = Shingles(n, fresh_keys())
 
         def count(batches):
             for batch in batches:
-                yield pa.record_batch({"key": batch["key"], "n_shingles": pa.array([len(s) for _, s in shingle_sets(batch["text"], n)], pa.int64())})
+                yield pa.record_batch({"key": batch["key"], "n_shingles": pa.array([len(s) for _, s in shingle_sets(batch["text"], how)], pa.int64())})
 
         rows = docs.select(C.text_key().alias("key"), "text").join(alone, "key", "left_semi").mapInArrow(count, "key binary, n_shingles long")
         per_text = per_text.unionByName(rows.distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columnar import NON_ALNUM, U, Words, chunks
+from .columnar import NON_ALNUM, U, Words, chunks, fresh_keys
 from .licence_texts import BASE, NOTICES, TEXTS
 
 #: Words of a template that the index has.
@@ -32,15 +32,15 @@ SLACK = 6
 BASE_SCORE = 0.5
 
 
-def _hashes(text: str) -> np.ndarray:
+def _hashes(text: str, keys: tuple[int, int]) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return Words(raw, np.array([0, len(raw)]), NON_ALNUM, True).hash
+    return Words(raw, np.array([0, len(raw)]), NON_ALNUM, True, keys).hash
 
 
 class _Template:
-    def __init__(self, label: str, text: str, phrases: list[str], least: float):
-        self.label, self.words, self.least = label, _hashes(text), least
-        self.phrases = [self._placed(_hashes(p)) for p in phrases]
+    def __init__(self, keys: tuple[int, int], label: str, text: str, phrases: list[str], least: float):
+        self.label, self.words, self.least = label, _hashes(text, keys), least
+        self.phrases = [self._placed(_hashes(p, keys)) for p in phrases]
 
     def _placed(self, phrase: np.ndarray) -> tuple[int, np.ndarray]:
         n = len(phrase)
@@ -51,7 +51,8 @@ class Index:
     """Postings of templates by their rarest words."""
 
     def __init__(self, templates: list, base: dict):
-        self.templates = [_Template(label, phrase, [phrase], 0.0) for phrase, label in base.items()] + [_Template(*t) for t in templates]
+        self.keys = fresh_keys()
+        self.templates = [_Template(self.keys, label, phrase, [phrase], 0.0) for phrase, label in base.items()] + [_Template(self.keys, *t) for t in templates]
         self.n_base = len(base)
         self.vocabulary = np.unique(np.concatenate([t.words for t in self.templates]))
 
@@ -130,6 +131,7 @@ class Index:
 def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
     """How many documents have each word of the templates."""
     known = docs.sparkSession.sparkContext.broadcast(index.vocabulary)
+    keys = index.keys
 
     def count(batches):
         words = known.value
@@ -137,7 +139,7 @@ def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
         seen[(words >> U(48)).astype(np.int64)] = True
         n = np.zeros(len(words), np.int64)
         for batch in batches:
-            for lo, hi, w in chunks(batch["text"], NON_ALNUM, True):
+            for lo, hi, w in chunks(batch["text"], NON_ALNUM, True, keys):
                 at = np.flatnonzero(seen[(w.hash >> U(48)).astype(np.int64)])
                 i = np.minimum(np.searchsorted(words, w.hash[at]), len(words) - 1)
                 real = words[i] == w.hash[at]
@@ -171,7 +173,7 @@ def scan_licences(docs: DataFrame, templates: list | None = None, base: dict | N
             of_base: list = [set() for _ in range(n)]
             labels: list = [set() for _ in range(n)]
             score = np.zeros(n)
-            for lo, hi, w in chunks(batch["text"], NON_ALNUM, True):
+            for lo, hi, w in chunks(batch["text"], NON_ALNUM, True, ix.keys):
                 n_words.append(np.diff(w.first))
                 for number, doc, begin, share in ix.found(w):
                     row, label = lo + doc, ix.templates[number].label

@@ -11,7 +11,8 @@ doc_id with different texts are compared by word position, so equal places don't
 How: positions p with p mod PERIOD in COVER are anchors. For any two positions some common shift
 below PERIOD puts both on the cover, so two equal windows share an aligned anchor of
 window - PERIOD + 1 words. Hashes of anchors met again say where equal windows can be; only there
-the match is extended to whole windows, compared by two independent 64-bit hashes, whose first occurrence stays. Tasks settle what their own rows
+the match is extended to whole windows, compared by two 64-bit hashes over two 64-bit hashes of each word, under keys that are drawn
+anew for each call; the first occurrence stays. Tasks settle what their own rows
 tell of a hash before the shuffle, so a passage that most documents share doesn't fill one partition. Exact copies of a text need
 no windows: all but the first lose every word if there are `window` of them.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .columnar import SPACES, U, chunks, mix, runs
+from .columnar import SPACES, U, chunks, fresh_keys, mix, runs
 
 #: A perfect difference set: every difference modulo 13 is one of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -32,9 +33,9 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 SENT = 1 << 16
 
 
-def _documents(batch, separators=SPACES):
-    """(row, Words, first word, end word) of each text."""
-    for lo, hi, w in chunks(batch["text"], separators, False):
+def _documents(batch, keys=(0, 1)):
+    """(first row, end row, Words) of the texts, in chunks."""
+    for lo, hi, w in chunks(batch["text"], SPACES, False, keys):
         yield lo, hi, w
 
 
@@ -171,12 +172,13 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         raise ValueError(f"window must be over {PERIOD} words")
     length = window - PERIOD + 1
     cover = np.isin(np.arange(PERIOD), COVER)
+    keys = fresh_keys()
 
     def anchors(batches):
         places = _Places(False)
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            for lo, hi, w in _documents(batch):
+            for lo, hi, w in _documents(batch, keys):
                 h = runs(w.hash, length)
                 n = np.diff(w.first)
                 doc = np.repeat(np.arange(hi - lo), n)[: len(h)]
@@ -190,8 +192,8 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         places = _Places(True)
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            for lo, hi, w in _documents(batch):
-                whole, other, h, g, doc, at_word = runs(w.hash, window), runs(w.hash, window, 1), [], [], [], []
+            for lo, hi, w in _documents(batch, keys):
+                whole, other, h, g, doc, at_word = runs(w.hash, window), runs(w.second, window, 1), [], [], [], []
                 for row in range(lo, hi):
                     a, b = w.first[row - lo], w.first[row - lo + 1]
                     if b - a < window:

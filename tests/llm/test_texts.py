@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docledger.llm import columnar as CO
 from docledger.llm import common as C
 from docledger.llm import decontaminate as D
 from docledger.llm import jaccard as J
@@ -133,6 +134,23 @@ def test_places_settled_before_the_shuffle(spark, monkeypatch, sent, but_first):
     assert sorted(map(tuple, S._met_again(table, but_first).collect())) == sorted(want)
 
 
+def test_words_that_share_a_hash(spark):
+    """Two words that were found to share a hash under no key: with keys of each call they are two words."""
+    pair = ["pp2l9mbodaaaaeaa", "p4m6nhiezvpmwzzz"]
+    words = lambda keys: CO.Words(np.frombuffer(" ".join(pair).encode(), np.uint8), np.array([0, 33]), CO.SPACES, False, keys)
+    same = words((0, 1))
+    assert same.hash[0] == same.hash[1] and same.second[0] != same.second[1]
+    assert len({int(CO.both_runs(same.hash[k : k + 1], same.second[k : k + 1], 1)[0]) for k in (0, 1)}) == 2
+    other = words(CO.fresh_keys())
+    assert other.hash[0] != other.hash[1]
+    rest = [f"w{k}" for k in range(14)]
+    texts = [" ".join([*rest[:7], word, *rest[7:]]) for word in pair]
+    docs = spark.createDataFrame(list(enumerate(" ".join([*(f"a{i}" for i in range(6)), t, *(f"b{i}" for i in range(6))]) for t in texts)), "doc_id long, text string")
+    assert [r.n_removed for r in S.remove_repeats(docs).collect()] == [0, 0]
+    few = spark.createDataFrame(list(enumerate(" ".join([w] * 5 + ["x", "y"]) for w in pair)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in J.jaccard_components(few).collect()) == [(0, 0), (1, 1)]
+
+
 @pytest.mark.parametrize("window", [14, 20, 33])
 def test_windows_of_other_sizes(spark, window):
     rows = near_copies(12)
