@@ -20,6 +20,26 @@ def allocate_ids(blocks: DataFrame, doc: str, order: list, first: Column) -> Dat
     return blocks.withColumn("id", block_id(F.col(doc).cast("string"), number))
 
 
+#: Positions of a document that one task takes in carried().
+STRETCH = 1 << 14
+
+
+def carried(rows: DataFrame, doc: str, at: str, sums: dict[str, Column], lasts: dict[str, Column], stretch: int = STRETCH) -> DataFrame:
+    """rows with running sums and last values that aren't null, both up to and with each row, in the order of `at` (a number).
+
+    A document isn't one window: its rows are dealt by stretches of so many positions; what a stretch ends with is one small row,
+    and only those rows are summed up along the document and handed on to the next stretch.
+    """
+    part = rows.withColumn("_stretch", F.floor(F.col(at) / stretch))
+    here = Window.partitionBy(doc, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    ends = part.groupBy(doc, "_stretch").agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max_by(c, F.when(c.isNotNull(), F.col(at))).alias(n) for n, c in lasts.items()])
+    before = Window.partitionBy(doc).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(doc, "_stretch", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.last(n, ignorenulls=True).over(before).alias(f"_b_{n}") for n in lasts])
+    local = part.withColumns({n: F.sum(c).over(here) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True).over(here) for n, c in lasts.items()})
+    both = local.join(handed, [doc, "_stretch"])
+    return both.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums} | {n: F.coalesce(n, f"_b_{n}") for n in lasts}).drop("_stretch", *[f"_b_{n}" for n in (*sums, *lasts)])
+
+
 def segment(items: DataFrame, doc: str, order: list, split_level: int = 2) -> DataFrame:
     """items with section_no: headings up to split_level begin a section, 0 is what stands before the first."""
     starts = (F.col("kind") == "heading") & (F.col("level") <= split_level)

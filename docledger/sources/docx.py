@@ -15,7 +15,11 @@ MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-ITEM = "file string, part string, skip string, para_idx int, item_seq int, kind string, outline_level int, num_id int, ilvl int, style_id string, revision string, in_toc boolean, text string, cells array<struct<row:int,col:int,grid_span:int,v_merge:string,n_paras:int,nested:boolean,text:string>>"
+ITEM = "file string, part string, skip string, para_idx int, item_seq int, kind string, outline_level int, num_id int, ilvl int, style_id string, revision string, in_toc boolean, text string, cells array<struct<row:int,col:int,grid_span:int,v_merge:string,n_paras:int,nested:boolean,text:string>>, xml string, embed string"
+LEVEL = "num_id int, ilvl int, num_fmt string, lvl_text string, start int, lvl_restart int, start_override int"
+STYLE = "style_id string, based_on string, num_id int, ilvl int"
+IMAGE = "embed string, name string, bytes binary"
+LINK = "para_idx int, kind string, target string, display string, at int"
 
 
 def _attr(node, path: str, name: str = "val"):
@@ -34,14 +38,31 @@ def _texts(node) -> str:
     return "".join(_texts(c) for c in node)
 
 
-def walk(body) -> list[dict]:
-    """Items of a body in document order; unknown containers are entered."""
+def _cells(t) -> list[dict]:
+    """The cells of a table; raises ValueError where their spans are no numbers or rows have none."""
+    cells = []
+    for r, row in enumerate(t.findall(f"{W}tr")):
+        for c, cell in enumerate(row.findall(f"{W}tc")):
+            merge = cell.find(f"{W}tcPr/{W}vMerge")
+            cells.append({"row": r, "col": c, "grid_span": int(_attr(cell, "w:tcPr/w:gridSpan") or 1), "v_merge": None if merge is None else merge.get(f"{W}val") or "continue", "n_paras": len(cell.findall(f"{W}p")), "nested": cell.find(f".//{W}tbl") is not None, "text": " ".join(_texts(cell).split())})
+    if not cells:
+        raise ValueError("a table without cells")
+    return cells
+
+
+def walk(body, seen=None) -> list[dict]:
+    """Items of a body in document order; unknown containers are entered. seen(node, para_idx) is called for each paragraph and table.
+
+    xml is the element itself where no other form holds all of it: tables whose cells can't be read, and drawn objects.
+    """
     out: list[dict] = []
     # A contents list is a field; others, such as page references, may stand inside of it.
     state = {"para": -1, "fields": [], "simple": False}
 
     def paragraph(p, revision):
         state["para"] += 1
+        if seen:
+            seen(p, state["para"])
         style = _attr(p, "w:pPr/w:pStyle")
         in_toc = "toc" in state["fields"] or state["simple"] or bool(style and style.upper().replace(" ", "").startswith("TOC") and style[3:].strip().isdigit())
         for x in (x for x in p.iter() if x.tag in (f"{W}fldChar", f"{W}instrText", f"{W}fldSimple")):
@@ -69,18 +90,22 @@ def walk(body) -> list[dict]:
             out.append(base | {"item_seq": 0, "kind": kind, "outline_level": None if level is None else int(level) + 1, "num_id": num and int(num), "ilvl": int(ilvl or 0) if num else None})
             seq = 1
         for what, kind in (("drawing", "figure"), ("pict", "shape"), ("object", "shape")):
-            for _ in p.iter(f"{W}{what}"):
-                out.append(base | {"item_seq": seq, "kind": kind, "text": None})
+            for x in p.iter(f"{W}{what}"):
+                # The text of a box is in its paragraph's text already.
+                image = x.find(f".//{A}blip")
+                out.append(base | {"item_seq": seq, "kind": kind, "text": None, "xml": ET.tostring(x, "unicode"), "embed": None if image is None else image.get(f"{R}embed")})
                 seq += 1
 
     def table(t, revision):
         state["para"] += 1
-        cells = []
-        for r, row in enumerate(t.findall(f"{W}tr")):
-            for c, cell in enumerate(row.findall(f"{W}tc")):
-                merge = cell.find(f"{W}tcPr/{W}vMerge")
-                cells.append({"row": r, "col": c, "grid_span": int(_attr(cell, "w:tcPr/w:gridSpan") or 1), "v_merge": None if merge is None else merge.get(f"{W}val") or "continue", "n_paras": len(cell.findall(f"{W}p")), "nested": cell.find(f".//{W}tbl") is not None, "text": " ".join(_texts(cell).split())})
-        out.append({"para_idx": state["para"], "item_seq": 0, "kind": "table", "revision": revision, "in_toc": "toc" in state["fields"], "skip": "toc" if "toc" in state["fields"] else None, "text": "\n".join(c["text"] for c in cells), "cells": cells})
+        if seen:
+            seen(t, state["para"])
+        try:
+            cells, xml = _cells(t), None
+        except ValueError:
+            cells, xml = None, ET.tostring(t, "unicode")
+        text = "\n".join(" ".join(_texts(cell).split()) for cell in t.iter(f"{W}tc"))
+        out.append({"para_idx": state["para"], "item_seq": 0, "kind": "table", "revision": revision, "in_toc": "toc" in state["fields"], "skip": "toc" if "toc" in state["fields"] else None, "text": text, "cells": cells, "xml": xml})
 
     def descend(node, revision):
         for child in node:
@@ -163,16 +188,30 @@ def links_of(content: bytes) -> list[dict]:
     if "word/_rels/document.xml.rels" in package.namelist():
         relations = {x.get("Id"): x.get("Target") for x in ET.fromstring(package.read("word/_rels/document.xml.rels"))}
     out = []
-    for at, p in enumerate(ET.fromstring(package.read("word/document.xml")).iter(f"{W}p")):
-        row = lambda kind, target, display: out.append({"para_idx": at, "kind": kind, "target": target, "display": display})  # noqa: B023, E731
-        for x in p.iter(f"{W}bookmarkStart"):
-            row("bookmark", x.get(f"{W}name"), None)
-        for x in p.iter(f"{W}hyperlink"):
-            external = x.get(f"{R}id")
-            row("external" if external else "internal", relations.get(external) if external else x.get(f"{W}anchor"), _texts(x))
-        for x in p.iter(f"{W}instrText"):
-            if m := re.match(r"\s*REF\s+(\S+)", x.text or ""):
-                row("internal", m[1], None)
+
+    def seen(node, para_idx):
+        row = lambda kind, target, display, at=None: out.append({"para_idx": para_idx, "kind": kind, "target": target, "display": display, "at": at})
+
+        def within(x, at):
+            """Emits what stands at x, which has so many characters of the paragraph before it; returns those behind it."""
+            if x.tag == f"{W}bookmarkStart":
+                row("bookmark", x.get(f"{W}name"), None)
+            elif x.tag == f"{W}hyperlink":
+                external = x.get(f"{R}id")
+                row("external" if external else "internal", relations.get(external) if external else x.get(f"{W}anchor"), _texts(x), at)
+            elif x.tag == f"{W}instrText":
+                if m := re.match(r"\s*REF\s+(\S+)", x.text or ""):
+                    row("internal", m[1], None)
+            if x.tag in (f"{W}del", f"{W}delText", f"{W}instrText", f"{MC}Fallback", f"{W}t", f"{M}t", f"{W}tab", f"{W}br"):
+                return at + len(_texts(x))
+            for c in x:
+                at = within(c, at)
+            return at
+
+        within(node, 0)
+
+    root = ET.fromstring(package.read("word/document.xml"))
+    walk(root.find(f"{W}body"), seen)
     return out
 
 
@@ -190,8 +229,24 @@ def media_of(content: bytes) -> list[dict]:
     return out
 
 
-def _read(spark: SparkSession, path: str, rows_of, columns: str, broken: list[dict]) -> DataFrame:
-    """A row for each dict that rows_of(bytes) gives of every package below a path, with its file."""
+def images_of(content: bytes) -> list[dict]:
+    """The images that a body's relationships name, by the id by which drawings embed them."""
+    package = zipfile.ZipFile(io.BytesIO(content))
+    relations = ET.fromstring(package.read("word/_rels/document.xml.rels"))
+    named = {x.get("Id"): f"word/{x.get('Target')}" for x in relations}
+    return [{"embed": key, "name": name.rsplit("/", 1)[-1], "bytes": package.read(name)} for key, name in named.items() if "/media/" in name and name in package.namelist()]
+
+
+def packages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the packages below a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+
+
+_BROKEN = (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError)
+
+
+def _rows(source: DataFrame, rows_of, columns: str, broken: list[dict]) -> DataFrame:
+    """A row for each dict that rows_of(bytes) gives of every package (path, content), with its file."""
 
     schema = to_arrow_schema(StructType.fromDDL(columns))
 
@@ -201,34 +256,53 @@ def _read(spark: SparkSession, path: str, rows_of, columns: str, broken: list[di
             for file, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
                 try:
                     found = rows_of(content.as_py())
-                except (zipfile.BadZipFile, KeyError, ET.ParseError, TypeError):
+                except _BROKEN:
                     found = broken
                 rows += [r | {"file": file} for r in found]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content").mapInArrow(run, columns)
+    return source.select("path", "content").mapInArrow(run, columns)
+
+
+def read_package(source: DataFrame) -> DataFrame:
+    """(file, item, level, style, link, image) of packages (path, content), each row with one of them: all that ingesting needs, from one reading.
+
+    A part that a package lacks gives no rows; a package that can't be read gives a single item of kind 'broken'.
+    """
+
+    def every(content: bytes) -> list[dict]:
+        out = [{"item": r} for r in items_of(content)]
+        for name, rows_of in (("level", numbering_of), ("style", styles_of), ("link", links_of), ("image", images_of)):
+            try:
+                out += [{name: r} for r in rows_of(content)]
+            except KeyError:
+                continue
+        return out
+
+    struct = lambda fields: "struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", fields) + ">"
+    return _rows(source, every, f"file string, item {struct(ITEM.removeprefix('file string, '))}, level {struct(LEVEL)}, style {struct(STYLE)}, link {struct(LINK)}, image {struct(IMAGE)}", [{"item": {"kind": "broken", "in_toc": False}}])
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """The items of every package below a path; one that can't be read gives a single item of kind 'broken'."""
-    return _read(spark, path, items_of, ITEM, [{"kind": "broken", "in_toc": False}])
+    return _rows(packages(spark, path), items_of, ITEM, [{"kind": "broken", "in_toc": False}])
 
 
 def read_revisions(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, revisions_of, "file string, ins_accepted long, del_discarded long, comments_discarded long", [])
+    return _rows(packages(spark, path), revisions_of, "file string, ins_accepted long, del_discarded long, comments_discarded long", [])
 
 
 def read_numbering(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, numbering_of, "file string, num_id int, ilvl int, num_fmt string, lvl_text string, start int, lvl_restart int, start_override int", [])
+    return _rows(packages(spark, path), numbering_of, f"file string, {LEVEL}", [])
 
 
 def read_styles(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, styles_of, "file string, style_id string, based_on string, num_id int, ilvl int", [])
+    return _rows(packages(spark, path), styles_of, f"file string, {STYLE}", [])
 
 
 def read_links(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, links_of, "file string, para_idx int, kind string, target string, display string", [])
+    return _rows(packages(spark, path), links_of, f"file string, {LINK}", [])
 
 
 def read_media(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, path, media_of, "file string, at int, name string, bytes binary", [])
+    return _rows(packages(spark, path), media_of, "file string, at int, name string, bytes binary", [])
