@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docledger.functions.text import match_key, text_hash
 from docledger.operators.structure import ordinals
 from docledger.operators.vault import document_of, plain_of
+from docledger.sources import scratch
 
 ENTRY = "key string, status string, merged_into string, split_into array<string>, type string, section string, text_hash string, first_seen string, last_seen string"
 #: The states that no block leaves.
@@ -86,3 +87,45 @@ def broken_states(before: DataFrame, after: DataFrame) -> DataFrame:
     removed = F.col("was").isNotNull() & F.col("now").isNull()
     lacking = ((F.col("now") == "merged") & F.col("merged_into").isNull()) | ((F.col("now") == "split") & F.col("split_into").isNull())
     return both.where(left | removed | lacking).select("id", "was", "now")
+
+
+def replayed(runs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry after a log of runs, and the forbidden moves in it: one pass, however many runs.
+
+    runs: (doc, n, label, allow_delete), n grows; seen: (doc, n, id, supersedes, split_from), a row for each block of each run. Returns
+    (id, status, merged_into, split_into, first_seen, last_seen) and (id, n, was, move):
+    a block is merged in the first run in which another supersedes it, else, in the first run that lacks it, split if it is what
+    others are split from by then, deleted if that run allows it, and otherwise vanished, which leaves it active. What comes after a
+    terminal state is forbidden: back (seen again), merged or split (newly claimed). unknown is a claim of what no run before had.
+    Labels are those of the runs in which a block was active.
+    """
+    order = Window.partitionBy("doc").orderBy("n")
+    steps = runs.withColumn("step", F.row_number().over(order))
+    here = seen.join(steps.select("doc", "n", "step", "label"), ["doc", "n"])
+    last_step = steps.groupBy("doc").agg(F.max("step").alias("final"))
+    claims = here.select("doc", "step", F.explode(F.concat(F.transform(F.coalesce("supersedes", F.array().cast("array<string>")), lambda x: F.struct(F.lit("merged").alias("kind"), x.alias("id"))), F.filter(F.array(F.struct(F.lit("split").alias("kind"), F.col("split_from").alias("id"))), lambda x: x["id"].isNotNull()))).alias("c"), F.col("id").alias("by"))
+    claims = claims.groupBy("doc", "c.id", "c.kind", "by").agg(F.min("step").alias("step"))
+    # The first run that lacks a block, by gaps between the runs that have it.
+    own = Window.partitionBy("doc", "id").orderBy("step")
+    gaps = here.select("doc", "id", "step", "label").distinct().withColumn("next", F.lead("step").over(own)).join(last_step, "doc")
+    gap = F.when(F.coalesce("next", F.col("final") + 1) > F.col("step") + 1, F.col("step") + 1)
+    blocks = gaps.groupBy("doc", "id").agg(F.min("step").alias("first"), F.min(gap).alias("lost"), F.array_sort(F.collect_list(F.struct("step", "label"))).alias("_seen"))
+    first_of = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("step", "by")))
+    claimed = claims.groupBy("doc", "id").agg(first_of("merged").alias("_merged"), F.array_sort(F.collect_list(F.when(F.col("kind") == "split", F.struct("step", "by")))).alias("_split"))
+    rows = blocks.join(claimed, ["doc", "id"], "full_outer")
+    parts = F.filter("_split", lambda x: x["step"] <= F.col("lost"))
+    rows = rows.join(steps.select("doc", F.col("step").alias("lost"), F.col("allow_delete").alias("_allowed")), ["doc", "lost"], "left").withColumn("_parts", parts)
+    merged = F.col("_merged").isNotNull() & (F.col("lost").isNull() | (F.col("_merged.step") <= F.col("lost")))
+    status = F.when(merged, "merged").when(F.size("_parts") > 0, "split").when(F.col("lost").isNotNull() & F.col("_allowed"), "deleted").otherwise("active")
+    ended = F.when(merged, F.col("_merged.step")).when(status != "active", F.col("lost"))
+    rows = scratch.written(rows.withColumns({"status": status, "ended": ended}))
+    active = F.filter("_seen", lambda x: F.col("ended").isNull() | (x["step"] < F.col("ended")))
+    known = rows.where("first is not null")
+    registry = known.select("id", "status", F.when(F.col("status") == "merged", F.col("_merged.by")).alias("merged_into"), F.when(F.col("status") == "split", F.array_sort(F.array_distinct(F.transform("_parts", lambda x: x["by"])))).alias("split_into"), F.get("_seen", F.lit(0))["label"].alias("first_seen"), F.element_at(F.when(F.size(active) > 0, active).otherwise(F.col("_seen")), -1)["label"].alias("last_seen"))
+    back = known.select("doc", "id", F.col("status").alias("was"), F.explode("_seen").alias("x"), "ended").where("x.step >= ended").groupBy("doc", "id", "was").agg(F.min("x.step").alias("step")).withColumn("move", F.lit("back"))
+    late = claims.join(rows.select("doc", "id", "status", "ended", "first"), ["doc", "id"])
+    again = late.where((F.col("step") > F.col("ended")) | ((F.col("kind") == "split") & (F.col("status") == "merged"))).groupBy("doc", "id", F.col("status").alias("was"), "kind").agg(F.min("step").alias("step")).withColumnRenamed("kind", "move")
+    unknown = late.where(F.col("first").isNull() | (F.col("first") >= F.col("step"))).groupBy("doc", "id").agg(F.min("step").alias("step")).withColumns({"was": F.lit("none"), "move": F.lit("unknown")})
+    vanished = known.where("lost is not null and ended is null").select("doc", "id", F.lit("active").alias("was"), F.col("lost").alias("step"), F.lit("vanished").alias("move"))
+    moves = back.unionByName(again).unionByName(unknown).unionByName(vanished).join(steps.select("doc", "step", "n"), ["doc", "step"])
+    return registry, moves.select("id", "n", "was", "move")

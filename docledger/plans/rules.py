@@ -9,34 +9,15 @@ from pyspark.sql import functions as F
 
 from docledger.functions.html import well_formed
 from docledger.functions.numeric import numeric_changes
+from docledger.functions.schema import ID, faults
 from docledger.functions.text import links_of, words
 from docledger.operators import vault
 from docledger.operators import versions as V
 from docledger.sources import scratch
 
 LARGE = 1500
-#: Block types, the form of ids, and what the front matter of a section must have.
+#: Block types.
 TYPES = ("heading", "paragraph", "list", "table", "figure", "formula", "code", "raw")
-ID = r"^[A-Z][A-Z0-9]{1,7}-[0-9]{6}$"
-REQUIRED = {
-    "id": r'^"[A-Z][A-Z0-9]{1,7}-[0-9]{6}"$',
-    "doc": r'^"[A-Z][A-Z0-9]{1,7}"$',
-    "number": r'^".*"$',
-    "title": r'^".+"$',
-    "level": r"^[0-6]$",
-    "order": r"^\d+$",
-    "path": r"^\[.*\]$",
-    "path_ids": r'^\["[A-Z][A-Z0-9]{1,7}-[0-9]{6}"(,"[A-Z][A-Z0-9]{1,7}-[0-9]{6}")*\]$',
-    "breadcrumb": r'^".*"$',
-    "bookmarks": r"^\[.*\]$",
-    "refs_out": r"^\[.*\]$",
-    "blocks": r"^[1-9]\d*$",
-    "words": r"^\d+$",
-    "source": r'^\{"docx":".*","paragraphs":\[\d+,\d+\]\}$',
-    "ingest_version": r"^[1-9]\d*$",
-    "generated": r"^false$",
-}
-OPTIONAL = {"parent": REQUIRED["id"]}
 
 
 def _finding(rows: DataFrame, rule: str, severity: str, message, old=None, new=None) -> DataFrame:
@@ -52,20 +33,20 @@ def locked() -> F.Column:
 
 
 def schema_faults(front: DataFrame) -> DataFrame:
-    """(file, key) of front matter (file, valid, fields): keys that are missing, of a wrong form, or unknown."""
-    known = REQUIRED | OPTIONAL
-    wrong = [F.when(F.col("fields")[k].isNull() | ~F.col("fields")[k].rlike(form), F.lit(k)) for k, form in REQUIRED.items()]
-    wrong += [F.when(F.col("fields")[k].isNotNull() & ~F.col("fields")[k].rlike(form), F.lit(k)) for k, form in OPTIONAL.items()]
-    faults = F.concat(F.array_compact(F.array(*wrong)), F.array_except(F.map_keys("fields"), F.array(*map(F.lit, known))))
-    return front.where("valid").select("file", F.explode(faults).alias("key"))
+    """(file, key, path, fault) of front matter (file, valid, fields) against the schema of sections."""
+    name = lambda k: F.to_json(F.struct(k.alias("v")))
+    pair = lambda e: F.concat(F.substring(name(e["key"]), F.lit(6), F.length(name(e["key"])) - 6), F.lit(":"), e["value"])
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("fields"), pair), ","), F.lit("}"))
+    rows = front.where("valid").select("file", F.explode(faults(text, "section")).alias("x"))
+    return rows.select("file", F.regexp_extract("x.path", r"^\$\.([^.\[]+)", 1).alias("key"), "x.path", "x.fault")
 
 
 def v01(base, work, ctx):
     front = ctx["front"]
     broken = _finding(front.where(~F.col("valid")), "V01", "error", F.lit("front matter can't be read"))
     other = front.where(F.col("valid") & F.col("fields")["id"].isNotNull() & (F.col("fields")["id"] != F.concat(F.lit('"'), "file", F.lit('"'))))
-    faults = _finding(schema_faults(front), "V01", "error", F.concat(F.lit("front matter breaks its schema: "), "key"))
-    return broken.unionByName(_finding(other, "V01", "error", F.lit("id differs from the file name"))).unionByName(faults)
+    wrong = _finding(schema_faults(front), "V01", "error", F.concat(F.lit("front matter breaks its schema: "), "path", F.lit(" "), "fault"))
+    return broken.unionByName(_finding(other, "V01", "error", F.lit("id differs from the file name"))).unionByName(wrong)
 
 
 def v02(base, work, ctx):

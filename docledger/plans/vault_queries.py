@@ -304,7 +304,7 @@ def front_matter_drift(spark, sf_dir):
 @_query(""" SELECT file, key FROM (SELECT DISTINCT file FROM work), unnest(['path', 'path_ids', 'breadcrumb', 'bookmarks', 'refs_out', 'words', 'source']) AS t(key)""")
 def schema_faults(spark, sf_dir):
     _, front = _vault(spark, sf_dir)
-    return rules.schema_faults(front)
+    return rules.schema_faults(front).select("file", "key")
 
 
 @_query(f"""{_TREE} SELECT 'D' || doc_id AS doc, "order", repeat('  ', level - 1) || '- ' || number || ' ' || title || ' — [[' || file || ']] · `' || file || '` · ' || blocks || ' blocks · ' || CAST(words AS BIGINT) || ' words' AS line FROM tree""")
