@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from docledger.plans import driver_queries, reading_queries, state_queries, vault_queries
+from docledger.plans import driver_queries, fault_queries, reading_queries, state_queries, vault_queries
 
-PLANS = (driver_queries, vault_queries, reading_queries, state_queries)
+PLANS = (driver_queries, vault_queries, reading_queries, state_queries, fault_queries)
 QUERIES = {name: f for plan in PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
