@@ -10,7 +10,7 @@ from docledger.functions.numeric import numeric_changes
 from docledger.functions.text import normalize
 from docledger.operators import versions as V
 from docledger.operators.vault import plain_of
-from docledger.sources import scratch
+from docledger.sources import scratch, workbook
 
 
 def _texts(blocks: DataFrame) -> DataFrame:
@@ -84,3 +84,15 @@ def write_sheets(sheet: DataFrame, changed: DataFrame, folder: str) -> None:
     """Both sheets as CSV below folder, each document's rows together and in order."""
     for name, rows in (("Spec", sheet), ("Changes", changed)):
         rows.repartitionByRange("doc", "order").sortWithinPartitions("doc", "order", "id").write.option("header", "true").csv(f"{folder}/{name}")
+
+
+#: The columns of the two sheets.
+SPEC = ["id", "section", "breadcrumb", "level", "order", "type", "content", "change", "old_content", "rationale", "commit"]
+CHANGES = [*SPEC, "numeric_change"]
+NOTE = "Rationale and commit are those of the section, not of the block."
+
+
+def write_workbooks(sheet: DataFrame, changed: DataFrame, folder: str) -> DataFrame:
+    """A workbook with both sheets for each document, below folder (a URI that all executors share); returns (doc, bytes)."""
+    order = ["order", "id"]
+    return workbook.write_workbooks({"Spec": (sheet, SPEC, order), "Changes": (changed, CHANGES, order)}, folder, {"Spec": NOTE, "Changes": NOTE})

@@ -19,6 +19,7 @@ from docledger.operators.structure import block_stream
 from docledger.plans import rules
 from docledger.sources import scratch
 from docledger.sources import sections as S
+from docledger.sources.workbook import read_workbooks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -397,6 +398,25 @@ def changes_sheet(spark, sf_dir):
     return rows.select("doc", "id", "section", F.col("order").cast("long").alias("order"), "type", "change", "content", "old_content", "numeric_change")
 
 
+@_query(f"""{_CHANGED}{_TREE}, {_NUMBERS}, here AS (SELECT id, row_number() OVER (PARTITION BY doc_id ORDER BY s, place) - 1 AS "order" FROM work WHERE id IS NOT NULL),
+whole AS (SELECT 'D' || tree.doc_id AS doc, c.id, c.type, c.change, c.content, c.old, n.message, here."order" FROM changed c JOIN tree ON c.file = tree.file LEFT JOIN here ON here.id = c.id LEFT JOIN numeric n ON n.block_id = c.id),
+sheets AS (SELECT doc, 'Spec' AS sheet, 2 + row_number() OVER (PARTITION BY doc ORDER BY "order" NULLS FIRST, id) AS row, id, type, change, content, old, NULL AS numeric_change FROM whole
+  UNION ALL SELECT doc, 'Changes', 2 + row_number() OVER (PARTITION BY doc ORDER BY "order" NULLS FIRST, id), id, type, change, content, old, message FROM whole WHERE change <> 'unchanged'),
+tops AS (SELECT DISTINCT doc FROM whole)
+SELECT doc, sheet, row, id, type, change, content, CASE WHEN old = '' THEN '' ELSE old END AS old_content, numeric_change FROM sheets
+UNION ALL SELECT doc, sheet, 1, '{E.NOTE}', NULL, NULL, NULL, NULL, NULL FROM tops, unnest(['Spec', 'Changes']) AS t(sheet)
+UNION ALL SELECT doc, sheet, 2, 'id', 'type', 'change', 'content', 'old_content', CASE sheet WHEN 'Changes' THEN 'numeric_change' END FROM tops, unnest(['Spec', 'Changes']) AS t(sheet)""")
+def workbook_rows(spark, sf_dir):
+    """Both sheets of every document's workbook, written as XLSX by Spark and read back from there."""
+    base, _ = _vault(spark, sf_dir, False)
+    work, front = _vault(spark, sf_dir)
+    sheet = scratch.written(E.spec_sheet(_changes(spark, sf_dir), V.sections(work, front), E.rationale_of(*_log(spark, sf_dir))))
+    folder = scratch.folder(spark)
+    E.write_workbooks(sheet, E.changes_sheet(sheet, base, work), folder)
+    cell = lambda k: F.get("cells", F.lit(k))
+    return read_workbooks(spark, folder).select("doc", "sheet", "row", cell(0).alias("id"), cell(5).alias("type"), cell(7).alias("change"), cell(6).alias("content"), cell(8).alias("old_content"), cell(11).alias("numeric_change"))
+
+
 _IMPACT = f"""{_LINKS}, moved AS (SELECT w.id, w.file FROM work w LEFT JOIN base b ON w.id = b.id WHERE w.id IS NOT NULL AND (b.id IS NULL OR w.content <> b.content)),
 impact AS (SELECT DISTINCT c.file, l.id AS source FROM links l JOIN moved c ON c.id = l.target WHERE l.file NOT IN (SELECT file FROM moved))"""
 
