@@ -147,4 +147,6 @@ def faults_of(node: dict, root: Column, path: Column, where: str = "$") -> Colum
 def faults(text: Column, schema: str) -> Column:
     """The faults of a JSON text against one of SCHEMAS; a text that is no JSON has the one fault json."""
     v = F.try_parse_json(text)
-    return F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("fault"))).cast(_FAULT)).otherwise(faults_of(SCHEMAS[schema], v, F.lit("$")))
+    # As the variable of a lambda the text is parsed once, not for every constraint.
+    found = F.flatten(F.transform(F.array(v), lambda x: faults_of(SCHEMAS[schema], x, F.lit("$"))))
+    return F.when(v.isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("fault"))).cast(_FAULT)).otherwise(found)

@@ -90,7 +90,7 @@ def ingest(packages: DataFrame, doc_of: Column, titles: DataFrame | None = None,
     """
     read = scratch.written(docx.read_package(packages).withColumn("doc", doc_of))
     part = lambda name: read.where(F.col(name).isNotNull()).select("doc", f"{name}.*")
-    at = F.when(F.col("part") == "footnotes", _PARTS).otherwise(0) + F.col("para_idx").cast("long") * _ITEMS + F.col("item_seq")
+    at = F.when(F.col("part") == "footnotes", _PARTS).when(F.col("part") == "endnotes", 2 * _PARTS).otherwise(0) + F.col("para_idx").cast("long") * _ITEMS + F.col("item_seq")
     every = part("item").withColumn("at", at)
     skipped = every.where("skip is not null").groupBy("doc", F.col("skip").alias("code")).agg(F.count("*").alias("paragraphs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
     kept = every.where("skip is null and not coalesce(revision = 'del', false) and kind <> 'broken'")

@@ -131,7 +131,7 @@ def walk(body, seen=None) -> list[dict]:
 def _parts(package: zipfile.ZipFile):
     """(name, skip, root of the paragraphs) of the parts that have text, the body first."""
     for name in sorted(package.namelist(), key=lambda n: (n != "word/document.xml", n)):
-        found = re.fullmatch(r"word/(document|footnotes|header\d*|footer\d*)\.xml", name)
+        found = re.fullmatch(r"word/(document|footnotes|endnotes|header\d*|footer\d*)\.xml", name)
         if found:
             root = ET.fromstring(package.read(name))
             kind = found[1].rstrip("0123456789")
@@ -143,7 +143,7 @@ def items_of(content: bytes) -> list[dict]:
     out = []
     for part, skip, root in _parts(zipfile.ZipFile(io.BytesIO(content))):
         found = walk(root)
-        if part == "footnotes":
+        if part in ("footnotes", "endnotes"):
             found = [r | {"kind": "footnote"} if r["kind"] == "paragraph" else r for r in found]
         out += [r | {"part": part, "skip": skip or r.get("skip")} for r in found]
     return out

@@ -43,7 +43,7 @@ RELS = f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/
 
 @pytest.fixture(scope="module")
 def vault(spark):
-    whole = zipped({"word/document.xml": BODY, "word/numbering.xml": _LEVELS["numbering"], "word/styles.xml": _LEVELS["styles"], "word/_rels/document.xml.rels": RELS, "word/header1.xml": f"{_HEAD}<w:hdr {_NAMES}><w:p>{run('page')}</w:p></w:hdr>", "word/footnotes.xml": f"{_HEAD}<w:footnotes {_NAMES}><w:footnote><w:p>{run('a note')}</w:p></w:footnote></w:footnotes>"})
+    whole = zipped({"word/document.xml": BODY, "word/numbering.xml": _LEVELS["numbering"], "word/styles.xml": _LEVELS["styles"], "word/_rels/document.xml.rels": RELS, "word/header1.xml": f"{_HEAD}<w:hdr {_NAMES}><w:p>{run('page')}</w:p></w:hdr>", "word/footnotes.xml": f"{_HEAD}<w:footnotes {_NAMES}><w:footnote><w:p>{run('a note')}</w:p></w:footnote></w:footnotes>", "word/endnotes.xml": f"{_HEAD}<w:endnotes {_NAMES}><w:endnote><w:p>{run('at the end')}</w:p></w:endnote></w:endnotes>"})
     return read(spark, {"AA": whole, "BAD": b"no package"}, first=100)
 
 
@@ -61,6 +61,7 @@ def test_forms_and_links(vault):
         ("108", "102", "paragraph", "", "shape", None),
         ("109", "102", "raw", "", "", None),
         ("110", "102", "paragraph", "", "a note", None),
+        ("111", "102", "paragraph", "", "at the end", None),
     ]
 
 
@@ -69,7 +70,7 @@ def test_nothing_is_lost(vault):
     stored = {r.asset: bytes(r.bytes).decode() for r in vault.assets.collect()}
     assert set(stored) == {"AA-000106.xml", "AA-000109.xml"} and "pict" in stored["AA-000109.xml"] and "tbl" in stored["AA-000106.xml"]
     assert [(r.doc, r.code, r.paragraphs, r.chars) for r in vault.skipped.collect()] == [("AA", "header_footer", 1, 4)]
-    assert [tuple(r) for r in I.accounts(vault).collect()] == [("AA", 12, 10, 2, 0, 0, 0, True)]
+    assert [tuple(r) for r in I.accounts(vault).collect()] == [("AA", 13, 11, 2, 0, 0, 0, True)]
     lost = I.Vault(vault.blocks.where("type <> 'list'"), vault.assets.limit(1), vault.issues.limit(0), vault.skipped, vault.items)
     assert [(r.without_block, r.unstored, r.unreported, r.balanced) for r in I.accounts(lost).collect()] == [(2, 1, 2, False)]
 
