@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docledger.llm import common as C
@@ -260,3 +261,71 @@ def test_images_odd_rows(spark):
     got = I.find_copies(spark.createDataFrame(rows, "id long, pixels binary"), F.col("id") % 100 == 0).collect()
     assert sorted((r.id if r.id is not None else -1, r.class_id, r.n_queries) for r in got) == sorted([(0, 0, 0), (0, 0, 0), (7, 0, 0), (100, 0, 0), (8, 8, 0), (9, 9, 0), (10, 10, 0), (-1, 0, 0)])
     assert I.find_copies(spark.createDataFrame([], "id long, pixels binary"), F.col("id") % 100 == 0).count() == 0
+
+
+def rows_made(spark, run) -> tuple:
+    """What run() gives, and the most rows that a join or a function on batches made for it."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    bus.waitUntilEmpty()
+    before = {e.executionId() for e in each(store.executionsList())}
+    result = run()
+    bus.waitUntilEmpty()
+    most = 0
+    for k in (e.executionId() for e in each(store.executionsList()) if e.executionId() not in before):
+        values, it = {}, store.executionMetrics(k).iterator()
+        while it.hasNext():
+            pair = it.next()
+            values[pair._1()] = pair._2()
+        for node in each(store.planGraph(k).allNodes()):
+            if "Join" in node.name() or "Arrow" in node.name():
+                counts = [values.get(m.accumulatorId(), "0") for m in each(node.metrics()) if m.name() == "number of output rows"]
+                most = max([most, *(int(c.replace(",", "")) for c in counts)])
+    return result, most
+
+
+def near_images(n: int) -> list[tuple]:
+    """One texture with a little noise, n times, and as many unlike ones."""
+    random, (base, *others) = np.random.default_rng(4), textures(n + 1, 8)
+    group = [np.clip(base + random.normal(0, 2, base.shape), 0, 255) for _ in range(n)]
+    return [(k, a.astype(np.uint8).tobytes()) for k, a in enumerate(group + others)]
+
+
+def test_near_copies_make_no_row_for_a_pair(spark):
+    n, asked = 90, 45
+    images = spark.createDataFrame(near_images(n), "id long, pixels binary").repartition(4)
+    got, most = rows_made(spark, lambda: {r.id: (r.n_queries, r.best_query is None) for r in I.find_copies(images, F.col("id") < asked).collect()})
+    assert got == {k: (asked - (k < asked) if k < n else 0, k >= n) for k in range(2 * n)}
+    assert n <= most <= 4 * n, most
+
+
+def test_index_in_shards_finds_the_same(spark, monkeypatch):
+    rows = near_images(40) + [(-1 - k, I.edited(a, I.EDITS[k % 2 * 5], k)[:96, :96].astype(np.uint8).tobytes()) for k, a in enumerate(textures(41, 8)[1:])]
+    images = spark.createDataFrame(rows, "id long, pixels binary").repartition(4)
+    find = lambda: sorted(map(tuple, I.find_copies(images, F.col("id") % 2 == 0).collect()), key=str)
+    whole = find()
+    assert sum(r[2] > 0 for r in whole) > 50
+    for name, value in (("INDEX_BYTES", 1 << 20), ("SLICE_BYTES", 100_000), ("BLOCK", 8), ("AT_ONCE", 1000)):
+        monkeypatch.setattr(I, name, value)
+    found = []
+    monkeypatch.setattr(I, "_by_shards", lambda *a, f=I._by_shards: found.append(a[3]) or f(*a))
+    assert find() == whole and found[0] > 2
+
+
+def test_index_meets_each_close_pair_once():
+    """Against all pairs: those within RADIUS bits that share a key of some table, in any number of shards."""
+    random = np.random.default_rng(6)
+    a = random.integers(-(2**63), 2**63 - 1, (300, 2))
+    b = np.concatenate([a ^ np.packbits(random.random((300, 128)) < p, axis=1).view(np.int64) for p in (0.0, 0.05, 0.1, 0.15)])
+    place = np.zeros(len(b), np.float32)
+    own = np.repeat(np.arange(30), 10)
+    queries = pa.record_batch({"id": np.arange(30)} | I._lists((*[place[:300]] * 4, *a.T.copy()), np.arange(0, 301, 10)))
+    differ = (np.unpackbits(a.view(np.uint8), axis=1)[:, None] != np.unpackbits(b.view(np.uint8), axis=1)[None]).sum(axis=2)
+    for size in ((10, 20), (16, 24)):
+        shared = (I.keys_of(a[:, 0], a[:, 1], *size)[:, None] == I.keys_of(b[:, 0], b[:, 1], *size)[None]).any(axis=2)
+        other = own[:, None] != (np.arange(len(b)) % 60)[None]
+        want = sorted(map(tuple, np.argwhere(shared & (differ <= I.RADIUS) & other).tolist()))
+        assert len(want) > 400
+        for shards in (1, 3):
+            got = [(q, r) for s in range(shards) for rs, qs in I.Index(queries, size, shards, s).meet(np.arange(len(b)) % 60, *b.T.copy()) for r, q in zip(rs.tolist(), qs.tolist(), strict=True)]
+            assert sorted(got) == want
