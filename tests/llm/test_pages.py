@@ -329,3 +329,15 @@ def test_index_meets_each_close_pair_once():
         for shards in (1, 3):
             got = [(q, r) for s in range(shards) for rs, qs in I.Index(queries, size, shards, s).meet(np.arange(len(b)) % 60, *b.T.copy()) for r, q in zip(rs.tolist(), qs.tolist(), strict=True)]
             assert sorted(got) == want
+
+
+def test_keys_grow_with_the_queries():
+    """Close descriptors still meet, and those that meet by chance don't grow with the index."""
+    random = np.random.default_rng(1)
+    a = random.integers(-(2**63), 2**63 - 1, (2000, 2))
+    b = a ^ np.packbits(random.random((2000, 128)) < 0.1, axis=1).view(np.int64)
+    assert I.tables_for(0) == I.tables_for(I.MANY) == (I.TABLES, I.KEY_BITS)
+    for times in (2, 5, 30, 1000):
+        tables, bits = I.tables_for(times * I.MANY)
+        assert 2 ** ((bits - I.KEY_BITS) / 1.75) >= times and bits <= I.MOST_BITS
+        assert (I.keys_of(*a.T, tables, bits) == I.keys_of(*b.T, tables, bits)).any(axis=1).mean() > 0.6
