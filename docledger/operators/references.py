@@ -1,5 +1,7 @@
 """Links between places: resolution, dangling targets, inverse lists, impact, and containment of passages."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,10 @@ def as_of_last(rows: DataFrame, key: list, order: list, wanted: Column, value: s
 KEY_WORDS = 3
 #: Characters by which a part of a run of characters is looked up.
 GRAM = 6
+#: Bytes of short passages, counted, up to which every task has them all.
+SHIPPED = 4 << 20
+#: Characters of texts that are looked through together, about.
+SLICE = 1 << 20
 
 
 def _runs(text) -> Column:
@@ -134,6 +140,62 @@ def _by_runs(passages: DataFrame, texts: DataFrame) -> DataFrame:
     return posts.join(scratch.sized_by(chosen, "run", 96), ["scope", "run"]).select("pid", "tid").distinct()
 
 
+def _in_slices(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Matches (pid, tid) of passages that are few enough for every task to have them all, in one pass over the texts.
+
+    A text that contains a passage has all of its runs of three characters. In a slice of texts the rarest of them says which texts are
+    looked at; the test on the whole text decides. Passages of one or two characters are looked for in every text.
+    """
+    named = scratch.written(passages.select("pid", "passage").distinct().withColumn("n", F.monotonically_increasing_id()))
+    wanted = named.select("n", "passage").collect()  # SHIPPED bytes at most
+    codes = lambda text: np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+    def threes(text: str) -> np.ndarray:
+        c = codes(text)
+        return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+    grams = np.unique(np.concatenate([np.empty(0, np.int64), *(threes(p) for _, p in wanted if len(p) > 2)]))
+    place = lambda g: (g * np.int64(-7046029254386353131)) >> 44 & 0xFFFFF
+
+    def matches(found: list[str], seen: np.ndarray, of: list):
+        m = len(found)
+        g = threes("".join(found))
+        at = np.flatnonzero(seen[place(g)]) if len(g) else np.empty(0, np.int64)
+        k = np.minimum(np.searchsorted(grams, g[at]), max(len(grams) - 1, 0))
+        same = grams[k] == g[at] if len(grams) else np.zeros(len(at), bool)
+        ends = np.cumsum([len(t) for t in found])
+        pairs = np.unique(k[same] * m + np.searchsorted(ends, at[same], "right"))
+        first = np.searchsorted(pairs, np.arange(len(grams) + 1) * m)
+        counts = np.diff(first)
+        for n, passage, own in of:
+            if own is None:
+                yield n, [i for i, t in enumerate(found) if passage in t]
+            else:
+                rare = own[np.argmin(counts[own])]
+                yield n, [i for i in (pairs[first[rare] : first[rare + 1]] % m).tolist() if passage in found[i]]
+
+    def run(batches):
+        seen = np.zeros(1 << 20, bool)
+        seen[place(grams)] = True
+        of = [(n, p, np.searchsorted(grams, np.unique(threes(p))) if len(p) > 2 else None) for n, p in wanted]
+        for batch in batches:
+            every, start = batch["text"].to_pylist(), 0
+            while start < len(every):
+                stop, size = start, 0
+                while stop < len(every) and size < SLICE:
+                    size += len(every[stop])
+                    stop += 1
+                ids, texts_at = [], []
+                for n, at in matches(every[start:stop], seen, of):
+                    ids += [n] * len(at)
+                    texts_at += at
+                yield pa.record_batch({"n": pa.array(ids, pa.int64()), "tid": batch["tid"].slice(start).take(pa.array(texts_at, pa.int32()))})
+                start = stop
+
+    found = texts.select("tid", "text").mapInArrow(run, f"n long, tid {texts.schema['tid'].dataType.simpleString()}").distinct()
+    return found.join(F.broadcast(named.select("n", "pid")), "n").select("pid", "tid")
+
+
 def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: str, scope: str | None = None) -> DataFrame:
     """(passage_id, text_id) where the text contains the passage; both tables have a column text. Empty passages are in no text.
 
@@ -141,19 +203,27 @@ def contained(passages: DataFrame, passage_id: str, texts: DataFrame, text_id: s
 
     A text that contains a passage has its inner words as whole words. So it has KEY_WORDS of them in a row, if there are as many:
     of a passage's keys the rarest over all texts stands for it. Passages of fewer inner words are looked up in the vocabulary of the
-    texts. Either way texts are fetched for candidates only, and the test on the whole text decides.
+    texts, by every task if they are few and have no scope. Texts are fetched for candidates only, and the test on the whole text decides.
     """
     of = F.col(scope) if scope else F.lit(0)
     p = passages.select(F.col(passage_id).alias("pid"), of.alias("scope"), F.col("text").alias("passage")).where("passage <> ''").withColumn("runs", _runs(F.col("passage")))
     p = p.withColumn("inner", F.filter(F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 2, F.lit(0))), lambda r: r.rlike(r"\S")))
     p, t = scratch.written(p), texts.select(F.col(text_id).alias("tid"), of.alias("scope"), "text").where("text is not null")
     many = F.size("inner") >= KEY_WORDS
-    found = None
-    for rows, candidates in ((p.where(many), _by_word_keys), (p.where(~many), _by_runs)):
-        if not rows.isEmpty():
-            part = candidates(rows, t)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return p.limit(0).join(t.limit(0), F.col("pid").cast("string") == F.col("tid").cast("string")).select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
-    met = found.join(scratch.sized_by(p.select("pid", "passage").distinct(), "passage", 64), "pid").join(t.select("tid", "text"), "tid").where(F.contains("text", "passage"))
-    return met.select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id)).distinct()
+    done = found = None
+    short = p.where(~many)
+    n, total = short.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("passage")), F.lit(0))).first()
+    if n and scope is None and n * 64 + total <= SHIPPED:
+        done = _in_slices(short, t)
+    elif n:
+        found = _by_runs(short, t)
+    long = p.where(many)
+    if not long.isEmpty():
+        part = _by_word_keys(long, t)
+        found = part if found is None else found.unionByName(part)
+    if found is not None:
+        met = found.join(scratch.sized_by(p.select("pid", "passage").distinct(), "passage", 64), "pid").join(t.select("tid", "text"), "tid").where(F.contains("text", "passage")).select("pid", "tid").distinct()
+        done = met if done is None else done.unionByName(met).distinct()
+    if done is None:
+        done = p.limit(0).join(t.limit(0), F.col("pid").cast("string") == F.col("tid").cast("string"))
+    return done.select(F.col("pid").alias(passage_id), F.col("tid").alias(text_id))
