@@ -27,17 +27,33 @@ def haystacks(texts: DataFrame) -> DataFrame:
     return texts.groupBy("doc", "file").agg(joined.alias("text")).select("doc", "file", normalize("text").alias("haystack"))
 
 
+#: Pairs of a document's sections and of its segments that its sections lack, up to which they are met one by one.
+PAIRS = 1 << 20
+
+
 def coverage(source: DataFrame, emitted: DataFrame) -> DataFrame:
     """source with covered and place: own if the segment stands in its own section, elsewhere if in another of its document.
 
-    The first test is an equality join on the section. Only what it leaves is looked for in the document's sections, over their
-    vocabulary, so that no text meets all texts.
+    The first test is an equality join on the section. Only what it leaves is looked for in the document's sections: in a document of
+    up to PAIRS of both by a join on the document, in larger ones over their vocabulary, so that no text meets all texts.
     """
-    own = source.join(emitted.select("doc", "file", "haystack"), ["doc", "file"], "left").withColumn("_own", F.coalesce(F.contains("haystack", "segment"), F.lit(False))).drop("haystack")
+    emitted = scratch.written(emitted.select("doc", "file", "haystack"))
+    own = source.join(emitted, ["doc", "file"], "left").withColumn("_own", F.coalesce(F.contains("haystack", "segment"), F.lit(False))).drop("haystack")
     own = scratch.written(own)
-    left = own.where("not _own").select("doc", F.struct("doc", "segment").alias("of"), F.col("segment").alias("text")).distinct()
-    found = contained(left, "of", emitted.select("doc", F.struct("doc", "file").alias("at"), F.col("haystack").alias("text")), "at", "doc")
-    found = found.select("of.doc", "of.segment").distinct().withColumn("_elsewhere", F.lit(True))
+    left = own.where("not _own").select("doc", "segment").distinct()
+    n = left.groupBy("doc").agg(F.count("*").alias("_n")).join(emitted.groupBy("doc").agg(F.count("*").alias("_m")), "doc")
+    large = scratch.written(n.where(F.col("_n") * F.col("_m") > PAIRS).select("doc"))
+    lacks = left
+    if not large.isEmpty():
+        lacks = left.join(scratch.sized_by(large, "doc", 32), "doc", "left_anti")
+    found = lacks.join(emitted, "doc").where(F.contains("haystack", "segment")).select("doc", "segment").distinct()
+    if not large.isEmpty():
+        of_large = lambda t: t.join(scratch.sized_by(large, "doc", 32), "doc", "left_semi")
+        passages = of_large(left).select("doc", F.struct("doc", "segment").alias("of"), F.col("segment").alias("text"))
+        met = contained(passages, "of", of_large(emitted).select("doc", F.struct("doc", "file").alias("at"), F.col("haystack").alias("text")), "at", "doc")
+        found = found.unionByName(met.select("of.doc", "of.segment").distinct())
+    found = scratch.written(found.withColumn("_elsewhere", F.lit(True)))
+    scratch.drop(emitted, large)
     rows = own.join(found, ["doc", "segment"], "left").withColumn("place", F.when(F.col("_own"), "own").when(F.col("_elsewhere"), "elsewhere"))
     return rows.withColumn("covered", F.col("place").isNotNull()).drop("_own", "_elsewhere")
 
